@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_text, language, mixing, packing, quality, tokens, toxicity
+from . import chat, exact_dedup, html_text, jaccard_join, language, mixing, packing, quality, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_mixing, op4_packing, op6_toxicity, op7_html, op8_language, op9_chat, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_mixing, op4_packing, op6_toxicity, op7_html, op8_language, op9_chat, op10_exact_dedup)}
 
 
 OP9_SQL = r"""
