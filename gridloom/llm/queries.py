@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_text, jaccard_join, language, mixing, packing, quality, tokens, toxicity
+from . import chat, exact_dedup, html_text, jaccard_join, language, mixing, packing, quality, suffix_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), tokens.byte_bpe(vocabulary()))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -57,7 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_mixing, op4_packing, op6_toxicity, op7_html, op8_language, op9_chat, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_mixing, op4_packing, op5_suffix_dedup, op6_toxicity, op7_html, op8_language, op9_chat, op10_exact_dedup)}
 
 
 OP9_SQL = r"""
