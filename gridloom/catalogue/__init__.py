@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import graphs, results, specs  # noqa: F401
+    from . import graphs, results, sources, specs, statistics, texts  # noqa: F401
 
     return dict(_QUERIES)
 

@@ -204,15 +204,15 @@ def net_one_hot(spark, sf_dir):
     return graph.one_hot(regions(spark, sf_dir), list(range(5)))
 
 
-SIMILAR = ", z AS (SELECT sum(n * n) AS similar, sum(n) AS nodes FROM (SELECT count(*) AS n FROM clusters GROUP BY cluster))"
+SIMILAR = ", z AS (SELECT sum(n * n) AS alike, sum(n) AS nodes FROM (SELECT count(*) AS n FROM clusters GROUP BY cluster))"
 
 
-@query("net_homophily", TAGGED + SIMILAR + " SELECT round_even(count(*) FILTER (k = l AND src <> dst) / count(*), 6) AS observed, round_even((SELECT similar / (nodes * (nodes - 1)) FROM z), 6) AS expected FROM g")
+@query("net_homophily", TAGGED + SIMILAR + " SELECT round_even(count(*) FILTER (k = l AND src <> dst) / count(*), 6) AS observed, round_even((SELECT alike / (nodes * (nodes - 1)) FROM z), 6) AS expected FROM g")
 def net_homophily(spark, sf_dir):
     return graph.homophily(trade(spark, sf_dir), regions(spark, sf_dir)).select(F.bround("observed", 6).alias("observed"), F.bround("expected", 6).alias("expected"))
 
 
-@query("net_assortativity", TAGGED + SIMILAR + ", c AS (SELECT count(*) FILTER (k = l) AS a, count(*) FILTER (k <> l) AS b FROM g WHERE src <> dst) SELECT round_even((a + (nodes * (nodes - 1) - (similar - nodes) - b) - b - (similar - nodes - a)) / (nodes * (nodes - 1)), 6) AS assortativity FROM c, z")
+@query("net_assortativity", TAGGED + SIMILAR + ", c AS (SELECT count(*) FILTER (k = l) AS a, count(*) FILTER (k <> l) AS b FROM g WHERE src <> dst) SELECT round_even((a + (nodes * (nodes - 1) - (alike - nodes) - b) - b - (alike - nodes - a)) / (nodes * (nodes - 1)), 6) AS assortativity FROM c, z")
 def net_assortativity(spark, sf_dir):
     return graph.assortativity(trade(spark, sf_dir), regions(spark, sf_dir)).select(F.bround("assortativity", 6).alias("assortativity"))
 
@@ -279,7 +279,13 @@ def net_components(spark, sf_dir):
     return graph.components(rare)
 
 
-@query("net_diameter", "SELECT CAST(1 AS INT) AS diameter, CAST(1 AS INT) AS pseudo")
+@query(
+    "net_diameter",
+    TRADE.replace("WITH trade", "WITH RECURSIVE trade") + """, u AS (SELECT src AS a, dst AS b FROM trade WHERE src <> dst UNION SELECT dst, src FROM trade WHERE src <> dst),
+r AS (SELECT DISTINCT a AS s, a AS id, 0 AS d FROM u UNION SELECT r.s, u.b, r.d + 1 FROM r JOIN u ON r.id = u.a WHERE r.d < 25),
+m AS (SELECT s, id, min(d) AS d FROM r GROUP BY s, id), far AS (SELECT id FROM m WHERE s = 0 ORDER BY d DESC, id LIMIT 1)
+SELECT (SELECT CASE WHEN count(*) = count(DISTINCT s) * count(DISTINCT s) THEN max(d) END FROM m) AS diameter, (SELECT max(d) FROM m WHERE s = (SELECT id FROM far)) AS pseudo""",
+)
 def net_diameter(spark, sf_dir):
     e = graph.without_loops(trade(spark, sf_dir))
     return spark.range(1).select(F.lit(graph.diameter(e)).cast("int").alias("diameter"), F.lit(graph.pseudo_diameter(e, 0)).cast("int").alias("pseudo"))

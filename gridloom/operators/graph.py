@@ -176,7 +176,7 @@ def by_cluster_size(clusters: DataFrame) -> DataFrame:
 
 
 def one_hot(clusters: DataFrame, labels: list) -> DataFrame:
-    return clusters.groupBy("id").pivot("cluster", labels).agg(F.count("*")).na.fill(0)
+    return clusters.groupBy("id").pivot("cluster", labels).agg(F.count("cluster")).na.fill(0)
 
 
 def cluster_similar(clusters: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def _hits(inverted: DataFrame, clause: Clause, field: str) -> DataFrame:
     words = re.findall(r"[a-z0-9_\-]+", clause.text)
     found = None
     for k, word in enumerate(words):
-        one = rows.where(F.col("term") == word).select("doc_id", F.transform("positions", lambda p, k=k: p - k).alias(f"p{k}"))
+        one = rows.where(F.col("term") == word).select("doc_id", F.expr(f"transform(positions, p -> p - {k})").alias(f"p{k}"))
         found = one if found is None else found.join(one, "doc_id")
     at = F.col("p0")
     for k in range(1, len(words)):

@@ -33,7 +33,10 @@ def edge_weights(stream: DataFrame, name: str) -> StreamingQuery:
 
 def _delta_state(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     before = state.get[0] if state.exists else 0.0
-    rows = pd.concat(list(frames)).sort_values(["it"], kind="stable")
+    parts = [f for f in frames if len(f)]
+    if not parts:
+        return
+    rows = pd.concat(parts).sort_values(["it"], kind="stable")
     change = rows["value"].diff()
     change.iloc[0] = rows["value"].iloc[0] - before
     state.update((float(rows["value"].iloc[-1]),))
