@@ -34,14 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return now
 
 
+#: While this is set, Spark deletes the shuffle files of an execution when it ends, instead of when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: later reads survive lost executors.
 
-    The files are removed when the driver's Python ends.
+    The shuffle files behind df go at once, the Parquet files when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

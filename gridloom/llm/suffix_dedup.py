@@ -334,20 +334,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (broken characters at cuts are replaced in it) of each document."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("tag"), text.alias("text"))
+    # Both joins below read this with the same columns and keys, so Spark shuffles the texts once.
+    tagged = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("tag"), text.alias("text"))
     deal = lambda df, *by: df.repartition(partitions(spark), by[0]).sortWithinPartitions(*by)
-    candidates = tagged.select("doc", "tag", "text").mapInArrow(_scan, CANDIDATE)
+    candidates = tagged.mapInArrow(_scan, CANDIDATE)
     named = materialise(deal(candidates, "gram", "context", "doc", "at").mapInArrow(_round_one, CANDIDATE))
     probes = named.where("kind = 2").select("gram", "doc", "at").distinct()
     hot = probes.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram", F.lit(True).alias("hot"))
     low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     by_doc = probes.join(hot, "gram", "left").select("doc", low("at").alias("tag"), F.struct("gram", F.shiftright("at", 32).alias("pos"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("probe"))
     by_doc = by_doc.groupBy("doc", "tag").agg(F.collect_list("probe").alias("probes"))
-    contexts = tagged.select("doc", "tag", "text").join(by_doc, ["doc", "tag"]).mapInArrow(_contexts, "kind int, key long, doc long, at long, left int, bytes binary")
+    contexts = tagged.join(by_doc, ["doc", "tag"]).mapInArrow(_contexts, "kind int, key long, doc long, at long, left int, bytes binary")
     again = contexts.repartition(partitions(spark), "key").sortWithinPartitions("kind", "key", "doc", "at").mapInArrow(_round_two, CANDIDATE)
     spans = named.where("kind = 1").unionByName(again).select("doc", low("at").alias("tag"), F.struct(F.shiftright("at", 32).alias("lo"), F.col("stop").cast("long").alias("hi")).alias("span"))
     by_doc = spans.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans"))
-    return tagged.join(by_doc, ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return tagged.join(by_doc, ["doc", "tag"], "left").select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
