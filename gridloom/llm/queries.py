@@ -64,6 +64,17 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_mixing, op4_packing, op5_suffix_dedup, op6_toxicity, op7_html, op8_language, op9_chat, op10_exact_dedup)}
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT u.b, r.c FROM r JOIN u ON r.id = u.a),
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.id = d.doc_id"""
+
 OP9_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -115,4 +126,4 @@ WHERE (nth // k) * slots + slot <= (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op9_chat": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op3_mixing": OP3_SQL, "op9_chat": OP9_SQL, "op10_exact_dedup": OP10_SQL}
