@@ -336,3 +336,30 @@ def sim_euclid(spark, sf_dir):
     near = graph.similarity(vector_pairs(spark, sf_dir), "euclid", 5.0)
     d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
     return near.where(F.abs(d - 5.0) > 1e-6).select("i", "j", "similarity")
+
+
+MASKED = CELLS + f", k AS (SELECT src, dst, w, src = dst OR (src <> dst AND row_number() OVER (PARTITION BY src = dst ORDER BY {DRAW}, src, dst) <= CAST(floor((SELECT count(*) FROM c) * 0.3) AS BIGINT)) AS masked FROM c)"
+
+
+def masked(spark, sf_dir):
+    return graph.random_mask(cells(spark, sf_dir), 0.3)
+
+
+@query("net_observations", MASKED + " SELECT src, dst, w FROM k WHERE NOT masked AND src <= dst")
+def net_observations(spark, sf_dir):
+    return graph.observations(masked(spark, sf_dir), symmetric=True).select("src", "dst", "w")
+
+
+@query("net_masked_sizes", MASKED + " SELECT id, count(*) AS seen FROM (SELECT src AS id FROM k WHERE NOT masked UNION ALL SELECT dst FROM k WHERE NOT masked AND src <> dst) GROUP BY id")
+def net_masked_sizes(spark, sf_dir):
+    return graph.masked_sizes(masked(spark, sf_dir))
+
+
+@query("net_signed", MASKED + " SELECT src, dst, CASE WHEN masked THEN 0 WHEN w = 0 THEN -1 ELSE 1 END AS train, CASE WHEN NOT masked THEN 0 WHEN w = 0 THEN -1 ELSE 1 END AS test FROM k")
+def net_signed(spark, sf_dir):
+    return graph.signed(masked(spark, sf_dir))
+
+
+@query("net_predict_masked")
+def net_predict_masked(spark, sf_dir):
+    return stats.confusion(graph.predict_masked(masked(spark, sf_dir), F.lit(0.4)), "w", "predicted")

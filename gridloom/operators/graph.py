@@ -377,3 +377,28 @@ def to_dot(edges: DataFrame, directed: bool = True) -> DataFrame:
     """Lines of a dot file's body."""
     arrow = " -> " if directed else " -- "
     return edges.select(F.concat(F.col("src").cast("string"), F.lit(arrow), F.col("dst").cast("string"), F.lit(" [weight="), F.col("w").cast("string"), F.lit("];")).alias("line"))
+
+
+def observations(masked: DataFrame, symmetric: bool = False) -> DataFrame:
+    """Cells that a model sees: those not masked, of a symmetric matrix the upper triangle."""
+    seen = masked.where(~F.col("masked"))
+    return seen.where("src <= dst") if symmetric else seen
+
+
+def masked_sizes(masked: DataFrame) -> DataFrame:
+    """(id, seen): unmasked cells of each node's row and column; the diagonal counts once."""
+    ends = F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst"))
+    return masked.where(~F.col("masked")).select(F.explode(ends).alias("id")).groupBy("id").agg(F.count("*").alias("seen"))
+
+
+def signed(masked: DataFrame) -> DataFrame:
+    """Weights as 1 and -1 with 0 outside the part: (src, dst, train, test)."""
+    value = F.when(F.col("w") == 0, -1).otherwise(1)
+    return masked.select("src", "dst", F.when(F.col("masked"), 0).otherwise(value).alias("train"), F.when(F.col("masked"), value).otherwise(0).alias("test"))
+
+
+def predict_masked(masked: DataFrame, probability: Column, seed: int = 0) -> DataFrame:
+    """Masked cells with a drawn prediction: one where the cell's draw is below its probability."""
+    from ..functions.scalars import draw_bernoulli, uniform
+
+    return masked.where("masked").withColumn("predicted", draw_bernoulli(probability, uniform(F.col("src"), F.col("dst"), seed=seed)))
