@@ -36,7 +36,9 @@ from .shared import Prefix, chunks, materialise, mix, partitions, text_arrays
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
 #: Sampled positions that a task compares before sending them on, contexts of one name that a task takes, rows held for one name.
-BLOCK, HOT, HELD = 1_000_000, 4096, 200_000
+BLOCK, HOT, HELD = 1_000_000, 50_000, 200_000
+#: Parts by hash in which a task compares the strings of many contexts, so that their arrays stay small.
+PARTS = 8
 NO_ID = 2**63 - 1
 _U = np.uint64
 _FIRST_NAMES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
@@ -119,6 +121,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, context, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((at, doc))
         gram, context, doc, at = gram[order], context[order], doc[order], at[order]
+        once = np.ones(len(doc), bool)  # rows that are there twice are one document
+        once[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
+        gram, context, doc, at = gram[once], context[once], doc[once], at[once]
         pair = mix(gram * _U(0xC2B2AE3D27D4EB4F) + context)
         order = np.argsort(pair, kind="stable")
         later = np.zeros(len(pair), bool)
@@ -153,17 +158,27 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _round_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (gram, context, doc, at). Out: kind 1 spans to remove, kind 2 positions for round two."""
     held: list[np.ndarray] | None = None
-    going: tuple | None = None  # (gram, context) of a long run whose earlier rows went out
+    going: tuple | None = None  # the last row of a long run whose earlier rows went out
+
+    def distinct(gram, context, doc, at):
+        """Without rows that are there twice: they are one document."""
+        once = np.ones(len(doc), bool)
+        once[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]) | (context[1:] != context[:-1]) | (gram[1:] != gram[:-1])
+        if going is not None and len(doc):
+            once[0] = (gram[0], context[0], doc[0], at[0]) != going
+        return gram[once], context[once], doc[once], at[once]
 
     def solve(gram, context, doc, at):
         nonlocal going
+        if not len(gram):
+            return []
         new_gram = np.ones(len(gram), bool)
         new_gram[1:] = gram[1:] != gram[:-1]
         new = new_gram.copy()
         new[1:] |= context[1:] != context[:-1]
         run = np.cumsum(new_gram) - 1
         several = np.bincount(run, new) > 1
-        if going is not None and len(gram) and gram[0] == going[0]:
+        if going is not None and gram[0] == going[0]:
             several[0] = True
             new[0] = context[0] != going[1]
         going = None
@@ -187,14 +202,17 @@ def _round_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = [batch[c].to_numpy() for c in ("gram", "context", "doc", "at")]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        now = distinct(*now)
         gram = now[0]
+        if not len(gram):
+            continue
         other = gram[::-1] != gram[-1]
         cut = len(gram) - int(np.argmax(other)) if other.any() else 0
         if cut:
             yield from solve(*[x[:cut] for x in now])
         held = [x[cut:] for x in now]
         if len(held[0]) > HELD:
-            last = held[0][-1], held[1][-1]
+            last = tuple(x[-1] for x in held)
             yield from solve(*held) if going is not None and going[0] == last[0] else solve_long(solve, held)
             going = last
             held = None
@@ -251,10 +269,16 @@ def _round_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = table["bytes"].combine_chunks()
         data, bounds = text_arrays(parts)
         n = np.diff(bounds) - LENGTH + 1
-        row = np.repeat(np.arange(len(n)), n)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        k = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         start = bounds[:-1][row] + k
         h = Prefix(data).hash(start, start + LENGTH) ^ mix(key.view(np.uint64))[row]
+        del start
+        for part in range(PARTS) if len(row) > 1_000_000 else (None,):
+            some = slice(None) if part is None else np.flatnonzero(h % _U(PARTS) == part)
+            yield from repeats(h[some], row[some], k[some], doc, at, left)
+
+    def repeats(h, row, k, doc, at, left):
         doc, tag, p = doc[row], at[row] & 0xFFFFFFFF, (at >> 32)[row] - left[row] + k
         order = np.lexsort((tag, p, doc, h))
         h, doc, tag, p = h[order], doc[order], tag[order], p[order]
