@@ -110,16 +110,24 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
     # The first guesses count as much as the votes of so many documents.
     trust = len(votes) * prior, len(votes) * (1 - prior)
     post, together = np.full(len(votes), prior), np.eye(votes.shape[1])
+    # Second moments of the votes; those about the model's means follow from them, without another matrix of that size.
+    n = len(votes)
+    moments = (votes.T @ votes).astype(np.float64)
     for step in range(rounds):
-        evidence = votes @ (weight * np.log(rate[0] / rate[1])) + (1 - votes) @ (weight * np.log((1 - rate[0]) / (1 - rate[1])))
-        new = 1 / (1 + np.exp(-np.clip(evidence + np.log(prior / (1 - prior)), -40, 40)))
+        on, off = weight * np.log(rate[0] / rate[1]), weight * np.log((1 - rate[0]) / (1 - rate[1]))
+        evidence = votes @ (on - off).astype(votes.dtype) + off.sum()
+        new = 1 / (1 + np.exp(-np.clip(evidence.astype(np.float64) + np.log(prior / (1 - prior)), -40, 40)))
         done = step > 2 and np.abs(new - post).max() < 1e-5
         post = new
+        hit = [(w.astype(votes.dtype) @ votes).astype(np.float64) for w in (post, 1 - post)]
         for c, w in enumerate((post, 1 - post)):
-            rate[c] = np.clip((w @ votes + trust[c] * first[c]) / (w.sum() + trust[c]), floor, 1 - floor)
-        centred = votes - post[:, None] * rate[0] - (1 - post)[:, None] * rate[1]
-        spread = np.sqrt((centred**2).mean(0)) + 1e-9
-        together = (centred.T @ centred) / len(votes) / np.outer(spread, spread)
+            rate[c] = np.clip((hit[c] + trust[c] * first[c]) / (w.sum() + trust[c]), floor, 1 - floor)
+        with_means = np.outer(hit[0], rate[0]) + np.outer(hit[1], rate[1])
+        both = (post * (1 - post)).sum()
+        means = (post**2).sum() * np.outer(rate[0], rate[0]) + ((1 - post) ** 2).sum() * np.outer(rate[1], rate[1]) + both * (np.outer(rate[0], rate[1]) + np.outer(rate[1], rate[0]))
+        covariance = (moments - with_means - with_means.T + means) / n
+        spread = np.sqrt(np.maximum(np.diag(covariance), 0)) + 1e-9
+        together = covariance / np.outer(spread, spread)
         weight = 1 / np.maximum(1.0, np.where(together >= DEPENDENT, together, 0).sum(1))
         if done:
             break
@@ -185,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     # Precise patterns vote: rare among clean documents. The lexicon votes as one.
     precise = np.flatnonzero(neg / n_clean <= 0.1 * pos / n_toxic)
     voters = precise[np.lexsort((keys[precise], -gain[precise]))[:VOTERS]]
-    votes = np.zeros((len(hits), len(voters) + 1))
+    votes = np.zeros((len(hits), len(voters) + 1), np.float32)
     column = np.full(len(keys), -1)
     column[voters] = np.arange(len(voters))
     voting = column[cols] >= 0
