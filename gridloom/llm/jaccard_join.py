@@ -13,8 +13,8 @@ one of the first a - ceil(6a/7) + 1 shingles of the smaller and the first b - ce
 In that order shingles found often in a sample of documents come last, hence passages that many documents share rarely make cells; the sample only
 steers the order, and any order gives the same links.
 
-Rounds. First each class meets the smallest class of its cells (its likeliest partner); the links found join classes to
-components. Then, in cells that still hold several components, the trees give all pairs between different components that their bounds allow, and
+Rounds. First each class meets the smallest class of its cells (its likeliest partner), if the bound of their points allows a link; the
+links found join classes to components. Then, in cells that still hold several components, the trees give all pairs between different components that their bounds allow, and
 these are verified on the shingles themselves. Components are all that is returned, so pairs inside one need no check. A cell with more than ``CELL_ROWS`` classes
 is dealt out as pairs of blocks.
 
@@ -37,6 +37,10 @@ from .shared import Prefix, chunks, lower, materialise, mix, partitions, plain_n
 
 #: Words of a shingle, coordinates of a point, points of a leaf, classes of a cell that one task takes whole.
 WORDS, GROUPS, LEAF, CELL_ROWS = 5, 64, 16, 4096
+#: A pair of classes must meet in one cell, and one more for each so many shingles of the smaller.
+COMMON = 16
+#: Rows of cells that a task compares together.
+BATCH_ROWS = 20_000
 #: Documents sampled (about) to learn which shingles are frequent, and sampled documents that make one frequent.
 SAMPLED, OFTEN = 20_000, 16
 #: Rounds in which classes meet only the smallest class of their cells.
@@ -79,8 +83,8 @@ def point_of(items: np.ndarray) -> np.ndarray:
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [(len(x), name_of(x) if len(x) else None) for x in sets_of(batch["text"])]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([n for n, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.int64())], ["doc_id", "n", "name"])
+        sets = [(len(x), name_of(x) if len(x) else None, point_of(x).tobytes()) for x in sets_of(batch["text"])]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array([x[k] for x in sets], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "n", "name", "point"])
 
 
 def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +115,15 @@ def _entries(shared):
                 if name in seen:
                     continue
                 seen.add(name)
-                long, short = n // 4 + 1, n // 7 + 1  # n - ceil(3n/4) + 1 and n - ceil(6n/7) + 1
+                meet = 1 + n // COMMON
+                long, short = n // 4 + meet, n // 7 + meet  # n - ceil(3n/4) and n - ceil(6n/7), and those in common
                 if len(often):
                     hot = often[np.minimum(np.searchsorted(often, items), len(often) - 1)] == items
                     items = np.concatenate([items[~hot], items[hot]])
-                hs.append(items[:long])
-                names.append(np.full(long, name, np.int64))
-                sizes.append(np.full(long, n << 1, np.int64) | (np.arange(long) < short))
+                items = items[:long]
+                hs.append(items)
+                names.append(np.full(len(items), name, np.int64))
+                sizes.append(np.full(len(items), n << 1, np.int64) | (np.arange(len(items)) < short))
             if len(seen) > 200_000:
                 seen.clear()
             if hs:
@@ -166,26 +172,79 @@ def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(sets_of(batch["text"]))
-        yield pa.RecordBatch.from_arrays([batch["name"], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([point_of(x).tobytes() for x in sets], pa.binary())], ["name", "items", "point"])
+        # Another row may share the doc_id, but not the name.
+        same = [i for i, (x, name) in enumerate(zip(sets, batch["name"].to_pylist(), strict=True)) if len(x) and name_of(x) == name]
+        batch, sets = batch.take(pa.array(same, pa.int64())), [sets[i] for i in same]
+        yield pa.RecordBatch.from_arrays([batch["name"], pa.array([x.tobytes() for x in sets], pa.binary())], ["name", "items"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sets link."""
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and points allow a link."""
     for batch in batches:
-        good = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch["items_a"], batch["items_b"], strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            good[i] = np.count_nonzero(both[1:] == both[:-1]) >= need(len(x), len(y))
-        at = pa.array(np.flatnonzero(good))
+        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64) for c in ("point_a", "point_b"))
+        a, b = x.sum(1), y.sum(1)
+        fits = (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) & (np.minimum(x, y).sum(1) >= need(a, b))
+        at = pa.array(np.flatnonzero(fits))
         yield pa.RecordBatch.from_arrays([batch["a"].take(at), batch["b"].take(at)], ["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    first = sets.select(F.col("name").alias("a"), F.col("items").alias("items_a"))
-    second = sets.select(F.col("name").alias("b"), F.col("items").alias("items_b"))
-    return materialise(pairs.join(first, "a").join(second, "b").select("a", "b", "items_a", "items_b").mapInArrow(_verify, "a long, b long"))
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, kind): of each key first the sets (a, items), then the pairs (a, b). Pairs that link come out, but
+    those whose ends are already connected by them."""
+    now, sets, root = None, {}, {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        xs, ys = [], []
+        for key, kind, a, b, items in zip(*(batch[c].to_pylist() for c in ("key", "kind", "a", "b")), batch["items"], strict=True):
+            if key != now:
+                now, sets, root = key, {}, {}
+            if kind == 0:
+                sets[a] = np.frombuffer(items.as_buffer(), np.uint64).copy()
+                continue
+            x, y = find(a), find(b)
+            if x == y:
+                continue
+            both = np.concatenate([sets[a], sets[b]])
+            both.sort(kind="stable")
+            if np.count_nonzero(both[1:] == both[:-1]) >= need(len(sets[a]), len(sets[b])):
+                root[x] = y
+                xs.append(a)
+                ys.append(b)
+        if xs:
+            yield pa.RecordBatch.from_arrays([pa.array(xs), pa.array(ys)], ["a", "b"])
+
+
+def allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    first = classes.select(F.col("name").alias("a"), F.col("point").alias("point_a"))
+    second = classes.select(F.col("name").alias("b"), F.col("point").alias("point_b"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "point_a", "point_b").mapInArrow(_bounded, "a long, b long")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeats: bool, home: DataFrame) -> DataFrame:
+    """Of the pairs those that link: sets are made anew from one text of each class that a pair names.
+
+    Pairs meet their sets by ``home`` (name, place): a set travels once to each pair of places that its pairs name, not once for each pair.
+    """
+    pairs = materialise(pairs)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    readers = classes.join(named, "name").select("name", "doc_id")
+    texts = docs.join(readers, docs["doc_id"].eqNullSafe(readers["doc_id"])).select("name", "text")
+    sets = texts.mapInArrow(_whole_sets, "name long, items binary")
+    sets = materialise(sets.dropDuplicates(["name"]) if repeats else sets)
+    place = lambda c: home.select(F.col("name").alias(c), F.col("place").alias(f"place_{c}"))
+    at = lambda c: F.coalesce(f"place_{c}", c)
+    keyed = pairs.join(place("a"), "a", "left").join(place("b"), "b", "left").select("a", "b", F.xxhash64(F.least(at("a"), at("b")), F.greatest(at("a"), at("b"))).alias("key"))
+    keyed = materialise(keyed)
+    wanted = keyed.select("key", F.explode(F.array("a", "b")).alias("name")).distinct().join(sets, "name")
+    rows = wanted.select("key", F.lit(0).alias("kind"), F.col("name").alias("a"), F.lit(0).cast("long").alias("b"), "items")
+    rows = rows.union(keyed.select("key", F.lit(1), "a", "b", F.lit(None).cast("binary")))
+    spark = docs.sparkSession
+    return materialise(rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "kind", "a").mapInArrow(_verify, "a long, b long"))
 
 
 class Tree:
@@ -218,52 +277,89 @@ class Tree:
         return self.order[nodes]
 
 
-def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each cell (rows sorted by h, i, j) between different components."""
-    held: list[pa.RecordBatch] = []
+def _compatible(n: np.ndarray, short: np.ndarray, comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs of rows of one cell with different components, sizes that may link, and the cell's shingle among the first few of the smaller."""
+    small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+    first = np.where(n[y] < n[x], short[y], np.where(n[y] > n[x], short[x], short[x] | short[y]))
+    return (comp[x] != comp[y]) & (4 * small >= 3 * large) & first
 
-    def solve(table: pa.Table) -> pa.RecordBatch | None:
-        name, size, comp, side = (table[c].to_numpy() for c in ("name", "size", "comp", "side"))
-        points = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint32).reshape(-1, GROUPS)
-        n, short = size >> 1, (size & 1).astype(bool)
-        one_block = (side == 0).all()
-        left, right = (np.arange(len(n)),) * 2 if one_block else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        if not len(right) or (comp == comp[0]).all():
-            return None
+
+def _tree_pairs(points, name, n, short, comp, side) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x, y) of one cell, found by a tree over its points (over the second block's, if it is a pair of blocks)."""
+    one_block = not side.any()
+    left, right = (np.arange(len(n)),) * 2 if one_block else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(right) and len(left) and (comp != comp[0]).any():
         tree = Tree(points[right], n[right])
-        xs, ys = [], []
         for x in left:
             y = right[tree.search(points[x], int(n[x]))]
-            y = y[(comp[y] != comp[x]) & np.where(n[y] < n[x], short[y], np.where(n[y] > n[x], short[x], short[x] | short[y]))]
+            y = y[_compatible(n, short, comp, np.full(len(y), x), y)]
             if one_block:
                 y = y[name[y] > name[x]]
-            xs.append(np.full(len(y), name[x]))
-            ys.append(name[y])
-        a, b = np.concatenate(xs), np.concatenate(ys)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    def cells(table: pa.Table, all_of_it: bool):
-        keys = np.stack([table[c].to_numpy() for c in ("h", "i", "j")])
-        cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-        stops = [*cut, table.num_rows] if all_of_it else list(cut)
-        start = 0
-        for stop in stops:
-            found = solve(table.slice(start, stop - start).combine_chunks())
-            if found is not None and found.num_rows:
-                yield found
-            start = stop
-        return table.slice(start)
+            xs.append(np.full(len(y), x))
+            ys.append(y)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of cells (rows sorted by h, i, j) between different components.
+
+    A cell of one or two leaves needs no tree: all such cells of a batch are compared together.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, i, j, name, size, comp, side = (table[c].to_numpy() for c in ("h", "i", "j", "name", "size", "comp", "side"))
+        points = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint32).reshape(-1, GROUPS)
+        n, short = size >> 1, (size & 1).astype(bool)
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        cell = np.cumsum(new) - 1
+        begin = np.append(np.flatnonzero(new), len(h))
+        wide = np.diff(begin)
+        plain = ((wide <= 2 * LEAF) & (np.add.reduceat(side, begin[:-1]) == 0))[cell]
+        xs, ys = [], []
+        for d in range(1, int(min(wide.max(), 2 * LEAF))):
+            x = np.flatnonzero((cell[d:] == cell[:-d]) & plain[d:])
+            x = x[_compatible(n, short, comp, x, x + d)]
+            xs.append(x)
+            ys.append(x + d)
+        for k in np.unique(cell[~plain]):
+            a, b = begin[k], begin[k + 1]
+            x, y = _tree_pairs(points[a:b], name[a:b], n[a:b], short[a:b], comp[a:b], side[a:b])
+            xs.append(x + a)
+            ys.append(y + a)
+        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (xs, ys))
+        swap = name[x] < name[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        order = np.lexsort((name[y], name[x]))
+        x, y = x[order], y[order]
+        fresh = np.ones(len(x), bool)
+        fresh[1:] = (name[x[1:]] != name[x[:-1]]) | (name[y[1:]] != name[y[:-1]])
+        once = np.flatnonzero(fresh)
+        met = np.diff(np.append(once, len(x)))
+        x, y = x[once], y[once]
+        for k in range(0, len(x), 1 << 16):
+            p, q, m = x[k : k + (1 << 16)], y[k : k + (1 << 16)], met[k : k + (1 << 16)]
+            fits = np.minimum(points[p], points[q]).sum(1) >= need(n[p], n[q])
+            if fits.any():
+                p, q, m = p[fits], q[fits], m[fits]
+                yield pa.RecordBatch.from_arrays([pa.array(name[p]), pa.array(name[q]), pa.array(m.astype(np.int64)), pa.array(1 + np.minimum(n[p], n[q]) // COMMON)], ["a", "b", "met", "least"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        last = [batch[c][batch.num_rows - 1].as_py() for c in ("h", "i", "j")]
         held.append(batch)
-        if [held[0][c][0].as_py() for c in ("h", "i", "j")] != last:
-            rest = yield from cells(pa.Table.from_batches(held), False)
-            held = rest.combine_chunks().to_batches()
+        key = np.stack([batch[c].to_numpy() for c in ("h", "i", "j")])
+        other = (key[:, :-1] != key[:, -1:]).any(0)
+        # What may go on in the next batch is kept: rows of the last key, in this batch or in all held ones.
+        if sum(x.num_rows for x in held) >= BATCH_ROWS and other.any():
+            table = pa.Table.from_batches(held)
+            cut = table.num_rows - batch.num_rows + int(np.flatnonzero(other)[-1]) + 1
+            yield from solve(table.slice(0, cut).combine_chunks())
+            held = table.slice(cut).combine_chunks().to_batches()
     if held:
-        yield from cells(pa.Table.from_batches(held), True)
+        yield from solve(pa.Table.from_batches(held).combine_chunks())
 
 
 def _with_components(cells: DataFrame, links: DataFrame) -> DataFrame:
@@ -280,27 +376,32 @@ def links_between_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
     often = spark.sparkContext.broadcast(frequent(docs, members.count()))
     entries = docs.select("text").mapInArrow(_entries(often), "h long, name long, size long")
     cells = materialise(entries.repartition(partitions(spark), "h").sortWithinPartitions("h", "name").mapInArrow(_shared_runs, "h long, name long, size long, hub long"))
-    involved = cells.select("name").distinct()
-    readers = members.join(involved, "name").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(readers, "doc_id").select("name", "text")
-    sets = materialise(texts.mapInArrow(_whole_sets, "name long, items binary, point binary").dropDuplicates(["name"]))
+    classes = materialise(members.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("point").alias("point")))
+    repeats = not members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     links = None
     rows = cells.withColumn("comp", F.col("name"))
-    tried = None
+    tried = home = None
     for k in range(STAR_ROUNDS):
         if k:
             # The hub is now the smallest class of a component other than the row's own.
             ends = rows.groupBy("h").agg(F.min_by("name", "comp").alias("first"), F.min("comp").alias("lo"), F.max_by("name", "comp").alias("last"))
-            met = rows.join(ends, "h").select("name", F.when(F.col("comp") == F.col("lo"), F.col("last")).otherwise(F.col("first")).alias("hub"))
+            met = rows.join(ends, "h").select("name", "size", F.when(F.col("comp") == F.col("lo"), F.col("last")).otherwise(F.col("first")).alias("hub"))
         else:
-            met = rows.select("name", "hub")
-        best = met.where("name <> hub").groupBy("name", "hub").agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+            met = rows.select("name", "size", "hub")
+        # Half the meetings that a link needs: a hub is not first in all cells that it shares. Pairs left out here are left to the trees.
+        often_met = F.col("n") * 2 >= 1 + F.floor(F.shiftright(F.col("size"), 1) / COMMON)
+        best = met.where("name <> hub").groupBy("name", "hub").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(often_met).groupBy("name").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
         pairs = best.select(F.greatest("name", "hub").alias("a"), F.least("name", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
         tried = pairs if tried is None else tried.union(pairs)
-        found = verified(pairs, sets)
+        if home is None:
+            # Classes with one hub share a place; places of many classes are split by name.
+            sizes = best.groupBy("hub").agg(F.ceil(F.count("*") / CELL_ROWS).alias("parts"))
+            spots = best.join(sizes, "hub").select("name", F.xxhash64("hub", F.pmod(F.xxhash64("name"), "parts")).alias("place"))
+            home = materialise(spots)
+        found = verified(allowed(pairs, classes), classes, docs, repeats, home)
         links = found if links is None else links.union(found)
         rows = _with_components(cells.drop("hub"), links)
     # The trees: all pairs between components that the bounds allow.
@@ -308,15 +409,16 @@ def links_between_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
     dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("h", "name", "size", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    pointed = dealt.join(sets.select("name", "point"), "name")
-    pairs = pointed.repartition(partitions(spark), "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_cell_pairs, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    return links.union(verified(materialise(pairs), sets))
+    pointed = dealt.join(classes.select("name", "point"), "name")
+    pairs = pointed.repartition(partitions(spark), "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_cell_pairs, "a long, b long, met long, least long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    return links.union(verified(pairs, classes, docs, repeats, home))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    members = materialise(docs.mapInArrow(_members, "doc_id long, n long, name long"))
+    members = materialise(docs.mapInArrow(_members, "doc_id long, n long, name long, point binary"))
     roots = components(links_between_classes(docs, members))
     return _classed(members, roots)
 
