@@ -6,8 +6,8 @@ mean over its n-grams of log(target / raw), both smoothed by pseudo-counts in th
 n-grams with little evidence say little; it is kept at ``threshold`` or above. The mean does not
 grow with length, and equal texts always get equal verdicts.
 
-The raw corpus is counted over all documents, the target over at most ``MOST_TRUSTED`` trusted ones, whose ids every task gets, so that no text
-is shuffled. The counts form one vector of ``buckets`` numbers per side: that and those ids are all that reaches the driver.
+Both are counted over all their documents. The target's texts come from a shuffled semi-join of documents and labels (about one time the
+texts on disk, dropped when counted), so that no id list has to fit anywhere. One vector of ``buckets`` numbers per side is all that reaches the driver.
 
 Cases: a null or empty text has no words and fails the base rules; a null doc_id passes through; repeated rows
 get equal rows; labels without a document, null labels and repeated labels (good if any is) have a defined effect: none, none, once.
@@ -27,9 +27,6 @@ from .shared import Prefix, chunks, materialise, shingles, text_arrays, words
 
 #: Hash buckets of the n-grams, pseudo-count of each bucket (n-grams of the raw corpus), and the least mean log ratio (nats per n-gram) of a kept document.
 BUCKETS, PSEUDO, THRESHOLD = 1 << 16, 20.0, -0.12
-#: Trusted documents that the target is counted from: those of smallest hash of doc_id. Their ids are broadcast, eight bytes each.
-MOST_TRUSTED = 500_000
-NO_ID = 2**63 - 1
 #: Fixed values of the base rules.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = b"#*$%&|<>", 8, 20, 30
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
@@ -94,31 +91,28 @@ def base_counts(part: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.n
     }
 
 
-def _counter(buckets: int, trusted_ids):
+def _counter(buckets: int, trusted: bool):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        ids = trusted_ids.value
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             data, offsets = text_arrays(batch["text"])
-            doc = batch["doc_id"].fill_null(NO_ID).to_numpy()
-            trusted = ids[np.minimum(np.searchsorted(ids, doc), len(ids) - 1)] == doc if len(ids) else np.zeros(len(doc), bool)
-            for a, b, _, _, _, _, first, hashes in _analyse(data, offsets):
-                bucket, row = ngram_buckets(hashes, first, buckets)
-                raw += np.bincount(bucket, minlength=buckets)
-                good += np.bincount(bucket[trusted[a:b][row]], minlength=buckets)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(good[at], pa.int64()), pa.array(raw[at], pa.int64())], ["bucket", "good", "raw"])
+            for _, _, _, _, _, _, first, hashes in _analyse(data, offsets):
+                total += np.bincount(ngram_buckets(hashes, first, buckets)[0], minlength=buckets)
+        at = np.flatnonzero(total)
+        n, none = pa.array(total[at], pa.int64()), pa.array(np.zeros(len(at), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *((n, none) if trusted else (none, n))], ["bucket", "good", "raw"])
 
     return count
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log(target / raw) of each bucket, from counts over all documents."""
+    """log(target / raw) of each bucket, from counts over all documents and over all trusted ones."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    ids = np.sort(good.orderBy(F.xxhash64("id"), "id").limit(MOST_TRUSTED).toArrow()["id"].to_numpy())
-    trusted = docs.sparkSession.sparkContext.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.mapInArrow(_counter(buckets, trusted), "bucket long, good long, raw long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("raw").alias("raw")).collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    # Always by a shuffle: the ids grow with the corpus, and hashing those of a partition needs no sort of texts.
+    trusted = texts.where("id is not null and text is not null").join(good.hint("shuffle_hash"), "id", "left_semi")
+    counted = [x.select("text").mapInArrow(_counter(buckets, t), "bucket long, good long, raw long") for x, t in ((texts, False), (trusted, True))]
+    rows = materialise(counted[0].union(counted[1]).groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("raw").alias("raw"))).collect()
     good_n, raw_n = np.zeros(buckets), np.zeros(buckets)
     for r in rows:
         good_n[r["bucket"]], raw_n[r["bucket"]] = r["good"], r["raw"]

@@ -55,6 +55,12 @@ def test_no_trusted_document_and_empty_table(docs, labels):
     assert quality.quality(docs([]), labels([])).count() == quality.drop_bad(docs([]), labels([])).count() == 0
 
 
+def test_target_counts_every_trusted_document(spark):
+    """With all documents trusted both multinomials are one, however many there are (once the target had 500,000 at most)."""
+    docs = spark.range(600_000).selectExpr("id as doc_id", "concat('w', id % 40) as text")
+    assert not quality.log_ratios(docs, docs.selectExpr("doc_id", "1 as quality")).any()
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
