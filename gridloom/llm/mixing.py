@@ -1,12 +1,14 @@
-"""Mixing sources to target weights by Pfair scheduling, in Spark expressions only.
+"""Mixing sources to target weights by Pfair scheduling; rows are handled by Spark expressions only.
 
-Documents of a source form blocks of ``block_docs``. Time is cut into slots, one block each, and a
-frame has ``frame`` slots, of which source s gets the whole number k(s) nearest its target weight (largest
-remainders; one at least). The i-th block of s is released at floor((i-1) * frame / k) and due at
-ceil(i * frame / k); earliest deadline first fills the slots. The schedule repeats after each frame, so one
-frame is computed, by a fold over its slots whose size depends on the parameter alone, and all
-positions of billions of blocks follow from arithmetic and one join with that small table. At each slot
-each source has had less than one block more or less than its share so far.
+Documents of a source form blocks of ``block_docs``. Time is cut into slots, one block each, and slots into frames of ``frame``. Weights are
+whole numbers in 10**12 parts of their sum. Of frame f source s gets k(f, s) slots such that the slots of all frames so far are the exact weight's share rounded
+down or up: what a frame leaves over is carried to the next, where the shares that must be rounded up soonest come first (earliest
+deadline first, frames as slots of that capacity), so a source of any small weight is served as seldom as it asks. In a frame
+the i-th block of s is released at floor((i-1) * frame / k) and due at ceil(i * frame / k); earliest deadline first fills the slots, by a
+fold whose size depends on the parameter alone, one for each different row of k. At each slot of a table of any size each source has had less than two
+blocks more or less than its exact share so far: less than one at the frames' ends and less than one between them.
+
+The driver computes the k: a few numbers for each source and frame. Every task gets these and the slots of each, some 12 bytes for each block of the schedule.
 
 Nothing is dropped: the schedule ends with the slot that serves the last block not yet served, and a source that ends
 sooner is read again from its start (epoch 1, 2, ...), as weights larger than its part of the corpus ask.
@@ -20,6 +22,9 @@ raises an error, since dropping a source must be asked for by a filter. An empty
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,67 +48,92 @@ def _ranked(docs: DataFrame, buckets: int, id_name: str, source_name: str) -> tu
     return keyed, starts
 
 
-def shares(sizes: DataFrame, weights: dict[str, float] | None, frame: int, temper: float) -> DataFrame:
-    """(s, s_null, n, blocks, k): whole slots per frame by largest remainder, at least one; they sum to ``slots``."""
+def target(sizes: DataFrame, weights: dict[str, float] | None, temper: float) -> DataFrame:
+    """sizes with the weight of each source."""
     if weights is None:
-        weighed = sizes.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(temper)))
-    else:
-        pairs = [x for s, w in weights.items() for x in (F.lit(s), F.lit(float(w)))]
-        found = F.element_at(F.create_map(*pairs), F.col("s"))
-        weighed = sizes.withColumn("weight", F.when(found > 0, found).otherwise(F.raise_error(F.concat(F.lit("no target weight for source "), "s")).cast("double")))
-    # One row per source: the number of sources must stay below the frame, and so one task holds them all.
-    everything = Window.partitionBy(F.lit(0))
-    slots = F.greatest(F.lit(frame), 2 * F.count("*").over(everything))
-    exact = weighed.withColumn("slots", slots).withColumn("ideal", F.col("weight") / F.sum("weight").over(everything))
-    # One slot for each source, the rest in proportion, so that even the smallest source is served.
-    exact = exact.withColumn("n_sources", F.count("*").over(everything)).withColumn("want", F.greatest(F.col("ideal") * F.col("slots"), F.lit(1.0)))
-    exact = exact.withColumn("extra", (F.col("want") - 1) / F.greatest(F.sum(F.col("want") - 1).over(everything), F.lit(1e-300)) * (F.col("slots") - F.col("n_sources")))
-    exact = exact.withColumn("whole", F.floor(F.col("extra") + 1e-9))
-    by_rest = Window.partitionBy(F.lit(0)).orderBy(F.round(F.col("whole") - F.col("extra"), 9), "s", "s_null")
-    left = F.col("slots") - F.col("n_sources") - F.sum("whole").over(everything)
-    return exact.withColumn("left", left).withColumn("k", (F.col("whole") + 1 + F.when(F.row_number().over(by_rest) <= F.col("left"), 1).otherwise(0)).cast("long")).select("s", "s_null", "n", "blocks", "k", "slots")
-
-
-def frame_table(share: DataFrame) -> DataFrame:
-    """(s, s_null, turn, slot) of one frame: earliest deadline first over released blocks. Bounded by the frame's length."""
-    gathered = share.groupBy("slots").agg(F.array_sort(F.collect_list(F.struct("s", "s_null", "k"))).alias("sources"))
-    # The state: blocks served so far of each source, and the pick of each slot.
-    fold = """
-      aggregate(sequence(0L, slots - 1),
-        named_struct('served', transform(sources, x -> 0L), 'picks', cast(array() as array<struct<i:int,turn:bigint>>)),
-        (acc, t) -> aggregate(array(array_min(filter(transform(sources, (x, i) ->
-              named_struct('due', cast(ceil((acc.served[i] + 1) * slots / x.k) as bigint), 'free', cast(floor(acc.served[i] * slots / x.k) as bigint), 'i', i)),
+        return sizes.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(temper)))
+    pairs = [x for s, w in weights.items() for x in (F.lit(s), F.lit(float(w)))]
+    found = F.element_at(F.create_map(*pairs), F.col("s"))
+    return sizes.withColumn("weight", F.when(found > 0, found).otherwise(F.raise_error(F.concat(F.lit("no target weight for source "), "s")).cast("double")))
+
+
+def frame_quotas(whole: list[int], slots: int, frames: int) -> Iterator[tuple[list[int], list[int]]]:
+    """For each frame the blocks of each source served before it and in it; the frames' ends keep floor or ceil of the exact share."""
+    total, served = sum(whole), [0] * len(whole)
+    for f in range(1, frames + 1):
+        then, more = [], []
+        for i, w in enumerate(whole):
+            low, rest = divmod(w * slots * f, total)
+            then.append(max(low, served[i]))
+            if rest and then[i] == low:
+                more.append((-(-(low + 1) * total // (w * slots)), -rest, i))
+        for _, _, i in sorted(more)[: slots * f - sum(then)]:
+            then[i] += 1
+        yield served, [b - a for a, b in zip(served, then, strict=True)]
+        served = then
+
+
+def frame_slots(patterns: DataFrame, slots: int) -> DataFrame:
+    """(pattern, i, at): the slots of each source in a frame of the quotas ks: earliest deadline first over released blocks."""
+    # The state: blocks served so far of each source, and the pick of each slot. Whole-number arithmetic: ceil and floor of a quotient without doubles.
+    fold = f"""
+      aggregate(sequence(0L, {slots - 1}L),
+        named_struct('served', transform(ks, x -> 0L), 'picks', cast(array() as array<int>)),
+        (acc, t) -> aggregate(array(array_min(filter(transform(ks, (k, i) -> named_struct(
+              'due', ((acc.served[i] + 1) * {slots}L + k - 1) div greatest(k, 1L), 'free', if(k = 0, {slots}L, (acc.served[i] * {slots}L) div greatest(k, 1L)), 'i', i)),
               c -> c.free <= t))), acc,
             (a, pick) -> if(pick is null, a, named_struct(
               'served', transform(a.served, (n, i) -> if(i = pick.i, n + 1, n)),
-              'picks', concat(a.picks, array(named_struct('i', pick.i, 'turn', a.served[pick.i])))))),
+              'picks', concat(a.picks, array(pick.i))))),
         acc -> acc.picks)"""
-    # Whole-number arithmetic: ceil and floor of a quotient without doubles.
-    fold = fold.replace("cast(ceil((acc.served[i] + 1) * slots / x.k) as bigint)", "((acc.served[i] + 1) * slots + x.k - 1) div x.k").replace("cast(floor(acc.served[i] * slots / x.k) as bigint)", "(acc.served[i] * slots) div x.k")
-    picks = gathered.select("sources", F.posexplode(F.expr(fold)).alias("slot", "pick"))
-    return picks.select(F.expr("sources[pick.i].s").alias("s"), F.expr("sources[pick.i].s_null").alias("s_null"), F.col("pick.turn").alias("turn"), F.col("slot").cast("long").alias("slot"))
+    picked = patterns.select("pattern", "ks", F.expr(fold).alias("picks"))
+    return picked.select("pattern", F.posexplode(F.expr(f"transform(ks, (k, i) -> filter(sequence(0, {slots - 1}), t -> picks[t] = i))")).alias("i", "at"))
+
+
+def _frames(known: list, slots: int) -> tuple[pa.Table, pa.Table, pa.Table]:
+    """Tables of sources, of the sources in each frame, and of the different quotas.
+
+    The picks of a source (its blocks, epoch after epoch) are found by pick div step: a frame has a row for each value its picks have.
+    """
+    mass = sum(r["weight"] for r in known)
+    whole = [max(1, round(r["weight"] / mass * 10**12)) for r in known]
+    total = sum(whole)
+    steps = [max(1, w * slots // total) for w in whole]
+    frames = max((-(-r["blocks"] * total // (w * slots)) for r, w in zip(known, whole, strict=True)), default=0)
+    rows, patterns, picks = [], {}, [0] * len(known)
+    for f, (served, ks) in enumerate(frame_quotas(whole, slots, frames)):
+        pattern = patterns.setdefault(tuple(ks), len(patterns))
+        for i, (start, k) in enumerate(zip(served, ks, strict=True)):
+            picks[i] = start + k
+            rows += [(i, g, pattern, f * slots, start, k) for g in range(start // steps[i], (start + k - 1) // steps[i] + 1) if k]
+    long = lambda names, of: pa.table({n: pa.array([r[j] for r in of], pa.int64()) for j, n in enumerate(names)})
+    sources = long(("i", "blocks", "picks", "step"), [(i, r["blocks"], picks[i], steps[i]) for i, r in enumerate(known)])
+    sources = sources.append_column("s", pa.array([r["s"] for r in known], pa.string())).append_column("s_null", pa.array([r["s_null"] for r in known], pa.bool_()))
+    quotas = pa.table({"pattern": pa.array(list(patterns.values()), pa.int64()), "ks": pa.array([list(ks) for ks in patterns], pa.list_(pa.int64()))})
+    return sources, long(("i", "g", "pattern", "base", "start", "k"), rows), quotas
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, frame: int = FRAME, temper: float = TEMPER, buckets: int = BUCKETS, id_name: str = "doc_id", source_name: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document and epoch: doc_id, source, source_null, block, epoch, slot (long), place (in the block).
 
-    ``carry`` names further columns of docs to keep; they must not clash with these.
+    ``carry`` names further columns of docs to keep; they must not clash with these. The sources are counted at once.
     """
+    spark = docs.sparkSession
     narrow = docs.select(F.col(f"`{id_name}`").cast("long").alias("doc_id"), F.col(f"`{source_name}`").alias("source"), *[F.col(f"`{c}`") for c in carry])
     keyed, starts = _ranked(narrow, buckets, "doc_id", "source")
     within = Window.partitionBy("s", "s_null", "b").orderBy("doc_id")
     ranked = keyed.withColumn("r", F.row_number().over(within) - 1).join(starts.drop("in_bucket"), ["s", "s_null", "b"])
-    sizes = starts.groupBy("s", "s_null").agg(F.sum("in_bucket").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_docs))
-    share = shares(sizes, weights, frame, temper)
-    frames = share.select(F.col("*"), F.max(F.ceil(F.col("blocks") / F.col("k"))).over(Window.partitionBy(F.lit(0))).alias("frames"))
-    placed = ranked.withColumn("rank", F.col("before") + F.col("r")).withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("place", F.pmod("rank", F.lit(block_docs)))
-    served = placed.join(frames.drop("n"), ["s", "s_null"]).where("frames * k > block").withColumn("epoch", F.explode(F.expr("sequence(0L, (frames * k - 1 - block) div blocks)")))
-    pick = served.withColumn("pick", F.col("epoch") * F.col("blocks") + F.col("block")).withColumn("turn", F.expr("pick % k"))
-    table = frame_table(share)
+    known = sorted(target(source_sizes(keyed, block_docs), weights, temper).collect(), key=lambda r: (r["s"], r["s_null"]))
+    slots = max(frame, 2 * len(known))
+    sources, frames, quotas = (spark.createDataFrame(t) for t in _frames(known, slots))
+    table = frames.join(F.broadcast(frame_slots(quotas, slots)), ["pattern", "i"]).drop("pattern")
     # The slot at which a source has been read once; the schedule ends with the latest of them.
-    ends = share.withColumn("turn", (F.col("blocks") - 1) % F.col("k")).join(table, ["s", "s_null", "turn"])
-    last = ends.agg(F.max(F.expr("(blocks - 1) div k") * F.col("slots") + F.col("slot")).alias("last"))
-    out = pick.join(table, ["s", "s_null", "turn"]).withColumn("slot", F.expr("pick div k") * F.col("slots") + F.col("slot"))
+    once = table.join(F.broadcast(sources.select("i", "blocks")), "i").where("start < blocks and blocks <= start + k")
+    last = once.agg(F.max(F.expr("base + get(at, cast(blocks - 1 - start as int))")).alias("last"))
+    placed = ranked.withColumn("rank", F.col("before") + F.col("r")).withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("place", F.pmod("rank", F.lit(block_docs)))
+    served = placed.join(F.broadcast(sources), ["s", "s_null"]).where("picks > block").withColumn("epoch", F.explode(F.expr("sequence(0L, (picks - 1 - block) div blocks)")))
+    pick = served.withColumn("pick", F.col("epoch") * F.col("blocks") + F.col("block")).withColumn("g", F.expr("pick div step"))
+    out = pick.join(F.broadcast(table), ["i", "g"]).where("start <= pick and pick < start + k").withColumn("slot", F.expr("base + get(at, cast(pick - start as int))"))
     out = out.crossJoin(F.broadcast(last)).where("slot <= last")  # one row
     return out.select("doc_id", F.col("s").alias("source"), F.col("s_null").alias("source_null"), "block", "epoch", "slot", "place", *[F.col(f"`{c}`") for c in carry])
 

@@ -41,6 +41,32 @@ def test_deviation_stays_below_one_block(spark, weights, frame):
         assert seen == sorted(seen)
 
 
+def test_deviation_from_target_weights_does_not_grow(spark):
+    """A hot and a tiny source over some thirty frames: less than two blocks off the exact share at each slot."""
+    weights = {"hot": 0.90037, "mid": 0.0994, "tiny": 0.00023}
+    out = mixing.schedule(sources(spark, {"hot": 2700, "mid": 290, "tiny": 1}), weights, block_docs=1, frame=100)
+    order = [r["source"] for r in out.select("slot", "source").orderBy("slot").collect()]
+    assert len(order) > 2900
+    for s, w in weights.items():
+        had = 0
+        for t, x in enumerate(order, 1):
+            had += x == s
+            assert abs(had - w / sum(weights.values()) * t) < 2, (s, t)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_quotas_round_the_exact_share(seed):
+    import random
+
+    rng = random.Random(seed)
+    whole = [rng.choice([1, 3, 10**4, 10**6, 10**9]) * rng.randint(1, 99) for _ in range(rng.randint(1, 12))]
+    total = sum(whole)
+    for f, (before, ks) in enumerate(mixing.frame_quotas(whole, 50, 400), 1):
+        assert min(ks) >= 0 and sum(ks) == 50
+        for w, a, k in zip(whole, before, ks, strict=True):
+            assert w * 50 * f // total <= a + k <= -(-w * 50 * f // total)
+
+
 def test_missing_weight_and_empty(spark):
     assert mixing.schedule(sources(spark, {"a": 1}).where("false")).count() == 0
     with pytest.raises(Exception, match="no target weight"):
