@@ -338,6 +338,20 @@ def sim_euclid(spark, sf_dir):
     return near.where(F.abs(d - 5.0) > 1e-6).select("i", "j", "similarity")
 
 
+def _whole_similarity(how: str):
+    """Every vector whose id 20 divides, with all others of the table."""
+
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+        return graph.similarity_matrix(rows.where("id % 20 = 0"), rows, how, 5.0).withColumn("similarity", F.bround("similarity", 5))
+
+    return run
+
+
+for _how in ("dot", "cos", "euclid"):
+    query(f"sim_{_how}_whole")(_whole_similarity(_how))
+
+
 MASKED = CELLS + f", k AS (SELECT src, dst, w, src = dst OR (src <> dst AND row_number() OVER (PARTITION BY src = dst ORDER BY {DRAW}, src, dst) <= CAST(floor((SELECT count(*) FROM c) * 0.3) AS BIGINT)) AS masked FROM c)"
 
 

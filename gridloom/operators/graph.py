@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,6 +227,45 @@ def similarity(pairs: DataFrame, how: str = "dot", threshold: float = 0.0) -> Da
     return pairs.withColumn("similarity", value)
 
 
+def _packed(batches, block: int = 1024):
+    """Rows of (ids, matrix) with at most ``block`` vectors each, as bytes."""
+    for batch in batches:
+        ids, vectors = batch["id"].to_numpy(zero_copy_only=False), batch["v"]
+        for k in range(0, len(ids), block):
+            part = np.array(vectors.slice(k, block).to_pylist(), np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k : k + block].astype(np.int64).tobytes()], pa.binary()), pa.array([part.tobytes()], pa.binary())], ["ids", "matrix"])
+
+
+def _compared(how: str, threshold: float):
+    def compare(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                i, j = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["other_ids"], np.int64)
+                a, b = (np.frombuffer(r[c], np.float64).reshape(n, -1) for c, n in (("matrix", len(i)), ("other_matrix", len(j))))
+                value = a @ b.T
+                if how == "cos":
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        value = value / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+                elif how == "euclid":
+                    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * value
+                    value = (np.sqrt(np.maximum(square, 0)) <= threshold).astype(np.float64)
+                other = i[:, None] != j[None]
+                x, y = np.nonzero(other)
+                yield pa.RecordBatch.from_arrays([pa.array(i[x]), pa.array(j[y]), pa.array(value[other])], ["i", "j", "similarity"])
+
+    return compare
+
+
+def similarity_matrix(queries: DataFrame, vectors: DataFrame, how: str = "dot", threshold: float = 0.0) -> DataFrame:
+    """(i, j, similarity) of each query (id, v) with all vectors (id, v) of other id, as products of blocks; null vectors have none."""
+    if how not in ("dot", "cos", "euclid"):
+        raise ValueError(how)
+    pack = lambda df: df.select(F.col("id").cast("long").alias("id"), "v").where("v is not null").mapInArrow(_packed, "ids binary, matrix binary")
+    # A bounded number of parts of the queries, since each meets each part of the vectors in a task.
+    blocks = pack(queries.coalesce(8)).crossJoin(pack(vectors).toDF("other_ids", "other_matrix").hint("shuffle_replicate_nl"))
+    return blocks.mapInArrow(_compared(how, threshold), "i long, j long, similarity double")
+
+
 def bilinear(edges: DataFrame, theta: DataFrame, phi: DataFrame) -> DataFrame:
     """(src, dst, likelihood): theta(id, k, p) and phi(k, l, p) of each edge's ends."""
     left = edges.join(theta.select(F.col("id").alias("src"), "k", F.col("p").alias("ps")), "src")
