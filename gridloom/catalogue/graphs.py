@@ -274,9 +274,14 @@ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT DISTINCT a AS id, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON r.id = u.a)
 SELECT id, min(c) AS component FROM r GROUP BY id""",
 )
-def net_components(spark, sf_dir):
-    rare = table(spark, sf_dir, "lineitem").where("l_quantity <= 2 and l_discount < 0.03").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 10_000_000_000).alias("dst")).distinct()
-    return graph.components(rare)
+def net_components(spark, sf_dir, where: str = "l_quantity <= 2 and l_discount < 0.03"):
+    edges = table(spark, sf_dir, "lineitem").where(where).select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 10_000_000_000).alias("dst")).distinct()
+    return graph.components(edges)
+
+
+@query("net_components_whole")
+def net_components_whole(spark, sf_dir):
+    return net_components(spark, sf_dir, "true")
 
 
 @query(

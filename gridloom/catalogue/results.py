@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import results
-from . import query, table
+from . import query, sql, table
 
 EVENTS = "WITH e AS (SELECT event_id, user_id, user_id % 10 AS x, event_type AS y, CAST(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) % 5 AS BIGINT) AS rep, value, ts FROM events)"
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -46,11 +46,16 @@ def table_merge(spark, sf_dir):
     EVENTS + """, b AS (SELECT user_id % 50 AS u, y, rep, value FROM e WHERE event_id % 7 < 5)
 SELECT u, y, rep, round_even(v, 6) AS value FROM (SELECT * FROM (SELECT DISTINCT u FROM b), (SELECT DISTINCT y FROM b), (SELECT DISTINCT rep FROM b)) LEFT JOIN (SELECT u, y, rep, avg(value) AS v FROM b GROUP BY ALL) USING (u, y, rep)""",
 )
-def cube_nd(spark, sf_dir):
-    b = events(spark, sf_dir).where("event_id % 7 < 5").withColumn("u", F.col("user_id") % 50)
+def cube_nd(spark, sf_dir, where: str = "event_id % 7 < 5"):
+    b = events(spark, sf_dir).where(where).withColumn("u", F.col("user_id") % 50)
     return results.cube(b, ["u", "y", "rep"], "value").select("u", "y", "rep", F.bround("value", 6).alias("value"))
 
 
+@query("cube_nd_whole", sql("cube_nd").replace(" WHERE event_id % 7 < 5", ""))
+def cube_nd_whole(spark, sf_dir):
+    return cube_nd(spark, sf_dir, "true")
+
+
 STEPS = EVENTS + ", l AS (SELECT user_id AS run, y AS measure, row_number() OVER (PARTITION BY user_id, y ORDER BY ts, event_id) - 1 AS it, value FROM e)"
 
 

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from ..operators.lineage import shared_folder
 from ..sources import graphs, logs, tables
 from ..streaming import logs as live
-from . import query, table
+from . import query, sql, table
 from .results import STEPS, log
 
 LINE = "SELECT l_orderkey % 500 AS i, l_partkey % 500 AS j, CAST(l_linenumber AS BIGINT) AS w FROM lineitem WHERE l_quantity <= 10"
 MOVED = f"WITH e AS ({LINE}), lo AS (SELECT least(min(i), min(j)) AS lo FROM e)"
 
 
-def _pairs(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_quantity <= 10").select((F.col("l_orderkey") % 500).alias("i"), (F.col("l_partkey") % 500).alias("j"), F.col("l_linenumber").cast("long").alias("w"))
+def _pairs(spark, sf_dir, where: str = "l_quantity <= 10") -> DataFrame:
+    return table(spark, sf_dir, "lineitem").where(where).select((F.col("l_orderkey") % 500).alias("i"), (F.col("l_partkey") % 500).alias("j"), F.col("l_linenumber").cast("long").alias("w"))
 
 
 def _file(spark, lines: DataFrame) -> str:
@@ -28,25 +28,25 @@ def _file(spark, lines: DataFrame) -> str:
 
 
 @query("edges_tnet2", MOVED + " SELECT i - lo AS src, j - lo AS dst, count(*) AS w FROM e, lo GROUP BY ALL")
-def edges_tnet2(spark, sf_dir):
-    return graphs.read_tnet(spark, _file(spark, _pairs(spark, sf_dir).select(F.concat_ws(" ", "i", "j"))))
+def edges_tnet2(spark, sf_dir, pairs=_pairs):
+    return graphs.read_tnet(spark, _file(spark, pairs(spark, sf_dir).select(F.concat_ws(" ", "i", "j"))))
 
 
 @query("edges_tnet5", MOVED + " SELECT i - lo AS src, j - lo AS dst, CAST(sum(w) AS BIGINT) AS w FROM e, lo GROUP BY ALL")
-def edges_tnet5(spark, sf_dir):
-    return graphs.read_tnet(spark, _file(spark, _pairs(spark, sf_dir).select(F.concat(F.lit('"2004-04-15 07:56:00" '), F.concat_ws(" ", "i", "j", "w")))))
+def edges_tnet5(spark, sf_dir, pairs=_pairs):
+    return graphs.read_tnet(spark, _file(spark, pairs(spark, sf_dir).select(F.concat(F.lit('"2004-04-15 07:56:00" '), F.concat_ws(" ", "i", "j", "w")))))
 
 
 @query("edges_csv", MOVED + " SELECT i - lo AS src, j - lo AS dst, count(*) AS w FROM e, lo GROUP BY ALL")
-def edges_csv(spark, sf_dir):
+def edges_csv(spark, sf_dir, pairs=_pairs):
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    _pairs(spark, sf_dir).write.csv(path, sep=";", header=True)
+    pairs(spark, sf_dir).write.csv(path, sep=";", header=True)
     return graphs.read_csv(spark, path)
 
 
 @query("edges_attributed", f"WITH e AS ({LINE}) SELECT i AS src, j AS dst, count(*) AS w FROM e GROUP BY ALL")
-def edges_attributed(spark, sf_dir):
-    e = _pairs(spark, sf_dir)
+def edges_attributed(spark, sf_dir, pairs=_pairs):
+    e = pairs(spark, sf_dir)
     lines = e.select(F.concat_ws(";", "i", "j").alias("value")).union(e.select(F.concat(F.col("i").cast("string"), F.lit(";0.5|1.5;3"))).distinct())
     edges, _ = graphs.read_attributed(spark, _file(spark, lines))
     return edges
@@ -60,12 +60,20 @@ def vertices_attributed(spark, sf_dir):
 
 
 @query("edges_dat", f"WITH e AS ({LINE}) SELECT i AS src, j AS dst, CAST(sum(w) AS BIGINT) AS w FROM e GROUP BY ALL")
-def edges_dat(spark, sf_dir):
+def edges_dat(spark, sf_dir, pairs=_pairs):
     body = F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(" ", "i", "j", "w"))))
-    parts = _pairs(spark, sf_dir).groupBy((F.col("i") % 4).alias("part")).agg(body.alias("body"))
+    parts = pairs(spark, sf_dir).groupBy((F.col("i") % 4).alias("part")).agg(body.alias("body"))
     return graphs.read_dat(spark, _file(spark, parts.select(F.concat(F.lit("ROW LABELS:\na\nb\nDATA\n"), "body"))))
 
 
+def _whole(f):
+    return lambda spark, sf_dir: f(spark, sf_dir, lambda *a: _pairs(*a, "true"))
+
+
+for _f in (edges_tnet2, edges_tnet5, edges_csv, edges_attributed, edges_dat):
+    query(f"{_f.__name__}_whole", sql(_f.__name__).replace(" WHERE l_quantity <= 10", ""))(_whole(_f))
+
+
 @query("edges_generated", "SELECT a.i AS src, b.i AS dst, CAST(1 AS BIGINT) AS w FROM range(40) a(i), range(40) b(i) WHERE a.i // 5 = b.i // 5")
 def edges_generated(spark, sf_dir):
     return graphs.load(spark, "clique2", n=40, block=5)
@@ -131,12 +139,17 @@ def tail_lines(spark, sf_dir):
 
 
 @query("triplets", "SELECT o_orderkey % 50 AS doc_id, l_partkey % 40 AS term_id, CAST(l_linenumber AS INT) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity <= 3")
-def triplets(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity <= 3").select(F.concat_ws(" ", F.col("l_orderkey") % 50 + 1, F.col("l_partkey") % 40 + 1, "l_linenumber").alias("x"))
+def triplets(spark, sf_dir, where: str = "l_quantity <= 3"):
+    rows = table(spark, sf_dir, "lineitem").where(where).select(F.concat_ws(" ", F.col("l_orderkey") % 50 + 1, F.col("l_partkey") % 40 + 1, "l_linenumber").alias("x"))
     body = rows.agg(F.concat(F.lit("50\n40\n99\n"), F.concat_ws("\n", F.collect_list("x"))))
     return tables.read_triplets(spark, _file(spark, body))
 
 
+@query("triplets_whole", sql("triplets").replace(" WHERE l_quantity <= 3", ""))
+def triplets_whole(spark, sf_dir):
+    return triplets(spark, sf_dir, "true")
+
+
 @query("cached_table", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
 def cached_table(spark, sf_dir):
     path = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"

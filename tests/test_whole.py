@@ -1,10 +1,15 @@
 """Queries over whole tables against brute force."""
 
+import os
+
 import numpy as np
 import pytest
 
 from gridloom import catalogue
 
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
+
 
 @pytest.mark.parametrize("how", ["dot", "cos", "euclid"])
 def test_similarities_reach_all_rows(spark, tmp_path, how):
@@ -18,3 +23,39 @@ def test_similarities_reach_all_rows(spark, tmp_path, how):
         a, b = vectors[i].astype(float), vectors[j].astype(float)
         want = {"dot": a @ b, "cos": a @ b / np.sqrt((a @ a) * (b @ b)), "euclid": float(np.linalg.norm(a - b) <= 5)}[how]
         assert value == pytest.approx(want, abs=2e-5)
+
+
+@needs_tables
+def test_components_of_every_row(spark):
+    rows = [(r[0], r[1] + 10_000_000_000) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
+    root = {x: x for row in rows for x in row}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in rows:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r["id"]: r["component"] for r in catalogue.queries()["net_components_whole"](spark, SF).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["tnet2", "tnet5", "csv", "attributed", "dat"])
+def test_edges_of_every_row(spark, name):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("count(*) as n", "sum(l_linenumber) as w").first()
+    total = catalogue.queries()[f"edges_{name}_whole"](spark, SF).selectExpr("sum(w)").first()[0]
+    assert total == (lines["w"] if name in ("tnet5", "dat") else lines["n"])
+
+
+@needs_tables
+def test_triplets_and_cube_of_every_row(spark):
+    assert catalogue.queries()["triplets_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    means = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id % 50 as u", "event_type as y", "datediff(to_date(ts), date'2000-01-01') % 5 as rep", "value").collect():
+        means.setdefault(tuple(r)[:3], []).append(r["value"])
+    got = {(r["u"], r["y"], r["rep"]): r["value"] for r in catalogue.queries()["cube_nd_whole"](spark, SF).collect()}
+    assert len(got) == np.prod([len({k[i] for k in means}) for i in range(3)])
+    assert all(v is None if k not in means else v == pytest.approx(np.mean(means[k]), abs=2e-6) for k, v in got.items())
