@@ -84,7 +84,7 @@ def point_of(items: np.ndarray) -> np.ndarray:
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [(len(x), name_of(x) if len(x) else None, point_of(x).tobytes()) for x in sets_of(batch["text"])]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array([x[k] for x in sets], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "n", "name", "point"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tag"], *[pa.array([x[k] for x in sets], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "tag", "n", "name", "point"])
 
 
 def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,12 +415,21 @@ def links_between_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
     return links.union(verified(pairs, classes, docs, repeats, home))
 
 
+def _tag():
+    """With the id it tells a row: a row's text as a number."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, tag, n, name, point) of the documents, and the components of their classes."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    members = materialise(docs.withColumn("tag", _tag()).mapInArrow(_members, "doc_id long, tag long, n long, name long, point binary"))
+    return members, components(links_between_classes(docs, members))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    members = materialise(docs.mapInArrow(_members, "doc_id long, n long, name long, point binary"))
-    roots = components(links_between_classes(docs, members))
-    return _classed(members, roots)
+    return _classed(*_joined(docs))
 
 
 def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -430,7 +439,14 @@ def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, that of the smallest doc_id; all columns of docs are kept."""
-    lost = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("lost_id"))
-    name = plain_name(docs, "lost_id")
-    return docs.join(lost.distinct().withColumnRenamed("lost_id", name), F.col("doc_id") == F.col(name), "left_anti")
+    """One document of each component stays, that of the smallest doc_id (null is the largest; then by text); all columns of docs are kept.
+
+    Rows are lost by id and text, so other texts of a lost row's id stay; rows equal in both stay or go together.
+    """
+    members, roots = _joined(docs)
+    rooted = members.join(roots.withColumnRenamed("id", "name"), "name", "left").select("doc_id", "tag", F.coalesce("root", "name").alias("root")).where("root is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    first = rooted.groupBy("root").agg(F.min(order).alias("first"))
+    lost = rooted.join(first, "root").where(~order.eqNullSafe(F.col("first"))).select("doc_id", "tag").distinct()
+    lost_id, lost_tag = plain_name(docs, "lost_id"), plain_name(docs, "lost_tag")
+    return docs.join(lost.toDF(lost_id, lost_tag), F.col("doc_id").cast("long").eqNullSafe(F.col(lost_id)) & (_tag() == F.col(lost_tag)), "left_anti")

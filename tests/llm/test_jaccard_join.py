@@ -80,6 +80,13 @@ def test_empty_and_repeated(docs):
     assert jaccard_join.drop_near_copies(docs(rows[:1] + [(7, "A B c d e f g")])).count() == 1
 
 
+def test_only_the_near_copy_of_an_id_is_dropped(docs):
+    """Other texts of its id stay; a null id loses to any other, and one row of null ids stays."""
+    rows = [(4, "a b c d e f g"), (7, "A b c d e f g"), (7, "other words entirely"), (None, "a b c d e f G"), (None, "p q r s t u"), (None, "P q r s t u"), (None, "x y"), (8, None), (None, None)]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.drop_near_copies(docs(rows)).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [rows[0], rows[2], *rows[6:], next(k for k in kept if k in rows[4:6])]))
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_tree_finds_every_pair_that_its_bounds_allow(seed):
     rng = np.random.default_rng(seed)
