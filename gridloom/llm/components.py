@@ -16,6 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     Stars are joined to their smallest neighbour by a hash aggregate and a join, never gathered in one task.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    if now.isEmpty():
+        return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
     before = None
     for _ in range(MOST_ROUNDS):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -3,20 +3,20 @@
 A document's set is its distinct shingles of five lower-cased words. Equal sets form one class. Two classes link when
 100 * |intersection| >= 75 * |union|.
 
-Trees. Shingles are hashed into ``GROUPS`` groups; a class is the point of its group counts. The sum over groups of the smaller
-of two counts bounds an intersection from above, and so does the sum of the smaller of a point's counts and a tree node's largest
-counts for all points below it. A node whose bound stays under the overlap that the sizes ask for is skipped with all below it.
+Places. One tree over all points prunes little, for unrelated texts are about equally far apart in many dimensions (README has figures). The classes are therefore
+first divided into places that no link crosses. Order all shingles, those found often in a sample of documents last. Two neighbours of a set in that order are a couple of it.
+Linking sets of sizes a and b hold i >= 3(a+b)/7 shingles in common; each of the other a+b-2i breaks at most one couple of the
+common ones, so the sets have 3i-a-b-1 couples in common at least, and meet in the first floor(n/2)+1 couples of each. Places are the components of the classes that meet
+so. The sample only steers the order: any order gives the same links, and a passage that many documents share rarely makes them meet.
 
-Cells. One tree over all points prunes little, for unrelated texts are about equally far apart in many dimensions. The forest therefore has
-a tree for each cell: the classes that hold one shingle among the first few of a fixed order. Any two linking classes of sizes a <= b share
-one of the first a - ceil(6a/7) + 1 shingles of the smaller and the first b - ceil(3b/4) + 1 of the larger, so no link is lost.
-In that order shingles found often in a sample of documents come last, hence passages that many documents share rarely make cells; the sample only
-steers the order, and any order gives the same links.
+Trees. Shingles are hashed into ``GROUPS`` groups; a class is the point of its group counts. The sum over groups of the smaller
+of two counts bounds an intersection from above, and so does the sum of the smaller of two tree nodes' largest counts for all pairs of points below them. An R-tree over
+each place's points is joined with itself from the root down: pairs of nodes whose bound stays under the least overlap that their sizes ask for are skipped with all below them.
+The surviving pairs are verified on the shingles themselves, as bit sets.
 
-Rounds. First each class meets the smallest class of its cells (its likeliest partner), if the bound of their points allows a link; the
-links found join classes to components. Then, in cells that still hold several components, the trees give all pairs between different components that their bounds allow, and
-these are verified on the shingles themselves. Components are all that is returned, so pairs inside one need no check. A cell with more than ``CELL_ROWS`` classes
-is dealt out as pairs of blocks.
+Hot places. A set travels to its place once. A place of more than ``PLACE_ROWS`` classes or ``PLACE_SHINGLES`` shingles is dealt out as pairs of blocks, each a task's work. A task
+returns one row for each class, with its links and the first class that links connect it with: pairs never leave it. A shingle couple that many
+classes hold is joined within each block of the input first, so it sends one row per block.
 
 Cases: null and empty texts have empty sets and link with nothing; fewer than five words make one shingle of the whole sequence. Rows with equal doc_id
 are documents of their own with one identity; a null doc_id is never a component's name unless all its ids are null. Texts may be of any length.
@@ -33,18 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Prefix, chunks, lower, materialise, mix, partitions, plain_name, shingles, text_arrays, words
-
-#: Words of a shingle, coordinates of a point, points of a leaf, classes of a cell that one task takes whole.
-WORDS, GROUPS, LEAF, CELL_ROWS = 5, 64, 16, 4096
-#: A pair of classes must meet in one cell, and one more for each so many shingles of the smaller.
-COMMON = 16
-#: Rows of cells that a task compares together.
-BATCH_ROWS = 20_000
-#: Documents sampled (about) to learn which shingles are frequent, and sampled documents that make one frequent.
-SAMPLED, OFTEN = 20_000, 16
-#: Rounds in which classes meet only the smallest class of their cells.
-STAR_ROUNDS = 2
+from .shared import chunks, lower, materialise, mix, partitions, plain_name, shingles, text_arrays, word_hashes, words
+
+#: Words of a shingle, coordinates of a point, children of a tree node.
+WORDS, GROUPS, LEAF = 5, 64, 16
+#: Classes and shingles of a place, or of a block of it, that one task compares. These decide who does the work, not what is compared.
+PLACE_ROWS, PLACE_SHINGLES = 4096, 2_000_000
+#: Couples that a task joins before sending them on, pairs and shingles that it verifies at a time.
+BLOCK_COUPLES, PAIRS, COLUMNS = 1_000_000, 1 << 16, 1 << 14
+#: Documents sampled (a share, and at least so many) to learn which shingles are frequent, sampled documents that make one frequent, and the most of these kept (32 MB).
+SAMPLE_SHARE, SAMPLED, OFTEN, MOST_OFTEN = 1 / 16, 20_000, 16, 4_000_000
 _U = np.uint64
 
 
@@ -59,7 +57,7 @@ def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
     for a, b in chunks(offsets):
         part, at = lower(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
         starts, ends, first = words(part, at)
-        hashes = Prefix(part).hash(starts, ends)
+        hashes = word_hashes(part, starts, ends)
         grams = shingles(hashes, WORDS)
         for i in range(b - a):
             lo, hi = first[i], first[i + 1]
@@ -77,16 +75,6 @@ def name_of(items: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def point_of(items: np.ndarray) -> np.ndarray:
-    return np.bincount((items >> _U(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [(len(x), name_of(x) if len(x) else None, point_of(x).tobytes()) for x in sets_of(batch["text"])]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tag"], *[pa.array([x[k] for x in sets], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "tag", "n", "name", "point"])
-
-
 def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = list(sets_of(batch["text"]))
@@ -94,325 +82,260 @@ def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
 
-def frequent(docs: DataFrame, total: int) -> np.ndarray:
-    """Sorted hashes of shingles that ``OFTEN`` sampled documents hold: at most the sample's shingles / OFTEN."""
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of shingles that ``OFTEN`` sampled documents hold (the most frequent ``MOST_OFTEN``)."""
     draw = F.pmod(F.xxhash64("doc_id", F.lit("frequent")), F.lit(1 << 30))
-    sample = docs.where(draw < int(min(1.0, SAMPLED / max(total, 1)) * (1 << 30)))
-    found = sample.select("text").mapInArrow(_shingle_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).select("h").toArrow()["h"]
-    return np.sort(found.to_numpy().view(np.uint64))
+    sample = docs.where(draw < int(min(1.0, max(SAMPLE_SHARE, SAMPLED / max(docs.count(), 1))) * (1 << 30)))
+    found = sample.select("text").mapInArrow(_shingle_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    return np.sort(found.orderBy(F.desc("n"), "h").limit(MOST_OFTEN).select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
 
-def _entries(shared):
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen = shared.value, set()
-        for batch in batches:
-            hs, names, sizes = [], [], []
-            for items in sets_of(batch["text"]):
-                n = len(items)
-                if not n:
-                    continue
-                name = name_of(items)
-                if name in seen:
-                    continue
-                seen.add(name)
-                meet = 1 + n // COMMON
-                long, short = n // 4 + meet, n // 7 + meet  # n - ceil(3n/4) and n - ceil(6n/7), and those in common
-                if len(often):
-                    hot = often[np.minimum(np.searchsorted(often, items), len(often) - 1)] == items
-                    items = np.concatenate([items[~hot], items[hot]])
-                items = items[:long]
-                hs.append(items)
-                names.append(np.full(len(items), name, np.int64))
-                sizes.append(np.full(len(items), n << 1, np.int64) | (np.arange(len(items)) < short))
-            if len(seen) > 200_000:
-                seen.clear()
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes))], ["h", "name", "size"])
+def couples(items: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Hashes of the first floor(n/2) + 1 couples of neighbours, shingles of ``often`` last."""
+    if len(often):
+        hot = often[np.minimum(np.searchsorted(often, items), len(often) - 1)] == items
+        items = np.concatenate([items[~hot], items[hot]])
+    n = min(len(items) - 1, len(items) // 2 + 1)
+    return mix(items[:n] * _U(0x9E3779B97F4A7C15) + items[1 : n + 1])
 
-    return entries
 
+#: kind 0: a couple and a class that holds it. kind 1: two classes that meet. kind 2: a document (doc_id, tag, n) and its class.
+ENTRY = "kind int, h long, name long, doc binary"
+MET = "kind int, name long, hub long, doc binary"
 
-def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, name): those whose h has several names, with the run's first name as hub. One row is held back."""
-    last_h = last_name = hub = None
-    held = None  # the run's first row while it is alone
 
-    def out(h, name, size, hub):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, name, size, hub)], ["h", "name", "size", "hub"])
+def _entry(kind: int, h: np.ndarray, name: np.ndarray, doc: list[bytes] | None = None) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(name), pa.array(doc, pa.binary()) if doc else pa.nulls(len(h), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "h", "name", "doc"])
 
-    for batch in batches:
-        h, name, size = (batch[c].to_numpy() for c in ("h", "name", "size"))
-        if not len(h):
-            continue
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (name[1:] != name[:-1])
-        fresh[0] = last_h is None or h[0] != last_h or name[0] != last_name
-        h, name, size = h[fresh], name[fresh], size[fresh]
-        if not len(h):
-            continue
-        if held is not None:
-            h, name, size = np.append(held[0], h), np.append(held[1], name), np.append(held[2], size)
-        begins = np.ones(len(h), bool)
-        begins[1:] = h[1:] != h[:-1]
-        goes_on = held is None and last_h is not None and h[0] == last_h  # rows of this run went out before
-        if goes_on:
-            begins[0] = False
-        index = np.flatnonzero(begins)
-        run = np.cumsum(begins) - 1
-        hubs = np.where(run >= 0, name[index[np.maximum(run, 0)]] if len(index) else 0, hub if hub is not None else 0)
-        ends = np.append(begins[1:], True)
-        alone = begins & ends
-        held = (h[-1:], name[-1:], size[-1:]) if alone[-1] else None
-        last_h, last_name, hub = h[-1], name[-1], hubs[-1]
-        keep = ~alone
-        if keep.any():
-            yield out(h[keep], name[keep], size[keep], hubs[keep])
 
+def _runs(h: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by h: whether a row begins a run, and the first name of its run."""
+    begins = np.ones(len(h), bool)
+    begins[1:] = h[1:] != h[:-1]
+    return begins, name[np.maximum.accumulate(np.where(begins, np.arange(len(h)), 0))]
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = list(sets_of(batch["text"]))
-        # Another row may share the doc_id, but not the name.
-        same = [i for i, (x, name) in enumerate(zip(sets, batch["name"].to_pylist(), strict=True)) if len(x) and name_of(x) == name]
-        batch, sets = batch.take(pa.array(same, pa.int64())), [sets[i] for i in same]
-        yield pa.RecordBatch.from_arrays([batch["name"], pa.array([x.tobytes() for x in sets], pa.binary())], ["name", "items"])
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of different numbers."""
+    a, b = a[a != b], b[a != b]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[fresh], b[fresh]
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sizes and points allow a link."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64) for c in ("point_a", "point_b"))
-        a, b = x.sum(1), y.sum(1)
-        fits = (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) & (np.minimum(x, y).sum(1) >= need(a, b))
-        at = pa.array(np.flatnonzero(fits))
-        yield pa.RecordBatch.from_arrays([batch["a"].take(at), batch["b"].take(at)], ["a", "b"])
+
+def _entries(shared):
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, held, seen, n = shared.value, [], set(), 0
+
+        def flush():
+            h, name = np.concatenate([x for x, _ in held]).view(np.int64), np.repeat(np.array([k for _, k in held], np.int64), [len(x) for x, _ in held])
+            order = np.argsort(h, kind="stable")
+            h, name = h[order], name[order]
+            begins, hub = _runs(h, name)
+            yield _entry(0, h[begins], name[begins])
+            one, two = _distinct(name[~begins], hub[~begins])
+            if len(one):
+                yield _entry(1, one, two)
+
+        for batch in batches:
+            names, docs = [], []
+            for items, doc, tag in zip(sets_of(batch["text"]), batch["doc_id"].to_pylist(), batch["tag"].to_pylist(), strict=True):
+                name = name_of(items) if len(items) else None
+                names.append(name)
+                docs.append(np.array([doc is None, doc or 0, tag, len(items)], np.int64).tobytes())
+                if len(items) > 1 and name not in seen:
+                    seen.add(name)
+                    held.append((couples(items, often), name))
+                    n += len(held[-1][0])
+                    if n >= BLOCK_COUPLES:
+                        yield from flush()
+                        held, seen, n = [], set(), 0
+            # Documents travel with the couples so that the texts are read once; any key does for them.
+            row = np.frombuffer(b"".join(docs), np.int64).reshape(-1, 4)
+            yield _entry(2, row[:, 1] ^ row[:, 2], pa.array(names, pa.int64()), docs)
+        if held:
+            yield from flush()
+
+    return entries
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, kind): of each key first the sets (a, items), then the pairs (a, b). Pairs that link come out, but
-    those whose ends are already connected by them."""
-    now, sets, root = None, {}, {}
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (kind, h): the classes of a couple meet its first one; other rows pass."""
+    last: tuple | None = None  # couple and first class of the run that may go on
+    for batch in batches:
+        kind = batch["kind"].to_numpy()
+        for k in (1, 2):
+            if (kind == k).any():
+                rest = batch.filter(pa.array(kind == k))
+                yield pa.RecordBatch.from_arrays([rest["kind"], rest["name"], rest["h"], rest["doc"]], ["kind", "name", "hub", "doc"])
+        h, name = (batch[c].filter(pa.array(kind == 0)).to_numpy() for c in ("h", "name"))
+        if len(h):
+            _, hub = _runs(h, name)
+            if last is not None and h[0] == last[0]:
+                hub[h == h[0]] = last[1]
+            last = h[-1], hub[-1]
+            one, two = _distinct(name, hub)
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(one), np.int32)), pa.array(one), pa.array(two), pa.nulls(len(one), pa.binary())], ["kind", "name", "hub", "doc"])
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        none, doc, tag, n = np.frombuffer(b"".join(batch["doc"].to_pylist()), np.int64).reshape(-1, 4).T
+        yield pa.RecordBatch.from_arrays([pa.array(doc.copy(), mask=none.astype(bool)), pa.array(tag.copy()), pa.array(n.copy()), batch["name"]], ["doc_id", "tag", "n", "name"])
 
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
 
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        xs, ys = [], []
-        for key, kind, a, b, items in zip(*(batch[c].to_pylist() for c in ("key", "kind", "a", "b")), batch["items"], strict=True):
-            if key != now:
-                now, sets, root = key, {}, {}
-            if kind == 0:
-                sets[a] = np.frombuffer(items.as_buffer(), np.uint64).copy()
-                continue
-            x, y = find(a), find(b)
-            if x == y:
-                continue
-            both = np.concatenate([sets[a], sets[b]])
-            both.sort(kind="stable")
-            if np.count_nonzero(both[1:] == both[:-1]) >= need(len(sets[a]), len(sets[b])):
-                root[x] = y
-                xs.append(a)
-                ys.append(b)
-        if xs:
-            yield pa.RecordBatch.from_arrays([pa.array(xs), pa.array(ys)], ["a", "b"])
-
-
-def allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    first = classes.select(F.col("name").alias("a"), F.col("point").alias("point_a"))
-    second = classes.select(F.col("name").alias("b"), F.col("point").alias("point_b"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "point_a", "point_b").mapInArrow(_bounded, "a long, b long")
-
-
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeats: bool, home: DataFrame) -> DataFrame:
-    """Of the pairs those that link: sets are made anew from one text of each class that a pair names.
-
-    Pairs meet their sets by ``home`` (name, place): a set travels once to each pair of places that its pairs name, not once for each pair.
-    """
-    pairs = materialise(pairs)
-    named = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    readers = classes.join(named, "name").select("name", "doc_id")
-    texts = docs.join(readers, docs["doc_id"].eqNullSafe(readers["doc_id"])).select("name", "text")
-    sets = texts.mapInArrow(_whole_sets, "name long, items binary")
-    sets = materialise(sets.dropDuplicates(["name"]) if repeats else sets)
-    place = lambda c: home.select(F.col("name").alias(c), F.col("place").alias(f"place_{c}"))
-    at = lambda c: F.coalesce(f"place_{c}", c)
-    keyed = pairs.join(place("a"), "a", "left").join(place("b"), "b", "left").select("a", "b", F.xxhash64(F.least(at("a"), at("b")), F.greatest(at("a"), at("b"))).alias("key"))
-    keyed = materialise(keyed)
-    wanted = keyed.select("key", F.explode(F.array("a", "b")).alias("name")).distinct().join(sets, "name")
-    rows = wanted.select("key", F.lit(0).alias("kind"), F.col("name").alias("a"), F.lit(0).cast("long").alias("b"), "items")
-    rows = rows.union(keyed.select("key", F.lit(1), "a", "b", F.lit(None).cast("binary")))
-    spark = docs.sparkSession
-    return materialise(rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "kind", "a").mapInArrow(_verify, "a long, b long"))
+        yield batch.drop_columns(["text"]).append_column("items", pa.array([x.tobytes() for x in sets_of(batch["text"])], pa.binary()))
+
+
+def point_of(items: np.ndarray) -> np.ndarray:
+    return np.bincount((items >> _U(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
 class Tree:
-    """A packed R-tree: points sorted by size and heaviest groups, nodes of LEAF children with largest counts and size ranges."""
+    """A packed R-tree: nodes of LEAF children with largest counts and size ranges. ``near`` orders the points: those close in it share nodes."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((points.argmax(1), sizes))
-        self.order = order
-        self.levels = [(points[order], sizes[order], sizes[order])]
+    def __init__(self, points: np.ndarray, near: np.ndarray):
+        sizes = points.sum(1).astype(np.int64)
+        self.order = np.lexsort((sizes, near))
+        self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
         while len(self.levels[-1][0]) > 1:
             top, low, high = self.levels[-1]
             at = np.arange(0, len(top), LEAF)
             self.levels.append((np.maximum.reduceat(top, at, 0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
-    def search(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Positions of points that may link with this one."""
-        nodes = np.arange(len(self.levels[-1][0]))
-        for k in range(len(self.levels) - 1, -1, -1):
-            top, low, high = self.levels[k]
-            if k < len(self.levels) - 1:
-                nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
-                nodes = nodes[nodes < len(top)]
-            fits = (4 * high[nodes] >= 3 * size) & (3 * low[nodes] <= 4 * size)
-            nodes = nodes[fits]
-            bound = np.minimum(top[nodes], point).sum(1)
-            # The smallest size that a partner below may have asks for the least overlap.
-            nodes = nodes[bound >= need(size, np.maximum(low[nodes], -(-3 * size // 4)))]
-            if not len(nodes):
-                break
-        return self.order[nodes]
-
-
-def _compatible(n: np.ndarray, short: np.ndarray, comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Pairs of rows of one cell with different components, sizes that may link, and the cell's shingle among the first few of the smaller."""
-    small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-    first = np.where(n[y] < n[x], short[y], np.where(n[y] > n[x], short[x], short[x] | short[y]))
-    return (comp[x] != comp[y]) & (4 * small >= 3 * large) & first
-
-
-def _tree_pairs(points, name, n, short, comp, side) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (x, y) of one cell, found by a tree over its points (over the second block's, if it is a pair of blocks)."""
-    one_block = not side.any()
-    left, right = (np.arange(len(n)),) * 2 if one_block else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(right) and len(left) and (comp != comp[0]).any():
-        tree = Tree(points[right], n[right])
-        for x in left:
-            y = right[tree.search(points[x], int(n[x]))]
-            y = y[_compatible(n, short, comp, np.full(len(y), x), y)]
-            if one_block:
-                y = y[name[y] > name[x]]
-            xs.append(np.full(len(y), x))
-            ys.append(y)
-    return np.concatenate(xs), np.concatenate(ys)
-
-
-def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of cells (rows sorted by h, i, j) between different components.
-
-    A cell of one or two leaves needs no tree: all such cells of a batch are compared together.
-    """
-    held: list[pa.RecordBatch] = []
-
-    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        h, i, j, name, size, comp, side = (table[c].to_numpy() for c in ("h", "i", "j", "name", "size", "comp", "side"))
-        points = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint32).reshape(-1, GROUPS)
-        n, short = size >> 1, (size & 1).astype(bool)
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        cell = np.cumsum(new) - 1
-        begin = np.append(np.flatnonzero(new), len(h))
-        wide = np.diff(begin)
-        plain = ((wide <= 2 * LEAF) & (np.add.reduceat(side, begin[:-1]) == 0))[cell]
-        xs, ys = [], []
-        for d in range(1, int(min(wide.max(), 2 * LEAF))):
-            x = np.flatnonzero((cell[d:] == cell[:-d]) & plain[d:])
-            x = x[_compatible(n, short, comp, x, x + d)]
-            xs.append(x)
-            ys.append(x + d)
-        for k in np.unique(cell[~plain]):
-            a, b = begin[k], begin[k + 1]
-            x, y = _tree_pairs(points[a:b], name[a:b], n[a:b], short[a:b], comp[a:b], side[a:b])
-            xs.append(x + a)
-            ys.append(y + a)
-        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (xs, ys))
-        swap = name[x] < name[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        order = np.lexsort((name[y], name[x]))
-        x, y = x[order], y[order]
-        fresh = np.ones(len(x), bool)
-        fresh[1:] = (name[x[1:]] != name[x[:-1]]) | (name[y[1:]] != name[y[:-1]])
-        once = np.flatnonzero(fresh)
-        met = np.diff(np.append(once, len(x)))
-        x, y = x[once], y[once]
-        for k in range(0, len(x), 1 << 16):
-            p, q, m = x[k : k + (1 << 16)], y[k : k + (1 << 16)], met[k : k + (1 << 16)]
-            fits = np.minimum(points[p], points[q]).sum(1) >= need(n[p], n[q])
-            if fits.any():
-                p, q, m = p[fits], q[fits], m[fits]
-                yield pa.RecordBatch.from_arrays([pa.array(name[p]), pa.array(name[q]), pa.array(m.astype(np.int64)), pa.array(1 + np.minimum(n[p], n[q]) // COMMON)], ["a", "b", "met", "least"])
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of points (each once) that their bounds allow to link, in portions."""
+        yield from self._below(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+    def _below(self, k: int, p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """From pairs of nodes of level k down."""
+        top, low, high = self.levels[k]
+        if k == 0:
+            p, q = p[p < q], q[p < q]
+        # The smallest sizes that points below may have to link ask for the least overlap.
+        a, b = np.maximum(low[p], -(-3 * low[q] // 4)), np.maximum(low[q], -(-3 * low[p] // 4))
+        fits = np.flatnonzero((a <= high[p]) & (b <= high[q]))
+        fits = fits[np.minimum(top[p[fits]], top[q[fits]]).sum(1) >= need(a[fits], b[fits])]
+        p, q = p[fits], q[fits]
+        if k == 0:
+            if len(p):
+                yield self.order[p], self.order[q]
+            return
+        n, step = len(self.levels[k - 1][0]), np.arange(LEAF)
+        for c in range(0, len(p), 256):
+            x, y = (p[c : c + 256, None, None] * LEAF + step[:, None]), (q[c : c + 256, None, None] * LEAF + step)
+            x, y = (z.ravel() for z in np.broadcast_arrays(x, y))
+            some = (x <= y) & (y < n) & (x < n)
+            yield from self._below(k - 1, x[some], y[some])
+
+
+def overlaps(items: np.ndarray, row: np.ndarray, n_rows: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """|intersection| of the sets of rows p and q; ``items`` and ``row`` list all shingles of all sets."""
+    order = np.argsort(items, kind="stable")
+    items, row = items[order], row[order]
+    begins = np.ones(len(items), bool)
+    begins[1:] = items[1:] != items[:-1]
+    column = np.cumsum(begins) - 1
+    shared = np.bincount(column)[column] > 1  # a shingle of one set is in no intersection
+    row, column = row[shared], np.cumsum(begins[shared]) - 1
+    total = np.zeros(len(p), np.int64)
+    ends = np.searchsorted(column, np.arange(COLUMNS, (column[-1] if len(column) else 0) + COLUMNS + 1, COLUMNS))
+    for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+        if a == b:
+            continue
+        c = column[a:b] - column[a] // COLUMNS * COLUMNS
+        wide = (int(c[-1]) >> 6) + 1
+        bits = np.zeros((n_rows, wide), np.uint64)
+        np.bitwise_or.at(bits, (row[a:b], c >> 6), _U(1) << (c & 63).astype(np.uint64))
+        step = max(1, (1 << 21) // wide)
+        for k in range(0, len(p), step):
+            total[k : k + step] += np.bitwise_count(bits[p[k : k + step]] & bits[q[k : k + step]]).sum(1, dtype=np.int64)
+    return total
+
+
+def roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest number connected with each of 0..n-1 by pairs (p, q)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[p], root[q])
+        new = root.copy()
+        for x in (p, q):
+            np.minimum.at(new, root[x], low)
+            np.minimum.at(new, x, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _linked(name: np.ndarray, copies: np.ndarray, side: np.ndarray | None, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each class of a place (or of a pair of its blocks, by side): the class that stands for its component here, and how many documents of other classes it links with."""
+    n = np.array([len(x) for x in sets], np.int64)
+    items, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    links, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    portion: list[tuple] = []
+
+    def verify():
+        p, q = (np.concatenate(x) for x in zip(*portion, strict=True))
+        good = overlaps(items, row, len(sets), p, q) >= need(n[p], n[q])
+        return p[good], q[good]
+
+    def take(p, q):
+        nonlocal root
+        np.add.at(links, p, copies[q])
+        np.add.at(links, q, copies[p])
+        root = roots(len(sets), np.concatenate([np.arange(len(sets)), p]), np.concatenate([root, q]))
+
+    for p, q in Tree(np.stack([point_of(x) for x in sets]), np.array([x[0] for x in sets])).pairs():
+        if side is not None:
+            across = side[p] != side[q]
+            p, q = p[across], q[across]
+        portion.append((p, q))
+        if sum(len(x) for x, _ in portion) >= 16 * PAIRS:
+            take(*verify())
+            portion.clear()
+    if portion:
+        take(*verify())
+    return name[root], links
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (root, i, j, side, name): one row for each class of each pair of blocks."""
+    held: list[tuple] = []
+    now, out, n_out = None, [], 0
+
+    def solve():
+        name, copies, side, sets = (list(x) for x in zip(*held, strict=True))
+        name = np.array(name, np.int64)
+        first, links = _linked(name, np.array(copies, np.int64), np.array(side) if now[1] < now[2] else None, sets)
+        return name, first, links
+
+    def write():
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["name", "first", "links"])
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        key = np.stack([batch[c].to_numpy() for c in ("h", "i", "j")])
-        other = (key[:, :-1] != key[:, -1:]).any(0)
-        # What may go on in the next batch is kept: rows of the last key, in this batch or in all held ones.
-        if sum(x.num_rows for x in held) >= BATCH_ROWS and other.any():
-            table = pa.Table.from_batches(held)
-            cut = table.num_rows - batch.num_rows + int(np.flatnonzero(other)[-1]) + 1
-            yield from solve(table.slice(0, cut).combine_chunks())
-            held = table.slice(cut).combine_chunks().to_batches()
+        keys = zip(*(batch[c].to_pylist() for c in ("root", "i", "j")), strict=True)
+        for key, name, copies, side, items in zip(keys, *(batch[c].to_pylist() for c in ("name", "copies", "side")), batch["items"], strict=True):
+            if key != now and held:
+                out.append(solve())
+                held, n_out = [], n_out + len(out[-1][0])
+                if n_out >= 10_000:
+                    yield write()
+                    out, n_out = [], 0
+            now = key
+            if not held or held[-1][0] != name:  # one class may come from rows that are there twice
+                held.append((name, copies, side, np.frombuffer(items.as_buffer(), np.uint64).copy()))
     if held:
-        yield from solve(pa.Table.from_batches(held).combine_chunks())
-
-
-def _with_components(cells: DataFrame, links: DataFrame) -> DataFrame:
-    """Cells that hold several components, with the component of each row."""
-    roots = components(links)
-    rows = cells.join(roots.withColumnRenamed("id", "name"), "name", "left").withColumn("comp", F.coalesce("root", "name")).drop("root")
-    mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("h", "rows")
-    return materialise(rows.join(mixed, "h"))
-
-
-def links_between_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b): verified links of class names, enough of them to connect all classes that links connect."""
-    spark = docs.sparkSession
-    often = spark.sparkContext.broadcast(frequent(docs, members.count()))
-    entries = docs.select("text").mapInArrow(_entries(often), "h long, name long, size long")
-    cells = materialise(entries.repartition(partitions(spark), "h").sortWithinPartitions("h", "name").mapInArrow(_shared_runs, "h long, name long, size long, hub long"))
-    classes = materialise(members.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("point").alias("point")))
-    repeats = not members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    links = None
-    rows = cells.withColumn("comp", F.col("name"))
-    tried = home = None
-    for k in range(STAR_ROUNDS):
-        if k:
-            # The hub is now the smallest class of a component other than the row's own.
-            ends = rows.groupBy("h").agg(F.min_by("name", "comp").alias("first"), F.min("comp").alias("lo"), F.max_by("name", "comp").alias("last"))
-            met = rows.join(ends, "h").select("name", "size", F.when(F.col("comp") == F.col("lo"), F.col("last")).otherwise(F.col("first")).alias("hub"))
-        else:
-            met = rows.select("name", "size", "hub")
-        # Half the meetings that a link needs: a hub is not first in all cells that it shares. Pairs left out here are left to the trees.
-        often_met = F.col("n") * 2 >= 1 + F.floor(F.shiftright(F.col("size"), 1) / COMMON)
-        best = met.where("name <> hub").groupBy("name", "hub").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(often_met).groupBy("name").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
-        pairs = best.select(F.greatest("name", "hub").alias("a"), F.least("name", "hub").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        if home is None:
-            # Classes with one hub share a place; places of many classes are split by name.
-            sizes = best.groupBy("hub").agg(F.ceil(F.count("*") / CELL_ROWS).alias("parts"))
-            spots = best.join(sizes, "hub").select("name", F.xxhash64("hub", F.pmod(F.xxhash64("name"), "parts")).alias("place"))
-            home = materialise(spots)
-        found = verified(allowed(pairs, classes), classes, docs, repeats, home)
-        links = found if links is None else links.union(found)
-        rows = _with_components(cells.drop("hub"), links)
-    # The trees: all pairs between components that the bounds allow.
-    blocks = F.ceil(F.col("rows") / CELL_ROWS).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", "name", "size", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    pointed = dealt.join(classes.select("name", "point"), "name")
-    pairs = pointed.repartition(partitions(spark), "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_cell_pairs, "a long, b long, met long, least long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b").join(tried, ["a", "b"], "left_anti")
-    return links.union(verified(pairs, classes, docs, repeats, home))
+        out.append(solve())
+    if out:
+        yield write()
 
 
 def _tag():
@@ -421,21 +344,46 @@ def _tag():
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, tag, n, name, point) of the documents, and the components of their classes."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    members = materialise(docs.withColumn("tag", _tag()).mapInArrow(_members, "doc_id long, tag long, n long, name long, point binary"))
-    return members, components(links_between_classes(docs, members))
+    """Rows (doc_id, tag, n, name) of the documents, and (name, copies, links, root) of the classes that meet another: documents of the class,
+    documents of other classes it links with, and the class that stands for its component."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", _tag())
+    often = spark.sparkContext.broadcast(frequent(docs))
+    entries = docs.mapInArrow(_entries(often), ENTRY)
+    met = materialise(entries.repartition(partitions(spark), "h").sortWithinPartitions("kind", "h").mapInArrow(_meet, MET))
+    members = met.where("kind = 2").select("doc", "name").mapInArrow(_documents, "doc_id long, tag long, n long, name long")
+    places = components(met.where("kind = 1").select(F.col("name").alias("a"), F.col("hub").alias("b")))
+    text = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    classes = members.where("name is not null").groupBy("name").agg(F.min(text).alias("reader"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    placed = materialise(classes.join(places.withColumnRenamed("id", "name"), "name").select("name", "copies", "n", "root", F.col("reader.doc_id").alias("reader"), F.col("reader.tag").alias("reader_tag")))
+    blocks = placed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / PLACE_ROWS), F.ceil(F.sum("n") / PLACE_SHINGLES)).cast("int").alias("blocks"))
+    blocks = materialise(blocks.where("blocks > 1"))
+    dealt = placed.drop("n").join(blocks, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    read = docs.join(dealt, docs["doc_id"].eqNullSafe(dealt["reader"]) & (docs["tag"] == dealt["reader_tag"])).select("root", "name", "copies", "blocks", "text")
+    sets = read.mapInArrow(_whole_sets, "root long, name long, copies long, blocks int, items binary")
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = sets.select("root", "name", "copies", "items", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    found = sets.repartition(partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "name").mapInArrow(_places, "name long, first long, links long")
+    found = materialise(found)
+    whole = found.groupBy("name").agg(F.sum("links").alias("links"), F.min("first").alias("root"))
+    if not blocks.isEmpty():  # a class of a place in blocks has a row for each pair of them
+        joined = components(found.select(F.col("name").alias("a"), F.col("first").alias("b")))
+        whole = whole.drop("root").join(joined.withColumnRenamed("id", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    return members, whole.join(placed.select("name", "copies"), "name")
+
+
+def _rooted(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Documents with the class that stands for their component; null for those without words."""
+    alone = members.where("name is not null").groupBy("name").agg(F.count("*").alias("copies"))
+    known = alone.join(classes.drop("copies"), "name", "left").select("name", F.coalesce("root", "name").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return members.join(known, "name", "left")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document."""
-    return _classed(*_joined(docs))
-
-
-def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    rooted = members.join(roots.withColumnRenamed("id", "name"), "name", "left").select("doc_id", "n", F.coalesce("root", "name").alias("root"))
+    """doc_id, n_shingles, component_id, n_links (documents that it links with, copies included) of each document."""
+    rooted = _rooted(*_joined(docs))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -443,8 +391,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Rows are lost by id and text, so other texts of a lost row's id stay; rows equal in both stay or go together.
     """
-    members, roots = _joined(docs)
-    rooted = members.join(roots.withColumnRenamed("id", "name"), "name", "left").select("doc_id", "tag", F.coalesce("root", "name").alias("root")).where("root is not null")
+    members, classes = _joined(docs)
+    rooted = _rooted(members, classes).where("root is not null").select("doc_id", "tag", "root")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     first = rooted.groupBy("root").agg(F.min(order).alias("first"))
     lost = rooted.join(first, "root").where(~order.eqNullSafe(F.col("first"))).select("doc_id", "tag").distinct()

@@ -72,8 +72,10 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
 u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT u.b, r.c FROM r JOIN u ON r.id = u.a),
-m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.id = d.doc_id"""
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id),
+k AS (SELECT a, count(*) AS n_links FROM u GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.id = d.doc_id LEFT JOIN k ON k.a = d.doc_id"""
 
 OP9_SQL = r"""
 WITH rows AS (

@@ -29,7 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     now = sc.getCheckpointDir()
     if not now:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridloom-"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="gridloom-"))
         now = sc.getCheckpointDir()
     return now
 
@@ -125,6 +128,30 @@ class Prefix:
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """Prefix(data).hash of all of data, by pieces."""
+    total, factor = 0, 1
+    for a in range(0, len(data), CHUNK_BYTES):
+        part = data[a : a + CHUNK_BYTES]
+        total += int((_BYTE[part] * powers(len(part))).sum(dtype=np.uint64)) * factor
+        factor = factor * pow(_BASE, len(part), 2**64) % 2**64
+    return mix(np.array([(total + len(data) * 0xD6E8FEB86659FD93) % 2**64], np.uint64))[0]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Prefix(data).hash of words in order, with temporary arrays for about CHUNK_BYTES at a time whatever the text's length."""
+    out, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        last = max(k + 1, int(np.searchsorted(ends, starts[k] + CHUNK_BYTES, "right")))
+        lo, hi = starts[k], ends[last - 1]
+        if hi - lo <= CHUNK_BYTES:
+            out[k:last] = Prefix(data[lo:hi]).hash(starts[k:last] - lo, ends[k:last] - lo)
+        else:
+            out[k] = _long_hash(data[lo:hi])
+        k = last
+    return out
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z in lower case; all other bytes as they are."""
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)

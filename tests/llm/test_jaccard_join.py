@@ -17,7 +17,7 @@ def sets(rows):
 
 def brute(rows):
     s = sets(rows)
-    root = list(range(len(s)))
+    root, links = list(range(len(s))), [0] * len(s)
 
     def find(x):
         while root[x] != x:
@@ -27,12 +27,14 @@ def brute(rows):
     for a in range(len(s)):
         for b in range(a):
             if s[a][1] and s[b][1] and 100 * len(s[a][1] & s[b][1]) >= 75 * len(s[a][1] | s[b][1]):
+                links[a] += 1
+                links[b] += 1
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     out = []
     for a, (i, items) in enumerate(s):
         ids = [s[b][0] for b in range(len(s)) if find(b) == find(a) and s[b][0] is not None]
-        out.append((i, len(items), min(ids) if ids else None))
+        out.append((i, len(items), min(ids) if ids else None, links[a]))
     return sorted(out, key=str)
 
 
@@ -56,7 +58,7 @@ def corpus(seed=5):
 
 
 def got(df):
-    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect()), key=str)
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in df.collect()), key=str)
 
 
 def test_against_brute_force(docs):
@@ -64,11 +66,12 @@ def test_against_brute_force(docs):
     assert got(jaccard_join.near_duplicates(docs(rows))) == brute(rows)
 
 
-def test_small_cells_and_frequent_shingles(docs, monkeypatch):
-    """Cells dealt out as block pairs, one star round, and all shared shingles frequent: the result is the same."""
-    monkeypatch.setattr(jaccard_join, "CELL_ROWS", 3)
+@pytest.mark.parametrize("rows_of_place, shingles_of_place", [(3, 10**6), (4096, 100)])
+def test_places_in_blocks_and_frequent_shingles(docs, monkeypatch, rows_of_place, shingles_of_place):
+    """Places dealt out as pairs of blocks, small portions, all shared shingles frequent: the result is the same."""
+    monkeypatch.setattr(jaccard_join, "PLACE_ROWS", rows_of_place)
+    monkeypatch.setattr(jaccard_join, "PLACE_SHINGLES", shingles_of_place)
     monkeypatch.setattr(jaccard_join, "OFTEN", 2)
-    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
     rows = corpus(9)
     assert got(jaccard_join.near_duplicates(docs(rows))) == brute(rows)
 
@@ -90,10 +93,77 @@ def test_only_the_near_copy_of_an_id_is_dropped(docs):
 @pytest.mark.parametrize("seed", range(5))
 def test_tree_finds_every_pair_that_its_bounds_allow(seed):
     rng = np.random.default_rng(seed)
-    points = rng.poisson(2.0, (300, jaccard_join.GROUPS)).astype(np.uint32)
+    points = rng.poisson(2.0, (300, jaccard_join.GROUPS)).astype(np.int32)
     points[150:] = points[:150] + (rng.random((150, jaccard_join.GROUPS)) < 0.05)
     sizes = points.sum(1).astype(np.int64)
-    tree = jaccard_join.Tree(points, sizes)
-    for q in range(0, 300, 7):
-        fits = (4 * np.minimum(sizes, sizes[q]) >= 3 * np.maximum(sizes, sizes[q])) & (np.minimum(points, points[q]).sum(1) >= jaccard_join.need(sizes, sizes[q]))
-        assert set(np.flatnonzero(fits)) <= set(tree.search(points[q], int(sizes[q])))
+    pairs = [(p, q) for x, y in jaccard_join.Tree(points, rng.integers(0, 40, 300)).pairs() for p, q in zip(x.tolist(), y.tolist(), strict=True)]
+    assert len({(min(x), max(x)) for x in pairs}) == len(pairs)
+    for p in range(300):
+        fits = (4 * np.minimum(sizes, sizes[p]) >= 3 * np.maximum(sizes, sizes[p])) & (np.minimum(points, points[p]).sum(1) >= jaccard_join.need(sizes, sizes[p]))
+        assert {q for q in np.flatnonzero(fits) if q != p} == {q for x in pairs if p in x for q in x if q != p}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_linking_sets_share_an_early_couple(seed):
+    """Sets made from one another with as much lost and added as a link allows, some shingles frequent."""
+    rng = np.random.default_rng(seed)
+    for _ in range(200):
+        a = rng.integers(0, 2**63, rng.integers(2, 60), dtype=np.uint64)
+        lost, added = rng.integers(0, len(a) // 3 + 1), rng.integers(0, len(a) // 3 + 1)
+        b = np.concatenate([a[lost:], rng.integers(0, 2**63, added, dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        often = np.sort(rng.choice(a, rng.integers(0, len(a) + 1), replace=False))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 75 * (len(a) + len(b) - both) and len(a) != both:
+            assert len(np.intersect1d(jaccard_join.couples(a, often), jaccard_join.couples(b, often)))
+
+
+@pytest.mark.parametrize("columns", [64, 128, 1 << 14])
+def test_overlaps(monkeypatch, columns):
+    monkeypatch.setattr(jaccard_join, "COLUMNS", columns)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 700, rng.integers(1, 400)).astype(np.uint64)) for _ in range(30)]
+    p, q = np.triu_indices(30, 1)
+    found = jaccard_join.overlaps(np.concatenate(sets), np.repeat(np.arange(30), [len(x) for x in sets]), 30, p, q)
+    assert found.tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(p, q, strict=True)]
+
+
+def test_large_group_of_near_copies(spark, docs):
+    """A row for each class leaves the places, however many pairs link; all links are counted."""
+    rng = random.Random(1)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, mutated(rng, base, 1)) for k in range(5000)]
+    rows += [(5000 + k, t) for k, (_, t) in enumerate(rows[:10])]
+    sets = [rows[k][1].split() for k in range(len(rows))]
+    table = {(r["doc_id"]): r for r in jaccard_join.near_duplicates(docs(rows)).collect()}
+    assert {r["component_id"] for r in table.values()} == {0}
+    for k in (0, 7, 4999, 5003):
+        mine = sets_of_words(sets[k])
+        linked = sum(1 for j, x in enumerate(sets) if j != k and 100 * len(mine & (y := sets_of_words(x))) >= 75 * len(mine | y))
+        assert table[k]["n_links"] == linked
+
+
+def sets_of_words(w):
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def test_very_long_text(docs):
+    """Texts beyond the pieces in which they are hashed, with one word longer than a piece."""
+    rng = random.Random(2)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(300_000)] + ["x" * 1_500_000] + [f"v{k}" for k in range(200_000)]
+    near = list(words)
+    for k in range(0, len(near), 200):
+        near[k] = "changed"
+    rows = [(5, " ".join(words)), (3, " ".join(near)), (9, "short text of seven words in all")]
+    assert got(jaccard_join.near_duplicates(docs(rows))) == brute(rows)
+
+
+def test_rows_that_leave_the_places():
+    """At most one row for each class of a place."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    import pyarrow as pa
+
+    sets = list(jaccard_join.sets_of(pa.array([mutated(rng, base, 1) for _ in range(2000)])))
+    one = pa.RecordBatch.from_pydict({"root": [1] * 2000, "i": [0] * 2000, "j": [0] * 2000, "side": [0] * 2000, "name": list(range(2000)), "copies": [1] * 2000, "items": pa.array([x.tobytes() for x in sets], pa.binary())})
+    assert sum(x.num_rows for x in jaccard_join._places(iter([one]))) == 2000
