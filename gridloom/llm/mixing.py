@@ -1,19 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling; rows are handled by Spark expressions only.
 
-Documents of a source form blocks of ``block_docs``. Time is cut into slots, one block each, and slots into frames of ``frame``. Weights are
-whole numbers in 10**12 parts of their sum. Of frame f source s gets k(f, s) slots such that the slots of all frames so far are the exact weight's share rounded
-down or up: what a frame leaves over is carried to the next, where the shares that must be rounded up soonest come first (earliest
-deadline first, frames as slots of that capacity), so a source of any small weight is served as seldom as it asks. In a frame
-the i-th block of s is released at floor((i-1) * frame / k) and due at ceil(i * frame / k); earliest deadline first fills the slots, by a
-fold whose size depends on the parameter alone, one for each different row of k. At each slot of a table of any size each source has had less than two
-blocks more or less than its exact share so far: less than one at the frames' ends and less than one between them.
+Documents of a source form blocks of ``block_docs``. Time is cut into slots of one block each. With weight w of all weights' sum W, the i-th block of a source is released
+at floor((i-1) W / w) and due at ceil(i W / w), over the whole schedule: weights are whole numbers (given ones as they are, others in 10**12 parts)
+and nothing is rounded to a frame. Earliest deadline first fills the slots, so at each slot each source has had less than one block more or less than its exact share.
 
-The driver computes the k: a few numbers for each source and frame. Every task gets these and the slots of each, some 12 bytes for each block of the schedule.
+Frames. Slots are filled in frames of ``frame``, each a row whose slots a Spark expression fills. Which blocks come before a frame's border is decided border after border by the driver: at slot T
+source s has had floor(w T / W) blocks or one more; those with one more are taken by deadline, as long as every stretch of slots before the border can hold the blocks that are released
+and must be served in it. That is what earliest deadline first over all slots has served by then, so the frames together are that one schedule. The driver holds one row
+for each source, and spends some 0.1 ms for each frame (8,000 documents); frames go to Spark ``CHUNK`` at a time.
 
 Nothing is dropped: the schedule ends with the slot that serves the last block not yet served, and a source that ends
 sooner is read again from its start (epoch 1, 2, ...), as weights larger than its part of the corpus ask.
 
-Without given weights the target is the source's document count to the power ``temper``, normalised.
+Without given weights the target is the source's document count to the power ``temper``, normalised. A frame's work is its slots times the sources.
 
 Cases: a null source is a source of its own (empty name, ``source_null`` true); a null text is a document like others; rows with
 equal doc_id keep separate places. A given weight of zero or a missing source in given weights
@@ -22,30 +21,26 @@ raises an error, since dropping a source must be asked for by a filter. An empty
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import plain_name
+from .shared import materialise, plain_name
 
-#: Documents of one block, slots of a frame, flattening power of the default weights, buckets per source.
-BLOCK_DOCS, FRAME, TEMPER, BUCKETS = 8, 1000, 0.9, 64
+#: Documents of one block, slots of a frame, flattening power of the default weights.
+BLOCK_DOCS, FRAME, TEMPER = 8, 1000, 0.9
+#: Ranks within a source are counted in buckets: at least so many, and one for about so many documents.
+BUCKETS, BUCKET_DOCS = 64, 50_000
+#: Parts of the weights' sum, frames that the driver hands over at a time.
+PARTS, CHUNK = 10**12, 20_000
 
 
-def source_sizes(placed: DataFrame, block_docs: int) -> DataFrame:
-    return placed.groupBy("s", "s_null").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_docs))
-
-
-def _ranked(docs: DataFrame, buckets: int, id_name: str, source_name: str) -> tuple[DataFrame, DataFrame]:
-    """Rank of each row within its source from bucket counts, so that no source is ranked in one task."""
-    src = F.col(f"`{source_name}`").cast("string")
-    keyed = docs.withColumns({"s": F.coalesce(src, F.lit("")), "s_null": src.isNull(), "b": F.pmod(F.coalesce(F.col(f"`{id_name}`").cast("long"), F.lit(0)), F.lit(buckets)).cast("int")})
-    counts = keyed.groupBy("s", "s_null", "b").agg(F.count("*").alias("in_bucket"))
-    before = Window.partitionBy("s", "s_null").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
-    return keyed, starts
+def _bucket(doc_id: Column, buckets: int) -> Column:
+    """A hash of the id that SQL has too."""
+    return F.pmod(F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
 
 
 def target(sizes: DataFrame, weights: dict[str, float] | None, temper: float) -> DataFrame:
@@ -57,93 +52,108 @@ def target(sizes: DataFrame, weights: dict[str, float] | None, temper: float) ->
     return sizes.withColumn("weight", F.when(found > 0, found).otherwise(F.raise_error(F.concat(F.lit("no target weight for source "), "s")).cast("double")))
 
 
-def frame_quotas(whole: list[int], slots: int, frames: int) -> Iterator[tuple[list[int], list[int]]]:
-    """For each frame the blocks of each source served before it and in it; the frames' ends keep floor or ceil of the exact share."""
-    total, served = sum(whole), [0] * len(whole)
+def whole_weights(weights: list[float]) -> list[int]:
+    if all(w == int(w) for w in weights) and sum(weights) <= PARTS:
+        return [int(w) for w in weights]
+    return [max(1, round(w / sum(weights) * PARTS)) for w in weights]
+
+
+def borders(whole: list[int], slots: int, frames: int) -> Iterator[list[int]]:
+    """Blocks of each source that earliest deadline first has served before frame 0, 1, ..., frames."""
+    total, served, x = sum(whole), [0] * len(whole), np.arange(slots)
+    yield served
     for f in range(1, frames + 1):
-        then, more = [], []
-        for i, w in enumerate(whole):
-            low, rest = divmod(w * slots * f, total)
-            then.append(max(low, served[i]))
-            if rest and then[i] == low:
-                more.append((-(-(low + 1) * total // (w * slots)), -rest, i))
-        for _, _, i in sorted(more)[: slots * f - sum(then)]:
-            then[i] += 1
-        yield served, [b - a for a, b in zip(served, then, strict=True)]
-        served = then
-
-
-def frame_slots(patterns: DataFrame, slots: int) -> DataFrame:
-    """(pattern, i, at): the slots of each source in a frame of the quotas ks: earliest deadline first over released blocks."""
-    # The state: blocks served so far of each source, and the pick of each slot. Whole-number arithmetic: ceil and floor of a quotient without doubles.
-    fold = f"""
-      aggregate(sequence(0L, {slots - 1}L),
-        named_struct('served', transform(ks, x -> 0L), 'picks', cast(array() as array<int>)),
-        (acc, t) -> aggregate(array(array_min(filter(transform(ks, (k, i) -> named_struct(
-              'due', ((acc.served[i] + 1) * {slots}L + k - 1) div greatest(k, 1L), 'free', if(k = 0, {slots}L, (acc.served[i] * {slots}L) div greatest(k, 1L)), 'i', i)),
-              c -> c.free <= t))), acc,
-            (a, pick) -> if(pick is null, a, named_struct(
-              'served', transform(a.served, (n, i) -> if(i = pick.i, n + 1, n)),
-              'picks', concat(a.picks, array(pick.i))))),
-        acc -> acc.picks)"""
-    picked = patterns.select("pattern", "ks", F.expr(fold).alias("picks"))
-    return picked.select("pattern", F.posexplode(F.expr(f"transform(ks, (k, i) -> filter(sequence(0, {slots - 1}), t -> picks[t] = i))")).alias("i", "at"))
-
-
-def _frames(known: list, slots: int) -> tuple[pa.Table, pa.Table, pa.Table]:
-    """Tables of sources, of the sources in each frame, and of the different quotas.
-
-    The picks of a source (its blocks, epoch after epoch) are found by pick div step: a frame has a row for each value its picks have.
-    """
-    mass = sum(r["weight"] for r in known)
-    whole = [max(1, round(r["weight"] / mass * 10**12)) for r in known]
-    total = sum(whole)
-    steps = [max(1, w * slots // total) for w in whole]
-    frames = max((-(-r["blocks"] * total // (w * slots)) for r, w in zip(known, whole, strict=True)), default=0)
-    rows, patterns, picks = [], {}, [0] * len(known)
-    for f, (served, ks) in enumerate(frame_quotas(whole, slots, frames)):
-        pattern = patterns.setdefault(tuple(ks), len(patterns))
-        for i, (start, k) in enumerate(zip(served, ks, strict=True)):
-            picks[i] = start + k
-            rows += [(i, g, pattern, f * slots, start, k) for g in range(start // steps[i], (start + k - 1) // steps[i] + 1) if k]
-    long = lambda names, of: pa.table({n: pa.array([r[j] for r in of], pa.int64()) for j, n in enumerate(names)})
-    sources = long(("i", "blocks", "picks", "step"), [(i, r["blocks"], picks[i], steps[i]) for i, r in enumerate(known)])
-    sources = sources.append_column("s", pa.array([r["s"] for r in known], pa.string())).append_column("s_null", pa.array([r["s_null"] for r in known], pa.bool_()))
-    quotas = pa.table({"pattern": pa.array(list(patterns.values()), pa.int64()), "ks": pa.array([list(ks) for ks in patterns], pa.list_(pa.int64()))})
-    return sources, long(("i", "g", "pattern", "base", "start", "k"), rows), quotas
-
-
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, frame: int = FRAME, temper: float = TEMPER, buckets: int = BUCKETS, id_name: str = "doc_id", source_name: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+        share = [divmod(w * slots * f, total) for w in whole]
+        now = [max(had, base) for had, (base, _) in zip(served, share, strict=True)]
+        more = slots * f - sum(now)
+        waiting = sorted((-((rest - total) // w), i) for i, (w, had, (base, rest)) in enumerate(zip(whole, served, share, strict=True)) if rest and had <= base)
+        if more < len(waiting):
+            # Slots from the x-th of the frame to the border, less the blocks that are released there and fall due by the border.
+            room = slots - x
+            for w, (base, _), (base0, rest0) in zip(whole, share, (divmod(w * slots * (f - 1), total) for w in whole), strict=True):
+                room = room - np.maximum(0, base - base0 + (-rest0 - w * x) // total)
+            chosen = []
+            for _, i in waiting:
+                released = slots + -share[i][1] // whole[i]
+                if len(chosen) < more and (released < 0 or room[: released + 1].min() >= 1):
+                    chosen.append(i)
+                    room[: max(released + 1, 0)] -= 1
+        else:
+            chosen = [i for _, i in waiting]
+        for i in chosen:
+            now[i] += 1
+        served = now
+        yield served
+
+
+def frame_picks(spark, whole: list[int], slots: int, frames: int) -> DataFrame:
+    """(i, pick, slot): the source of each slot of the frames, and how many blocks of it were served before."""
+    total, ends, made = sum(whole), borders(whole, slots, frames), []
+    now = next(ends)
+    # The state: blocks served so far of each source, and the picks. x is how far a source's next block is from its exact share at the frame's start.
+    fold = f"""aggregate(sequence(0L, {slots - 1}L), named_struct('n', n1, 'picks', cast(array() as array<struct<i: int, pick: bigint, slot: bigint>>)),
+      (acc, t) -> aggregate(array(array_min(filter(transform(transform(w, (v, i) -> (acc.n[i] - base[i]) * {total}L - rest[i]),
+            (x, i) -> named_struct('due', (x + {total}L + w[i] - 1) div w[i], 'i', i, 'free', acc.n[i] < n2[i] and x < w[i] * (t + 1))), c -> c.free))), acc,
+          (a, c) -> named_struct('n', transform(a.n, (k, i) -> if(i = c.i, k + 1, k)),
+            'picks', concat(a.picks, array(named_struct('i', c.i, 'pick', a.n[c.i], 'slot', id * {slots} + t))))),
+      acc -> acc.picks)"""
+    for first in range(0, frames, CHUNK):
+        rows = []
+        for f in range(first, min(frames, first + CHUNK)):
+            share = [divmod(w * slots * f, total) for w in whole]
+            rows.append((f, now, [b for b, _ in share], [r for _, r in share], now := next(ends)))
+        one = spark.createDataFrame(rows, "id long, n1 array<long>, base array<long>, rest array<long>, n2 array<long>").withColumn("w", F.array(*[F.lit(w).cast("long") for w in whole]))
+        one = one.repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism)))
+        made.append(materialise(one.select(F.explode(F.expr(fold)).alias("p")).select("p.*")))
+    return functools.reduce(DataFrame.union, made) if made else spark.createDataFrame([], "i int, pick long, slot long")
+
+
+def _sources(docs: DataFrame, known: list, whole: list[int]) -> DataFrame:
+    rows = [F.struct(F.lit(r["s"]).alias("s"), F.lit(r["s_null"]).alias("s_null"), F.lit(i).alias("i"), F.lit(r["blocks"]).cast("long").alias("blocks")) for i, r in enumerate(known)]
+    return docs.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, frame: int = FRAME, temper: float = TEMPER, bucket_docs: int = BUCKET_DOCS, id_name: str = "doc_id", source_name: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document and epoch: doc_id, source, source_null, block, epoch, slot (long), place (in the block).
 
     ``carry`` names further columns of docs to keep; they must not clash with these. The sources are counted at once.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(f"`{id_name}`").cast("long").alias("doc_id"), F.col(f"`{source_name}`").alias("source"), *[F.col(f"`{c}`") for c in carry])
-    keyed, starts = _ranked(narrow, buckets, "doc_id", "source")
-    within = Window.partitionBy("s", "s_null", "b").orderBy("doc_id")
-    ranked = keyed.withColumn("r", F.row_number().over(within) - 1).join(starts.drop("in_bucket"), ["s", "s_null", "b"])
-    known = sorted(target(source_sizes(keyed, block_docs), weights, temper).collect(), key=lambda r: (r["s"], r["s_null"]))
-    slots = max(frame, 2 * len(known))
-    sources, frames, quotas = (spark.createDataFrame(t) for t in _frames(known, slots))
-    table = frames.join(F.broadcast(frame_slots(quotas, slots)), ["pattern", "i"]).drop("pattern")
-    # The slot at which a source has been read once; the schedule ends with the latest of them.
-    once = table.join(F.broadcast(sources.select("i", "blocks")), "i").where("start < blocks and blocks <= start + k")
-    last = once.agg(F.max(F.expr("base + get(at, cast(blocks - 1 - start as int))")).alias("last"))
-    placed = ranked.withColumn("rank", F.col("before") + F.col("r")).withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("place", F.pmod("rank", F.lit(block_docs)))
-    served = placed.join(F.broadcast(sources), ["s", "s_null"]).where("picks > block").withColumn("epoch", F.explode(F.expr("sequence(0L, (picks - 1 - block) div blocks)")))
-    pick = served.withColumn("pick", F.col("epoch") * F.col("blocks") + F.col("block")).withColumn("g", F.expr("pick div step"))
-    out = pick.join(F.broadcast(table), ["i", "g"]).where("start <= pick and pick < start + k").withColumn("slot", F.expr("base + get(at, cast(pick - start as int))"))
-    out = out.crossJoin(F.broadcast(last)).where("slot <= last")  # one row
+    src = F.col(f"`{source_name}`").cast("string")
+    narrow = docs.select(F.col(f"`{id_name}`").cast("long").alias("doc_id"), F.coalesce(src, F.lit("")).alias("s"), src.isNull().alias("s_null"), *[F.col(f"`{c}`") for c in carry])
+    sizes = narrow.groupBy("s", "s_null").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_docs))
+    known = sorted(target(sizes, weights, temper).collect(), key=lambda r: (r["s"], r["s_null"]))
+    if not known:
+        known = [{"s": "", "s_null": True, "n": 0, "blocks": 0, "weight": 1.0}]
+    whole = whole_weights([r["weight"] for r in known])
+    frames = max(-(-r["blocks"] * sum(whole) // (w * frame)) for r, w in zip(known, whole, strict=True))
+    blocks = F.array(*[F.lit(max(r["blocks"], 1)).cast("long") for r in known])
+    picks = frame_picks(spark, whole, frame, frames).withColumn("blocks", F.get(blocks, "i")).selectExpr("i", "pick % blocks as block", "pick div blocks as epoch", "slot", "pick = blocks - 1 as once")
+    # The slot at which every source has been read once ends the schedule.
+    last = picks.where("once").agg(F.max("slot").alias("last"))
+    served = picks.drop("once").crossJoin(F.broadcast(last)).where("slot <= last").drop("last")  # one row
+    # Ranks within a source come from bucket counts, so that no source is ranked in one task.
+    buckets = max(BUCKETS, -(-sum(r["n"] for r in known) // bucket_docs))
+    keyed = narrow.withColumn("b", _bucket(F.col("doc_id"), buckets))
+    counts = keyed.groupBy("s", "s_null", "b").agg(F.count("*").alias("in_bucket"))
+    before = Window.partitionBy("s", "s_null").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0))).drop("in_bucket")
+    within = Window.partitionBy("s", "s_null", "b").orderBy("doc_id", *carry)
+    ranked = keyed.withColumn("r", F.row_number().over(within) - 1).join(starts, ["s", "s_null", "b"]).withColumn("rank", F.col("before") + F.col("r"))
+    placed = ranked.selectExpr("*", f"rank div {block_docs} as block", f"cast(rank % {block_docs} as long) as place").join(F.broadcast(_sources(docs, known, whole)), ["s", "s_null"])
+    out = placed.join(served, ["i", "block"])
     return out.select("doc_id", F.col("s").alias("source"), F.col("s_null").alias("source_null"), "block", "epoch", "slot", "place", *[F.col(f"`{c}`") for c in carry])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents in their mixed form: all columns of docs, a row for each epoch, partitions and rows in order of the schedule."""
-    body = plain_name(docs, "whole_row")
-    packed = docs.withColumn(body, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    names = {"doc_id", "source"}
-    one = packed.select(F.col("doc_id"), F.col("source"), F.col(body).alias("whole_row"))
-    assert names <= set(docs.columns)
-    out = schedule(one, carry=("whole_row",), **options)
-    return out.repartitionByRange("slot").sortWithinPartitions("slot", "place").select("whole_row.*")
+    """The documents in their mixed form: all columns of docs, a row for each epoch, partitions and rows in order of the schedule.
+
+    Only ids, sources and a hash of the whole row are scheduled; the rows join their slots afterwards. Rows equal in all columns are interchangeable.
+    """
+    key, slot, place = (plain_name(docs, x) for x in ("row_key", "row_slot", "row_place"))
+    keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    ids = materialise(keyed.select(F.col("doc_id"), F.col("source"), F.col(key).alias("row_key")))
+    slots = schedule(ids, carry=("row_key",), **options).select(F.col("row_key").alias(key), F.col("slot").alias(slot), F.col("place").alias(place))
+    if not ids.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        keyed = keyed.dropDuplicates([key])
+    return keyed.join(slots, key).repartitionByRange(slot).sortWithinPartitions(slot, place).select(*[F.col(f"`{c}`") for c in docs.columns])

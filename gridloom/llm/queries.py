@@ -96,35 +96,29 @@ WITH flat AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(flat) AS text_sha256
 FROM flat WINDOW w AS (PARTITION BY flat)"""
 
+#: One earliest-deadline-first run over all slots.
 OP3_SQL = f"""
-WITH RECURSIVE numbered AS (
+WITH RECURSIVE total AS (SELECT greatest({mixing.BUCKETS}, (count(*) + {mixing.BUCKET_DOCS - 1}) // {mixing.BUCKET_DOCS}) AS buckets FROM documents),
+numbered AS (
   SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS s_null,
-    row_number() OVER (PARTITION BY source ORDER BY ((coalesce(doc_id, 0) % {mixing.BUCKETS}) + {mixing.BUCKETS}) % {mixing.BUCKETS}, doc_id) - 1 AS r FROM documents),
-sizes AS (SELECT s, s_null, count(*) AS n, CAST(ceil(count(*) / {mixing.BLOCK_DOCS}.0) AS BIGINT) AS blocks FROM numbered GROUP BY ALL),
-ideal AS (
-  SELECT *, greatest({mixing.FRAME}, 2 * count(*) OVER ()) AS slots, count(*) OVER () AS n_sources,
-    greatest(pow(CAST(n AS DOUBLE), {mixing.TEMPER}) / sum(pow(CAST(n AS DOUBLE), {mixing.TEMPER})) OVER () * greatest({mixing.FRAME}, 2 * count(*) OVER ()), 1) - 1 AS more FROM sizes),
-extra AS (SELECT *, more / sum(more) OVER () * (slots - n_sources) AS extra FROM ideal),
-whole AS (SELECT *, floor(extra + 1e-9) AS whole FROM extra),
-share AS (
-  SELECT s, s_null, n, blocks, slots, CAST(whole + 1 + CASE WHEN row_number() OVER (ORDER BY round(whole - extra, 9), s, s_null) <= slots - n_sources - sum(whole) OVER () THEN 1 ELSE 0 END AS BIGINT) AS k FROM whole),
-listed AS (SELECT max(slots) AS slots, list(k ORDER BY s, s_null) AS ks, list(s ORDER BY s, s_null) AS ss, list(s_null ORDER BY s, s_null) AS nulls FROM share),
+    row_number() OVER (PARTITION BY source ORDER BY CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % buckets, doc_id) - 1 AS r FROM documents, total),
+sizes AS (SELECT s, s_null, count(*) AS n, (count(*) + {mixing.BLOCK_DOCS - 1}) // {mixing.BLOCK_DOCS} AS blocks FROM numbered GROUP BY ALL),
+weighed AS (SELECT *, greatest(1, CAST(round(pow(n, {mixing.TEMPER}) / sum(pow(n, {mixing.TEMPER})) OVER () * 1e12) AS BIGINT)) AS w FROM sizes),
+listed AS (
+  SELECT list(w ORDER BY s, s_null) AS ws, CAST(sum(w) AS BIGINT) AS total, list(s ORDER BY s, s_null) AS ss, list(s_null ORDER BY s, s_null) AS nulls,
+    max(ceil(blocks * (SELECT sum(w) FROM weighed) / w)) AS slots FROM weighed),
 steps AS (
-  SELECT 0 AS t, list_transform(ks, lambda x: CAST(0 AS BIGINT)) AS served, CAST(0 AS BIGINT) AS pick FROM listed
+  SELECT 0 AS t, list_transform(ws, lambda x: CAST(0 AS BIGINT)) AS served, CAST(0 AS BIGINT) AS best FROM listed
   UNION ALL
   SELECT t + 1, list_transform(served, lambda x, j: CASE WHEN j = best THEN x + 1 ELSE x END), best FROM (
-    SELECT t, served, (list_min(list_transform(list_filter(list_transform(ks, lambda k, j: [((served[j] + 1) * slots + k - 1) // k, j, (served[j] * slots) // k]), lambda c: c[3] <= t), lambda c: c[1] * 100000 + c[2]))) % 100000 AS best
+    SELECT t, served, list_min(list_transform(list_filter(list_transform(ws, lambda w, j: [((served[j] + 1) * total + w - 1) // w, j, served[j] * total - w * (t + 1)]),
+      lambda c: c[3] < 0), lambda c: c[1] * 100000 + c[2])) % 100000 AS best
     FROM steps, listed WHERE t < slots)),
-frame AS (SELECT ss[pick] AS s, nulls[pick] AS s_null, served[pick] - 1 AS turn, t - 1 AS slot FROM steps, listed WHERE t > 0),
-placed AS (
-  SELECT doc_id, s, s_null, r // {mixing.BLOCK_DOCS} AS block, r % {mixing.BLOCK_DOCS} AS place, blocks, k, slots, max(CAST(ceil(blocks / k) AS BIGINT)) OVER () AS frames
-  FROM numbered JOIN share USING (s, s_null)),
-epochs AS (SELECT *, unnest(generate_series(CAST(0 AS BIGINT), (frames * k - 1 - block) // blocks)) AS epoch FROM placed),
-picks AS (SELECT *, epoch * blocks + block AS nth FROM epochs)
-SELECT doc_id, p.s AS source, p.s_null AS source_null, block, epoch, (nth // k) * slots + slot AS slot, place
-FROM picks p JOIN frame f ON p.s = f.s AND p.s_null = f.s_null AND p.nth % p.k = f.turn
-WHERE (nth // k) * slots + slot <= (
-  SELECT max((blocks - 1) // k * slots + slot) FROM share s JOIN frame f ON s.s = f.s AND s.s_null = f.s_null AND (s.blocks - 1) % s.k = f.turn)"""
+picks AS (SELECT ss[best] AS s, nulls[best] AS s_null, served[best] - 1 AS pick, t - 1 AS slot FROM steps, listed WHERE t > 0)
+SELECT doc_id, n.s AS source, n.s_null AS source_null, r // {mixing.BLOCK_DOCS} AS block, pick // blocks AS epoch, slot, r % {mixing.BLOCK_DOCS} AS place
+FROM numbered n JOIN sizes z ON n.s = z.s AND n.s_null = z.s_null
+JOIN picks p ON p.s = n.s AND p.s_null = n.s_null AND p.pick % blocks = r // {mixing.BLOCK_DOCS}
+WHERE slot <= (SELECT max(slot) FROM picks p JOIN sizes z ON p.s = z.s AND p.s_null = z.s_null AND p.pick = z.blocks - 1)"""
 
 
 def oracle_sql() -> dict[str, str]:
