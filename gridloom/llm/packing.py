@@ -3,12 +3,11 @@
 Each partition reads its documents once, online. The token ids of a document (and the end id) are cut into
 full windows and one rest. The rest goes into the open window whose fill level makes the sum over
 levels of squared counts of partially filled windows smallest; the counts are a level array of ``window`` numbers.
-A rest may also open a window. At most ``MOST_OPEN`` windows are open: beyond that, and at the end, the open
-windows' pieces are laid end to end and cut into full windows; what is left over at the end (less than one window) is cut
+A rest may also open a window. At the partition's end the pieces of the windows still open are laid end to end and cut into full windows; what is left over (less than one window) is cut
 by powers of two, so nothing is padded.
 
-A partition never looks at another one: there is no shuffle, memory is bounded by the open windows, and
-a task that is run again gives the same sequences. sequence_id holds the partition's number in its upper bits.
+A partition never looks at another one: there is no shuffle, and a task that is run again gives the same sequences. Open windows hold four bytes
+for each of their tokens, so even where no two rests fit together (all a little over half a window) a task holds no more than its own partition's text, whose size ``spark.sql.files.maxPartitionBytes`` sets. sequence_id holds the partition's number in its upper bits.
 
 Cases: a null text is empty and packs as its end id alone; repeated rows are documents of their own; a null doc_id passes
 through; a text of any length is read whole and cut. Other columns are ignored. An empty table gives no piece.
@@ -24,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a window, the id that ends a document, open windows before the pieces are laid out anew.
-WINDOW, END_ID, MOST_OPEN = 1024, 0, 2048
+#: Tokens of a window, the id that ends a document.
+WINDOW, END_ID = 1024, 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ROWS = 4096
 
@@ -33,11 +32,10 @@ ROWS = 4096
 class Packer:
     """Open windows by fill level. A piece is (document index, start, ids)."""
 
-    def __init__(self, window: int = WINDOW, most_open: int = MOST_OPEN):
-        self.window, self.most_open = window, most_open
+    def __init__(self, window: int = WINDOW):
+        self.window = window
         self.open: list[list[list]] = [[] for _ in range(window)]  # by level: windows, each a list of pieces
         self.count = np.zeros(window + 1, np.int64)  # the level array: count[h] windows filled to h; window itself stays 0
-        self.n_open = 0
 
     def add(self, piece) -> Iterator[list]:
         """Places a piece shorter than a window; yields windows that became full."""
@@ -49,7 +47,6 @@ class Packer:
         # A new window changes the sum by 2 * count[size] + 1; a tie goes to the fuller old window.
         if best < 0 or change[best] > 2 * count[size] + 1:
             level, target = size, [piece]
-            self.n_open += 1
         else:
             low = int(levels[np.flatnonzero(change == change[best])[-1]])
             target = self.open[low].pop()
@@ -57,28 +54,21 @@ class Packer:
             target.append(piece)
             level = low + size
         if level == self.window:
-            self.n_open -= 1
             yield target
         else:
             self.open[level].append(target)
             count[level] += 1
-            if self.n_open > self.most_open:
-                yield from self.lay_out(False)
 
-    def lay_out(self, last: bool) -> Iterator[list]:
-        """Cuts the pieces of all open windows into full windows; the rest stays open, or if last goes by powers of two."""
+    def lay_out(self) -> Iterator[list]:
+        """Cuts the pieces of all open windows into full windows, the rest by powers of two."""
         pieces = [p for level in reversed(self.open) for target in level for p in target]
         total = sum(len(p[2]) for p in pieces)
         self.open = [[] for _ in range(self.window)]
         self.count[:] = 0
         sizes = [self.window] * (total // self.window)
         rest = total % self.window
-        if last:
-            sizes += [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
-        elif rest:
-            sizes.append(rest)
+        sizes += [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
         at = 0
-        made = []
         for size in sizes:
             target, room = [], size
             while room:
@@ -90,21 +80,15 @@ class Packer:
                     at += 1
                 else:
                     pieces[at] = (doc, start + take, ids[take:])
-            made.append(target)
-        self.n_open = 0
-        if not last and rest:
-            self.open[rest].append(made.pop())
-            self.count[rest] += 1
-            self.n_open = 1
-        yield from made
+            yield target
 
 
-def _pack(encoder, window: int, end_id: int, most_open: int):
+def _pack(encoder, window: int, end_id: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode = encoder()
-        packer, number = Packer(window, most_open), TaskContext.get().partitionId() << 40
+        packer, number = Packer(window), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
 
         def write(target):
@@ -132,16 +116,16 @@ def _pack(encoder, window: int, end_id: int, most_open: int):
                         write(target)
                 if len(rows) >= ROWS:
                     yield flush()
-        for target in packer.lay_out(True):
+        for target in packer.lay_out():
             write(target)
         yield flush()
 
     return pack
 
 
-def packed(docs: DataFrame, encoder, window: int = WINDOW, end_id: int = END_ID, most_open: int = MOST_OPEN) -> DataFrame:
+def packed(docs: DataFrame, encoder, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``encoder()`` gives, on the executor, a function from a text column to an iterator of uint32 arrays.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pack(encoder, window, end_id, most_open), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pack(encoder, window, end_id), PIECES)

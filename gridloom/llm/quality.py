@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Prefix, chunks, materialise, shingles, text_arrays, words
+from .shared import chunks, materialise, shingles, text_arrays, word_hashes, words
 
 #: Hash buckets of the n-grams, pseudo-count of each bucket (n-grams of the raw corpus), and the least mean log ratio (nats per n-gram) of a kept document.
 BUCKETS, PSEUDO, THRESHOLD = 1 << 16, 20.0, -0.12
@@ -74,7 +74,7 @@ def _analyse(data: np.ndarray, offsets: np.ndarray):
     for a, b in chunks(offsets):
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, first = words(part, at)
-        yield a, b, part, at, starts, ends, first, Prefix(part).hash(starts, ends)
+        yield a, b, part, at, starts, ends, first, word_hashes(part, starts, ends)
 
 
 def base_counts(part: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> dict[str, np.ndarray]:
