@@ -3,14 +3,15 @@
 Each language has a variable-order context tree: counts of the byte that follows each context of up to three bytes.
 A byte seen in its context costs -log2(count / (n + d)), n being the context's count and d its number of distinct
 followers; an unseen one costs the escape -log2(d / (n + d)) plus its cost in the next shorter context, down to a uniform
-code. The trees are frozen after training, so a text's code length is a sum over its bytes, and the language that codes it shortest wins.
+code of eight bits. The trees are frozen after training, so a text's code length is a sum over its bytes, and the language that codes it shortest wins.
 
-Bytes are coded in ``ALPHABET`` symbols: the most frequent training bytes, and one symbol for all others.
-Training reads about ``PER_LANGUAGE`` documents of each language, chosen by a hash of doc_id, never those held out.
+All 256 byte values are coded, and a text begins after three marks that are no byte. Contexts are sparse: only strings seen in training have entries.
+Training reads about ``PER_LANGUAGE`` documents of each language, chosen by a hash of doc_id, never those held out. The model has at most ``MOST_COSTS`` / languages strings of
+four bytes (the most frequent ones): 16 bytes a string and language that saw it are collected and broadcast, 128 MB at most, and an executor's tables stay within four bytes for each of ``MOST_COSTS`` per order.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0. Null lang rows are scored but not learned from; a null
 doc_id is not held out and not learned from. With nothing to learn from, every text is ``und``. Ties between languages go to the smaller name.
-Repeated rows get equal results; other columns are ignored.
+A text of any length is coded in pieces. Repeated rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .shared import chunks, text_arrays
 
-#: Training documents of each language (a bound on average), symbols, and the fold that is never learned from.
-PER_LANGUAGE, ALPHABET, HELD_OUT_FOLD = 3000, 64, 2
+#: Training documents of each language (a bound on average), costs of the model, and the fold that is never learned from.
+PER_LANGUAGE, MOST_COSTS, HELD_OUT_FOLD = 3000, 1 << 23, 2
+#: Bits of a symbol (a byte, or START), and bytes that are coded at a time.
+BITS, START, PIECE = 9, 256, 1 << 19
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -38,102 +41,150 @@ def has_letter(text: bytes) -> bool:
     return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def grams(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each byte with the three before it, as one number; a text begins as if after three symbols 0."""
-    s = symbols.astype(np.int32)
-    starts = offsets[:-1][np.diff(offsets) > 0]
+def grams(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each byte with the three before it, as one number; ``first`` counts the bytes before it in its text, as far as three."""
+    s = data.astype(np.int64)
     key = s.copy()
     for back in (1, 2, 3):
-        shifted = np.zeros_like(s)
+        shifted = np.full(len(s), START, np.int64)
         shifted[back:] = s[:-back]
-        for k in range(back):
-            at = starts + k
-            shifted[at[at < len(s)]] = 0
-        # A text shorter than the context must not reach into its neighbour.
-        key += shifted << (6 * back)
+        key |= np.where(first >= back, shifted, START) << (BITS * back)
     return key
 
 
-def _symbols(frequency: np.ndarray) -> np.ndarray:
-    """Symbol of each byte: 1.. for the most frequent, 0 for all others."""
-    table = np.zeros(256, np.uint8)
-    best = np.lexsort((np.arange(256), -frequency))[: ALPHABET - 1]
-    best = best[frequency[best] > 0]
-    table[best] = np.arange(1, len(best) + 1)
-    return table
+def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, gram) of each byte, for PIECE bytes at a time."""
+    for a in range(0, len(data), PIECE):
+        b, back = min(a + PIECE, len(data)), min(a, 3)
+        at = np.arange(a - back, b)
+        row = np.searchsorted(offsets, at, "right") - 1
+        yield row[back:], grams(data[a - back : b], np.minimum(at - offsets[row], 3))[back:]
 
 
-def _count_grams(names: list[str], table: np.ndarray):
+def _count_grams(names: list[str]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_arrays(batch["text"])
             langs = np.array([names.index(x) for x in batch["lang"].to_pylist()], np.int64)
-            for a, b in chunks(offsets):
-                at = offsets[a : b + 1] - offsets[a]
-                key = grams(table[data[offsets[a] : offsets[b]]], at).astype(np.int64)
-                lang = np.repeat(langs[a:b], np.diff(at))
-                both, n = np.unique(lang << 24 | key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(n.astype(np.int64))], ["key", "n"])
+            for row, key in pieces(data, offsets):
+                both, n = np.unique(langs[row] << 4 * BITS | key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(both & MASK[4]), pa.array(both >> 4 * BITS), pa.array(n.astype(np.int64))], ["gram", "lang", "n"])
 
     return count
 
 
-def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256, np.int64)
-    for batch in batches:
-        total += np.bincount(text_arrays(batch["text"])[0], minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
+MASK = [(1 << BITS * k) - 1 for k in range(5)]
+
+
+class Rows:
+    """Row numbers of distinct keys, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, size = keys, 4
+        while 1 << size < 2 * len(keys):
+            size += 1
+        self.shift, self.slots = np.uint64(64 - size), np.full(1 << size, -1, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of several keys one stays
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = self._slot(keys)
+        out = self.slots[at].astype(np.int64)
+        left = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.slots) - 1)
+            out[left] = self.slots[at]
+            more = (out[left] >= 0) & (self.keys[out[left]] != keys[left])
+            left, at = left[more], at[more]
+        return out
 
 
 class Trees:
-    """Frozen code lengths: of seen four-symbol strings by row, of all shorter ones densely."""
-
-    def __init__(self, names: list[str], table: np.ndarray, key: np.ndarray, n: np.ndarray):
-        self.names, self.table = names, table
-        self.lang, self.gram, self.n = (key >> 24).astype(np.int64), key & 0xFFFFFF, n.astype(np.float64)
-
-    def build(self) -> Trees:
-        size, a = len(self.names), ALPHABET
-        cost = np.full((1, a, size), np.log2(a))  # the uniform code below the empty context
-        for order in range(4):
-            contexts = a**order
-            if order < 3:
-                count = np.zeros((contexts * a, size))
-                np.add.at(count, (self.gram % (contexts * a), self.lang), self.n)
-                count = count.reshape(contexts, a, size)
-                total, kinds = count.sum(1), (count > 0).sum(1)
-                lower = np.tile(cost, (a, 1, 1)) if order else np.broadcast_to(cost, (1, a, size))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-                    seen = -np.log2(count / (total + kinds)[:, None, :])
-                cost = np.where(count > 0, seen, escape[:, None, :] + lower)
-            else:
-                context = self.gram >> 6
-                total, kinds = np.zeros((contexts, size)), np.zeros((contexts, size))
-                np.add.at(total, (context, self.lang), self.n)
-                np.add.at(kinds, (context, self.lang), 1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    self.escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0).astype(np.float32)
-                self.lower = cost.reshape(-1, size).astype(np.float32)
-                seen = np.unique(self.gram)
-                self.row = np.full(a**4, -1, np.int32)
-                self.row[seen] = np.arange(len(seen))
-                self.cost = self.escape[seen >> 6] + self.lower[seen % a**3]
-                self.cost[self.row[self.gram], self.lang] = -np.log2(self.n / (total + kinds)[context, self.lang])
-        return self
+    """Frozen code lengths by language: of single bytes and pairs densely, of seen strings of three and four bytes by row."""
+
+    def __init__(self, names: list[str], gram: np.ndarray, lang: np.ndarray, n: np.ndarray):
+        size = len(names)
+        self.names = names
+        seen = np.unique(gram)
+        count = np.zeros((len(seen), size))
+        np.add.at(count, (np.searchsorted(seen, gram), lang), n)
+
+        def shorter(keys, count, order):
+            """Counts of the last ``order`` symbols."""
+            short, at = np.unique(keys & MASK[order], return_inverse=True)
+            out = np.zeros((len(short), size))
+            np.add.at(out, at, count)
+            return short, out
+
+        def contexts(keys, count):
+            """Context of each string, and by context the escape and the whole count with the number of followers."""
+            context, at = np.unique(keys >> BITS, return_inverse=True)
+            total, kinds = np.zeros((len(context), size)), np.zeros((len(context), size))
+            np.add.at(total, at, count)
+            np.add.at(kinds, at, count > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return context, at, np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0), total + kinds
+
+        def costs(count, at, escape, whole, below):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.where(count > 0, -np.log2(count / whole[at]), escape[at] + below)
+
+        levels = {4: (seen, count)}
+        for order in (3, 2, 1):
+            levels[order] = shorter(*levels[order + 1], order)
+        # Bytes and pairs: every one has a cost, seen or not.
+        keys, count = levels[1]
+        _, at, escape, whole = contexts(keys, count)
+        one = np.tile(8.0 + (escape[0] if len(escape) else np.zeros(size)), (START + 1, 1))
+        one[keys] = costs(count, at, escape, whole, 8.0)
+        keys, count = levels[2]
+        context, at, escape, whole = contexts(keys, count)
+        two = np.tile(one, (START + 1, 1, 1))
+        two[context] += escape[:, None, :]
+        two = np.concatenate([two, np.zeros((START + 1, (1 << BITS) - START - 1, size))], 1).reshape(-1, size)
+        two[keys] = costs(count, at, escape, whole, one[keys & MASK[1]])
+        keys, count = levels[3]
+        context, at, escape, whole = contexts(keys, count)
+        self.pair_escape = np.zeros(((START + 1) << BITS, size), np.float32)
+        self.pair_escape[context] = escape
+        three = costs(count, at, escape, whole, two[keys & MASK[2]])
+        self.three, self.three_cost, self.two_cost = Rows(keys), three.astype(np.float32), two.astype(np.float32)
+        short = keys
+        keys, count = levels[4]
+        context, at, escape, whole = contexts(keys, count)
+        self.context, self.escape = Rows(context), escape.astype(np.float32)
+        self.four, self.four_cost = Rows(keys), costs(count, at, escape, whole, three[np.searchsorted(short, keys & MASK[3])]).astype(np.float32)
+
+    def _rare(self, key: np.ndarray) -> np.ndarray:
+        """Costs of strings of four bytes that no language has seen."""
+        short = key & MASK[3]
+        row, context = self.three.find(short), self.context.find(key >> BITS)
+        out = self.pair_escape[short >> BITS] + self.two_cost[short & MASK[2]]
+        out[row >= 0] = self.three_cost[row[row >= 0]]
+        out[context >= 0] += self.escape[context[context >= 0]]
+        return out
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each text in each language."""
-        size = len(self.names)
-        key = grams(self.table[data], offsets)
-        row = self.row[key]
-        each = self.cost[row]
-        new = np.flatnonzero(row < 0)
-        each[new] = self.escape[key[new] >> 6] + self.lower[key[new] & 0x3FFFF]
-        sums = np.zeros((len(offsets) - 1, size))
-        full = np.diff(offsets) > 0
-        if full.any():
-            sums[full] = np.add.reduceat(each, offsets[:-1][full], axis=0, dtype=np.float64)
+        sums = np.zeros((len(offsets) - 1, len(self.names)))
+        for row, key in pieces(data, offsets):
+            at = self.four.find(key)
+            new = np.flatnonzero(at < 0)
+            each = self.four_cost[at] if len(self.four_cost) else np.zeros((len(key), len(self.names)), np.float32)
+            each[new] = self._rare(key[new])
+            begins = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            sums[row[begins]] += np.add.reduceat(each, begins, axis=0, dtype=np.float64)
         return sums
 
 
@@ -144,7 +195,7 @@ def _predict(shared):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.id not in _built:
             _built.clear()
-            _built[shared.id] = Trees(*shared.value).build() if shared.value[0] else None
+            _built[shared.id] = Trees(*shared.value) if shared.value[0] else None
         trees = _built[shared.id]
         for batch in batches:
             data, offsets = text_arrays(batch["text"])
@@ -165,23 +216,22 @@ def _predict(shared):
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Names, symbol table, and counted strings of the sampled training documents."""
+    """Names, and counted strings of the sampled training documents: the string, its language, and how often."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT_FOLD)).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(counts)
+    none = np.zeros(0, np.int64)
     if not names:
-        return [], np.zeros(256, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return [], none, none, none
     share = F.create_map(*[x for s in names for x in (F.lit(s), F.lit(min(1.0, per_language / counts[s])))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.where(draw < F.element_at(share, F.col("lang"))).select("text", "lang")
-    frequency = np.zeros(256, np.int64)
-    for r in sample.select("text").mapInArrow(_count_bytes, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        frequency[r["byte"]] = r["n"]
-    table = _symbols(frequency)
-    found = sample.mapInArrow(_count_grams(names, table), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    key, n = found["key"].to_numpy(), found["n"].to_numpy()
-    order = np.argsort(key)
-    return names, table, key[order], n[order]
+    found = sample.mapInArrow(_count_grams(names), "gram long, lang long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    whole = found.groupBy("gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
+    table = whole.orderBy(F.desc("total"), "gram").limit(MOST_COSTS // len(names)).select("gram", F.explode("by_lang").alias("x")).select("gram", "x.lang", "x.n").toArrow()
+    gram, lang, n = (table[c].to_numpy() for c in ("gram", "lang", "n"))
+    order = np.lexsort((lang, gram))
+    return names, gram[order], lang[order], n[order]
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

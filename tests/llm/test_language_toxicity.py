@@ -23,12 +23,6 @@ def corpus(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
 
 
-def costs(train, text):
-    """Code length of a text by partial matching, symbol by symbol."""
-    table, counts = train[1], [defaultdict(Counter) for _ in range(4)]
-    return table, counts, text
-
-
 def test_language(corpus):
     rows, df = corpus
     got = language.identify(df).collect()
@@ -42,23 +36,23 @@ def test_language(corpus):
     assert [by[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and by[903]["lang_pred"] == "fr" and by[904]["lang_pred"] != "und" and by[905]["lang_pred"] == "en"
 
 
-def test_code_lengths_against_brute_force(corpus):
+def test_code_lengths_against_brute_force(corpus, monkeypatch):
     rows, df = corpus
-    names, table, key, n = language.train(df)
-    trees = language.Trees(names, table, key, n).build()
-    a = language.ALPHABET
+    monkeypatch.setattr(language, "PIECE", 7)
+    names, gram, lang_of, n = language.train(df)
+    trees = language.Trees(names, gram, lang_of, n)
     counts = [[defaultdict(Counter) for _ in range(4)] for _ in names]
     for i, t, lang in rows:
         if lang is None or t is None or i is None or zlib.crc32(str(i).encode()) % 4 == 2:
             continue
-        s = [0, 0, 0, *(int(table[b]) for b in t.encode())]
+        s = [256, 256, 256, *t.encode()]
         for k in range(3, len(s)):
             for order in range(4):
                 counts[names.index(lang)][order][tuple(s[k - order : k])][s[k]] += 1
 
     def cost(tree, context, symbol):
         if context is None:
-            return math.log2(a)
+            return 8.0
         c = tree[len(context)].get(tuple(context))
         shorter = context[1:] if context else None
         if not c:
@@ -66,12 +60,12 @@ def test_code_lengths_against_brute_force(corpus):
         total, kinds = sum(c.values()), len(c)
         return -math.log2(c[symbol] / (total + kinds)) if symbol in c else -math.log2(kinds / (total + kinds)) + cost(tree, shorter, symbol)
 
-    texts = ["the house", "été à Zürich?", "größe", "", "xyz zzz"]
+    texts = ["the house", "été à Zürich?", "größe", "", "xyz zzz", "日本 \x00", "t", "th", "the"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
     bits = trees.bits(data, offsets)
     for row, t in enumerate(texts):
-        s = [0, 0, 0, *(int(table[b]) for b in t.encode())]
+        s = [256, 256, 256, *t.encode()]
         for k, tree in enumerate(counts):
             assert bits[row, k] == pytest.approx(sum(cost(tree, s[j - 3 : j], s[j]) for j in range(3, len(s))), rel=1e-4, abs=1e-3)
 
@@ -139,3 +133,21 @@ def test_label_model_recovers_rates():
     start = np.vstack([np.full(5, 0.5), np.full(5, 0.05)])
     post, found, together = toxicity.label_model(votes, start, 0.2)
     assert ((post > 0.5) == y).mean() > 0.93 and together[0, 4] > 0.95 and abs(found[0, 3] - 0.7) < 0.12
+
+
+def test_rows_by_open_addressing():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 36, 5000))
+    rows = language.Rows(keys)
+    assert rows.find(keys).tolist() == list(range(len(keys)))
+    other = np.setdiff1d(rng.integers(0, 1 << 36, 5000), keys)
+    assert (rows.find(other) == -1).all() and language.Rows(keys[:0]).find(other).tolist() == [-1] * len(other)
+
+
+def test_scripts_with_little_text_and_clashing_columns(spark):
+    """Bytes that one language alone has tell it, however few its documents are; other columns do not matter."""
+    rows = [(k, "the house of water " * 9, "en", "x", "y") for k in range(200)] + [(1000 + k, "дом и вода " * 3, "ru", "x", "y") for k in range(4)] + [(2000 + k, "בית ומים " * 3, "he", "x", "y") for k in range(4)]
+    rows += [(5000, "вода дом", None, "x", "y"), (5001, "ומים בית", None, "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string, Gram string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df).collect()}
+    assert got[5000] == "ru" and got[5001] == "he"
