@@ -33,21 +33,26 @@ RUN_ROWS = 500_000
 FAN_IN = 8
 RUN = "cell int, digest binary, n_bytes long, check long, keep_id long, keep_row long, group_size long"
 KEYS = ["digest", "n_bytes", "check"]
-NO_ID = 2**63 - 1
+#: Rows of a group from which its entry is broadcast to them: there are at most rows / HOT_GROUP such groups (100 bytes each).
+HOT_GROUP = 100_000
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def _tag(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, digest, n_bytes, check) of each row, written once: row tells repeated rows apart."""
-    flat = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), normalised(F.col(f"`{text_col}`")).alias("flat"))
-    return materialise(flat.select("doc_id", F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2("flat", 256)).alias("digest"), F.octet_length("flat").cast("long").alias("n_bytes"), F.xxhash64("flat").alias("check")))
+    """(doc_id, tag, row, digest, n_bytes, check) of each row, written once: row tells repeated rows apart, tag a document's texts."""
+    flat = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _tag(text_col).alias("tag"), normalised(F.col(f"`{text_col}`")).alias("flat"))
+    return materialise(flat.select("doc_id", "tag", F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2("flat", 256)).alias("digest"), F.octet_length("flat").cast("long").alias("n_bytes"), F.xxhash64("flat").alias("check")))
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """One entry for each key: the smallest (identifier, row) and the sum of counts; sorted by digest."""
+    """One entry for each key: the smallest (identifier, row), nulls last, and the sum of counts; sorted by digest."""
     order = pc.sort_indices(table, sort_keys=[(k, "ascending") for k in [*KEYS, "keep_id", "keep_row"]])
     table = table.take(order)
     first = np.ones(table.num_rows, bool)
@@ -126,22 +131,32 @@ def merge_tree(rows: DataFrame) -> DataFrame:
     levels = 1
     while FAN_IN**levels < partitions(spark):
         levels += 1
-    entry = rows.select(F.lit(0).alias("cell"), *KEYS, F.coalesce("doc_id", F.lit(NO_ID)).alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
+    entry = rows.select(F.lit(0).alias("cell"), *KEYS, F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
     runs = entry.mapInArrow(_first_runs(levels), RUN)
     for level in range(1, levels + 1):
         runs = runs.repartition(partitions(spark), "cell").sortWithinPartitions("cell", *KEYS).mapInArrow(_merge_runs(level, levels), RUN)
     return runs.drop("cell")
 
 
+def with_groups(rows: DataFrame) -> DataFrame:
+    """rows with the entry of their group, null where it has no other row. A hot group's rows do not meet in one task."""
+    groups = materialise(merge_tree(rows).where("group_size > 1"))
+    hot, cold = (groups.where(x) for x in (F.col("group_size") > HOT_GROUP, F.col("group_size") <= HOT_GROUP))
+    joined = rows.join(cold, KEYS, "left")
+    if hot.isEmpty():
+        return joined
+    found = rows.join(F.broadcast(hot), KEYS)
+    rest = rows.join(F.broadcast(hot.select(*KEYS)), KEYS, "left_anti")
+    return found.unionByName(rest.join(cold, KEYS, "left"))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = digests(docs, id_col, text_col)
-    groups = merge_tree(rows).where("group_size > 1")
-    joined = rows.join(groups, KEYS, "left")
+    joined = with_groups(digests(docs, id_col, text_col))
     alone = F.col("group_size").isNull()
     return joined.select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.nullif("keep_id", F.lit(NO_ID))).alias("keep_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
@@ -149,15 +164,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    rows = digests(docs, id_col, text_col)
-    groups = merge_tree(rows).where("group_size > 1")
-    marked = materialise(rows.join(groups, KEYS).select("doc_id", "digest", (F.col("row") == F.col("keep_row")).alias("kept")).groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
-    key, digest = plain_name(docs, "key_id"), plain_name(docs, "key_digest")
-    keyed = docs.withColumns({key: F.col(f"`{id_col}`").cast("long"), digest: F.unhex(F.sha2(normalised(F.col(f"`{text_col}`")), 256))})
-    lost = marked.where("not kept").select(F.col("doc_id").alias(key), F.col("digest").alias(digest))
-    same = keyed[key].eqNullSafe(lost[key]) & (keyed[digest] == lost[digest])
-    kept = keyed.join(lost, same, "left_anti")
+    """The rows of docs that stay, with all their columns. Rows are lost by id and text; of rows equal in both one stays."""
+    rows = with_groups(digests(docs, id_col, text_col)).where("group_size is not null")
+    marked = materialise(rows.groupBy("doc_id", "tag").agg(F.max(F.col("row") == F.col("keep_row")).alias("kept"), F.count("*").alias("n")))
+    key, tag = plain_name(docs, "key_id"), plain_name(docs, "key_tag")
+    keyed = docs.withColumns({key: F.col(f"`{id_col}`").cast("long"), tag: _tag(text_col)})
+    lost = marked.where("not kept").select(F.col("doc_id").alias(key), F.col("tag").alias(tag))
+    kept = keyed.join(lost, keyed[key].eqNullSafe(lost[key]) & (keyed[tag] == lost[tag]), "left_anti")
     if not marked.where("kept and n > 1").isEmpty():
-        kept = kept.dropDuplicates([key, digest])
-    return kept.drop(key, digest)
+        kept = kept.dropDuplicates([key, tag])
+    return kept.drop(key, tag)

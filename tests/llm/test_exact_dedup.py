@@ -37,3 +37,15 @@ def test_repeated_rows_keep_one(docs):
 
 def test_empty(docs):
     assert exact_dedup.exact_duplicates(docs([])).count() == exact_dedup.drop_copies(docs([])).count() == 0
+
+
+def test_hot_groups_and_largest_id(docs, monkeypatch):
+    """Entries of hot groups are broadcast; the largest number is an id like others, and null ids come after it."""
+    monkeypatch.setattr(exact_dedup, "HOT_GROUP", 3)
+    big = 2**63 - 1
+    rows = [(k, "hot  text") for k in range(20, 40)] + [(big, "b"), (None, "b"), (None, "c"), (None, "c"), (big, "c"), (1, "alone")]
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(docs(rows)).collect()), key=str)
+    want = [(k, 20, 20, k == 20) for k in range(20, 40)] + [(big, big, 2, True), (None, big, 2, False), (None, big, 3, False), (None, big, 3, False), (big, big, 3, True), (1, 1, 1, True)]
+    assert got == sorted(want, key=str)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in exact_dedup.drop_copies(docs(rows)).collect())
+    assert kept == sorted([("20", "hot  text"), (str(big), "b"), (str(big), "c"), ("1", "alone")])
