@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, partitions, plain_name
+from .shared import materialise, partitions, plain_name, tidy
 
 #: Entries of one run before merging.
 RUN_ROWS = 500_000
@@ -80,6 +80,7 @@ def _goes_to(table: pa.Table, cell: np.ndarray, level: int, levels: int) -> pa.R
 
 
 def _first_runs(levels: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -105,6 +106,7 @@ def _first_runs(levels: int):
 def _merge_runs(level: int, levels: int):
     """Sweeps rows sorted by cell and key; what may continue in the next batch is held back, one entry at most."""
 
+    @tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 

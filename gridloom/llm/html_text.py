@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 #: Depth of the tree beyond which elements are read as siblings.
 MOST_DEPTH = 200
 #: Fixed values of HTML.
@@ -322,6 +324,7 @@ def extract(page: str | None) -> str:
     return "\n".join(lines_of(builder.root, 0)).strip("\n")
 
 
+@tidy
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import sys
 

@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import chunks, lower, materialise, mix, partitions, plain_name, shingles, text_arrays, word_hashes, words
+from .shared import chunks, lower, materialise, mix, partitions, plain_name, shingles, text_arrays, tidy, word_hashes, words
 
 #: Words of a shingle, coordinates of a point, children of a tree node.
 WORDS, GROUPS, LEAF = 5, 64, 16
 #: Classes and shingles of a place, or of a block of it, that one task compares. These decide who does the work, not what is compared.
 PLACE_ROWS, PLACE_SHINGLES = 4096, 2_000_000
 #: Couples that a task joins before sending them on, pairs and shingles that it verifies at a time.
-BLOCK_COUPLES, PAIRS, COLUMNS = 1_000_000, 1 << 16, 1 << 14
+BLOCK_COUPLES, PAIRS, COLUMNS = 1 << 18, 1 << 16, 1 << 14
 #: Documents sampled (a share, and at least so many) to learn which shingles are frequent, sampled documents that make one frequent, and the most of these kept (32 MB).
 SAMPLE_SHARE, SAMPLED, OFTEN, MOST_OFTEN = 1 / 16, 20_000, 16, 4_000_000
 _U = np.uint64
@@ -75,11 +75,23 @@ def name_of(items: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+@tidy
 def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+
+    def flush():
+        keys, times = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], ["h", "n"])
+
     for batch in batches:
-        found = list(sets_of(batch["text"]))
-        keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+        for items in sets_of(batch["text"]):
+            held.append(items)
+            n += len(items)
+            if n >= BLOCK_COUPLES:
+                yield flush()
+                held, n = [], 0
+    if n:
+        yield flush()
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
@@ -127,6 +139,7 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _entries(shared):
+    @tidy
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, held, seen, n = shared.value, [], set(), 0
 
@@ -162,6 +175,7 @@ def _entries(shared):
     return entries
 
 
+@tidy
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (kind, h): the classes of a couple meet its first one; other rows pass."""
     last: tuple | None = None  # couple and first class of the run that may go on
@@ -182,15 +196,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(one), np.int32)), pa.array(one), pa.array(two), pa.nulls(len(one), pa.binary())], ["kind", "name", "hub", "doc"])
 
 
+@tidy
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         none, doc, tag, n = np.frombuffer(b"".join(batch["doc"].to_pylist()), np.int64).reshape(-1, 4).T
         yield pa.RecordBatch.from_arrays([pa.array(doc.copy(), mask=none.astype(bool)), pa.array(tag.copy()), pa.array(n.copy()), batch["name"]], ["doc_id", "tag", "n", "name"])
 
 
+@tidy
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.drop_columns(["text"]).append_column("items", pa.array([x.tobytes() for x in sets_of(batch["text"])], pa.binary()))
+    for whole in batches:
+        for k in range(0, whole.num_rows, 1000):
+            batch = whole.slice(k, 1000)
+            yield batch.drop_columns(["text"]).append_column("items", pa.array([x.tobytes() for x in sets_of(batch["text"])], pa.binary()))
 
 
 def point_of(items: np.ndarray) -> np.ndarray:
@@ -305,6 +323,7 @@ def _linked(name: np.ndarray, copies: np.ndarray, side: np.ndarray | None, sets:
     return name[root], links
 
 
+@tidy
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (root, i, j, side, name): one row for each class of each pair of blocks."""
     held: list[tuple] = []

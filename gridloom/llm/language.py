@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, text_arrays
+from .shared import chunks, text_arrays, tidy
 
 #: Training documents of each language (a bound on average), costs of the model, and the fold that is never learned from.
 PER_LANGUAGE, MOST_COSTS, HELD_OUT_FOLD = 3000, 1 << 23, 2
@@ -62,6 +62,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def _count_grams(names: list[str]):
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_arrays(batch["text"])
@@ -192,6 +193,7 @@ _built: dict[int, Trees] = {}
 
 
 def _predict(shared):
+    @tidy
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.id not in _built:
             _built.clear()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, materialise, shingles, text_arrays, word_hashes, words
+from .shared import chunks, materialise, shingles, text_arrays, tidy, word_hashes, words
 
 #: Hash buckets of the n-grams, pseudo-count of each bucket (n-grams of the raw corpus), and the least mean log ratio (nats per n-gram) of a kept document.
 BUCKETS, PSEUDO, THRESHOLD = 1 << 16, 20.0, -0.12
@@ -92,6 +92,7 @@ def base_counts(part: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.n
 
 
 def _counter(buckets: int, trusted: bool):
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
@@ -128,6 +129,7 @@ def smoothed(good: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def _judge(ratio, threshold: float):
+    @tidy
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ratio.value
         for batch in batches:
@@ -161,6 +163,7 @@ def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshol
 def _filter(ratio, threshold: float):
     judge = _judge(ratio, threshold)
 
+    @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             verdict = next(judge(iter([batch.select(["text"])])))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Prefix, chunks, materialise, mix, partitions, text_arrays
+from .shared import Prefix, chunks, materialise, mix, partitions, text_arrays, tidy
 
 #: Bytes of a repeated string, bytes of the sampled names, bytes on either side that a string around a sampled one may reach.
 LENGTH, GRAM = 100, 32
@@ -114,6 +114,7 @@ def _merge(doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, hi: np.ndarray):
     return doc[first], tag[first], lo[first], np.maximum.reduceat(hi, first)
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
 
@@ -155,6 +156,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+@tidy
 def _round_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (gram, context, doc, at). Out: kind 1 spans to remove, kind 2 positions for round two."""
     held: list[np.ndarray] | None = None
@@ -229,6 +231,7 @@ def solve_long(solve, held):
     return [*out, _rows(2, gram[new], 0, doc[new], at[new], 0)]
 
 
+@tidy
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their probes become rows for round two: whole contexts, or single strings of hot names."""
     schema = ["kind", "key", "doc", "at", "left", "bytes"]
@@ -259,6 +262,7 @@ def _probe_rows(out, schema):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], schema)
 
 
+@tidy
 def _round_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (kind, key, doc, at): of equal strings all but the first are spans to remove."""
     held: list[pa.RecordBatch] = []
@@ -342,6 +346,7 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, byt
     return sum(hi - lo for lo, hi in merged), len(merged), b"".join(kept)
 
 
+@tidy
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []

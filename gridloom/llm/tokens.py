@@ -21,7 +21,7 @@ from .shared import Prefix, chunks, text_arrays
 #: Entries of a worker's piece table, after which it starts anew.
 MOST_PIECES = 1_200_000
 #: Bytes that are cut and looked up together.
-LOOK_UP_BYTES = 4 << 20
+LOOK_UP_BYTES = 1 << 20
 
 
 @functools.cache

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import HELD_OUT_FOLD, fold
-from .shared import Prefix, chunks, lower, materialise, text_arrays
+from .shared import Prefix, chunks, lower, materialise, text_arrays, tidy
 
 #: Labelled documents used, voters, features of the classifier, fewest toxic documents with a pattern, score of a toxic verdict.
 MOST_LABELLED, VOTERS, FEATURES, LEAST, THRESHOLD = 40_000, 384, 4096, 5, 0.3
@@ -64,6 +64,7 @@ def patterns(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _count(wanted):
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_arrays(batch["text"])
@@ -84,6 +85,7 @@ def _member(table: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _features(wanted):
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value
         for batch in batches:
@@ -208,6 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
 
 
 def _score(model):
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, w, bias = model.value
         for batch in batches:
