@@ -39,17 +39,6 @@ def nextpart(spark, sf_dir) -> DataFrame:
     return n.where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def vectors(spark, sf_dir, most: int = 100) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < most)
-
-
-def vector_pairs(spark, sf_dir) -> DataFrame:
-    """Pairs of a hundred vectors with vectors of higher id: the query set is fixed, the table is not."""
-    few = vectors(spark, sf_dir).select(F.col("vec_id").alias("i"), F.col("embedding").alias("a"))
-    every = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("j"), F.col("embedding").alias("b"))
-    return every.join(F.broadcast(few), F.col("i") < F.col("j"))
-
-
 @query("net_props", TRADE + """ SELECT (SELECT count(*) FROM (SELECT src FROM trade UNION SELECT dst FROM trade)) AS n, count(*) AS m, CAST(sum(w) AS BIGINT) AS total, count(*) FILTER (src = dst) AS loops, max(w) AS max_w,
   round_even(count(*) / (25.0 * 24), 6) AS density FROM trade""")
 def net_props(spark, sf_dir):
@@ -256,34 +245,69 @@ def net_mask_zeros(spark, sf_dir):
     return cells(spark, sf_dir).select("src", "dst", (F.col("w") == 0).alias("masked"))
 
 
-@query("net_noise")
+def _drawn(seed: int, *key: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(key)})), 1, 15) AS BIGINT)"
+
+
+def _non_edges(edges: str, n: str, seed: int) -> str:
+    """CTEs ids, free: the first n drawn pairs of NEXT's nodes without an edge (its loops are none)."""
+    return f""", ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS c FROM (SELECT src AS id FROM nxt UNION SELECT dst FROM nxt)),
+k AS (SELECT {n} AS n, (SELECT max(c) FROM ids) AS c),
+t AS (SELECT unnest(range(4 * n + 64)) AS t, c FROM k),
+pq AS (SELECT p, q, min(t) AS t FROM (SELECT t, {_drawn(seed, 't', "'p'")} % c AS p, {_drawn(seed, 't', "'q'")} % c AS q FROM t) WHERE p <> q GROUP BY p, q),
+free AS (SELECT src, dst FROM (SELECT t, a.id AS src, b.id AS dst FROM pq JOIN ids a ON p = a.place JOIN ids b ON q = b.place) ANTI JOIN {edges} USING (src, dst) ORDER BY t LIMIT (SELECT n FROM k))"""
+
+
+@query("net_noise", NEXT + _non_edges("nxt", "2 * CAST(floor((SELECT count(*) FROM nxt) * 0.05) AS BIGINT)", 1) + f""", d AS (SELECT src, dst, w - CASE WHEN row_number() OVER (ORDER BY {DRAW}, src, dst) <= CAST(floor((SELECT count(*) FROM nxt) * 0.05) AS BIGINT) THEN 1 ELSE 0 END AS w FROM nxt)
+SELECT src, dst, w FROM d WHERE w > 0 UNION ALL SELECT src, dst, 1 FROM free""")
 def net_noise(spark, sf_dir):
     return graph.add_noise(nextpart(spark, sf_dir), 0.05)
 
 
-@query("net_minibatch")
-def net_minibatch(spark, sf_dir):
-    return graph.minibatches(nextpart(spark, sf_dir), 10, 5)
+@query("net_full_split", NEXT + _non_edges("nxt", "CAST(floor(CAST(floor((SELECT count(*) FROM nxt) * (0.2 * 1.5)) AS BIGINT) * 0.5) AS BIGINT)", 1) + f""", d AS (SELECT *, row_number() OVER (ORDER BY {DRAW}, src, dst) <= CAST(floor((SELECT count(*) FROM nxt) * (0.2 * 1.5)) AS BIGINT) AS held FROM nxt),
+r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '2', src, dst)), src, dst) AS k, count(*) OVER () AS n FROM d WHERE NOT held)
+SELECT src, dst, w, 'test' AS part FROM d WHERE held UNION ALL SELECT src, dst, 0, 'test' FROM free UNION ALL SELECT src, dst, w, CASE WHEN k <= CAST(floor(n - 0.8 * n) AS BIGINT) THEN 'gone' ELSE 'train' END FROM r""")
+def net_full_split(spark, sf_dir):
+    return graph.full_split(nextpart(spark, sf_dir), 20, 50, 0.5, 80)
+
+
+@query("net_inverted", NEXT + f" SELECT src, dst, w, row_number() OVER (ORDER BY {DRAW}, src, dst) > CAST(floor((SELECT count(*) FROM nxt) * 0.2) AS BIGINT) AS is_test FROM nxt")
+def net_inverted(spark, sf_dir):
+    return graph.inverted(graph.test_split(nextpart(spark, sf_dir), 0.2)).select("src", "dst", "w", "is_test")
+
+
+def _minibatch_sql(sparse: bool) -> str:
+    zero, link = ("(n - degree - 1) * 10", "n * degree") if sparse else ("3 * 10", "n * 3")
+    return NEXT + f""", ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM (SELECT src AS id FROM nxt UNION SELECT dst FROM nxt)),
+u AS (SELECT batch, n, {_drawn(0, 'batch', "'node'")} % n AS place, ({_drawn(0, 'batch', "'set'")} % 1000000) / 1e6 AS u FROM (SELECT unnest(range(40)) AS batch, (SELECT max(n) FROM ids) AS n)),
+s AS (SELECT batch, u.n, id AS node, unnest(CASE WHEN u < 0.5 THEN ['zeros out', 'zeros in'] WHEN u < 0.75 THEN ['out'] ELSE ['in'] END) AS part FROM u JOIN ids USING (place)),
+ends AS (SELECT src AS node, 'out' AS way, dst AS other, w FROM nxt UNION ALL SELECT dst, 'in', src, w FROM nxt),
+l AS (SELECT batch, n, part, node, way, other, w FROM (SELECT *, replace(part, 'zeros ', '') AS way FROM s) JOIN ends USING (node, way)),
+g AS (SELECT batch, n, part, way, node, count(*) AS degree FROM l GROUP BY ALL),
+f AS (SELECT batch, part, way, node, id AS other, 0 AS w FROM g, ids WHERE part LIKE 'zeros%' AND id <> node AND {_drawn(0, 'batch', 'part', 'id')} % 10 = 0),
+seen AS (SELECT batch, part, way, node, other, w FROM l WHERE part NOT LIKE 'zeros%' UNION ALL SELECT batch, part, way, node, other, w FROM f ANTI JOIN ends USING (node, way, other))
+SELECT batch, part, 'scale' AS kind, node AS src, NULL AS dst, CAST(CASE WHEN part LIKE 'zeros%' THEN {zero} ELSE {link} END AS DOUBLE) AS w FROM g
+UNION ALL SELECT batch, part, 'edge', CASE WHEN way = 'out' THEN node ELSE other END, CASE WHEN way = 'out' THEN other ELSE node END, CAST(w AS DOUBLE) FROM seen"""
+
+
+for _name, _flag in (("net_minibatch", False), ("net_minibatch_sparse", True)):
+    query(_name, _minibatch_sql(_flag))(lambda spark, sf_dir, flag=_flag: graph.minibatches(nextpart(spark, sf_dir), 40, sparse=flag))
 
 
 @query(
     "net_components",
     """
-WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_partkey + 10000000000 AS b FROM lineitem WHERE l_quantity <= 2 AND l_discount < 0.03),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT DISTINCT a AS id, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON r.id = u.a)
-SELECT id, min(c) AS component FROM r GROUP BY id""",
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_partkey + 10000000000 AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, component) USING KEY (id) AS (
+  SELECT DISTINCT a, a FROM u
+  UNION SELECT * FROM (SELECT u.b AS id, min(r.component) AS component FROM r JOIN u ON r.id = u.a GROUP BY u.b) n WHERE component < (SELECT o.component FROM recurring.r o WHERE o.id = n.id))
+SELECT id, component FROM r""",
 )
-def net_components(spark, sf_dir, where: str = "l_quantity <= 2 and l_discount < 0.03"):
-    edges = table(spark, sf_dir, "lineitem").where(where).select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 10_000_000_000).alias("dst")).distinct()
+def net_components(spark, sf_dir):
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 10_000_000_000).alias("dst")).distinct()
     return graph.components(edges)
 
 
-@query("net_components_whole")
-def net_components_whole(spark, sf_dir):
-    return net_components(spark, sf_dir, "true")
-
-
 @query(
     "net_diameter",
     TRADE.replace("WITH trade", "WITH RECURSIVE trade") + """, u AS (SELECT src AS a, dst AS b FROM trade WHERE src <> dst UNION SELECT dst, src FROM trade WHERE src <> dst),
@@ -328,33 +352,98 @@ def net_dot(spark, sf_dir):
     return graph.to_dot(trade(spark, sf_dir))
 
 
-PAIRS = "WITH p AS (SELECT a.vec_id AS i, b.vec_id AS j, CAST(a.embedding AS DOUBLE[]) AS a, CAST(b.embedding AS DOUBLE[]) AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 100)"
+#: Queries: every vector whose id 20 divides, against all others of the table.
+PAIRS = "WITH p AS (SELECT a.vec_id AS i, b.vec_id AS j, CAST(a.embedding AS DOUBLE[]) AS a, CAST(b.embedding AS DOUBLE[]) AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+def vector_pairs(spark, sf_dir) -> DataFrame:
+    """(i, a, j, b) of the query set and all other vectors, for likenesses that are no product of matrices."""
+    rows = vectors(spark, sf_dir)
+    few = rows.where("id % 20 = 0").select(F.col("id").alias("i"), F.col("v").alias("a"))
+    return few.join(rows.select(F.col("id").alias("j"), F.col("v").alias("b")), F.col("i") != F.col("j"))
+
+
+for _how, _expr in (("dot", "round_even(list_inner_product(a, b), 5)"), ("cos", "round_even(list_cosine_similarity(a, b), 5)"), ("euclid", "CAST(list_distance(a, b) <= 5.0 AS DOUBLE)")):
+    query(f"sim_{_how}", PAIRS + f" SELECT i, j, {_expr} AS similarity FROM p")(
+        lambda spark, sf_dir, how=_how: graph.similarity_matrix((v := vectors(spark, sf_dir).select("id", "v")).where("id % 20 = 0"), v, how, 5.0).withColumn("similarity", F.bround("similarity", 5))
+    )
+
 
-for _how, _expr in (("dot", "list_inner_product(a, b)"), ("cos", "list_cosine_similarity(a, b)")):
-    query(f"sim_{_how}", PAIRS + f" SELECT i, j, round_even({_expr}, 5) AS similarity FROM p")(
-        lambda spark, sf_dir, how=_how: graph.similarity(vector_pairs(spark, sf_dir), how).select("i", "j", F.bround("similarity", 5).alias("similarity"))
+for _how, _cond in (("old", "list_distance(a, b) <= 2.0 * 10 / 4"), ("abs", "abs(a[1] - b[1]) <= 5.0 OR abs(a[2] - b[2]) <= 5.0"), ("dist", "sqrt(2.0) * abs(a[1] - b[1]) <= 0.5")):
+    query(f"sim_near_{_how}", PAIRS + f" SELECT i, j, CAST(CASE WHEN {_cond} THEN 1 ELSE -1 END AS DOUBLE) AS similarity FROM p")(
+        lambda spark, sf_dir, how=_how: graph.near_similarity(vector_pairs(spark, sf_dir), 1.0 if how == "dist" else 10.0, 4, how).select("i", "j", "similarity")
     )
 
 
-@query("sim_euclid", PAIRS + " SELECT i, j, CAST(list_distance(a, b) <= 5.0 AS DOUBLE) AS similarity FROM p WHERE abs(list_distance(a, b) - 5.0) > 1e-6")
-def sim_euclid(spark, sf_dir):
-    near = graph.similarity(vector_pairs(spark, sf_dir), "euclid", 5.0)
-    d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    return near.where(F.abs(d - 5.0) > 1e-6).select("i", "j", "similarity")
+@query("sim_cluster", "SELECT a.vec_id AS i, b.vec_id AS j, CAST(CASE WHEN a.label = b.label THEN 1 ELSE -1 END AS DOUBLE) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0")
+def sim_cluster(spark, sf_dir):
+    clusters = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
+    return graph.cluster_similarity(vector_pairs(spark, sf_dir).select("i", "j"), clusters).select("i", "j", "similarity")
+
+
+NEAR = NEXT + ", e AS (SELECT src % 500 AS src, dst % 500 AS dst, CAST(sum(w) AS BIGINT) AS w FROM nxt GROUP BY ALL)"
+
+
+@query("net_edge_similarity", NEAR + " SELECT src, dst, w, round_even(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM e JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst")
+def net_edge_similarity(spark, sf_dir):
+    edges = nextpart(spark, sf_dir).groupBy((F.col("src") % 500).alias("src"), (F.col("dst") % 500).alias("dst")).agg(F.sum("w").alias("w"))
+    return graph.edge_similarity(edges, vectors(spark, sf_dir).select("id", "v")).select("src", "dst", "w", F.bround("similarity", 6).alias("similarity"))
+
+
+@query("net_sparse_setup", NEXT + ", f AS (SELECT bool_or(m.src IS NULL) AND bool_or(a.src > a.dst) AND bool_or(a.src < a.dst) AS directed FROM nxt a LEFT JOIN nxt m ON a.src = m.dst AND a.dst = m.src WHERE a.src <> a.dst) SELECT src, dst, 2 * w + 2 AS w, directed FROM nxt, f WHERE src <> dst")
+def net_sparse_setup(spark, sf_dir):
+    edges, directed = graph.sparse_setup(nextpart(spark, sf_dir), shift="linear_2")
+    return edges.withColumn("directed", F.lit(directed))
+
 
+@query("net_dense_setup", CELLS + " SELECT src, dst, CAST(w <> 0 AS BIGINT) AS w FROM c")
+def net_dense_setup(spark, sf_dir):
+    return graph.dense_setup(cells(spark, sf_dir))
 
-def _whole_similarity(how: str):
-    """Every vector whose id 20 divides, with all others of the table."""
 
-    def run(spark, sf_dir):
-        rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-        return graph.similarity_matrix(rows.where("id % 20 = 0"), rows, how, 5.0).withColumn("similarity", F.bround("similarity", 5))
+@query("net_from_matrix", TRADE + " SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(w) AS w, false AS directed FROM trade GROUP BY ALL")
+def net_from_matrix(spark, sf_dir):
+    t = trade(spark, sf_dir)
+    both = t.union(t.select("dst", "src", "w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
+    edges, directed = graph.from_matrix(both)
+    return edges.withColumn("directed", F.lit(directed))
 
-    return run
 
+@query("net_without_vertices", NEXT + DEGREES + ", k AS (SELECT id FROM d WHERE degree >= 4) SELECT src, dst, w FROM nxt SEMI JOIN k a ON src = a.id SEMI JOIN k b ON dst = b.id")
+def net_without_vertices(spark, sf_dir):
+    return graph.without_vertices(nextpart(spark, sf_dir), 4)
 
-for _how in ("dot", "cos", "euclid"):
-    query(f"sim_{_how}_whole")(_whole_similarity(_how))
+
+@query("net_updated", PARTS + ", ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT src AS id FROM parts UNION SELECT dst FROM parts)) SELECT k AS id, p_size AS cluster FROM part JOIN ids ON p_partkey = ids.id")
+def net_updated(spark, sf_dir):
+    _, vertices = graph.updated(partsupp(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("cluster")))
+    return vertices.select("id", "cluster")
+
+
+@query("net_configured", NEXT + f""", x AS (SELECT src, dst, CAST(least(pow(2, w), 300) AS BIGINT) AS w FROM nxt),
+k AS (SELECT id FROM (SELECT src AS id FROM x UNION SELECT dst FROM x) ORDER BY id LIMIT 150), s AS (SELECT src, dst, w FROM x SEMI JOIN k a ON src = a.id SEMI JOIN k b ON dst = b.id)
+SELECT src, dst, w, row_number() OVER (ORDER BY {DRAW}, src, dst) <= CAST(floor((SELECT count(*) FROM s) * 0.2) AS BIGINT) AS is_test FROM s""")
+def net_configured(spark, sf_dir):
+    return graph.configured(nextpart(spark, sf_dir), exponentiate=True, n=150, test_percent=20).select("src", "dst", "w", "is_test")
+
+
+@query("net_annealing_degree", TRADE + " SELECT id, CAST(sum(w) AS BIGINT) AS degree FROM (SELECT src AS id, w FROM trade UNION ALL SELECT dst, w FROM trade WHERE src <> dst) GROUP BY id")
+def net_annealing_degree(spark, sf_dir):
+    return stats.annealing_degree(trade(spark, sf_dir))
+
+
+@query("net_annealed_bounds")
+def net_annealed_bounds(spark, sf_dir):
+    return stats.annealed(trade(spark, sf_dir).withColumn("g", F.lit(0)), "g", 2, bounds=True)
+
+
+@query("stat_ami")
+def stat_ami(spark, sf_dir):
+    return graph.adjusted_mutual_information(table(spark, sf_dir, "part").select(F.col("p_size").alias("a"), F.col("p_brand").alias("b")))
 
 
 MASKED = CELLS + f", k AS (SELECT src, dst, w, src = dst OR (src <> dst AND row_number() OVER (PARTITION BY src = dst ORDER BY {DRAW}, src, dst) <= CAST(floor((SELECT count(*) FROM c) * 0.3) AS BIGINT)) AS masked FROM c)"
@@ -379,6 +468,14 @@ def net_signed(spark, sf_dir):
     return graph.signed(masked(spark, sf_dir))
 
 
-@query("net_predict_masked")
+@query("net_predict_masked", MASKED + """, p AS (SELECT w, CAST((CAST('0x' || substr(md5('0|' || src || '|' || dst), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 < 0.4 AS INT) AS y FROM k WHERE masked),
+n AS (SELECT count(*) FILTER (w = 1 AND y = 1) AS tp, count(*) FILTER (w <> 1 AND y = 1) AS fp, count(*) FILTER (w = 1 AND y <> 1) AS fn, count(*) FILTER (w <> 1 AND y <> 1) AS tn FROM p)
+SELECT tp, fp, fn, tn, tp / (tp + fp) AS prec, tp / (tp + fn) AS rec, (tp + tn) / (tp + fp + fn + tn) AS accuracy, (tp + fn) / (tp + fp + fn + tn) AS density FROM n""")
 def net_predict_masked(spark, sf_dir):
     return stats.confusion(graph.predict_masked(masked(spark, sf_dir), F.lit(0.4)), "w", "predicted")
+
+
+@query("net_mask_symmetric", CELLS + """, p AS (SELECT a, b, row_number() OVER (ORDER BY md5(concat_ws('|', '0', a, b)), a, b) <= CAST(floor((SELECT count(*) FROM c) * 0.3) AS BIGINT) // 2 AS hit FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM c WHERE src <> dst))
+SELECT src, dst, w, coalesce(hit, true) AS masked FROM c LEFT JOIN p ON a = least(src, dst) AND b = greatest(src, dst)""")
+def net_mask_symmetric(spark, sf_dir):
+    return graph.random_mask(cells(spark, sf_dir), 0.3, symmetric=True).select("src", "dst", "w", "masked")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import results
-from . import query, sql, table
+from . import query, table
 
 EVENTS = "WITH e AS (SELECT event_id, user_id, user_id % 10 AS x, event_type AS y, CAST(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) % 5 AS BIGINT) AS rep, value, ts FROM events)"
+#: The mean by a decimal sum: the same whatever the order of rows.
+EXACT = "CAST(sum(CAST({0} AS DECIMAL(24,12))) AS DOUBLE) / count({0})"
+MEAN = EXACT.format("value")
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -16,44 +19,40 @@ def events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("user_id") % 10).alias("x"), F.col("event_type").alias("y"), (day % 5).cast("long").alias("rep"), "value", "ts")
 
 
-@query("table_pivot_mean", EVENTS + " SELECT x, " + ", ".join(f"round_even(avg(CASE WHEN y = '{t}' THEN value END), 6) AS {t}" for t in TYPES) + " FROM e GROUP BY x")
+@query("table_pivot_mean", EVENTS + " SELECT x, " + ", ".join(f"round_even({EXACT.format(f"CASE WHEN y = '{t}' THEN value END")}, 6) AS {t}" for t in TYPES) + " FROM e GROUP BY x")
 def table_pivot_mean(spark, sf_dir):
-    t = results.pivot(events(spark, sf_dir), "x", "y", "value", values=TYPES)
-    return t.select("x", *[F.bround(c, 6).alias(c) for c in TYPES])
+    t = results.pivot(events(spark, sf_dir), "x", "y", "value", how=results.exact_mean, values=TYPES)
+    return t.select("x", *[F.bround(c, 6).cast("double").alias(c) for c in TYPES])
 
 
-for _how, _sql in (("mean", "avg"), ("rmax", "max"), ("rmin", "min")):
+for _how, _sql in (("mean", EXACT.format("v")), ("rmax", "CAST(max(v) AS DOUBLE)"), ("rmin", "CAST(min(v) AS DOUBLE)")):
     query(
         {"mean": "table_repeat_mean_std"}.get(_how, f"table_{_how}"),
-        EVENTS + f", r AS (SELECT x, y, rep, avg(value) AS v FROM e GROUP BY ALL) SELECT x, y, round_even({_sql}(v), 3) AS v, round_even(stddev_pop(v), 2) AS std FROM r GROUP BY x, y",
-    )(lambda spark, sf_dir, how=_how: results.over_repeats(events(spark, sf_dir).groupBy("x", "y", "rep").agg(F.avg("value").alias("v")), ["x", "y"], "v", how))
+        EVENTS + f", r AS (SELECT x, y, rep, CAST({MEAN} AS DECIMAL(24,12)) AS v FROM e GROUP BY ALL) SELECT x, y, round_even({_sql}, 3) AS v, round_even(stddev_pop(v), 2) AS std FROM r GROUP BY x, y",
+    )(lambda spark, sf_dir, how=_how: results.over_repeats(events(spark, sf_dir).groupBy("x", "y", "rep").agg(results.exact_mean("value").alias("v")), ["x", "y"], "v", how))
 
 
-@query("table_highlight", EVENTS + ", c AS (SELECT x, y, round_even(avg(value), 3) AS v FROM e GROUP BY x, y) SELECT x, y, v, row_number() OVER (PARTITION BY x ORDER BY v DESC, y) = 1 AS best FROM c")
+@query("table_highlight", EVENTS + ", c AS (SELECT x, y, round_even(" + MEAN + ", 3) AS v FROM e GROUP BY x, y) SELECT x, y, v, row_number() OVER (PARTITION BY x ORDER BY v DESC, y) = 1 AS best FROM c")
 def table_highlight(spark, sf_dir):
-    cells = events(spark, sf_dir).groupBy("x", "y").agg(F.bround(F.avg("value"), 3).alias("v"))
+    cells = events(spark, sf_dir).groupBy("x", "y").agg(F.bround(results.exact_mean("value"), 3).cast("double").alias("v"))
     return results.best(cells, "x", "y", "v")
 
 
-@query("table_merge", EVENTS + " SELECT x, rep || '|' || y AS header, round_even(avg(value), 6) AS v FROM e GROUP BY x, rep, y")
+@query("table_merge", EVENTS + " SELECT x, rep || '|' || y AS header, round_even(" + MEAN + ", 6) AS v FROM e GROUP BY x, rep, y")
 def table_merge(spark, sf_dir):
-    cells = events(spark, sf_dir).groupBy("x", "y", F.col("rep").cast("string").alias("g")).agg(F.bround(F.avg("value"), 6).alias("v"))
+    cells = events(spark, sf_dir).groupBy("x", "y", F.col("rep").cast("string").alias("g")).agg(F.bround(results.exact_mean("value"), 6).cast("double").alias("v"))
     return results.merged(cells, "g", "x", "y", "v")
 
 
 @query(
     "cube_nd",
-    EVENTS + """, b AS (SELECT user_id % 50 AS u, y, rep, value FROM e WHERE event_id % 7 < 5)
-SELECT u, y, rep, round_even(v, 6) AS value FROM (SELECT * FROM (SELECT DISTINCT u FROM b), (SELECT DISTINCT y FROM b), (SELECT DISTINCT rep FROM b)) LEFT JOIN (SELECT u, y, rep, avg(value) AS v FROM b GROUP BY ALL) USING (u, y, rep)""",
+    EVENTS + f""", b AS (SELECT user_id % 500 AS u, y, rep, value FROM e)
+SELECT u, y, rep, round_even(v, 6) AS value FROM (SELECT * FROM (SELECT DISTINCT u FROM b), (SELECT DISTINCT y FROM b), (SELECT DISTINCT rep FROM b)) LEFT JOIN (SELECT u, y, rep, {MEAN} AS v FROM b GROUP BY ALL) USING (u, y, rep)""",
 )
-def cube_nd(spark, sf_dir, where: str = "event_id % 7 < 5"):
-    b = events(spark, sf_dir).where(where).withColumn("u", F.col("user_id") % 50)
-    return results.cube(b, ["u", "y", "rep"], "value").select("u", "y", "rep", F.bround("value", 6).alias("value"))
-
-
-@query("cube_nd_whole", sql("cube_nd").replace(" WHERE event_id % 7 < 5", ""))
-def cube_nd_whole(spark, sf_dir):
-    return cube_nd(spark, sf_dir, "true")
+def cube_nd(spark, sf_dir):
+    """Five hundred users, so that cells stay empty."""
+    b = events(spark, sf_dir).withColumn("u", F.col("user_id") % 500)
+    return results.cube(b, ["u", "y", "rep"], "value").select("u", "y", "rep", F.bround("value", 6).cast("double").alias("value"))
 
 
 STEPS = EVENTS + ", l AS (SELECT user_id AS run, y AS measure, row_number() OVER (PARTITION BY user_id, y ORDER BY ts, event_id) - 1 AS it, value FROM e)"
@@ -109,3 +108,42 @@ def running_bounds(spark, sf_dir):
 @query("first_last", "SELECT o_orderkey AS k, o_orderkey = min(o_orderkey) OVER () AS is_first, o_orderkey = max(o_orderkey) OVER () AS is_last FROM orders")
 def first_last(spark, sf_dir):
     return results.first_last(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), "k")
+
+
+@query("order_perm", "SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS perm, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS sorted FROM part")
+def order_perm(spark, sf_dir):
+    from ..operators.lineage import numbered
+
+    parts = numbered(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "place", F.col("p_partkey"))
+    return results.sorted_perm(parts, F.desc("p_retailprice"), F.col("perm")).select("p_partkey", "perm", "sorted")
+
+
+for _name, _fr, _to in (("order_moved_back", 10, 3), ("order_moved_on", 2, 17)):
+    query(
+        _name,
+        f"WITH p AS (SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n_name) - 1 AS BIGINT) AS place FROM nation) SELECT n_nationkey, CAST(CASE WHEN place = {_fr} THEN {_to} WHEN place BETWEEN {_to} AND {_fr} - 1 THEN place + 1 WHEN place BETWEEN {_fr} + 1 AND {_to} THEN place - 1 ELSE place END AS BIGINT) AS place FROM p",
+    )(lambda spark, sf_dir, fr=_fr, to=_to: results.moved(_placed_nations(spark, sf_dir), fr, to).select("n_nationkey", "place"))
+
+
+def _placed_nations(spark, sf_dir):
+    from ..operators.lineage import numbered
+
+    return numbered(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "place", F.col("n_name"))
+
+
+@query("remap_values", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'R' WHEN 'R' THEN 'A' ELSE l_returnflag END AS flag FROM lineitem WHERE l_tax <> 0")
+def remap_values(spark, sf_dir):
+    rows = results.without_zeros(table(spark, sf_dir, "lineitem"), "l_tax")
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", results.remapped(F.col("l_returnflag"), {"A": "R", "R": "A"}).alias("flag"))
+
+
+@query("json_rows", "SELECT p_partkey, CAST(json_object('p_name', p_name, 'p_size', p_size, 'parts', [p_brand, p_type]) AS VARCHAR) AS json FROM part")
+def json_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", F.array("p_brand", "p_type").alias("parts"))
+    return results.as_json(rows, "p_partkey")
+
+
+@query("legacy_columns", "SELECT k AS name, c AS position, CASE c WHEN 0 THEN 'Iteration' WHEN 1 THEN 'loglikelihood' WHEN 2 THEN 'loglikelihood' WHEN 3 THEN 'loglikelihood' END AS label FROM (VALUES ('Iteration', 0), ('Timeit', 1), ('loglikelihood', 2), ('likelihood', 2), ('perplexity', 2), ('loglikelihood_t', 3), ('likelihood_t', 3), ('perplexity_t', 3), ('K', 4), ('alpha', 5), ('gamma', 6), ('other', NULL)) AS v(k, c)")
+def legacy_columns(spark, sf_dir):
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in [*results.LEGACY_COLUMNS, "other"]])).alias("name"))
+    return names.withColumn("position", results.legacy_column(F.col("name"))).withColumn("label", results.legacy_label(F.col("position")))

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from ..operators.lineage import shared_folder
 from ..sources import graphs, logs, tables
 from ..streaming import logs as live
-from . import query, sql, table
-from .results import STEPS, log
+from . import query, table
+from .results import STEPS, TYPES, log
 
-LINE = "SELECT l_orderkey % 500 AS i, l_partkey % 500 AS j, CAST(l_linenumber AS BIGINT) AS w FROM lineitem WHERE l_quantity <= 10"
+LINE = "SELECT l_orderkey % 500 AS i, l_partkey % 500 AS j, CAST(l_linenumber AS BIGINT) AS w FROM lineitem"
 MOVED = f"WITH e AS ({LINE}), lo AS (SELECT least(min(i), min(j)) AS lo FROM e)"
 
 
-def _pairs(spark, sf_dir, where: str = "l_quantity <= 10") -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where(where).select((F.col("l_orderkey") % 500).alias("i"), (F.col("l_partkey") % 500).alias("j"), F.col("l_linenumber").cast("long").alias("w"))
+def _pairs(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("i"), (F.col("l_partkey") % 500).alias("j"), F.col("l_linenumber").cast("long").alias("w"))
 
 
 def _file(spark, lines: DataFrame) -> str:
@@ -28,25 +28,25 @@ def _file(spark, lines: DataFrame) -> str:
 
 
 @query("edges_tnet2", MOVED + " SELECT i - lo AS src, j - lo AS dst, count(*) AS w FROM e, lo GROUP BY ALL")
-def edges_tnet2(spark, sf_dir, pairs=_pairs):
-    return graphs.read_tnet(spark, _file(spark, pairs(spark, sf_dir).select(F.concat_ws(" ", "i", "j"))))
+def edges_tnet2(spark, sf_dir):
+    return graphs.read_tnet(spark, _file(spark, _pairs(spark, sf_dir).select(F.concat_ws(" ", "i", "j"))))
 
 
 @query("edges_tnet5", MOVED + " SELECT i - lo AS src, j - lo AS dst, CAST(sum(w) AS BIGINT) AS w FROM e, lo GROUP BY ALL")
-def edges_tnet5(spark, sf_dir, pairs=_pairs):
-    return graphs.read_tnet(spark, _file(spark, pairs(spark, sf_dir).select(F.concat(F.lit('"2004-04-15 07:56:00" '), F.concat_ws(" ", "i", "j", "w")))))
+def edges_tnet5(spark, sf_dir):
+    return graphs.read_tnet(spark, _file(spark, _pairs(spark, sf_dir).select(F.concat(F.lit('"2004-04-15 07:56:00" '), F.concat_ws(" ", "i", "j", "w")))))
 
 
 @query("edges_csv", MOVED + " SELECT i - lo AS src, j - lo AS dst, count(*) AS w FROM e, lo GROUP BY ALL")
-def edges_csv(spark, sf_dir, pairs=_pairs):
+def edges_csv(spark, sf_dir):
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    pairs(spark, sf_dir).write.csv(path, sep=";", header=True)
+    _pairs(spark, sf_dir).write.csv(path, sep=";", header=True)
     return graphs.read_csv(spark, path)
 
 
 @query("edges_attributed", f"WITH e AS ({LINE}) SELECT i AS src, j AS dst, count(*) AS w FROM e GROUP BY ALL")
-def edges_attributed(spark, sf_dir, pairs=_pairs):
-    e = pairs(spark, sf_dir)
+def edges_attributed(spark, sf_dir):
+    e = _pairs(spark, sf_dir)
     lines = e.select(F.concat_ws(";", "i", "j").alias("value")).union(e.select(F.concat(F.col("i").cast("string"), F.lit(";0.5|1.5;3"))).distinct())
     edges, _ = graphs.read_attributed(spark, _file(spark, lines))
     return edges
@@ -60,20 +60,12 @@ def vertices_attributed(spark, sf_dir):
 
 
 @query("edges_dat", f"WITH e AS ({LINE}) SELECT i AS src, j AS dst, CAST(sum(w) AS BIGINT) AS w FROM e GROUP BY ALL")
-def edges_dat(spark, sf_dir, pairs=_pairs):
+def edges_dat(spark, sf_dir):
     body = F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(" ", "i", "j", "w"))))
-    parts = pairs(spark, sf_dir).groupBy((F.col("i") % 4).alias("part")).agg(body.alias("body"))
+    parts = _pairs(spark, sf_dir).groupBy((F.col("i") % 4).alias("part")).agg(body.alias("body"))
     return graphs.read_dat(spark, _file(spark, parts.select(F.concat(F.lit("ROW LABELS:\na\nb\nDATA\n"), "body"))))
 
 
-def _whole(f):
-    return lambda spark, sf_dir: f(spark, sf_dir, lambda *a: _pairs(*a, "true"))
-
-
-for _f in (edges_tnet2, edges_tnet5, edges_csv, edges_attributed, edges_dat):
-    query(f"{_f.__name__}_whole", sql(_f.__name__).replace(" WHERE l_quantity <= 10", ""))(_whole(_f))
-
-
 @query("edges_generated", "SELECT a.i AS src, b.i AS dst, CAST(1 AS BIGINT) AS w FROM range(40) a(i), range(40) b(i) WHERE a.i // 5 = b.i // 5")
 def edges_generated(spark, sf_dir):
     return graphs.load(spark, "clique2", n=40, block=5)
@@ -92,11 +84,10 @@ def log_measure_grammar(spark, sf_dir):
     return logs.parse_lines(lines, "#_entropy K {counts}").select("id", "measure", F.array_join("values", " ").alias("values"))
 
 
-@query("log_text_round_trip", STEPS + " SELECT run, measure, it, value FROM l WHERE measure IN ('click', 'view')")
+@query("log_text_round_trip", STEPS + " SELECT run, measure, it, value FROM l")
 def log_text_round_trip(spark, sf_dir):
     path = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
-    rows = log(spark, sf_dir).where("measure in ('click', 'view')")
-    logs.write_text_log(rows, path, ["click", "view"], "run", "it")
+    logs.write_text_log(log(spark, sf_dir), path, TYPES, "run", "it")
     back = logs.read_log(spark, f"{path}/*")
     run = F.regexp_extract("path", r"run=(\d+)", 1).cast("long")
     return back.where("values[0] <> 'None'").select(run.alias("run"), "measure", F.col("it").cast("long").alias("it"), F.col("values")[0].cast("double").alias("value"))
@@ -138,16 +129,12 @@ def tail_lines(spark, sf_dir):
     return tables.tail(spark, path, 5)
 
 
-@query("triplets", "SELECT o_orderkey % 50 AS doc_id, l_partkey % 40 AS term_id, CAST(l_linenumber AS INT) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity <= 3")
-def triplets(spark, sf_dir, where: str = "l_quantity <= 3"):
-    rows = table(spark, sf_dir, "lineitem").where(where).select(F.concat_ws(" ", F.col("l_orderkey") % 50 + 1, F.col("l_partkey") % 40 + 1, "l_linenumber").alias("x"))
-    body = rows.agg(F.concat(F.lit("50\n40\n99\n"), F.concat_ws("\n", F.collect_list("x"))))
-    return tables.read_triplets(spark, _file(spark, body))
-
-
-@query("triplets_whole", sql("triplets").replace(" WHERE l_quantity <= 3", ""))
-def triplets_whole(spark, sf_dir):
-    return triplets(spark, sf_dir, "true")
+@query("triplets", "SELECT o_orderkey % 50 AS doc_id, l_partkey % 40 AS term_id, CAST(l_linenumber AS INT) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def triplets(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws(" ", F.col("l_orderkey") % 50 + 1, F.col("l_partkey") % 40 + 1, "l_linenumber").alias("x"))
+    # One file for each part of the rows, with the header that each file has.
+    body = rows.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.concat(F.lit("50\n40\n99\n"), F.concat_ws("\n", F.collect_list("x"))).alias("body"))
+    return tables.read_triplets(spark, _file(spark, body.repartition(4, "part").select("body")), header=3, bodies=True)
 
 
 @query("cached_table", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
@@ -175,9 +162,8 @@ def stream_log_append(spark, sf_dir):
 def stream_edge_agg(spark, sf_dir):
     path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
     _pairs(spark, sf_dir).select(F.col("i").alias("src"), F.col("j").alias("dst"), "w").repartition(3).write.parquet(path)
-    name = f"edges_{uuid.uuid4().hex}"
-    live.drained(live.edge_weights(live.log_stream(spark, path, graphs.EDGES), name))
-    return spark.table(name)
+    live.drained(live.edge_weights(live.log_stream(spark, path, graphs.EDGES), f"{path}-out", f"{path}-check"))
+    return spark.read.parquet(f"{path}-out")
 
 
 @query("stream_deltas", STEPS + ", k AS (SELECT * FROM l WHERE it % 2 = 0) SELECT run, measure, it, value, round_even(value - coalesce(lag(value) OVER (PARTITION BY run, measure ORDER BY it), 0), 6) AS delta FROM k")
@@ -186,3 +172,24 @@ def stream_deltas(spark, sf_dir):
     stream = live.measure_deltas(live.log_stream(spark, _log_files(spark, sf_dir)), 2)
     live.drained(stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start())
     return spark.read.parquet(f"{base}/out").select("run", "measure", "it", "value", F.bround("delta", 6).alias("delta"))
+
+
+@query("stream_edges_text", f"WITH e AS ({LINE}) SELECT i AS src, j AS dst, CAST(sum(w) AS BIGINT) AS w FROM e GROUP BY ALL")
+def stream_edges_text(spark, sf_dir):
+    path = f"{shared_folder(spark)}/edgelines-{uuid.uuid4().hex}"
+    _pairs(spark, sf_dir).select(F.concat(F.lit('"2004-04-15 07:56:00" '), F.concat_ws(" ", "i", "j", "w"))).repartition(3).write.text(path)
+    live.drained(live.edge_weights(live.edge_stream(spark, path), f"{path}-out", f"{path}-check"))
+    return spark.read.parquet(f"{path}-out")
+
+
+@query("vocabulary_file", "SELECT p_name AS term, row_number() OVER (ORDER BY p_name) - 1 AS term_id FROM (SELECT DISTINCT p_name FROM part)")
+def vocabulary_file(spark, sf_dir):
+    return tables.read_vocabulary(spark, _file(spark, table(spark, sf_dir, "part").select("p_name").distinct().orderBy("p_name").coalesce(1)))
+
+
+@query("token_files", "SELECT md5(string_agg(term, ' ' ORDER BY pos)) AS digest FROM (SELECT n_nationkey, unnest(list) AS term, generate_subscripts(list, 1) AS pos FROM (SELECT n_nationkey, list_filter(string_split(lower(regexp_replace(n_name || ' of region ' || n_regionkey, '[^a-zA-Z0-9_\\-]+', ' ', 'g')), ' '), lambda x: x <> '') AS list FROM nation)) GROUP BY n_nationkey")
+def token_files(spark, sf_dir):
+    path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(" of region "), F.col("n_regionkey").cast("string")).alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    toks = tables.read_corpus(spark, [f"{path}/n_nationkey={k}" for k in range(25)])
+    return toks.groupBy("path").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]), " ")).alias("digest")).select("digest")

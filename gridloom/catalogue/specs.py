@@ -263,9 +263,70 @@ def scalar_softmax(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.bround(scalars.softmax(F.col("p_size"), F.col("p_brand")), 9).alias("p"))
 
 
-@query("scalar_draws")
+U = "(CAST('0x' || substr(md5('3|' || p_partkey), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+
+
+@query("scalar_draws", f"SELECT p_partkey, CAST(u < 0.3 AS INT) AS bernoulli, CASE WHEN u < 0.2 THEN 0 WHEN u < 0.5 THEN 1 ELSE 2 END AS categorical, CAST(floor(0.5 * pow(1 - u, -1 / 1.5) + 0.5) AS BIGINT) AS power, '0.2 0.06 0.03' AS sticks FROM (SELECT p_partkey, {U} AS u FROM part)")
 def scalar_draws(spark, sf_dir):
     u = scalars.uniform(F.col("p_partkey"), seed=3)
     p = table(spark, sf_dir, "part")
     third = F.array(F.lit(0.2), F.lit(0.3), F.lit(0.5))
     return p.select("p_partkey", scalars.draw_bernoulli(F.lit(0.3), u).alias("bernoulli"), scalars.draw_categorical(third, u).alias("categorical"), scalars.draw_powerlaw(F.lit(2.5), F.lit(1.0), u).alias("power"), F.array_join(F.transform(scalars.sticks(third), lambda x: F.bround(x, 4).cast("string")), " ").alias("sticks"))
+
+
+@query("grid_vectors", GRID + " SELECT CAST(row_number() OVER (ORDER BY brand, i) - 1 AS BIGINT) AS expe_id, brand, size FROM b, (VALUES (0, 3), (1, 1), (2, 7)) AS v(i, size)")
+def grid_vectors(spark, sf_dir):
+    design = specs.with_vectors(specs.Design.of({"size": ["few", 7], "brand": _values(spark, sf_dir, "part", "p_brand")}), {"few": [3, 1]})
+    return specs.SpecSet.of(design).table(spark).select(F.col("_expe_id").alias("expe_id"), "brand", "size")
+
+
+@query("grid_measures", "SELECT * FROM (VALUES ('0', '_entropy'), ('1', 'K'), ('2', 'counts')) AS v(position, value)")
+def grid_measures(spark, sf_dir):
+    (words,) = specs.with_measures(specs.Design.of({"_measures": ["_entropy K counts"]})).keys["_measures"]
+    return spark.range(1).select(F.explode(specs.positions(F.array(*[F.lit(w) for w in words]))).alias("p")).select("p.*")
+
+
+@query("grid_tagged", f"{GRID} SELECT md5({CANON}) AS hash, 'the grid' AS alias FROM grid")
+def grid_tagged(spark, sf_dir):
+    runs = grid(spark, sf_dir).table(spark)
+    return specs.tagged(runs, {"expe": "the grid"}).select(F.col("_expe_hash").alias("hash"), F.col("_alias").alias("alias"))
+
+
+@query("grid_finished", f"{GRID} SELECT brand || '-' || event || '-' || size AS name FROM grid WHERE size <= 10")
+def grid_finished(spark, sf_dir):
+    runs = grid(spark, sf_dir).table(spark)
+    path = specs.output_path(runs, "{brand}-{event}-{size}")
+    done = runs.where("size <= 10").select(path.alias("path"), F.lit(1).alias("size"))
+    return specs.finished(runs, done, path).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+@query("grid_global", TWO + " SELECT key, string_agg(value, ' ' ORDER BY t, value) AS values FROM (SELECT DISTINCT 0 AS t, 'event' AS key, event AS value FROM a UNION ALL SELECT DISTINCT 0, 'nation', nation FROM a UNION ALL SELECT DISTINCT 1, 'event', event FROM b UNION ALL SELECT DISTINCT 1, 'extra', extra FROM b UNION ALL SELECT DISTINCT 1, 'nation', nation FROM b) GROUP BY key")
+def grid_global(spark, sf_dir):
+    a, b = _two(spark, sf_dir)
+    return specs.global_tensor(a.concat(b), spark).select("key", F.array_join("values", " ").alias("values"))
+
+
+@query("grid_cleaned", f"{GRID} SELECT brand, event, size FROM grid")
+def grid_cleaned(spark, sf_dir):
+    runs = grid(spark, sf_dir).table(spark).withColumns({"_net": F.lit(False), "_ignore_format_unique": F.lit("x")})
+    return specs.cleaned_runs(runs, "{brand}-{event}-{size}", write=True).drop("_expe_id", "_expe_name")
+
+
+@query("input_paths", "SELECT 'data/training/generator/Graph_' || n_name AS path FROM nation UNION ALL SELECT 'data/training/' || n_name || '.x' FROM nation UNION ALL SELECT 'data/training/generator/clique' || n_nationkey FROM nation")
+def input_paths(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    names = F.array(F.concat(F.lit("graph_"), "n_name", F.lit(".gt")), F.concat("n_name", F.lit(".x")), F.concat(F.lit("clique"), F.col("n_nationkey").cast("string"), F.lit(".pk")))
+    return n.select(F.explode(names).alias("c")).select(specs.input_path(F.col("c")).alias("path"))
+
+
+@query("grid_locate", "SELECT e.event_type AS name, n.n_name AS module, n.n_regionkey AS object FROM (SELECT DISTINCT event_type FROM events) e LEFT JOIN nation n ON n.n_nationkey = length(e.event_type)")
+def grid_locate(spark, sf_dir):
+    """Event types as spec names, with nations (by the length of the name) as the modules that hold them."""
+    names = table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct()
+    known = names.join(table(spark, sf_dir, "nation"), F.length("name") == F.col("n_nationkey")).select("name", F.col("n_name").alias("module"), F.col("n_regionkey").alias("object"))
+    return specs.locate(names, known)
+
+
+@query("softmax_log", "SELECT p_partkey, round_even(exp(p_size / 10.0 - m) / sum(exp(p_size / 10.0 - m)) OVER (PARTITION BY p_brand), 9) AS p FROM (SELECT *, max(p_size / 10.0) OVER (PARTITION BY p_brand) AS m FROM part)")
+def softmax_log(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.bround(scalars.log_softmax(F.col("p_size") / 10.0, F.col("p_brand")), 9).alias("p"))

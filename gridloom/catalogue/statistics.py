@@ -89,3 +89,11 @@ def ml_kmeans(spark, sf_dir):
 def ml_pipeline(spark, sf_dir):
     model, vectors = stats.estimator_pipeline(table(spark, sf_dir, "embeddings"), "embedding", 10)
     return model.transform(vectors).select("vec_id", "label", "cluster")
+
+
+ZETA = "(list_sum(list_transform(range(200), lambda k: pow({0} + k, -2.5))) + pow({0} + 200, -1.5) / 1.5 + 0.5 * pow({0} + 200, -2.5) + 2.5 / 12 * pow({0} + 200, -3.5))"
+
+
+@query("stat_ks_distance", HIST + f", s AS (SELECT CAST(degree AS DOUBLE) AS x, n, sum(n) OVER (ORDER BY degree) AS b, sum(n) OVER () AS t FROM h), m AS (SELECT *, 1 - {ZETA.format('x')} / {ZETA.format('1.0')} AS model FROM s) SELECT round_even(max(greatest(b / t - model, model - (b - n) / t)), 9) AS ks FROM m")
+def stat_ks_distance(spark, sf_dir):
+    return stats.ks_of_histogram(histogram(spark, sf_dir), 2.5, 1.0).select(F.bround("ks", 9).alias("ks"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import search, text
+from ..operators.lineage import shared_folder
 from . import query, table
 
 TOKENS = r"""
@@ -74,7 +78,7 @@ def text_props(spark, sf_dir):
     return text.properties(bag(spark, sf_dir)).select("nnz", "n_docs", F.bround("mean_len", 6).alias("mean_len"), F.bround("var_len", 2).alias("var_len"), "n_terms")
 
 
-@query("text_sample", BAG + ", k AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100) SELECT doc_id, term, cnt FROM bag WHERE doc_id IN (SELECT doc_id FROM k) AND doc_id NOT IN (SELECT doc_id FROM bag WHERE cnt >= 6000)")
+@query("text_sample", BAG + ", k AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100) SELECT doc_id, term, cnt FROM bag SEMI JOIN k USING (doc_id) ANTI JOIN (SELECT DISTINCT doc_id FROM bag WHERE cnt >= 6000) USING (doc_id)")
 def text_sample(spark, sf_dir):
     """Sampling the first hundred documents is the operator itself."""
     return text.sample(bag(spark, sf_dir), 100, docs(spark, sf_dir)).select("doc_id", "term", "cnt")
@@ -89,9 +93,23 @@ SELECT doc_id, round_even(sum(b * ln(1 + (n - df + 0.5) / (df + 0.5)) * cnt * 2.
 FROM (SELECT *, count(*) OVER (PARTITION BY term, b) AS df FROM ({hits})) JOIN len USING (doc_id), st GROUP BY doc_id"""
 
 
+def stored(spark, sf_dir) -> search.Index:
+    """The index of the documents, built when it is first asked for: stored under a name made of the table's files, their sizes and times."""
+    jvm, found = spark.sparkContext._jvm, docs(spark, sf_dir)
+    files = []
+    for name in sorted(found.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        state = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        files.append(f"{name} {state.getLen()} {state.getModificationTime()}")
+    path = f"{shared_folder(spark)}/index-{hashlib.md5(chr(10).join(files).encode()).hexdigest()}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/vocabulary/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        search.build(found.select("doc_id", "text"), ["text"], path)
+    return search.read(spark, path)
+
+
 def _found(spark, sf_dir, q):
-    inverted = search.index(docs(spark, sf_dir).select("doc_id", "text"), ["text"])
-    return search.search(inverted, q, "text", None).select("doc_id", F.bround("score", 6).alias("score"))
+    return search.search(stored(spark, sf_dir), q, "text", None).select("doc_id", F.bround("score", 6).alias("score"))
 
 
 for _name, _query, _hits in (
@@ -114,8 +132,7 @@ def search_phrase(spark, sf_dir):
 
 @query("search_topk", BAG + LENGTHS + ", s AS (" + _bm25("SELECT doc_id, term, cnt, 1.0 AS b FROM bag WHERE term = 'idiot'") + ") SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 10")
 def search_topk(spark, sf_dir):
-    inverted = search.index(docs(spark, sf_dir).select("doc_id", "text"), ["text"])
-    return search.search(inverted, "idiot", "text", 10).select("doc_id", F.bround("score", 6).alias("score"))
+    return search.search(stored(spark, sf_dir), "idiot", "text", 10).select("doc_id", F.bround("score", 6).alias("score"))
 
 
 @query("search_exact", "SELECT p_partkey, p_name FROM part WHERE p_type = (SELECT min(p_type) FROM part)")
@@ -145,7 +162,53 @@ def search_listing(spark, sf_dir):
     return search.listing(table(spark, sf_dir, "part"), "p_name").select("p_name", "rank", "block")
 
 
-@query("search_highlight")
+@query("search_highlight", r"SELECT doc_id, regexp_replace(f, '(?i)\b(idiot)\b', '**\1**', 'g') AS fragment FROM (SELECT doc_id, regexp_extract(text, '(?is).{0,20}\bidiot\b.{0,20}', 0) AS f FROM documents) WHERE f <> ''")
 def search_highlight(spark, sf_dir):
     found = docs(spark, sf_dir).select("doc_id", search.highlighted(F.col("text"), "idiot").alias("fragment"))
     return found.where("fragment <> ''")
+
+
+MARKED = r"list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.,;:!?(){}\[\]''\"`]+', ' ', 'g'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
+
+
+@query("text_marked", f"SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {MARKED} AS w FROM documents) WHERE len(w) > 0")
+def text_marked(spark, sf_dir):
+    w = docs(spark, sf_dir).select("doc_id", text.marked_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return w.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+VOCAB = BAG + ", vocab AS (SELECT term, row_number() OVER (ORDER BY f) - 1 AS term_id FROM (SELECT term, min((doc_id, pos)) AS f FROM toks GROUP BY term))"
+
+
+@query("text_ids", VOCAB + " SELECT doc_id, CAST(sum(term_id * cnt) AS BIGINT) AS id_sum, CAST(sum(cnt) AS BIGINT) AS n FROM bag JOIN vocab USING (term) GROUP BY doc_id")
+def text_ids(spark, sf_dir):
+    """To ids, back to terms, and to ids again."""
+    t = toks(spark, sf_dir)
+    vocab, b = text.vocabulary(t), text.bag_of_words(t)
+    again = text.ids_of(text.terms_of(text.ids_of(b, vocab), vocab), vocab)
+    return again.groupBy("doc_id").agg(F.sum(F.col("term_id") * F.col("cnt")).alias("id_sum"), F.sum("cnt").alias("n"))
+
+
+@query("text_prune_ids", VOCAB + " SELECT term, row_number() OVER (ORDER BY term_id) - 1 AS term_id FROM vocab JOIN df USING (term) WHERE df > 5")
+def text_prune_ids(spark, sf_dir):
+    t = toks(spark, sf_dir)
+    return text.pruned_vocabulary(text.bag_of_words(t), text.vocabulary(t), 5)
+
+
+@query("text_recovered", TOKENS + " SELECT doc_id, count(*) FILTER (term IN ('ha', 'has')) AS has, count(*) FILTER (term IN ('wa', 'was')) AS was FROM toks GROUP BY doc_id")
+def text_recovered(spark, sf_dir):
+    return text.lemmas(toks(spark, sf_dir)).groupBy("doc_id").agg(F.count_if(F.col("term") == "has").alias("has"), F.count_if(F.col("term") == "was").alias("was"))
+
+
+@query("text_shuffled", "SELECT doc_id, row_number() OVER (ORDER BY md5('0|' || doc_id), doc_id) - 1 AS place FROM documents")
+def text_shuffled(spark, sf_dir):
+    return text.loaded_corpus(docs(spark, sf_dir).select("doc_id"), "all", shuffle=True)
+
+
+@query("search_appended", BAG + LENGTHS + _bm25("SELECT doc_id, term, cnt, 1.0 AS b FROM bag WHERE term IN ('idiot', 'moron')"))
+def search_appended(spark, sf_dir):
+    """An index of the even documents to which the odd ones are added."""
+    path, d = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", docs(spark, sf_dir).select("doc_id", "text")
+    search.build(d.where("doc_id % 2 = 0"), ["text"], path)
+    search.build(d.where("doc_id % 2 <> 0"), ["text"], path, mode="append")
+    return search.search(search.read(spark, path), "idiot moron", "text", None).select("doc_id", F.bround("score", 6).alias("score"))

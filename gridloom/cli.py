@@ -31,6 +31,20 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def extended(base: argparse.ArgumentParser, *more: argparse.ArgumentParser) -> argparse.ArgumentParser:
+    """The parser with the options of plug-ins; an option that is there twice is an error that names it."""
+    taken = {o for a in base._actions for o in a.option_strings}
+    for p in more:
+        for a in p._actions:
+            both = taken & set(a.option_strings) - {"-h", "--help"}
+            if both:
+                raise ValueError(f"options defined twice: {', '.join(sorted(both))}")
+            if a.option_strings and "--help" not in a.option_strings:
+                base._add_action(a)
+                taken |= set(a.option_strings)
+    return base
+
+
 def typed(text: str):
     """int, else float, else text."""
     for kind in (int, float):
@@ -53,6 +67,13 @@ def sort_items(items: list[str]) -> tuple[list[str], list[int], list[str]]:
     return files, indices, [x for x in items if not x.isdigit() and x not in files]
 
 
+def printed(df) -> None:
+    """Every row, tab separated, partition by partition."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     for name in args.module:
@@ -69,12 +90,12 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = build_session(master=f"local[{args.cores}]" if args.cores else None)
     if args.command == "list":
-        catalogue(spark).show(200, truncate=False)
+        printed(catalogue(spark))
         return 0
     sets = [SpecSet.of(json.loads(Path(f).read_text()), rules=args.bind, **settings(args)) for f in files]
     remember(HISTORY, " ".join(argv or sys.argv[1:]))
     if args.command == "diff":
-        spec_diff(sets[0].table(spark), sets[1].table(spark)).orderBy("key", "value").show(1000, truncate=False)
+        printed(spec_diff(*[s.table(spark) for s in sets]).orderBy("key", "value"))
         return 0
     whole = sets[0]
     for more in sets[1:]:
@@ -83,9 +104,9 @@ def main(argv: list[str] | None = None) -> int:
     if indices:
         runs = select_rows(runs, indices).drop("_order")
     if args.command == "show":
-        runs.orderBy("_expe_id").show(1000, truncate=False)
+        printed(runs.orderBy("_expe_id"))
     elif args.command == "path":
-        runs.select("_expe_id", output_path(runs, args._format).alias("path")).orderBy("_expe_id").show(1000, truncate=False)
+        printed(runs.select("_expe_id", output_path(runs, args._format).alias("path")).orderBy("_expe_id"))
     elif args.command == "cmd":
         for row in runs.orderBy("_expe_id").toLocalIterator():
             print(command_of(row.asDict(), args.action or "run"))

@@ -77,8 +77,9 @@ WEIGHTS = {
 
 
 def uniform(*key: Column, seed: int = 0) -> Column:
-    """A draw in (0, 1) that depends on the key alone, the same however the data are split."""
-    return (F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    """A draw in (0, 1) that depends on the key alone (an md5), the same on any engine and however the data are split."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
 
 def draw_bernoulli(p: Column, u: Column) -> Column:
@@ -108,6 +109,15 @@ def softmax(x: Column, *partition: Column) -> Column:
     return F.exp(x - top) / F.sum(F.exp(x - top)).over(w)
 
 
+def log_softmax(x: Column, *partition: Column) -> Column:
+    """The same by way of the logarithm of the sum: exp(x - log sum exp x)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*partition)
+    top = F.max(x).over(w)
+    return F.exp(x - (top + F.log(F.sum(F.exp(x - top)).over(w))))
+
+
 def log_stirling(spark: SparkSession, n: int) -> DataFrame:
     """(n, m, value): logs of unsigned Stirling numbers of the first kind, for 1 <= m <= n, by the recurrence s(n+1, m) = s(n, m-1) + n s(n, m).
 

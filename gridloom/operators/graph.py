@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, first_rows, numbered
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,8 +49,6 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 def renumbered(edges: DataFrame) -> DataFrame:
     """Ids 0..n-1 in the order of the old ones."""
-    from .lineage import numbered
-
     ids = numbered(nodes(edges), "new", F.col("id"))
     return edges.join(ids.select(F.col("id").alias("src"), F.col("new").alias("s")), "src").join(ids.select(F.col("id").alias("dst"), F.col("new").alias("d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), "w")
 
@@ -278,66 +276,133 @@ def hash_rank(*key: Column, seed: int = 0) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]))
 
 
+def drawn_int(*key: Column | str | int, seed: int = 0) -> Column:
+    """A whole number of 60 bits drawn by md5 from seed and key, the same on any engine."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(k if isinstance(k, Column) else F.lit(k)).cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def test_split(edges: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """Edges with ``is_test``: the int(m * ratio) of smallest draw."""
-    keyed = edges.withColumn("draw", hash_rank(F.col("src"), F.col("dst"), seed=seed))
-    chosen = keyed.select("src", "dst", "draw").orderBy("draw", "src", "dst").limit(int(edges.count() * ratio)).select("src", "dst", F.lit(True).alias("is_test"))
-    return edges.join(chosen, ["src", "dst"], "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
+    keyed = numbered(edges.withColumn("draw", hash_rank(F.col("src"), F.col("dst"), seed=seed)), "rank", F.col("draw"), F.col("src"), F.col("dst"))
+    return keyed.withColumn("is_test", F.col("rank") < int(edges.count() * ratio)).drop("draw", "rank")
+
+
+def test_ratio(test_percent: float, valid_percent: float = 0.0) -> float:
+    """The part of edges that is held out: validation is a share of the test set on top of it."""
+    return test_percent / 100 * (1 + valid_percent / 100)
+
+
+def full_split(edges: DataFrame, test_percent: float, valid_percent: float = 0.0, zeros_ratio: float = 1.0, train_percent: float = 0.0, directed: bool = True, seed: int = 0) -> DataFrame:
+    """(src, dst, w, part): part is train, test (held-out edges, and zeros_ratio times as many non-edges of weight 0) or gone.
+
+    Undirected test pairs come in both directions. With a train_percent under 100 the other edges outside the test set are gone (thinned).
+    """
+    ratio = test_ratio(test_percent, valid_percent)
+    if not 0 < ratio <= 1:
+        raise ValueError(f"no test set of {ratio} of the edges")
+    split = cut(test_split(edges, ratio, seed))
+    held, rest = split.where("is_test").select("src", "dst", "w"), split.where("not is_test").select("src", "dst", "w")
+    zeros = non_edges(edges, int(held.count() * zeros_ratio), seed + 1, directed).withColumn("w", F.lit(0).cast("long"))
+    test = held.unionByName(zeros)
+    if not directed:
+        test = test.union(test.where("src <> dst").select("dst", "src", "w"))
+    kept = rest.withColumn("part", F.lit("train"))
+    if 0 < train_percent < 100:
+        order = [hash_rank(F.col("src"), F.col("dst"), seed=seed + 2), F.col("src"), F.col("dst")]
+        n = rest.count()
+        extra = int(n - train_percent / 100 * n)
+        kept = numbered(rest.withColumn("draw", order[0]), "rank", F.col("draw"), *order[1:]).select("src", "dst", "w", F.when(F.col("rank") < extra, "gone").otherwise("train").alias("part"))
+    return kept.unionByName(test.withColumn("part", F.lit("test")))
+
+
+def inverted(split: DataFrame) -> DataFrame:
+    """The split's other side: what was filtered out is what is seen."""
+    return split.withColumn("is_test", ~F.col("is_test"))
 
 
-def non_edges(edges: DataFrame, n: int, seed: int = 0, spare: int = 4) -> DataFrame:
-    """n pairs without an edge and off the diagonal, by drawing pairs of places among the node list and discarding edges, not by making all pairs."""
-    from .lineage import numbered
+def non_edges(edges: DataFrame, n: int, seed: int = 0, directed: bool = True) -> DataFrame:
+    """n distinct pairs without an edge and off the diagonal: pairs of places in the node list are drawn and edges discarded, in the order of the draws.
 
+    Where more than half of all such pairs are asked for, they are listed instead: as many rows as the result and the edges have, twice. More than there are is an error.
+    Undirected pairs have the smaller id first.
+    """
     ids = numbered(nodes(edges), "place", F.col("id"))
-    count = ids.count()
-    spark = edges.sparkSession
-    place = lambda salt: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(count))
-    drawn = spark.range(spare * n).select(F.col("id").alias("t"), place(1).alias("p"), place(2).alias("q")).where("p <> q").groupBy("p", "q").agg(F.min("t").alias("t"))
-    pairs = drawn.join(ids.select(F.col("place").alias("p"), F.col("id").alias("src")), "p").join(ids.select(F.col("place").alias("q"), F.col("id").alias("dst")), "q")
-    return pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").orderBy("t").limit(n).select("src", "dst")
+    count, spark = ids.count(), edges.sparkSession
+    taken = cut((edges if directed else undirected(edges)).where("src <> dst").select("src", "dst").distinct())
+    free = count * (count - 1) // (1 if directed else 2) - taken.count()
+    if n > free:
+        raise ValueError(f"{n} pairs without an edge are asked for; there are {free}")
+    named = lambda pairs: pairs.join(ids.select(F.col("place").alias("p"), F.col("id").alias("src")), "p").join(ids.select(F.col("place").alias("q"), F.col("id").alias("dst")), "q")
+    if 2 * n > free:
+        pairs = ids.select(F.col("id").alias("src")).crossJoin(ids.select(F.col("id").alias("dst"))).where("src <> dst" if directed else "src < dst")
+        left = pairs.join(taken, ["src", "dst"], "left_anti").withColumn("draw", hash_rank(F.col("src"), F.col("dst"), seed=seed))
+        return first_rows(left, n, F.col("draw"), F.col("src"), F.col("dst")).select("src", "dst")
+    tries = 4 * n + 64
+    while True:
+        place = lambda salt: drawn_int(F.col("id"), salt, seed=seed) % count
+        drawn = spark.range(tries).select(F.col("id").alias("t"), place("p").alias("x"), place("q").alias("y")).where("x <> y")
+        if not directed:
+            drawn = drawn.select("t", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        found = cut(named(drawn.groupBy(F.col("x").alias("p"), F.col("y").alias("q")).agg(F.min("t").alias("t"))).join(taken, ["src", "dst"], "left_anti").select("t", "src", "dst"))
+        if found.count() >= n:
+            return first_rows(found, n, F.col("t")).select("src", "dst")
+        tries *= 4
 
 
-def random_mask(cells: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
-    """``masked`` for the diagonal and the int(cells * ratio) off-diagonal cells of smallest draw."""
-    off = cells.where("src <> dst").withColumn("draw", hash_rank(F.col("src"), F.col("dst"), seed=seed))
-    chosen = off.orderBy("draw", "src", "dst").limit(int(cells.count() * ratio)).select("src", "dst", F.lit(True).alias("hit"))
-    return cells.join(chosen, ["src", "dst"], "left").withColumn("masked", F.coalesce("hit", F.col("src") == F.col("dst"))).drop("hit")
+def random_mask(cells: DataFrame, ratio: float, seed: int = 0, symmetric: bool = False) -> DataFrame:
+    """``masked`` for the diagonal and the int(cells * ratio) off-diagonal cells of smallest draw; a symmetric mask draws pairs and covers both of their cells."""
+    a, b = (F.least("src", "dst"), F.greatest("src", "dst")) if symmetric else (F.col("src"), F.col("dst"))
+    pairs = cells.where("src <> dst").select(a.alias("a"), b.alias("b")).distinct().withColumn("draw", hash_rank(F.col("a"), F.col("b"), seed=seed))
+    hit = first_rows(pairs, int(cells.count() * ratio) // (2 if symmetric else 1), F.col("draw"), F.col("a"), F.col("b")).select("a", "b", F.lit(True).alias("hit"))
+    return cells.withColumns({"a": a, "b": b}).join(hit, ["a", "b"], "left").withColumn("masked", F.coalesce("hit", F.col("src") == F.col("dst"))).drop("hit", "a", "b")
 
 
 def balanced_mask(cells: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """Equal numbers of ones and zeros, int(ratio * ones) of each, by smallest draw."""
     n = int(cells.where("w > 0").count() * ratio)
-    drawn = cells.where("src <> dst").withColumn("draw", hash_rank(F.col("src"), F.col("dst"), seed=seed))
-    chosen = drawn.where("w > 0").orderBy("draw", "src", "dst").limit(n).union(drawn.where("w = 0").orderBy("draw", "src", "dst").limit(n)).select("src", "dst", F.lit(True).alias("masked"))
+    drawn = cut(cells.where("src <> dst").select("src", "dst", "w", hash_rank(F.col("src"), F.col("dst"), seed=seed).alias("draw")))
+    first = [first_rows(drawn.where(part), n, F.col("draw"), F.col("src"), F.col("dst")) for part in ("w > 0", "w = 0")]
+    chosen = first[0].union(first[1]).select("src", "dst", F.lit(True).alias("masked"))
     return cells.join(chosen, ["src", "dst"], "left").withColumn("masked", F.coalesce("masked", F.lit(False)))
 
 
 def add_noise(edges: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """ratio of the edges lose one unit of weight (and go at zero); twice as many new pairs come."""
     n = int(edges.count() * ratio)
-    hit = edges.withColumn("draw", hash_rank(F.col("src"), F.col("dst"), seed=seed)).orderBy("draw", "src", "dst").limit(n).select("src", "dst", F.lit(1).alias("less"))
-    kept = edges.join(hit, ["src", "dst"], "left").select("src", "dst", (F.col("w") - F.coalesce("less", F.lit(0))).cast("long").alias("w")).where("w > 0")
+    hit = numbered(edges.withColumn("draw", hash_rank(F.col("src"), F.col("dst"), seed=seed)), "rank", F.col("draw"), F.col("src"), F.col("dst"))
+    kept = hit.select("src", "dst", (F.col("w") - F.when(F.col("rank") < n, 1).otherwise(0)).cast("long").alias("w")).where("w > 0")
     return kept.union(non_edges(edges, 2 * n, seed + 1).select("src", "dst", F.lit(1).cast("long")))
 
 
-def minibatches(edges: DataFrame, batch_nodes: int, zeros: int, seed: int = 0) -> DataFrame:
-    """Observations of a stratified batch: for each drawn node its out-links, in-links and ``zeros`` non-links, with the scale of the stratum."""
-    all_nodes = cut(nodes(edges))
-    n = all_nodes.count()
-    drawn = all_nodes.orderBy(hash_rank(F.col("id"), seed=seed), "id").limit(batch_nodes).withColumnRenamed("id", "node")
-    out = edges.join(drawn, F.col("src") == F.col("node")).select("node", F.lit("out").alias("stratum"), F.col("dst").alias("other"), "w")
-    inward = edges.join(drawn, F.col("dst") == F.col("node")).select("node", F.lit("in").alias("stratum"), F.col("src").alias("other"), "w")
-    tries = drawn.crossJoin(edges.sparkSession.range(4 * zeros).withColumnRenamed("id", "t"))  # batch_nodes x a constant
-    from .lineage import numbered
-
-    ids = numbered(all_nodes, "place", F.col("id"))
-    none = tries.withColumn("place", F.pmod(F.xxhash64("node", "t", F.lit(seed)), F.lit(n))).join(ids, "place").select("node", F.col("id").alias("other"), "t").where("node <> other")
-    none = none.join(edges, (F.col("src") == F.col("node")) & (F.col("dst") == F.col("other")), "left_anti").dropDuplicates(["node", "other"])
-    none = none.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("t"))).where(F.col("k") <= zeros).select("node", F.lit("none").alias("stratum"), "other", F.lit(0).cast("long").alias("w"))
-    every = out.union(inward).union(none)
-    sizes = every.groupBy("node", "stratum").agg(F.count("*").alias("size"))
-    return every.join(sizes, ["node", "stratum"]).withColumn("scale", F.when(F.col("stratum") == "none", F.lit(float(n)) / F.col("size")).otherwise(F.lit(float(n))))
+def minibatches(edges: DataFrame, batches: int, zeros: int = 10, zero_prior: float = 0.5, directed: bool = True, sparse: bool = False, seed: int = 0) -> DataFrame:
+    """(batch, part, kind, src, dst, w) of stratified minibatches: each draws a node and one of its sets: non-links (with zero_prior), out-links, in-links (directed only).
+
+    ``kind`` is "scale" for a minibatch's header (src is the node, w the factor that its observations stand for) or "edge". One in ``zeros`` of the node's non-links is drawn,
+    towards nodes it has links to (part "zeros out") and from nodes it has links from ("zeros in"); nodes without such links give no minibatch. Node and set are drawn with repeats. ``sparse`` has the
+    factors of the sparse variant: numbers of links and non-links instead of numbers of nodes.
+    """
+    ids = cut(numbered(nodes(edges), "place", F.col("id")).select("id", "place"))
+    n, spark, sets, half = ids.count(), edges.sparkSession, 3 if directed else 2, 1 if directed else 2
+    number = F.col("batch")
+    u = (drawn_int(number, "set", seed=seed) % 1_000_000) / 1e6
+    part = F.when(u < zero_prior, F.array(F.lit("zeros out"), F.lit("zeros in"))).when((u < zero_prior + (1 - zero_prior) / (sets - 1)) | F.lit(not directed), F.array(F.lit("out"))).otherwise(F.array(F.lit("in")))
+    drawn = spark.range(batches).toDF("batch").select("batch", (drawn_int(number, "node", seed=seed) % n).alias("place"), F.explode(part).alias("part")).join(ids, "place").select("batch", "part", F.col("id").alias("node"))
+    ends = edges.select(F.col("src").alias("node"), F.lit("out").alias("way"), F.col("dst").alias("other"), "w").union(edges.select("dst", F.lit("in"), "src", "w"))
+    links = drawn.withColumn("way", F.element_at(F.split("part", " "), -1)).join(ends, ["node", "way"])
+    degree = cut(links.groupBy("batch", "part", "way", "node").agg(F.count("*").alias("degree")))
+    is_zero = F.col("part").startswith("zeros")
+    if sparse:
+        factor = F.when(is_zero, (n - F.col("degree") - 1) * zeros * half).otherwise(half * n * F.col("degree"))
+    else:
+        factor = F.when(is_zero, F.lit(sets * zeros / half)).otherwise(F.lit(n * sets / half))
+    header = degree.select("batch", "part", F.lit("scale").alias("kind"), F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), factor.cast("double").alias("w"))
+    # A zero minibatch meets every node, a tenth of which (by default) are its observations.
+    free = degree.where(is_zero).crossJoin(ids.select(F.col("id").alias("other"))).where("node <> other").where(drawn_int(number, F.col("part"), F.col("other"), seed=seed) % zeros == 0)
+    free = free.join(ends.select("node", "way", "other"), ["node", "way", "other"], "left_anti").withColumn("w", F.lit(0))
+    seen = links.where(~is_zero).select("batch", "part", "way", "node", "other", "w").unionByName(free.select("batch", "part", "way", "node", "other", "w"))
+    out = F.col("way") == "out"
+    return header.union(seen.select("batch", "part", F.lit("edge"), F.when(out, F.col("node")).otherwise(F.col("other")), F.when(out, F.col("other")).otherwise(F.col("node")), F.col("w").cast("double")))
 
 
 def minibatch_count(n_nodes: int, zeros: int, coverage: float) -> int:
@@ -368,9 +433,9 @@ def distances(edges: DataFrame, source: int, most: int = 1000) -> DataFrame:
         reached = both.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
         frontier = cut(reached.join(seen, "id", "left_anti").withColumn("d", F.lit(d)))
         if frontier.isEmpty():
-            break
+            return seen
         seen = cut(seen.union(frontier))
-    return seen
+    raise RuntimeError(f"nodes are more than {most - 1} steps away")
 
 
 def pseudo_diameter(edges: DataFrame, start: int) -> int:
@@ -443,3 +508,136 @@ def predict_masked(masked: DataFrame, probability: Column, seed: int = 0) -> Dat
     from ..functions.scalars import draw_bernoulli, uniform
 
     return masked.where("masked").withColumn("predicted", draw_bernoulli(probability, uniform(F.col("src"), F.col("dst"), seed=seed)))
+
+
+def without_vertices(edges: DataFrame, least: int) -> DataFrame:
+    """Edges between nodes of at least ``least`` ends of edges."""
+    kept = degrees(edges).where(F.col("degree") >= least).select("id")
+    return edges.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
+def sampled_nodes(edges: DataFrame, n: int) -> DataFrame:
+    """The subgraph of the n smallest ids."""
+    kept = first_rows(nodes(edges), n, F.col("id"))
+    return edges.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
+def updated(edges: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and vertices (id, ...) with ids 0..n-1 in the order of the old ones; vertices that no edge names go."""
+    ids = numbered(nodes(edges), "new", F.col("id")).select("id", "new")
+    return renumbered(edges), vertices.join(ids, "id").drop("id").withColumnRenamed("new", "id")
+
+
+def dense_setup(cells: DataFrame, form: str = "b") -> DataFrame:
+    """Cells (src, dst, w) of a dense network: "b" holds links only (w 0 or 1), "w" whole weights."""
+    if form not in ("b", "w"):
+        raise ValueError(f"unknown network form {form}")
+    return cells.select("src", "dst", (F.when(F.col("w") != 0, 1).otherwise(0) if form == "b" else F.col("w")).cast("long").alias("w"))
+
+
+def from_matrix(cells: DataFrame) -> tuple[DataFrame, bool]:
+    """Edges of the non-zero cells of a matrix, and whether they are directed: a symmetric matrix makes an undirected graph, with each pair once."""
+    edges = cells.where("w <> 0")
+    directed = not bool(edges.isEmpty() or is_symmetric(edges).first()["symmetric"])
+    return (edges if directed else edges.where("src <= dst")), directed
+
+
+def sparse_setup(edges: DataFrame, directed: bool | None = None, loops: bool = False, value: str | None = None, shift: str | int | None = None) -> tuple[DataFrame, bool]:
+    """A sparse network made ready, in this order: self-loops go, the direction is set or guessed, weights are there (1, or ceil(10 value)), weights are shifted.
+
+    A graph is undirected if its matrix is symmetric or one triangle of it is empty. ``shift`` is a number to add, or "linear_k" for k w + k.
+    """
+    df = edges if loops else without_loops(edges)
+    if directed is None:
+        guess = is_symmetric(df.select("src", "dst", F.lit(1).alias("w")).distinct()).first()
+        directed = not (guess["symmetric"] or guess["one_triangle"])
+    if not directed:
+        keep = [c for c in df.columns if c not in ("src", "dst")]
+        df = df.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), *keep).dropDuplicates(["src", "dst"])
+    if "w" not in df.columns:
+        df = df.withColumn("w", F.ceil(F.col(value) * 10) if value else F.lit(1))
+    if shift:
+        head, _, k = str(shift).rpartition("_")
+        df = df.withColumn("w", F.col("w") * int(k) + int(k) if head == "linear" else F.col("w") + int(k))
+    return df.withColumn("w", F.col("w").cast("long")), directed
+
+
+#: Largest weight after exponentiation: a fixed value.
+MOST_WEIGHT = 300
+
+
+def configured(edges: DataFrame, exponentiate: bool = False, n: int | str | None = None, test_percent: float | None = None, noise: float | None = None, seed: int = 0) -> DataFrame:
+    """Set-up of a corpus in its order: weights to powers of two (at most MOST_WEIGHT), the first n nodes ("all" for every one), a test split (``is_test``), noise on what is not tested."""
+    df = edges
+    if exponentiate:
+        df = df.withColumn("w", F.when(F.col("w") > 8, MOST_WEIGHT).otherwise(F.least(F.pow(F.lit(2.0), F.col("w")), F.lit(float(MOST_WEIGHT)))).cast("long"))
+    if n is not None and n != "all":
+        df = sampled_nodes(df, int(n))
+    if test_percent is not None:
+        df = test_split(df, test_ratio(test_percent), seed)
+    if noise:
+        if test_percent is None:
+            return add_noise(df, noise, seed)
+        df = cut(df)
+        noisy = add_noise(df.where("not is_test").drop("is_test"), noise, seed).withColumn("is_test", F.lit(False))
+        return noisy.unionByName(df.where("is_test"))
+    return df
+
+
+def edge_similarity(edges: DataFrame, vectors: DataFrame, how: str = "cos", threshold: float = 0.0) -> DataFrame:
+    """Edges with the similarity of their ends' vectors (id, v): only pairs that are edges are compared."""
+    both = edges.join(vectors.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(vectors.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst")
+    return similarity(both, how, threshold).drop("a", "b")
+
+
+def sign(condition: Column) -> Column:
+    """1 where a condition holds, else -1."""
+    return F.when(condition, 1.0).otherwise(-1.0)
+
+
+def cluster_similarity(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Pairs (i, j) with 1 where both have one cluster, else -1: the k-means sign and the community similarity, by the clusters given."""
+    both = pairs.join(clusters.select(F.col("id").alias("i"), F.col("cluster").alias("k")), "i").join(clusters.select(F.col("id").alias("j"), F.col("cluster").alias("l")), "j")
+    return both.withColumn("similarity", sign(F.col("k") == F.col("l"))).drop("k", "l")
+
+
+def near_similarity(pairs: DataFrame, spread: float, k: int, how: str = "old") -> DataFrame:
+    """Pairs of vectors (a, b) as 1 or -1 by a distance of at most 2 spread / k: "old" the whole Euclidean one; "abs" on each of the first two
+    coordinates (1 unless both are far); "dist" on the first coordinate, taken for both of them."""
+    most = 2.0 * spread / k
+    apart = lambda i: F.abs(F.col("a")[i].cast("double") - F.col("b")[i].cast("double"))
+    if how == "old":
+        square = F.aggregate(F.zip_with("a", "b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+        near = F.sqrt(square) <= most
+    elif how == "abs":
+        near = (apart(0) <= most) | (apart(1) <= most)
+    elif how == "dist":
+        near = F.sqrt(F.lit(2.0)) * apart(0) <= most
+    else:
+        raise ValueError(how)
+    return pairs.withColumn("similarity", sign(near))
+
+
+def adjusted_mutual_information(labels: DataFrame) -> DataFrame:
+    """Adjusted mutual information (arithmetic mean) of two labellings (a, b): the expected value is a sum over the pairs of class sizes, not of rows."""
+    import math
+
+    joint = labels.groupBy("a", "b").agg(F.count("*").alias("n")).collect()  # a row for each pair of classes
+    total = sum(r["n"] for r in joint)
+    sizes = [{}, {}]
+    for r in joint:
+        for side, c in enumerate("ab"):
+            sizes[side][r[c]] = sizes[side].get(r[c], 0) + r["n"]
+    log, fact = math.log, math.lgamma
+    mi = sum(r["n"] / total * log(r["n"] * total / (sizes[0][r["a"]] * sizes[1][r["b"]])) for r in joint)
+    entropy = [-sum(x / total * log(x / total) for x in s.values()) for s in sizes]
+    expected = 0.0
+    for x in sizes[0].values():
+        for y in sizes[1].values():
+            base = fact(x + 1) + fact(y + 1) + fact(total - x + 1) + fact(total - y + 1) - fact(total + 1)
+            for n in range(max(1, x + y - total), min(x, y) + 1):
+                chance = math.exp(base - fact(n + 1) - fact(x - n + 1) - fact(y - n + 1) - fact(total - x - y + n + 1))
+                expected += n / total * log(total * n / (x * y)) * chance
+    mean = (entropy[0] + entropy[1]) / 2
+    value = 1.0 if mean - expected == 0 else (mi - expected) / (mean - expected)
+    return labels.sparkSession.range(1).select(F.lit(value).alias("ami"))

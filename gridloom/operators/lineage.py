@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where none is set and all runs in one process."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridloom-"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="gridloom-"))
     return sc.getCheckpointDir()
 
 
@@ -34,3 +37,8 @@ def numbered(df: DataFrame, name: str, *order: Column, start: int = 0) -> DataFr
     before = counts.select("__part", F.expr("sum(__n) over (order by __part rows between unbounded preceding and 1 preceding)").alias("__before"))
     joined = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
     return joined.withColumn(name, F.coalesce("__before", F.lit(0)) + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + start).drop("__id", "__part", "__before")
+
+
+def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The n rows that come first in an order without ties, however large n is: no task holds them all."""
+    return numbered(df, "__rank", *order).where(F.col("__rank") < n).drop("__rank")

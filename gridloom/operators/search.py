@@ -1,23 +1,59 @@
-"""Ranked search over an inverted index kept as a DataFrame (doc_id, field, term, tf, positions)."""
+"""Ranked search over a stored inverted index: postings (doc_id, field, term, tf, positions), document lengths, and the vocabulary."""
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import tokens_of
 
 #: BM25's two constants.
 K1, B = 1.2, 0.75
+#: Folders of the postings by hash of term, and parts of a term's documents that different tasks gather.
+BUCKETS, SALTS = 64, 8
+
+
+@dataclass(frozen=True)
+class Index:
+    postings: DataFrame
+    lengths: DataFrame
+    vocabulary: DataFrame
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def index(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(bucket, doc_id, field, term, tf, positions): tokens are shuffled once, by term and part of the documents, so that no task gathers a common term alone."""
     parts = [F.struct(F.lit(f).alias("field"), tokens_of(F.col(f)).alias("toks")) for f in fields]
     one = docs.select("doc_id", F.explode(F.array(*parts)).alias("x")).select("doc_id", "x.field", F.posexplode("x.toks").alias("pos", "term"))
-    return one.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    dealt = one.withColumns({"bucket": bucket_of(F.col("term")), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))}).repartition("bucket", "salt")
+    return dealt.groupBy("bucket", "salt", "doc_id", "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")).drop("salt")
+
+
+def lengths(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(doc_id, field, len) of documents with a token."""
+    parts = [F.struct(F.lit(f).alias("field"), F.size(tokens_of(F.col(f))).cast("long").alias("len")) for f in fields]
+    return docs.select("doc_id", F.explode(F.array(*parts)).alias("x")).select("doc_id", "x.*").where("len > 0")
+
+
+def build(docs: DataFrame, fields: list[str], path: str, mode: str = "overwrite") -> None:
+    """Stores an index; with mode "append" it adds documents to one. A term is found in one folder, in sorted files."""
+    spark = docs.sparkSession
+    index(docs, fields).sortWithinPartitions("bucket", "field", "term", "doc_id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+    lengths(docs, fields).write.mode(mode).parquet(f"{path}/lengths")
+    # Whole, from the postings: also after documents came in.
+    terms = spark.read.parquet(f"{path}/postings").groupBy("field", "term").agg(F.count("*").alias("df"))
+    terms.write.mode("overwrite").parquet(f"{path}/vocabulary")
+
+
+def read(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{x}") for x in ("postings", "lengths", "vocabulary")])
 
 
 @dataclass(frozen=True)
@@ -52,40 +88,48 @@ def _matches(clause: Clause, term: Column) -> Column:
     return term == clause.text
 
 
-def _hits(inverted: DataFrame, clause: Clause, field: str) -> DataFrame:
-    """(doc_id, term, tf) of a clause."""
-    rows = inverted.where(F.col("field") == (clause.field or field))
+def _postings(stored: Index, term: str, field: str) -> DataFrame:
+    """Of one term, from its folder alone."""
+    here = stored.postings.sparkSession.range(1).select(bucket_of(F.lit(term))).first()[0]
+    return stored.postings.where((F.col("bucket") == here) & (F.col("field") == field) & (F.col("term") == term))
+
+
+def _hits(stored: Index, clause: Clause, field: str) -> DataFrame:
+    """(doc_id, tf, df) of a clause, a row for each term and document."""
+    field = clause.field or field
+    if clause.kind == "term":
+        df = stored.vocabulary.where((F.col("field") == field) & (F.col("term") == clause.text)).select("term", "df")
+        return _postings(stored, clause.text, field).join(F.broadcast(df), "term").select("doc_id", "tf", "df")  # one row
     if clause.kind != "phrase":
-        return rows.where(_matches(clause, F.col("term"))).select("doc_id", "term", "tf")
+        # Patterns are matched with the vocabulary, not with all postings.
+        terms = stored.vocabulary.where((F.col("field") == field) & _matches(clause, F.col("term"))).select("term", "df", bucket_of(F.col("term")).alias("bucket"))
+        return stored.postings.where(F.col("field") == field).join(terms, ["bucket", "term"]).select("doc_id", "tf", "df")
     words = re.findall(r"[a-z0-9_\-]+", clause.text)
-    found = None
-    for k, word in enumerate(words):
-        one = rows.where(F.col("term") == word).select("doc_id", F.expr(f"transform(positions, p -> p - {k})").alias(f"p{k}"))
-        found = one if found is None else found.join(one, "doc_id")
-    at = F.col("p0")
-    for k in range(1, len(words)):
-        at = F.array_intersect(at, F.col(f"p{k}"))
-    return found.select("doc_id", F.lit(clause.text).alias("term"), F.size(at).cast("long").alias("tf")).where("tf > 0")
+    rows = [_postings(stored, w, field).select("doc_id", F.expr(f"transform(positions, p -> p - {k})").alias(f"p{k}")) for k, w in enumerate(words)]
+    found = functools.reduce(lambda a, b: a.join(b, "doc_id"), rows)
+    at = functools.reduce(F.array_intersect, [F.col(f"p{k}") for k in range(len(words))])
+    hits = found.select("doc_id", F.size(at).cast("long").alias("tf")).where("tf > 0")
+    return hits.crossJoin(F.broadcast(hits.agg(F.count("*").alias("df"))))  # one row
 
 
-def search(inverted: DataFrame, query: str, field: str, limit: int | None = 10) -> DataFrame:
+def search(stored: Index, query: str, field: str, limit: int | None = 10) -> DataFrame:
     """(doc_id, score) by BM25, best first, ties by doc_id."""
-    lengths = inverted.where(F.col("field") == field).groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    sizes = stored.lengths.where(F.col("field") == field).select("doc_id", "len")
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     scored, must, never = None, [], None
     for clause in parse(query):
-        hits = _hits(inverted, clause, field)
+        hits = _hits(stored, clause, field)
         if clause.sign == "-":
             never = hits.select("doc_id") if never is None else never.union(hits.select("doc_id"))
             continue
         if clause.sign == "+":
             must.append(hits.select("doc_id").distinct())
-        df = hits.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
-        one = hits.join(df, "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        one = one.select("doc_id", (F.lit(clause.boost) * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("s"))
+        one = hits.withColumn("boost", F.lit(clause.boost))
         scored = one if scored is None else scored.union(one)
-    out = scored.groupBy("doc_id").agg(F.sum("s").alias("score"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    each = scored.join(sizes, "doc_id").crossJoin(F.broadcast(stats))
+    each = each.select("doc_id", (F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("s"))
+    out = each.groupBy("doc_id").agg(F.sum("s").alias("score"))
     for docs in must:
         out = out.join(docs, "doc_id", "left_semi")
     if never is not None:

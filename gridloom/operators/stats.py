@@ -58,18 +58,20 @@ def zeta(s: float, a: float, terms: int = 30) -> float:
 
 
 def ks_distance(values: np.ndarray, counts: np.ndarray, alpha: float, x_min: float) -> float:
-    """Largest gap between an empirical distribution and the discrete power law."""
+    """Largest gap between an empirical distribution and the discrete power law 1 - zeta(alpha, x) / zeta(alpha, x_min), on either side of each step."""
     order = np.argsort(values)
     values, counts = values[order], counts[order]
-    seen = np.cumsum(counts) / counts.sum()
+    after = np.cumsum(counts) / counts.sum()
+    before = np.append(0.0, after[:-1])
     base = zeta(alpha, x_min)
-    model = np.array([1 - zeta(alpha, v + 1) / base for v in values.tolist()])
-    return float(np.abs(seen - model).max())
+    model = np.array([1 - zeta(alpha, v) / base for v in values.tolist()])
+    return float(max((after - model).max(), (model - before).max()))
 
 
 def power_law_test(histogram: DataFrame, precision: float = 0.03, seed: int = 0, histogram_limit: int = 1_000_000) -> DataFrame:
-    """One row (alpha, x_min, ks, p_value): the part of synthetic sets, int(0.25 / precision**2) of them, that fit worse. Each set is drawn and fitted by one task.
+    """One row (alpha, x_min, ks, p_value): the part of synthetic sets, int(0.25 / precision**2) of them, at least as far from the fitted law as the data.
 
+    Each set has as many values as the data: a binomial number of them drawn from the law's tail, the others from the data up to x_min. It is compared with the law fitted to the data.
     The histogram (one row per distinct degree) goes to the tasks; more than ``histogram_limit`` distinct degrees raise an error.
     """
     spark = histogram.sparkSession
@@ -79,27 +81,43 @@ def power_law_test(histogram: DataFrame, precision: float = 0.03, seed: int = 0,
     fit = power_law(histogram).first()
     if fit["alpha"] is None:
         return spark.createDataFrame([(None, fit["x_min"], None, None)], "alpha double, x_min long, ks double, p_value double")
-    alpha, low, n = fit["alpha"], float(fit["x_min"]), int(fit["n"])
-    ks = ks_distance(rows["degree"].to_numpy(float), rows["n"].to_numpy(float), alpha, low)
+    alpha, low, n_tail = fit["alpha"], float(fit["x_min"]), int(fit["n"])
+    degree, count = rows["degree"].to_numpy(float), rows["n"].to_numpy(float)
+    n, head = int(count.sum()), degree <= low
+    ks = ks_distance(degree, count, alpha, low)
     sets = int(0.25 / precision**2)
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             worse = []
             for k in batch["id"]:
-                u = np.random.default_rng([seed, int(k)]).random(n)
-                drawn = np.floor((low - 0.5) * (1 - u) ** (-1 / (alpha - 1)) + 0.5)
-                values, counts = np.unique(drawn, return_counts=True)
-                tail = values > low
-                s = (counts[tail] * np.log(values[tail] / (low - 0.5))).sum()
-                a = 1 + n / s if s > 0 else alpha
-                worse.append(float(ks_distance(values, counts, a, low) > ks))
+                rng = np.random.default_rng([seed, int(k)])
+                tail = rng.binomial(n, n_tail / n)
+                values, counts = np.unique(np.floor((low - 0.5) * (1 - rng.random(tail)) ** (-1 / (alpha - 1)) + 0.5), return_counts=True)
+                if head.any():
+                    again = rng.multinomial(n - tail, count[head] / count[head].sum())
+                    values, at = np.unique(np.concatenate([values, degree[head]]), return_inverse=True)
+                    counts = np.bincount(at, np.concatenate([counts, again]), len(values))
+                    values, counts = values[counts > 0], counts[counts > 0]
+                worse.append(float(ks_distance(values, counts, alpha, low) >= ks))
             yield pd.DataFrame({"worse": worse})
 
     part = spark.range(sets).repartition(min(sets, 8)).mapInPandas(one, "worse double").agg(F.avg("worse").alias("p_value"))
     return part.select(F.lit(alpha).alias("alpha"), F.lit(int(low)).cast("long").alias("x_min"), F.lit(ks).alias("ks"), "p_value")
 
 
+def ks_of_histogram(histogram: DataFrame, alpha: float, x_min: float) -> DataFrame:
+    """One row: the gap of ``ks_distance``, with the zeta function as a sum of its first terms and an integral for the rest (in SQL alone)."""
+    law = lambda x: f"(aggregate(sequence(0, 199), 0.0D, (s, k) -> s + power({x} + k, -{alpha}D)) + power({x} + 200, 1 - {alpha}D) / ({alpha}D - 1) + 0.5 * power({x} + 200, -{alpha}D) + {alpha}D / 12 * power({x} + 200, -{alpha}D - 1))"
+    from .results import running_bounds
+
+    total = histogram.agg(F.sum("n").alias("total"))
+    steps = running_bounds(histogram.where("n > 0"), "degree", "n").crossJoin(F.broadcast(total))
+    model = F.expr(f"1 - {law('cast(degree as double)')} / {law(f'cast({x_min} as double)')}")
+    gaps = steps.select(F.greatest(F.col("bound") / F.col("total") - model, model - (F.col("bound") - F.col("n")) / F.col("total")).alias("gap"))
+    return gaps.agg(F.max("gap").alias("ks"))
+
+
 def log_log_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     both = df.where((F.col(x) > 0) & (F.col(y) > 0)).select(F.log(x).alias("x"), F.log(y).alias("y"))
     return both.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
@@ -200,14 +218,86 @@ def boundary_partition(matrix: np.ndarray, clusters: int, seed: int = 0, steps:
     return top, top_energy
 
 
-def annealed(matrix: DataFrame, group: str, clusters: int, seed: int = 0) -> DataFrame:
-    """(group, id, cluster, energy): one annealing per group of (group, src, dst, w); a group's square matrix is one task's work."""
+def annealing_degree(matrix: DataFrame) -> DataFrame:
+    """(id, degree): sum of a row and its column, the diagonal once."""
+    ends = matrix.select(F.col("src").alias("id"), "w").union(matrix.where("src <> dst").select("dst", "w"))
+    return ends.groupBy("id").agg(F.sum("w").alias("degree"))
+
+
+def boundary_cuts(step: int, n: int, clusters: int, rng: np.random.Generator) -> np.ndarray:
+    """Bounds of consecutive blocks: evenly spaced at step 0, else random even places, at least two apart."""
+    if step == 0:
+        return np.linspace(0, n, clusters + 1).astype(int)
+    inner = rng.choice(np.arange(2, n - 1, 2), clusters - 1, replace=False)
+    return np.concatenate([[0], np.sort(inner), [n]]).astype(int)
+
+
+def block_energy(matrix: np.ndarray, label: np.ndarray, clusters: int) -> float:
+    """Mean inner density less the squared mean of outer density, of non-empty clusters."""
+    n, hot = len(matrix), np.eye(clusters)[label]
+    size = hot.sum(0)
+    block = hot.T @ matrix @ hot
+    inside, room = np.diag(block), 2 * (n * size - size**2)
+    out = block.sum(0) + block.sum(1) - 2 * inside
+    live = (size > 0).sum()
+    i = (inside / np.maximum(size, 1) ** 2).sum()
+    o = (out / np.maximum(room, 1))[room > 0].sum()
+    return float((i - o**2 / live) / live)
+
+
+def concentrated(matrix: np.ndarray, label: np.ndarray, clusters: int, rng: np.random.Generator) -> np.ndarray:
+    """Each row, in random order, goes to the cluster c of largest inside / size**2 - outside / (n - size)**2, counted with the row in it."""
+    n, label = len(matrix), label.copy()
+    both = matrix + matrix.T
+    np.fill_diagonal(both, np.diag(matrix))
+    degree = both.sum(1)
+    for row in rng.permutation(n):
+        hot = np.eye(clusters)[label]
+        hot[row] = 0
+        size = hot.sum(0) + 1
+        inside = np.einsum("ic,ij,jc->c", hot, matrix, hot) + both[row] @ hot + matrix[row, row]
+        ends = degree @ hot - 2 * np.einsum("ic,ij,jc->c", hot, matrix, hot)
+        outside = ends - both[row] @ hot + degree[row] - both[row] @ hot - matrix[row, row]
+        label[row] = int(np.argmax(inside / size**2 - outside / np.maximum(n - size, 1) ** 2))
+    return label
+
+
+def boundary_annealing(matrix: np.ndarray, steps: int = 200, clusters: int = 2, grow: int = 1, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Labels of the rows by annealing over the bounds of consecutive blocks, and their energy; while that grows, ``grow`` more clusters are tried.
+
+    Bounds are drawn anew in each step and taken if better, or with probability exp(-gap / t ln 1000), t falling with the steps; every tenth step rows are reassigned
+    and put in the order of their clusters.
+    """
+    n, rng = len(matrix), np.random.default_rng(seed)
+    best, top = np.zeros(n, int), -math.inf
+    while True:
+        order, now, kept = np.arange(n), -math.inf, None
+        for step in range(steps):
+            label = np.empty(n, int)
+            label[order] = np.repeat(np.arange(clusters), np.diff(boundary_cuts(step, n, clusters, rng)))
+            if step % 10 == 9:
+                label = concentrated(matrix, label, clusters, rng)
+                order = np.argsort(label, kind="stable")
+            e = block_energy(matrix, label, clusters)
+            t = (steps - step) / (n**2 / clusters)
+            if kept is None or rng.random() < math.exp(min(0.0, (e - now) / t * math.log(1000))):
+                now, kept = e, label
+        if now <= top:
+            return best, top
+        best, top = kept, now
+        clusters += grow
+        if not grow or clusters - 1 > len(range(2, n - 1, 2)):
+            return best, top
+
+
+def annealed(matrix: DataFrame, group: str, clusters: int, seed: int = 0, bounds: bool = False) -> DataFrame:
+    """(group, id, cluster, energy): one annealing per group of (group, src, dst, w), by moves of rows or, with ``bounds``, by bounds of growing numbers of blocks; a group's square matrix is one task's work."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
         m = np.zeros((len(ids), len(ids)))
         np.add.at(m, (np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])), pdf["w"])
-        label, energy = boundary_partition(m, min(clusters, len(ids)), seed)
+        label, energy = boundary_annealing(m, clusters=clusters, seed=seed) if bounds and len(ids) > 2 * clusters else boundary_partition(m, min(clusters, len(ids)), seed)
         return pd.DataFrame({group: pdf[group].iloc[0], "id": ids, "cluster": label, "energy": energy})
 
     kind = dict(matrix.dtypes)[group]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import numbered
+from .lineage import cut, numbered
 
 #: What a token is made of, and the count from which a document is left out of a sample.
 NOT_TOKEN, MOST_COUNT = r"[^a-zA-Z0-9_\-]+", 6000
@@ -13,7 +13,7 @@ NOT_TOKEN, MOST_COUNT = r"[^a-zA-Z0-9_\-]+", 6000
 
 def tokens_of(text: Column) -> Column:
     """ASCII tokens in lower case, in order."""
-    return F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), NOT_TOKEN, " ")), " "), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), NOT_TOKEN, " ")), " "), "")
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def document_frequency(bag: DataFrame) -> DataFrame:
 
 
 def pruned(bag: DataFrame, least: int) -> DataFrame:
-    """Rows of terms in more than ``least`` documents."""
+    """Rows of terms in more than ``least`` documents. The bag is made once and written, since it is read twice."""
+    bag = cut(bag)
     return bag.join(document_frequency(bag).where(F.col("df") > least).select("term"), "term", "left_semi")
 
 
@@ -58,7 +59,7 @@ def split(docs: DataFrame, ratio: float) -> DataFrame:
 def sample(bag: DataFrame, first: int, ids: DataFrame) -> DataFrame:
     """The first documents by id, without those that have a term ``MOST_COUNT`` times or more."""
     kept = ids.select("doc_id").orderBy("doc_id").limit(first)
-    part = bag.join(F.broadcast(kept), "doc_id", "left_semi") if first <= 1_000_000 else bag.join(kept, "doc_id", "left_semi")
+    part = bag.join(F.broadcast(kept), "doc_id", "left_semi") if first <= 10_000 else bag.join(kept, "doc_id", "left_semi")
     return part.join(part.where(F.col("cnt") >= MOST_COUNT).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
@@ -79,11 +80,77 @@ def newsgroup_group(name: Column) -> Column:
 
 
 def assign_topics(confusion: list[list[int]]) -> list[int]:
-    """A class for each row of a square confusion matrix: the largest cells first, each row and column once. K x K numbers, on the driver."""
-    cells = sorted(((-n, i, j) for i, row in enumerate(confusion) for j, n in enumerate(row)))
-    out, used = [-1] * len(confusion), set()
-    for _, i, j in cells:
-        if out[i] < 0 and j not in used:
-            out[i] = j
-            used.add(j)
-    return out
+    """A class for each row of a square confusion matrix, row by row. K x K numbers, on the driver.
+
+    The first row not yet done asks for its largest free class; where a later row has more of that class, the two rows change places and it is that row's turn. The last
+    row keeps the class of its number, as in the rule this follows. The answer is by the rows' old numbers.
+    """
+    cells, k = [list(row) for row in confusion], len(confusion)
+    rows, taken = list(range(k)), [i for i in range(k)]
+    now = 0
+    while now < k - 1:
+        free = [c for c in range(k) if c not in taken[:now]]
+        c = max(free, key=lambda c: (cells[now][c], -c))
+        best = max(range(now, k), key=lambda r: (cells[r][c], -r))
+        if cells[best][c] > cells[now][c]:
+            for x in (cells, rows):
+                x[now], x[best] = x[best], x[now]
+            taken[now], taken[best] = taken[best], taken[now]
+        else:
+            taken[now] = c
+            now += 1
+    return [c for _, c in sorted(zip(rows, taken, strict=True))]
+
+
+#: Marks at which a text is split for its bag of words, and words that a lemmatiser spoils.
+MARKS, RECOVERED = r"[.,;:!?(){}\[\]'\"`]+", {"wa": "was", "ha": "has"}
+
+
+def marked_words(text: Column) -> Column:
+    """Words between white space and punctuation marks, as they are written."""
+    return F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), MARKS, " "), r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
+
+
+def lemmas(toks: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Tokens with their lemma of a table (term, lemma), where it has one; spoiled words are recovered."""
+    if table is not None:
+        toks = toks.join(table, "term", "left").withColumn("term", F.coalesce("lemma", "term")).drop("lemma")
+    fixed = F.create_map(*[F.lit(x) for pair in RECOVERED.items() for x in pair])
+    return toks.withColumn("term", F.coalesce(F.element_at(fixed, F.col("term")), F.col("term")))
+
+
+def ids_of(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Terms replaced by their ids; terms without one go."""
+    return rows.join(vocab.select("term", "term_id"), "term").drop("term")
+
+
+def terms_of(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Ids replaced by their terms."""
+    return rows.join(vocab.select("term", "term_id"), "term_id").drop("term_id")
+
+
+def pruned_vocabulary(bag: DataFrame, vocab: DataFrame, least: int) -> DataFrame:
+    """(term, term_id) of terms in more than ``least`` documents, numbered anew in the old order."""
+    kept = vocab.join(document_frequency(bag).where(F.col("df") > least).select("term"), "term", "left_semi")
+    return numbered(kept.withColumnRenamed("term_id", "old"), "term_id", F.col("old")).select("term", "term_id")
+
+
+def loaded_corpus(docs: DataFrame, n: int | str | None = None, shuffle: bool = False, seed: int = 0) -> DataFrame:
+    """The first n documents of a corpus ("all" or None for every one), with ``place``: by id, or by an md5 draw if shuffled. Asking for more than there are is an error."""
+    if n is not None and str(n).isdigit() and int(n) > docs.count():
+        raise ValueError(f"the corpus has fewer than {n} documents")
+    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")))] if shuffle else []
+    placed = numbered(docs.withColumn("draw", order[0]) if shuffle else docs, "place", *([F.col("draw")] if shuffle else []), F.col("doc_id"))
+    placed = placed.drop("draw")
+    return placed.where(F.col("place") < int(n)) if n is not None and str(n).isdigit() else placed
+
+
+def topics(bag: DataFrame, vocab: DataFrame, k: int, rounds: int = 10, seed: int = 0):
+    """A topic model (LDA) of a bag of words: the fitted model, and (doc_id, features) it was fitted on."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.functions import array_to_vector
+
+    n = vocab.count()
+    counts = ids_of(bag, vocab).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term_id", "cnt"))).alias("m"))
+    rows = counts.select("doc_id", array_to_vector(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double"))).alias("features"))
+    return LDA(k=k, maxIter=rounds, seed=seed).fit(rows), rows

@@ -22,6 +22,8 @@ log = logging.getLogger("gridloom")
 #: Log levels by verbosity: fixed values.
 LEVELS = {-1: logging.WARNING, 0: logging.INFO, 1: logging.DEBUG}
 ERROR_LOG_BYTES = 100 * 1024
+#: Runs that earn a warning.
+MANY = 2_000_000
 
 
 @dataclass
@@ -130,6 +132,77 @@ class Model(ABC):
         return compute(**options) if compute else getattr(self, name, None)
 
 
+def snapshot(model: Any, path: str, purge: tuple[str, ...] = ()) -> None:
+    """Saves a model: a fitted Spark pipeline or stage by its writer; any other object's plain attributes (functions and those of ``purge`` go) as JSON rows."""
+    if hasattr(model, "write"):
+        model.write().overwrite().save(path)
+        return
+    plain = {k: v for k, v in vars(model).items() if k not in purge and not callable(v) and not isinstance(v, (DataFrame, SparkSession))}
+    spark = SparkSession.getActiveSession()
+    rows = [(type(model).__name__.lower(), k, json.dumps(v, default=str)) for k, v in sorted(plain.items())]
+    spark.createDataFrame(rows, "model string, attribute string, value string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def alternatives(spark: SparkSession, folder: str) -> list[str]:
+    """What is stored in a folder: names a user may have meant."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def load_model(spark: SparkSession, path: str) -> Any:
+    """A saved model: a Spark pipeline, or a registered model with its attributes. A missing one is an error that names what its folder holds."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    have = alternatives(spark, folder or ".")
+    if name not in have:
+        raise FileNotFoundError(f"no model {path}; there are: {', '.join(have) or 'none'}")
+    if "metadata" in alternatives(spark, path):
+        from pyspark.ml import PipelineModel
+
+        return PipelineModel.load(path)
+    rows = spark.read.parquet(path).collect()
+    cls = MODELS[rows[0]["model"]]
+    model = cls.__new__(cls)
+    vars(model).update({r["attribute"]: json.loads(r["value"]) for r in rows})
+    return model
+
+
+def model_for(spark: SparkSession, run: dict[str, Any], path: str, load: bool = False) -> Model:
+    """The run's model, loaded from its path or built; settings that only the model has (measures, format) come to the run."""
+    model = load_model(spark, path) if load else MODELS[str(run["model"]).rsplit(".", 1)[-1].lower()](run)
+    for key in ("_measures", "_fmt"):
+        if getattr(model, key, None) and not run.get(key):
+            run[key] = getattr(model, key)
+    return model
+
+
+def accepts(f: Callable) -> list[str]:
+    """Names that a callable takes: what a frontend is passed to."""
+    return [p for p in inspect.signature(f).parameters if p != "self"]
+
+
+def is_abstract(cls: type) -> bool:
+    return inspect.isabstract(cls)
+
+
+def decorated(cls: type, mark: str) -> list[str]:
+    """Methods that carry an attribute of this name, as decorators leave it."""
+    return sorted(n for n, f in inspect.getmembers(cls, inspect.isfunction) if hasattr(f, mark))
+
+
+def scan(package: str) -> list[str]:
+    """Imports every module of a package, so that its scripts and models register; their names."""
+    import importlib
+    import pkgutil
+
+    root = importlib.import_module(package)
+    found = [package]
+    for m in pkgutil.walk_packages(getattr(root, "__path__", []), package + "."):
+        importlib.import_module(m.name)
+        found.append(m.name)
+    return found
+
+
 class Tracker:
     """Values of measures with their change, evaluated at every k-th call."""
 
@@ -153,10 +226,15 @@ def seed_of(text: str, repeat: int = 0) -> int:
     return (sum(ord(c) * 31**i for i, c in enumerate(text)) + repeat) % 2**32
 
 
-def run_all(spark: SparkSession, runs: DataFrame, action: str, *args: Any, error_log: str | None = None, limit: int = 2_000_000) -> tuple[list[Any], list[str]]:
-    """Calls an action for each run in order; an error ends its run only. Returns results and error texts."""
+def run_all(spark: SparkSession, runs: DataFrame, action: str, *args: Any, error_log: str | None = None) -> tuple[list[Any], list[str]]:
+    """Calls an action for each run in order; an error ends its run only. Returns results and error texts.
+
+    Every run is called, with a warning where there are many. Hooks see all contexts, so the driver holds the runs; ``run_distributed`` does not.
+    """
     cls, method = find_action(action)
-    rows = [r.asDict() for r in runs.orderBy("_expe_id").limit(limit).toLocalIterator()]
+    rows = [r.asDict() for r in runs.orderBy("_expe_id").toLocalIterator()]
+    if len(rows) > MANY:
+        log.warning("%d runs are called by the driver", len(rows))
     shared: dict[str, Any] = {}
     contexts = [RunContext(spark, row, i, len(rows), shared) for i, row in enumerate(rows)]
     one, results, errors = cls(), [], []
@@ -230,15 +308,23 @@ def table(x: str, y: str, how: str = "mean"):
     return wrap
 
 
-def markdown(df: DataFrame, caption: str = "", most: int = 1000) -> str:
+def whole_rows(df: DataFrame, most: int) -> list:
+    """All rows of a small result; more than ``most`` are an error, never a cut table."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the table has more than {most} rows; ask for more, or write it to a file")
+    return rows
+
+
+def markdown(df: DataFrame, caption: str = "", most: int = 100_000) -> str:
     """A small result as a markdown table."""
-    rows = df.limit(most).collect()
+    rows = whole_rows(df, most)
     body = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)] + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]
     return "\n".join(([caption, ""] if caption else []) + body)
 
 
-def latex(df: DataFrame, caption: str = "", most: int = 1000) -> str:
-    rows = df.limit(most).collect()
+def latex(df: DataFrame, caption: str = "", most: int = 100_000) -> str:
+    rows = whole_rows(df, most)
     body = "\n".join(" & ".join("" if v is None else str(v).replace("_", r"\_") for v in r) + r" \\" for r in [df.columns, *rows])
     return f"\\begin{{table}}\n\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n{body}\n\\end{{tabular}}\n\\caption{{{caption}}}\n\\end{{table}}"
 

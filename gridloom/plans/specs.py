@@ -91,6 +91,92 @@ class Design:
         return df.withColumns(columns)
 
 
+def checked(design: Design) -> Design:
+    """The design, if no key is a word that runs own and each key has a list of alternatives."""
+    for key, values in design.keys.items():
+        if key in RESERVED and key != "_expe_name":
+            raise ValueError(f"{key} is a reserved word")
+        if not isinstance(values, (list, tuple, set)):
+            raise ValueError(f"the alternatives of {key} are not a list")
+    return design
+
+
+def with_measures(design: Design) -> Design:
+    """Measures given as one text become the list of its words."""
+    found = design.keys.get("_measures")
+    return design if found is None else replace(design, keys=design.keys | {"_measures": [x.split() if isinstance(x, str) else x for x in found]})
+
+
+def with_vectors(design: Design, vectors: Mapping[str, list]) -> Design:
+    """Alternatives that name a vector of the catalogue are replaced by its items; lists among them go, other values stay."""
+    out = {}
+    for key, values in design.keys.items():
+        found = [y for x in values if not isinstance(x, list) for y in (vectors[x] if isinstance(x, str) and x in vectors else [x])]
+        out[key] = found or values
+    return replace(design, keys=out)
+
+
+def positions(values: Column) -> Column:
+    """(position as text, value) of each item of a list, for ``explode``."""
+    return F.transform(values, lambda x, i: F.struct(i.cast("string").alias("position"), x.alias("value")))
+
+
+#: Keys that a run drops before it is called, with the value that makes it drop (None: any). Fixed values.
+INTERNAL = {"_ignore_format_unique": None, "_net": False}
+
+
+def cleaned_runs(runs: DataFrame, template: str | None = None, write: bool = False) -> DataFrame:
+    """Runs ready to be called: if several are to write, their template must tell them apart; then internal keys go."""
+    if write and template and runs.limit(2).count() > 1:
+        missing = [r["key"] for r in unformatted_keys(runs, template).collect()]
+        if missing and "_ignore_format_unique" not in runs.columns:
+            raise ValueError(f"the name template leaves out {', '.join(sorted(missing))}: runs would share a file")
+    for key, value in INTERNAL.items():
+        if key in runs.columns:
+            keep = F.lit(None) if value is None else F.when(F.col(key) == value, None).otherwise(F.col(key))
+            runs = runs.drop(key) if value is None or runs.where(keep.isNotNull()).isEmpty() else runs.withColumn(key, keep)
+    return runs
+
+
+def input_path(corpus: Column, root: str = "data", extensions: Iterable[str] = ("pk", "pickle", "gt", "txt", "csv", "dat")) -> Column:
+    """root/training/corpus: generated graphs have a folder of their own and the name Graph; a known extension goes."""
+    c = F.coalesce(corpus, F.lit(""))
+    made = F.concat(F.lit("generator/"), F.replace(F.replace(c, F.lit("generator"), F.lit("Graph")), F.lit("graph"), F.lit("Graph")))
+    c = F.when(F.lower(c).rlike("^(clique|graph|generator)"), made).otherwise(c)
+    return F.concat_ws("/", F.lit(root), F.lit("training"), F.regexp_replace(c, r"\.(" + "|".join(extensions) + ")$", ""))
+
+
+def tagged(runs: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
+    """Runs with ``_expe_hash`` (an md5 of their keys) and ``_alias`` (their name, by its alias where it has one)."""
+    return runs.withColumns({"_expe_hash": run_hash(runs), "_alias": alias(F.col("_expe_name"), aliases or {})})
+
+
+def global_tensor(sets: SpecSet, spark: SparkSession) -> DataFrame:
+    """(key, values): the alternatives of each key over all grids, grid after grid, as text. Grids are few and small; their rows are not made."""
+    rows = [(k, t, i, str(v)) for t, d in enumerate(sets.designs) for k, values in d.keys.items() for i, v in enumerate(values)]
+    long = spark.createDataFrame(rows, "key string, t int, i int, value string")
+    return long.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "i", "value"))), lambda x: x["value"]).alias("values"))
+
+
+def plot_request(text: str) -> dict:
+    """``g1/g2:attr@r``: groups, attribute and the key of repeats; without a text the entropy by corpus."""
+    groups, _, attribute = text.rpartition(":") if text else ("corpus", "", "_entropy")
+    attribute, _, options = attribute.partition("@")
+    return {"groups": groups.split("/") if groups else None, "attribute": attribute, "repeat": options[0] if options else None}
+
+
+def table_request(text: str, more: str = "") -> dict:
+    """``x:y:z`` and the tables asked for: ``a/b`` one for each group, ``a,b`` groups with | between them in headers."""
+    x, y, z = text.split(":") if text else ("corpus", "model", "_entropy")
+    listed_ = "," in more
+    return {"x": x, "y": y, "z": z.split("-"), "groups": more.split("," if listed_ else "/") if more else None, "split": ("|" if listed_ else "/") if more else None}
+
+
+def locate(names: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(name, module, object): spec names with the module and object that the catalogue (name, module, object) has for them; null where it has none."""
+    return names.join(catalogue, "name", "left")
+
+
 def literal_array(values: list) -> Column:
     """A literal array of one type; values of several types become text."""
     kinds = {type(v) for v in values if v is not None}
@@ -163,6 +249,7 @@ class SpecSet:
 
         designs, removed = [], []
         for d in flat(specs):
+            checked(d)
             d, gone = (d.overlay(over) if over else d).nulled()
             designs.append(d)
             removed += gone
@@ -275,6 +362,17 @@ def spec_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, ["key", "value"], "left_anti").union(b.join(a, ["key", "value"], "left_anti")).union(lone)
 
 
+def diff_all(tables: list[DataFrame]) -> DataFrame:
+    """(key, value) of ``spec_diff`` folded from the left: each further table is compared with the difference so far."""
+    first, *rest = tables
+    out = spec_diff(first, rest[0])
+    for more in rest[1:]:
+        pairs = long_form(more).select("key", "value").distinct()
+        lone = out.select("key").distinct().join(pairs.select("key").distinct(), "key", "left_anti").union(pairs.select("key").distinct().join(out.select("key").distinct(), "key", "left_anti"))
+        out = out.join(pairs, ["key", "value"], "left_anti").union(pairs.join(out, ["key", "value"], "left_anti")).union(lone.select("key", F.lit("--").alias("value"))).distinct()
+    return out
+
+
 def used_names(template: str) -> Column:
     return F.regexp_extract_all(F.lit(template), F.lit(r"\{([^{}]*)\}"), F.lit(1))
 
@@ -308,6 +406,11 @@ def unfinished(runs: DataFrame, outputs: DataFrame, path: Column) -> DataFrame:
     return runs.withColumn("path", path).join(outputs.where("size > 0").select("path"), "path", "left_anti")
 
 
+def finished(runs: DataFrame, outputs: DataFrame, path: Column) -> DataFrame:
+    """Runs whose output path is among the finished ones, with the path."""
+    return runs.withColumn("path", path).join(outputs.where("size > 0").select("path"), "path", "left_semi")
+
+
 def alias(c: Column, names: Mapping[str, str]) -> Column:
     if not names:
         return c

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -30,12 +31,20 @@ def parse_lines(lines: DataFrame, header: str) -> DataFrame:
     return rows.select(*keys, F.explode(F.array(*parts)).alias("m")).select(*keys, "m.*")
 
 
+#: Different headers that the logs of one read may have.
+MOST_GRAMMARS = 100
+
+
 def read_log(spark: SparkSession, path: str, iterations: int | None = None) -> DataFrame:
     """(path, it, measure, values) of .inf files; it counts the rows of a file from 0."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\n").alias("lines"))
-    header = spark.read.text(path).where("value like '#%' and value not like '# %'").select("value").first()[0]
-    body = whole.select("path", F.posexplode(F.filter("lines", lambda x: ~x.rlike("^\\s*([#%]|$)"))).alias("it", "line"))
-    return parse_lines(body if iterations is None else body.where(F.col("it") < iterations), header)
+    whole = whole.withColumn("header", F.get(F.filter("lines", lambda x: x.startswith("#") & ~x.startswith("# ")), F.lit(0)))
+    grammars = [r[0] for r in whole.where("header is not null").select("header").distinct().orderBy("header").limit(MOST_GRAMMARS + 1).collect()]
+    if not grammars or len(grammars) > MOST_GRAMMARS:
+        raise ValueError(f"{path} has no log with a header" if not grammars else f"more than {MOST_GRAMMARS} different headers")
+    body = whole.select("path", "header", F.posexplode(F.filter("lines", lambda x: ~x.rlike("^\\s*([#%]|$)"))).alias("it", "line"))
+    body = body if iterations is None else body.where(F.col("it") < iterations)
+    return functools.reduce(DataFrame.unionByName, [parse_lines(body.where(F.col("header") == h).drop("header"), h) for h in grammars])
 
 
 def extract(spec: str, columns: dict[str, str]) -> Column:

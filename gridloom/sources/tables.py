@@ -82,10 +82,19 @@ def slice_cube(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
     return df
 
 
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line): the lines of files, numbered from 0 in each; a large file is read in splits."""
+    from ..operators.lineage import numbered
+
+    raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("at", F.monotonically_increasing_id())
+    placed = numbered(raw, "n", F.col("file"), F.col("block"), F.col("at"))
+    first = placed.groupBy("file").agg(F.min("n").alias("first"))
+    return placed.join(first, "file").select("file", (F.col("n") - F.col("first")).alias("line_no"), "line")
+
+
 def tail(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The last n lines of a file, in order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "line"))
-    return lines.orderBy(F.desc("line_no")).limit(n).orderBy("line_no")
+    return lines_of(spark, path).select("line_no", "line").orderBy(F.desc("line_no")).limit(n).orderBy("line_no")
 
 
 def settings(path: str) -> dict[str, str]:
@@ -96,14 +105,34 @@ def settings(path: str) -> dict[str, str]:
     return {f"{s}.{k}": os.path.expandvars(os.path.expanduser(v)) for s in parser.sections() for k, v in parser[s].items()}
 
 
-def read_triplets(spark: SparkSession, path: str, header: int = 3) -> DataFrame:
-    """(doc_id, term_id, cnt) from lines ``doc term count`` (from 1) after ``header`` lines; ids from 0."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("k", "line"))
+def read_triplets(spark: SparkSession, path: str, header: int = 3, bodies: bool = False) -> DataFrame:
+    """(doc_id, term_id, cnt) from lines ``doc term count`` (from 1) after ``header`` lines of each file; ids from 0.
+
+    With ``bodies`` a header may begin anew inside a file (files laid end to end): lines that are not three numbers are passed over instead.
+    """
     f = F.split(F.trim("line"), r"\s+")
-    return whole.where((F.col("k") >= header) & (F.trim("line") != "")).select((f[0].cast("long") - 1).alias("doc_id"), (f[1].cast("long") - 1).alias("term_id"), f[2].cast("int").alias("cnt"))
+    if bodies:
+        rows = spark.read.text(path).withColumnRenamed("value", "line").where(F.size(f) == 3)
+        return rows.select((f[0].cast("long") - 1).alias("doc_id"), (f[1].cast("long") - 1).alias("term_id"), f[2].cast("int").alias("cnt"))
+    return lines_of(spark, path).where((F.col("line_no") >= header) & (F.trim("line") != "")).select((f[0].cast("long") - 1).alias("doc_id"), (f[1].cast("long") - 1).alias("term_id"), f[2].cast("int").alias("cnt"))
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(term_id, term) from a file of one word to a line."""
+    return lines_of(spark, path).select(F.col("line_no").alias("term_id"), F.trim("line").alias("term"))
+
+
+def read_corpus(spark: SparkSession, paths: list[str], vocabulary: str | None = None) -> DataFrame:
+    """One file: (doc_id, term_id, cnt) and, with a vocabulary file, term. Several: (path, pos, term), the tokens of each file."""
+    from ..operators.text import tokens_of
+
+    if len(paths) == 1:
+        rows = read_triplets(spark, paths[0])
+        return rows if vocabulary is None else rows.join(read_vocabulary(spark, vocabulary), "term_id", "left")
+    return read_texts(spark, paths).select("path", F.posexplode(tokens_of(F.col("text"))).alias("pos", "term"))
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
+def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, text), a document per file."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 

@@ -12,6 +12,21 @@ from pyspark.sql.streaming import StreamingQuery
 LOG = "run long, it long, measure string, value double"
 
 
+def edge_stream(spark: SparkSession, path: str, form: str = "tnet", files_per_batch: int = 1) -> DataFrame:
+    """(src, dst, w) of text files as they come: tnet (2 or 5 fields), csv (; and a header), attributed (i;j lines) or dat (2 or 3 fields)."""
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    line = F.trim(F.col("value"))
+    if form in ("csv", "attributed"):
+        f = F.split(line, ";")
+        raw = raw.where(line.rlike(r"^\d+;\d+(;|$)" if form == "csv" else r"^\d+;\d+$"))
+        weight = F.lit(1)
+    else:
+        f = F.split(F.regexp_replace(line, '"[^"]*" ', ""), r"\s+")
+        raw = raw.where(F.regexp_replace(line, '"[^"]*" ', "").rlike(r"^\d+\s+\d+(\s+\d+)?$"))
+        weight = F.coalesce(F.get(f, F.lit(2)).cast("long"), F.lit(1))
+    return raw.select(f[0].cast("long").alias("src"), f[1].cast("long").alias("dst"), weight.cast("long").alias("w"))
+
+
 def log_stream(spark: SparkSession, path: str, schema: str = LOG, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
@@ -25,10 +40,14 @@ def append_logs(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def edge_weights(stream: DataFrame, name: str) -> StreamingQuery:
-    """Summed weights of an edge stream, in a memory table that is complete after each batch."""
+def edge_weights(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Summed weights of an edge stream, a Parquet table that is whole after each batch."""
     summed = stream.groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    return summed.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return summed.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _delta_state(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:

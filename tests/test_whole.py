@@ -17,7 +17,7 @@ def test_similarities_reach_all_rows(spark, tmp_path, how):
     vectors = np.random.default_rng(3).normal(0, 0.45, (330, 64)).astype(np.float32)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
     rows.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r["i"], r["j"]): r["similarity"] for r in catalogue.queries()[f"sim_{how}_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["i"], r["j"]): r["similarity"] for r in catalogue.queries()[f"sim_{how}"](spark, str(tmp_path)).collect()}
     assert got.keys() == {(i, j) for i in range(0, 330, 20) for j in range(330) if i != j}
     for (i, j), value in got.items():
         a, b = vectors[i].astype(float), vectors[j].astype(float)
@@ -38,7 +38,7 @@ def test_components_of_every_row(spark):
     for a, b in rows:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r["id"]: r["component"] for r in catalogue.queries()["net_components_whole"](spark, SF).collect()}
+    got = {r["id"]: r["component"] for r in catalogue.queries()["net_components"](spark, SF).collect()}
     assert got == {x: find(x) for x in root}
 
 
@@ -46,16 +46,16 @@ def test_components_of_every_row(spark):
 @pytest.mark.parametrize("name", ["tnet2", "tnet5", "csv", "attributed", "dat"])
 def test_edges_of_every_row(spark, name):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("count(*) as n", "sum(l_linenumber) as w").first()
-    total = catalogue.queries()[f"edges_{name}_whole"](spark, SF).selectExpr("sum(w)").first()[0]
+    total = catalogue.queries()[f"edges_{name}"](spark, SF).selectExpr("sum(w)").first()[0]
     assert total == (lines["w"] if name in ("tnet5", "dat") else lines["n"])
 
 
 @needs_tables
 def test_triplets_and_cube_of_every_row(spark):
-    assert catalogue.queries()["triplets_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert catalogue.queries()["triplets"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     means = {}
-    for r in spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id % 50 as u", "event_type as y", "datediff(to_date(ts), date'2000-01-01') % 5 as rep", "value").collect():
+    for r in spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id % 500 as u", "event_type as y", "datediff(to_date(ts), date'2000-01-01') % 5 as rep", "value").collect():
         means.setdefault(tuple(r)[:3], []).append(r["value"])
-    got = {(r["u"], r["y"], r["rep"]): r["value"] for r in catalogue.queries()["cube_nd_whole"](spark, SF).collect()}
+    got = {(r["u"], r["y"], r["rep"]): r["value"] for r in catalogue.queries()["cube_nd"](spark, SF).collect()}
     assert len(got) == np.prod([len({k[i] for k in means}) for i in range(3)])
     assert all(v is None if k not in means else v == pytest.approx(np.mean(means[k]), abs=2e-6) for k, v in got.items())
