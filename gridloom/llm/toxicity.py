@@ -1,12 +1,14 @@
 """Toxicity by weak supervision.
 
-1. Voters: patterns (whole words and word stems of 4 to 6 bytes) that labelled training documents of the toxic class hold far more
-   often than others, and one lexicon of fixed insults. A voter votes for "toxic" where it matches, else for "clean".
-2. A generative label model estimates, by expectation maximisation without the labels, each voter's rates in the two
-   classes. Correlations between voters, given the class, are estimated too; strong ones divide a voter's evidence among those that say the same.
-3. A linear (logistic) classifier over pattern features learns the model's posterior labels and scores every whole text.
+1. Voters, each voting "toxic" where it matches, else "clean". Lexicons: several independent lists of insults, threats and abuse in four languages. Patterns: a person
+   addressed with a word of a lexicon, shouted words, runs of exclamation marks. Keywords: whole words and word stems of 4 to 6 bytes that are far more frequent in toxic than in other training rows
+   (lists know no invented or misspelt words). Labels propose the keywords and give the share of toxic rows; nothing else.
+2. A generative label model estimates, by expectation maximisation on the votes alone, each voter's rates in the two classes. It starts from the votes' own frequencies.
+   Correlations between voters, given the class, are estimated too; strong ones divide a voter's evidence among those that say the same.
+3. A linear (logistic) classifier over the words, stems and patterns learns the model's posterior labels and scores every whole text.
 
-At most ``MOST_LABELLED`` labelled documents are used, those of smallest hash of doc_id; held-out documents never are.
+At most ``MOST_LABELLED`` labelled documents are used, those of smallest hash of doc_id; held-out documents never are. The driver gets at most ``MOST_LABELLED`` rows of ``FEATURES`` numbers of four bytes
+(655 MB if every row had every feature; a few per cent of that in fact); the model that is broadcast has ``FEATURES`` rows of 16 bytes.
 
 Cases: null and empty texts get the score of a text without patterns; a null doc_id is not held out; repeated labels count as toxic if any
 does; labels that are null or without a document are ignored; with no toxic training document every score is 0. Repeated rows get equal scores; other columns are ignored.
@@ -14,6 +16,7 @@ does; labels that are null or without a document are ignored; with no toxic trai
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +31,30 @@ from .shared import Prefix, chunks, lower, materialise, text_arrays, tidy
 MOST_LABELLED, VOTERS, FEATURES, LEAST, THRESHOLD = 40_000, 384, 4096, 5, 0.3
 #: Correlation, given the class, from which two voters are taken to depend on each other.
 DEPENDENT = 0.6
-#: Insults of the lexicon voter.
-LEXICON = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "scum", "clown", "trash", "disgusting", "dumb", "imbecile", "filth", "jerk")
+#: A keyword is at most so frequent in clean rows, for its frequency in toxic ones.
+PURE = 0.1
+#: The words of the lexicon voters, and those that address a person.
+LEXICONS = {
+    "wits": ("idiot", "idiots", "idiotic", "moron", "morons", "moronic", "stupid", "stupidity", "dumb", "imbecile", "fool", "foolish", "halfwit", "dimwit", "brainless"),
+    "worth": ("loser", "losers", "pathetic", "worthless", "useless", "failure", "nobody", "coward", "creep", "weakling", "reject"),
+    "dirt": ("scum", "trash", "garbage", "filth", "filthy", "disgusting", "vermin", "pig", "pigs", "maggot", "dirtbag", "scumbag"),
+    "mockery": ("clown", "clowns", "joke", "laughable", "jerk", "freak", "freaks", "weirdo", "lunatic", "psycho", "crybaby"),
+    "abuse": ("damn", "crap", "bastard", "bastards", "arse", "asshole", "bitch", "whore", "slut", "shit", "fuck", "fucking"),
+    "threats": ("kill", "killed", "shoot", "stab", "murder", "destroy", "suffer", "strangle", "beat", "hurt"),
+    "german": ("dumm", "dummkopf", "blöd", "blödmann", "depp", "trottel", "abschaum", "versager", "dreck", "drecksau", "idiot", "schwachkopf", "arschloch", "wertlos", "widerlich"),
+    "french": ("idiot", "idiote", "crétin", "imbécile", "débile", "stupide", "ordure", "déchet", "minable", "connard", "salaud", "pourriture", "lâche", "répugnant"),
+    "spanish": ("idiota", "imbécil", "estúpido", "estúpida", "tonto", "basura", "escoria", "patético", "inútil", "cabrón", "mierda", "payaso", "asqueroso", "cobarde", "perdedor"),
+}
+PERSONS = ("you", "your", "youre", "du", "dein", "ihr", "tu", "toi", "vous", "ton", "usted", "eres")
+#: Names of the pattern voters; words between a person and a lexicon's word, shouted words and letters of one, marks of a run.
+PATTERNS, NEAR, SHOUTED, LETTERS, RUN = ("addressed", "shouted", "exclaimed"), 3, 3, 4, 3
 STEMS = (4, 5, 6)
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256))] = True
 
 
 def patterns(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key), sorted and distinct: words and stems of each text, lower-cased, as 64-bit hashes."""
+    """(row, key), sorted and distinct: words and stems of each text, lower-cased, as 64-bit hashes, and the marks of lexicons and patterns."""
     low = lower(data)
     inside = _WORD_BYTE[low]
     before = np.zeros(len(low), bool)
@@ -54,6 +72,9 @@ def patterns(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         long = ends - starts > size
         keys.append(prefix.hash(starts[long], starts[long] + size) ^ np.uint64(size))
         rows.append(row[long])
+    for k, r in marks(data, offsets, keys[0], row, starts, ends):
+        keys.append(k)
+        rows.append(r)
     key, row = np.concatenate(keys), np.concatenate(rows)
     # One hash of (row, key) sorts faster than two keys; rows of a chunk are few.
     order = np.lexsort((key, row))
@@ -63,6 +84,52 @@ def patterns(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[fresh], key[fresh]
 
 
+@functools.cache
+def _lexicon() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of all lexicons' words; (word, lexicon) flags; sorted hashes of words for persons."""
+    hashed = lambda words: Prefix(d := text_arrays(c := pa.array(words))[0]).hash((o := text_arrays(c)[1])[:-1], o[1:]) if len(words) else d  # noqa: E731, F821
+    every = np.unique(np.concatenate([hashed(w) for w in LEXICONS.values()]))
+    flags = np.stack([np.isin(every, hashed(w)) for w in LEXICONS.values()], 1)
+    return every, flags, np.sort(hashed(PERSONS))
+
+
+def mark_key(name: str) -> np.uint64:
+    """The key of a lexicon or pattern."""
+    return Prefix(np.frombuffer(f"\x00{name}".encode(), np.uint8)).hash(np.array([0]), np.array([len(name) + 1]))[0]
+
+
+def marks(data: np.ndarray, offsets: np.ndarray, key: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, rows) of lexicons and patterns that match; key, row, starts and ends are the words'."""
+    every, flags, persons = _lexicon()
+    n = len(offsets) - 1
+    found = np.flatnonzero(_member(every, key))
+    if len(found):
+        which = flags[np.searchsorted(every, key[found])]
+        for k, name in enumerate(LEXICONS):
+            r = np.unique(row[found[which[:, k]]])
+            yield np.full(len(r), mark_key(name)), r
+        addressed = np.zeros(n, bool)
+        for back in range(1, NEAR + 1):
+            at = found[found >= back]
+            at = at[(row[at - back] == row[at]) & _member(persons, key[at - back])]
+            addressed[row[at]] = True
+        r = np.flatnonzero(addressed)
+        yield np.full(len(r), mark_key("addressed")), r
+    capital = (data >= 65) & (data <= 90)
+    loud = np.concatenate([[0], np.cumsum(capital)])
+    long = ends - starts
+    times = np.bincount(row[(long >= LETTERS) & (loud[ends] - loud[starts] == long)], minlength=n)
+    r = np.flatnonzero(times >= SHOUTED)
+    yield np.full(len(r), mark_key("shouted")), r
+    run = data == 33
+    for _ in range(RUN - 1):
+        run = run[:-1] & (data[len(data) - len(run) + 1 :] == 33) if len(run) > 1 else run[:0]
+    at = np.flatnonzero(run)
+    first = np.searchsorted(offsets, at, "right") - 1
+    r = np.unique(first[at + RUN <= offsets[first + 1]]) if len(at) else at
+    yield np.full(len(r), mark_key("exclaimed")), r
+
+
 def _count(wanted):
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,16 +168,19 @@ def _features(wanted):
     return rows
 
 
+def first_guess(votes: np.ndarray, prior: float) -> np.ndarray:
+    """P(vote | toxic) and P(vote | clean), shape (2, voters), if nine votes in ten were cast for toxic rows; a voter with more votes than there are toxic rows says nothing at first."""
+    mean = votes.mean(0, dtype=np.float64)
+    return np.where(mean <= prior, np.stack([0.9 * mean / prior, 0.1 * mean / (1 - prior)]), mean)
+
+
 def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the toxic class for each row of a 0/1 vote matrix, the voters' rates by class, and their correlations.
+    """Posterior of the toxic class for each row of a 0/1 vote matrix, the voters' rates by class, and their correlations; no label is used.
 
     ``start`` holds first guesses of P(vote | toxic) and P(vote | clean), shape (2, voters).
     """
     floor = 0.05 / len(votes)
-    first = np.clip(start, floor, 1 - floor)
-    rate, weight = first.copy(), np.ones(votes.shape[1])
-    # The first guesses count as much as the votes of so many documents.
-    trust = len(votes) * prior, len(votes) * (1 - prior)
+    rate, weight = np.clip(start, floor, 1 - floor), np.ones(votes.shape[1])
     post, together = np.full(len(votes), prior), np.eye(votes.shape[1])
     # Second moments of the votes; those about the model's means follow from them, without another matrix of that size.
     n = len(votes)
@@ -123,7 +193,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
         post = new
         hit = [(w.astype(votes.dtype) @ votes).astype(np.float64) for w in (post, 1 - post)]
         for c, w in enumerate((post, 1 - post)):
-            rate[c] = np.clip((hit[c] + trust[c] * first[c]) / (w.sum() + trust[c]), floor, 1 - floor)
+            rate[c] = np.clip((hit[c] + 0.05) / (w.sum() + 0.1), floor, 1 - floor)
         with_means = np.outer(hit[0], rate[0]) + np.outer(hit[1], rate[1])
         both = (post * (1 - post)).sum()
         means = (post**2).sum() * np.outer(rate[0], rate[0]) + ((1 - post) ** 2).sum() * np.outer(rate[1], rate[1]) + both * (np.outer(rate[0], rate[1]) + np.outer(rate[1], rate[0]))
@@ -151,12 +221,6 @@ def logistic(rows: np.ndarray, cols: np.ndarray, n_cols: int, target: np.ndarray
     return w, bias
 
 
-def _lexicon_keys() -> np.ndarray:
-    column = pa.array(LEXICON)
-    data, offsets = text_arrays(column)
-    return Prefix(data).hash(offsets[:-1], offsets[1:])
-
-
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature keys, their weights, and the bias."""
     spark = docs.sparkSession
@@ -184,27 +248,25 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     neg[np.searchsorted(keys, other["key"].to_numpy().view(np.uint64))] = other["n"].to_numpy()
     p, q = (pos + 0.05) / (n_toxic + 0.1), (neg + 0.5) / (n_clean + 1)
     gain = np.where(p > q, p * np.log(p / q), 0)
-    best = np.sort(np.lexsort((keys, -gain))[:FEATURES])
-    best = best[gain[best] > 0]
-    keys, gain, pos, neg = keys[best], gain[best], pos[best], neg[best]
-    if not len(keys):
-        return none
+    fixed = np.array([mark_key(x) for x in (*LEXICONS, *PATTERNS)])
+    best = np.sort(np.lexsort((keys, -gain))[: FEATURES - len(fixed)])
+    best = best[(gain[best] > 0) & ~np.isin(keys[best], fixed)]
+    words, ahead = keys[best], gain[best]
+    # Keywords: rare among clean rows.
+    precise = neg[best] / n_clean <= PURE * pos[best] / n_toxic
+    voting = words[precise][np.lexsort((words[precise], -ahead[precise]))[:VOTERS]]
+    keys = np.sort(np.concatenate([words, fixed]))
     hits = texts.mapInArrow(_features(spark.sparkContext.broadcast(keys)), "toxic int, hits array<int>").select("hits").toArrow()["hits"].combine_chunks()
     at = hits.offsets.to_numpy()
     rows, cols = np.repeat(np.arange(len(hits)), np.diff(at)), hits.flatten().to_numpy()
-    # Precise patterns vote: rare among clean documents. The lexicon votes as one.
-    precise = np.flatnonzero(neg / n_clean <= 0.1 * pos / n_toxic)
-    voters = precise[np.lexsort((keys[precise], -gain[precise]))[:VOTERS]]
-    votes = np.zeros((len(hits), len(voters) + 1), np.float32)
+    voters = np.searchsorted(keys, np.concatenate([fixed, voting]))
+    votes = np.zeros((len(hits), len(voters)), np.float32)
     column = np.full(len(keys), -1)
     column[voters] = np.arange(len(voters))
-    voting = column[cols] >= 0
-    votes[rows[voting], column[cols[voting]]] = 1
-    insult = _member(np.sort(_lexicon_keys()), keys)
-    votes[rows[insult[cols]], -1] = 1
+    cast = column[cols] >= 0
+    votes[rows[cast], column[cols[cast]]] = 1
     prior = n_toxic / (n_toxic + n_clean)
-    start = np.stack([np.append((pos[voters] + 0.05) / (n_toxic + 0.1), 0.3), np.append((neg[voters] + 0.05) / (n_clean + 0.1), 0.003)])
-    post, _, _ = label_model(votes, start, prior)
+    post, _, _ = label_model(votes, first_guess(votes, prior), prior)
     w, bias = logistic(rows, cols, len(keys), post)
     return keys, w, bias
 

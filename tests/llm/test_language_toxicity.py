@@ -151,3 +151,56 @@ def test_scripts_with_little_text_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string, Gram string")
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df).collect()}
     assert got[5000] == "ru" and got[5001] == "he"
+
+
+def test_marks_against_brute_force():
+    import re
+
+    import pyarrow as pa
+
+    from gridloom.llm.shared import text_arrays
+
+    texts = ["You are a stupid man", "stupid you", "A du Trottel!!! b", "LOUD WORDS HERE now", "LOUD WORDS", "!!", "x !!! y", "", "pathetic scum you filthy pig", "no one", "!!!", "du a b c idiot", "you a b idiot"]
+    data, offsets = text_arrays(pa.array(texts))
+    row, key = toxicity.patterns(data, offsets)
+    names = {int(toxicity.mark_key(n)): n for n in (*toxicity.LEXICONS, *toxicity.PATTERNS)}
+    got = {(r, names[int(k)]) for r, k in zip(row.tolist(), key, strict=True) if int(k) in names}
+    want, every = set(), {w for words in toxicity.LEXICONS.values() for w in words}
+    for i, t in enumerate(texts):
+        raw = re.findall(r"[0-9A-Za-z\x80-￿]+", t)
+        words = [w.lower() for w in raw]
+        want |= {(i, n) for n, lexicon in toxicity.LEXICONS.items() if set(words) & set(lexicon)}
+        if any(w in every and set(words[max(0, k - 3) : k]) & set(toxicity.PERSONS) for k, w in enumerate(words)):
+            want.add((i, "addressed"))
+        if sum(len(w) >= 4 and w.isupper() for w in raw) >= 3:
+            want.add((i, "shouted"))
+        if "!!!" in t:
+            want.add((i, "exclaimed"))
+    assert got == want and {"addressed", "shouted", "exclaimed", "german"} <= {n for _, n in want}
+
+
+def test_scores_against_brute_force(docs, labels):
+    """Scores are the model's weights summed over distinct patterns; repeated rows and ties get equal scores, and held-out labels change nothing."""
+    import pyarrow as pa
+
+    from gridloom.llm.shared import text_arrays
+
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["w%d" % rng.randrange(90), "idiot" if k % 5 == 0 else "plain", "vilex"[: 5 if k % 5 == 0 else 2]]) for _ in range(30))) for k in range(300)]
+    rows += [rows[10], rows[10], (999, rows[10][1]), (1000, None)]
+    marks = [(k, 1, int(k % 5 == 0)) for k in range(300)]
+    df = docs(rows)
+    keys, w, bias = toxicity.train(df, labels(marks))
+    assert len(keys) == len(w) <= toxicity.FEATURES and (np.diff(keys.astype(object)) > 0).all()
+    got = toxicity.toxicity(df, labels(marks)).collect()
+    weight = dict(zip(map(int, keys), w, strict=True))
+    text = dict(rows)
+    for r in got:
+        data, offsets = text_arrays(pa.array([text[r["doc_id"]]], pa.string()))
+        total = bias + sum(weight.get(int(k), 0.0) for k in toxicity.patterns(data, offsets)[1])
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, total)))), abs=2e-6)
+    assert len({r["score"] for r in got if r["doc_id"] in (10, 999)}) == 1
+    turned = [(i, q, 1 - t) if zlib.crc32(str(i).encode()) % 4 == 2 else (i, q, t) for i, q, t in marks]
+    again = toxicity.train(df, labels(turned))
+    assert (again[0] == keys).all() and (again[1] == w).all()
+    assert sum(r["predicted"] == int(r["doc_id"] % 5 == 0) for r in got if r["doc_id"] < 300) > 290
