@@ -4,9 +4,9 @@ A tree builder reads tags with the implied ones (an open p ends before a block,
 like, and so on), and a renderer emits all visible text of the tree: blocks on lines of their own with the spacing that their kind
 asks for, list items with bullets or numbers by depth, table cells in aligned columns, preformatted text as it stands.
 
-Hidden are: script, style, template, head but not its title's place in a browser tab (the title is not page text), noscript, comments,
-elements with the hidden attribute, aria-hidden="true", or an inline style of display:none or visibility:hidden, input of type hidden, and
-content of select, datalist, textarea-like controls' options.
+Hidden are: script, style, template, head (its title is not page text), noscript, comments, datalist, elements with the hidden attribute, aria-hidden="true", or display:none, and input. display:none and
+visibility:hidden count where an inline style or a rule of a style element says so (selectors of a tag, a class, an id or a tag with one of these; rules inside at-rules are passed over); an inline
+style wins. Descendants of an element with visibility:hidden are shown where they are visibility:visible. A select shows its selected option (the first one if none is), one of several lines all of them; a textarea its text.
 
 Cases: null and empty pages give empty text; broken or unclosed tags are closed where HTML implies it, stray end tags are skipped; trees deeper
 than ``MOST_DEPTH`` are flattened at that depth, with all their text; entities are decoded. Repeated rows get equal texts, a null page_id passes through, other columns are ignored.
@@ -29,7 +29,7 @@ from .shared import tidy
 MOST_DEPTH = 200
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title select datalist option iframe object svg math audio video canvas textarea".split())
+HIDDEN = frozenset("head script style template noscript title datalist iframe object svg math audio video canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr caption ul".split()
 )
@@ -56,7 +56,8 @@ IMPLIED = {
 }
 #: Elements whose end no stray tag inside a cell or object may reach beyond.
 BARRIER = frozenset("table td th caption template html".split())
-_STYLE_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_DISPLAY, _VISIBILITY = (re.compile(rf"(?:^|;)\s*{x}\s*:\s*([a-z-]+)", re.I) for x in ("display", "visibility"))
+_SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f\v]+")
 
 
@@ -72,6 +73,7 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.stack = [self.root]
+        self.muted: list[str] = []  # open elements at the greatest depth of which the first is not visible
 
     def _close_to(self, depth: int) -> None:
         del self.stack[depth:]
@@ -89,6 +91,12 @@ class TreeBuilder(HTMLParser):
             self._close_to(found)
 
     def handle_starttag(self, tag, attrs):
+        if self.muted:
+            if tag not in VOID:
+                self.muted.append(tag)
+            return
+        if tag == "body":
+            self._end_open(("head",), ())
         if tag in ("html", "body"):
             return  # implied; their attributes do not change the text
         if self.stack[-1].tag == "head" and tag not in ("title", "meta", "link", "style", "script", "base", "noscript", "template"):
@@ -102,6 +110,8 @@ class TreeBuilder(HTMLParser):
         node = self._open(tag, {k: v or "" for k, v in attrs})
         if tag in VOID or len(self.stack) > MOST_DEPTH:
             self._close_to(len(self.stack) - 1)
+            if tag not in VOID and (not visible(node) or _says(node, _DISPLAY) == "none"):
+                self.muted = [tag]
         return node
 
     def _open(self, tag, attrs):
@@ -114,6 +124,10 @@ class TreeBuilder(HTMLParser):
         self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML but void elements
 
     def handle_endtag(self, tag):
+        if self.muted:
+            if tag in self.muted:
+                del self.muted[len(self.muted) - 1 - self.muted[::-1].index(tag) :]
+            return
         if tag in ("html", "body"):
             return
         for depth in range(len(self.stack) - 1, 0, -1):
@@ -126,6 +140,10 @@ class TreeBuilder(HTMLParser):
             self.stack[-1].children.append(Node("p", {}))
 
     def handle_data(self, data):
+        if self.muted:
+            return
+        if self.stack[-1].tag == "head" and data.strip():
+            self._close_to(len(self.stack) - 1)
         self.stack[-1].children.append(data)
 
 
@@ -133,9 +151,59 @@ def visible(node: Node) -> bool:
     attrs = node.attrs
     if node.tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return False
-    if node.tag == "input":
+    return node.tag != "input"
+
+
+def _says(node: Node, what: re.Pattern) -> str | None:
+    """The last value of a property in an element's inline style."""
+    found = what.findall(node.attrs["style"]) if "style" in node.attrs else None
+    return found[-1].lower() if found else None
+
+
+def style_rules(css: str) -> dict[tuple[str, str, str], dict[str, str]]:
+    """display and visibility by (tag, mark, name) of simple selectors; blocks of at-rules are passed over."""
+    css, at, rules = re.sub(r"/\*.*?(?:\*/|$)", "", css, flags=re.S), 0, {}
+    while (opens := css.find("{", at)) >= 0:
+        head = css[at:opens].rpartition(";")[2].strip()
+        depth, end = 1, opens + 1
+        while depth and end < len(css):
+            depth += {"{": 1, "}": -1}.get(css[end], 0)
+            end += 1
+        body, at = css[opens + 1 : end - 1], end
+        found = {name: m[-1].lower() for name, x in (("display", _DISPLAY), ("visibility", _VISIBILITY)) if (m := x.findall(body))}
+        for selector in head.split(",") if found and not head.startswith("@") else ():
+            m = _SELECTOR.fullmatch(selector.strip())
+            if m and m[0]:
+                rules.setdefault(((m[1] or "").lower(), m[2] or "", m[3] or ""), {}).update(found)
+    return rules
+
+
+def _styles(node: Node) -> str:
+    own = "".join(c for c in node.children if isinstance(c, str)) if node.tag == "style" else ""
+    return own + "".join(_styles(c) for c in node.children if isinstance(c, Node))
+
+
+def _by_rules(node: Node, rules: dict) -> dict[str, str]:
+    """What the rules say of an element: tags first, then classes, then its id."""
+    out: dict[str, str] = {}
+    for mark, names in (("", [""]), (".", node.attrs.get("class", "").split()), ("#", [node.attrs.get("id", "")])):
+        for name in names:
+            if name or not mark:
+                for tag in ("", node.tag) if mark else (node.tag,):
+                    out.update(rules.get((tag, mark, name), {}))
+    return out
+
+
+def prune(node: Node, rules: dict, on: bool = True) -> bool:
+    """Takes away what styles hide; whether anything of the element is left. ``on``: visibility, which descendants inherit."""
+    ruled = _by_rules(node, rules) if rules else {}
+    if (_says(node, _DISPLAY) or ruled.get("display")) == "none":
         return False
-    return not ("style" in attrs and _STYLE_HIDDEN.search(attrs["style"]))
+    state = _says(node, _VISIBILITY) or ruled.get("visibility")
+    on = on if state in (None, "inherit") else state == "visible"
+    kept = [c for c in node.children if (on if isinstance(c, str) else prune(c, rules, on))]
+    node.children = kept
+    return on or bool(kept)
 
 
 def width(text: str) -> int:
@@ -201,6 +269,11 @@ def rows_of(node: Node) -> list[Node]:
     return out
 
 
+def span_of(cell: Node, name: str) -> int:
+    span = cell.attrs.get(name, "1")
+    return min(int(span), 1000) if span.isdigit() and span.isascii() and len(span) < 5 and int(span) > 1 else 1
+
+
 def table_lines(node: Node, depth: int) -> list[str]:
     """Caption, then rows with cells in columns two spaces apart; text that stands outside cells comes first, as browsers place it."""
     out = Lines()
@@ -216,18 +289,25 @@ def table_lines(node: Node, depth: int) -> list[str]:
             elif visible(child) and child.tag not in ("tr", "thead", "tbody", "tfoot"):
                 render(child, out, depth)
     grid: list[list[list[str]]] = []
+    taken: dict[int, int] = {}  # columns that a cell of an earlier row still fills, and for how many rows
     for row in rows_of(node):
         cells: list[list[str]] = []
+        below = {i: n - 1 for i, n in taken.items() if n > 1}
         for cell in row.children:
             if isinstance(cell, Node) and visible(cell) and cell.tag in ("td", "th"):
+                while len(cells) in taken:
+                    cells.append([])
+                wide, high = span_of(cell, "colspan"), span_of(cell, "rowspan")
+                if high > 1:
+                    below.update(dict.fromkeys(range(len(cells), len(cells) + wide), high - 1))
                 cells.append(lines_of(cell, depth + 1))
-                span = cell.attrs.get("colspan", "1")
-                cells += [[]] * (min(int(span), 1000) - 1 if span.isdigit() and span.isascii() and len(span) < 5 and int(span) > 1 else 0)
+                cells += [[]] * (wide - 1)
             elif isinstance(cell, Node) and visible(cell):
                 render(cell, out, depth)
             elif isinstance(cell, str):
                 out.text(cell)
         grid.append(cells)
+        taken = below
     out.end_line()
     n = max(map(len, grid), default=0)
     wide = [max((width(line) for row in grid if i < len(row) for line in row[i]), default=0) for i in range(n)]
@@ -278,6 +358,10 @@ def list_lines(node: Node, depth: int) -> list[str]:
     return [line.rstrip(" ") for line in out + loose.lines]
 
 
+def options_of(node: Node) -> list[Node]:
+    return [o for c in node.children if isinstance(c, Node) and visible(c) for o in ([c] if c.tag == "option" else options_of(c))]
+
+
 def pre_text(node: Node) -> str:
     return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else pre_text(c) if visible(c) else "" for c in node.children)
 
@@ -293,6 +377,11 @@ def render(node: Node | str, out: Lines, depth: int) -> None:
         out.line_break()
     elif tag == "img":
         out.text(node.attrs.get("alt", ""))
+    elif tag == "select":
+        options = options_of(node)
+        chosen = [o for o in options if "selected" in o.attrs]
+        for o in options if "multiple" in node.attrs else chosen[-1:] or options[:1]:
+            out.text(" " + pre_text(o) + " ")
     elif tag == "hr":
         out.block(["---"], 1)
     elif tag == "pre":
@@ -321,6 +410,7 @@ def extract(page: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(page)
     builder.close()
+    prune(builder.root, style_rules(_styles(builder.root)) if "<style" in page.lower() else {})
     return "\n".join(lines_of(builder.root, 0)).strip("\n")
 
 

@@ -20,7 +20,16 @@ CASES = [
     ("<blockquote>q<p>r</blockquote>", "> q\n>\n> r"),
     ("<p>x</div></b>y", "xy"),
     ("<img alt='pic'> <hr>z", "pic\n\n---\n\nz"),
-    ("<select><option>o</select>v<template>t</template>", "v"),
+    ("<select><option>o</select>v<template>t</template>", "o v"),  # a browser shows the option
+    ("<select><option>o<option selected>p</select><select multiple><option>q<option>r</select>", "p q r"),
+    ("a <textarea>typed text</textarea><datalist><option>d</datalist>", "a typed text"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td>x<td rowspan=2 colspan=2>y<td>z<tr><td>p<td>q</table>", "x  y    z\np       q"),
+    ("<html><head><title>t</title><body>only text", "only text"),
+    ("<head><title>t</title>text that ends the head<p>more", "text that ends the head\n\nmore"),
+    ("<div style='visibility:hidden'>no<p>no<b style='visibility: visible'>yes</b></div>", "yes"),
+    ("<style>.ad, p#x {color:red; display:none} @media print {div{display:none}} /* b{display:none} */ i{visibility:hidden}</style><p class='big ad'>no<p id=x>no<div id=x>a</div><b>b</b><i>no</i><span class=ad style='display:inline'>c</span>", "a\nbc"),
+    ("<ul><li style='visibility:hidden'>no<li>yes</ul>", "- yes"),
     ("<table><tr><td>a<table><tr><td>in</table><td>b</table>", "a   b\n\nin"),
     ("<dl><dt>t<dd>d</dl>", "t\n    d"),
 ]
@@ -37,6 +46,12 @@ def test_deep_and_long_pages_keep_their_text():
     assert len(html_text.extract("<p>" + "word " * 200000).split()) == 200000
 
 
+def test_hidden_elements_beyond_the_depth():
+    deep = "<div>" * 300
+    page = deep + "<script>var a='x'</script>one<p hidden>no<b>no</b></p>two<i style='display:none'>no<br>no</i>three<p aria-hidden=true>no<p>no</p></p>four"
+    assert html_text.extract(page) == "onetwothreefour"
+
+
 def test_operator(spark):
     rows = [(k, "u", p) for k, (p, _) in enumerate(CASES)] + [(None, None, "<p>n"), (0, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", df_lit()).repartition(3)
