@@ -479,3 +479,8 @@ def net_predict_masked(spark, sf_dir):
 SELECT src, dst, w, coalesce(hit, true) AS masked FROM c LEFT JOIN p ON a = least(src, dst) AND b = greatest(src, dst)""")
 def net_mask_symmetric(spark, sf_dir):
     return graph.random_mask(cells(spark, sf_dir), 0.3, symmetric=True).select("src", "dst", "w", "masked")
+
+
+@query("net_vertex_values", "SELECT CAST(k AS BIGINT) AS id, n_regionkey AS cluster FROM (SELECT unnest(range(0, 40, 3)) AS k) LEFT JOIN nation ON n_nationkey = k")
+def net_vertex_values(spark, sf_dir):
+    return graph.vertex_values(spark.range(0, 40, 3), regions(spark, sf_dir), "cluster")

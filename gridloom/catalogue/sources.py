@@ -193,3 +193,85 @@ def token_files(spark, sf_dir):
     table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(" of region "), F.col("n_regionkey").cast("string")).alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
     toks = tables.read_corpus(spark, [f"{path}/n_nationkey={k}" for k in range(25)])
     return toks.groupBy("path").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]), " ")).alias("digest")).select("digest")
+
+
+@query("edges_mirrored", f"WITH e AS ({LINE}), c AS (SELECT i, j, count(*) AS w FROM e GROUP BY ALL) SELECT i AS src, j AS dst, w FROM c UNION SELECT j, i, w FROM c")
+def edges_mirrored(spark, sf_dir):
+    lines = _pairs(spark, sf_dir).select(F.concat_ws(";", "i", "j"))
+    return graphs.read_attributed(spark, _file(spark, lines), mirror=True)[0]
+
+
+@query("edges_unshifted", "SELECT l_orderkey % 500 + 7 AS src, l_partkey % 500 + 7 AS dst, count(*) AS w FROM lineitem GROUP BY ALL")
+def edges_unshifted(spark, sf_dir):
+    return graphs.read_tnet(spark, _file(spark, _pairs(spark, sf_dir).select(F.concat_ws(" ", F.col("i") + 7, F.col("j") + 7))), shift=False)
+
+
+@query("edges_dat_zeros", "SELECT l_orderkey % 500 AS src, l_partkey % 500 AS dst, CAST(sum(l_linenumber - 1) AS BIGINT) AS w FROM lineitem GROUP BY ALL")
+def edges_dat_zeros(spark, sf_dir):
+    e = _pairs(spark, sf_dir).withColumn("w", F.col("w") - 1)
+    parts = e.groupBy((F.col("i") % 16).alias("part")).agg(F.concat_ws("\n", F.collect_list(F.concat_ws(" ", "i", "j", "w"))).alias("body"))
+    return graphs.read_dat(spark, _file(spark, parts.select(F.concat(F.lit("*vertices\na\n*edges\n"), "body"))), zeros=True)
+
+
+BA = """WITH e AS (SELECT unnest(range(600)) AS id), f AS (SELECT id // 2 AS src,
+  list_reduce(list_prepend(2 * id + 1, range(64)), lambda r, i: CASE WHEN r % 2 = 0 THEN r ELSE CAST('0x' || substr(md5('0|' || r), 1, 15) AS BIGINT) % r END) // 4 AS dst FROM e)"""
+
+
+@query("edges_ba", BA + " SELECT DISTINCT src, dst, CAST(1 AS BIGINT) AS w FROM f WHERE src <> dst")
+def edges_ba(spark, sf_dir):
+    return graphs.load(spark, "ba", n=300)
+
+
+@query("edges_dispatched", MOVED + " SELECT i - lo AS src, j - lo AS dst, count(*) AS w FROM e, lo GROUP BY ALL")
+def edges_dispatched(spark, sf_dir):
+    """A file that its ending sends to the reader of its format."""
+    path = f"{shared_folder(spark)}/named-{uuid.uuid4().hex}.csv"
+    _pairs(spark, sf_dir).write.csv(path, sep=";", header=True)
+    return graphs.load(spark, "some_network", path)
+
+
+@query("files_by_extension", " UNION ALL ".join(f"SELECT '{k}' AS kind, CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation" for k in ("csv", "json", "orc", "parquet")))
+def files_by_extension(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    out = None
+    for kind in ("csv", "json", "orc", "parquet"):
+        path = f"{shared_folder(spark)}/any-{uuid.uuid4().hex}.{kind}"
+        n.write.format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(path)
+        one = tables.read_any(spark, path).select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), "name")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("outputs_empty", "SELECT CAST(n_nationkey AS VARCHAR) AS run, n_nationkey % 3 = 0 AS empty FROM nation")
+def outputs_empty(spark, sf_dir):
+    path = f"{shared_folder(spark)}/outs-{uuid.uuid4().hex}"
+    key = F.col("n_nationkey") % 3
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("run"), F.when(key == 0, "# terminated").otherwise("0.5 2").alias("value"))
+    rows.repartition("run").write.partitionBy("run").text(path)
+    return tables.outputs(spark, path).select(F.regexp_extract("path", r"run=(\d+)", 1).alias("run"), "empty")
+
+
+@query("log_extract", "SELECT event_id, CAST(user_id AS VARCHAR) AS plain, CAST(value AS VARCHAR) AS hidden, '2 ' || user_id % 7 || ' ' || user_id % 5 AS list, CAST(user_id % 3 AS VARCHAR) AS item, 'None' AS missing FROM events")
+def log_extract(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumns({"_entropy": F.col("value"), "counts": F.array(F.col("user_id") % 7, F.col("user_id") % 5), "parts": F.create_map(F.lit("a"), F.struct((F.col("user_id") % 3).alias("m")))})
+    kinds = dict(e.dtypes)
+    got = {"plain": "user_id", "hidden": "entropy", "list": "{counts}", "item": "{parts[m]}", "missing": "nothing"}
+    return e.select("event_id", *[logs.extract(x, kinds).alias(n) for n, x in got.items()])
+
+
+@query("stream_minibatch", "WITH t AS (SELECT unnest(range(200)) AS value), e AS (SELECT l_orderkey % 500 AS src, l_partkey % 500 AS dst, CAST(sum(l_linenumber) AS BIGINT) AS w FROM lineitem GROUP BY ALL), d AS (SELECT value, CAST('0x' || substr(md5('0|' || value || '|node'), 1, 15) AS BIGINT) % 500 AS src, CAST('0x' || substr(md5('0|' || value || '|set'), 1, 15) AS BIGINT) % 2 = 0 AS links FROM t), m AS (SELECT * FROM d JOIN e USING (src)) SELECT value, src, dst, w FROM m WHERE links UNION ALL SELECT value, src, o AS dst, 0 FROM (SELECT value, src, CAST('0x' || substr(md5('0|' || value || '|' || dst), 1, 15) AS BIGINT) % 500 AS o FROM m WHERE NOT links) x WHERE src <> o AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = x.src AND e.dst = x.o)")
+def stream_minibatch(spark, sf_dir):
+    base = f"{shared_folder(spark)}/ticks-{uuid.uuid4().hex}"
+    spark.range(200).select(F.col("id").alias("value")).repartition(2).write.parquet(f"{base}/in")
+    edges = _pairs(spark, sf_dir).groupBy(F.col("i").alias("src"), F.col("j").alias("dst")).agg(F.sum("w").alias("w"))
+    stream = live.minibatch_stream(live.log_stream(spark, f"{base}/in", "value long"), edges, 500)
+    live.drained(stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start())
+    return spark.read.schema("value long, src long, dst long, w long").parquet(f"{base}/out")
+
+
+@query("stream_index", "SELECT CAST(count(*) AS BIGINT) AS postings, CAST(sum(tf) AS BIGINT) AS tokens FROM (SELECT p_partkey, t, count(*) AS tf FROM (SELECT p_partkey, unnest(string_split(lower(regexp_replace(p_name || ' ' || p_brand, '[^a-zA-Z0-9_\\-]+', ' ', 'g')), ' ')) AS t FROM part) WHERE t <> '' GROUP BY ALL)")
+def stream_index(spark, sf_dir):
+    base = f"{shared_folder(spark)}/online-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_brand").alias("text")).repartition(3).write.parquet(f"{base}/in")
+    live.drained(live.index_writer(live.log_stream(spark, f"{base}/in", "doc_id long, text string"), ["text"], f"{base}/out", f"{base}/check"))
+    return spark.read.parquet(f"{base}/out").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))

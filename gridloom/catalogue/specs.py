@@ -330,3 +330,35 @@ def grid_locate(spark, sf_dir):
 @query("softmax_log", "SELECT p_partkey, round_even(exp(p_size / 10.0 - m) / sum(exp(p_size / 10.0 - m)) OVER (PARTITION BY p_brand), 9) AS p FROM (SELECT *, max(p_size / 10.0) OVER (PARTITION BY p_brand) AS m FROM part)")
 def softmax_log(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.bround(scalars.log_softmax(F.col("p_size") / 10.0, F.col("p_brand")), 9).alias("p"))
+
+
+@query("scalar_joined", "SELECT n_nationkey, concat_ws('_', nullif(n_name, 'None'), CASE WHEN n_regionkey > 2 THEN CAST(n_regionkey AS VARCHAR) END) AS joined, array_to_string(list_sort([n_name, CAST(n_regionkey AS VARCHAR), 'm']), '-') AS tags, printf('#%02x00%02x', CAST(floor(least(n_nationkey / 20.0, 1) * 255) AS INT), CAST(floor((1 - least(n_nationkey / 20.0, 1)) * 255) AS INT)) AS colour FROM nation")
+def scalar_joined(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    part = F.when(F.col("n_regionkey") > 2, F.col("n_regionkey"))
+    return n.select("n_nationkey", scalars.join_present(F.col("n_name"), part).alias("joined"), scalars.tags(F.col("n_name"), F.col("n_regionkey"), F.lit("m")).alias("tags"), scalars.colour(F.col("n_nationkey"), 0, 20).alias("colour"))
+
+
+@query("grid_changed", GRID + " SELECT brand, CAST(9 AS BIGINT) AS size, 'new' AS note FROM b")
+def grid_changed(spark, sf_dir):
+    """One key replaced in every row, one removed, one added."""
+    design = specs.Design.of({"brand": _values(spark, sf_dir, "part", "p_brand"), "size": [1, 2], "event": ["a", "b"]}).overlay({"size": 9, "note": "new"}).without("event")
+    return specs.SpecSet.of(design).table(spark).select("brand", "size", "note")
+
+
+@query("alias_rows", "SELECT CAST(n_nationkey AS VARCHAR) AS id, CASE n_name WHEN 'NATION_3' THEN 'third' ELSE n_name END AS name, CASE WHEN n_regionkey = 1 THEN 'None' ELSE CAST(n_regionkey AS VARCHAR) END AS region FROM nation")
+def alias_rows(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_regionkey") != 1, F.col("n_regionkey")).alias("region"))
+    return specs.shown_rows(n, {"NATION_3": "third"})
+
+
+@query("run_seeds", "SELECT n_nationkey, CAST((list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(list_reverse(string_split(n_name, '')), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 4294967296) + n_regionkey) % 4294967296 AS BIGINT) AS seed FROM nation")
+def run_seeds(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", specs.seed_column(F.col("n_name"), F.col("n_regionkey")).alias("seed"))
+
+
+@query("minibatch_count", "SELECT CAST(floor(count(*) * 10 * 0.5) AS BIGINT) AS n FROM nation")
+def minibatch_count(spark, sf_dir):
+    from ..operators.graph import minibatch_count as count
+
+    return spark.range(1).select(F.lit(count(table(spark, sf_dir, "nation").count(), 10, 0.5)).cast("long").alias("n"))

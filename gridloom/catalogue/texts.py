@@ -212,3 +212,13 @@ def search_appended(spark, sf_dir):
     search.build(d.where("doc_id % 2 = 0"), ["text"], path)
     search.build(d.where("doc_id % 2 <> 0"), ["text"], path, mode="append")
     return search.search(search.read(spark, path), "idiot moron", "text", None).select("doc_id", F.bround("score", 6).alias("score"))
+
+
+#: The twenty newsgroups in order: fixed values.
+GROUPS = "alt.atheism comp.graphics comp.os.ms-windows.misc comp.sys.ibm.pc.hardware comp.sys.mac.hardware comp.windows.x misc.forsale rec.autos rec.motorcycles rec.sport.baseball rec.sport.hockey sci.crypt sci.electronics sci.med sci.space soc.religion.christian talk.politics.guns talk.politics.mideast talk.politics.misc talk.religion.misc".split()
+
+
+@query("text_newsgroups", "SELECT name, ['soc', 'comp', 'comp', 'comp', 'comp', 'comp', 'misc', 'rec', 'rec', 'rec', 'rec', 'sci', 'sci', 'sci', 'sci', 'soc', 'talk', 'talk', 'talk', 'soc'][i] AS label FROM (SELECT unnest([" + ", ".join(f"'{g}'" for g in GROUPS) + "]) AS name, unnest(range(1, 21)) AS i)")
+def text_newsgroups(spark, sf_dir):
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(g) for g in GROUPS])).alias("name"))
+    return names.select("name", text.newsgroup_group(F.col("name")).alias("label"))

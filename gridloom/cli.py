@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import inspect
 import json
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from .functions.scalars import colour  # noqa: F401  (part of the listing commands' surface)
-from .plans.runner import SCRIPTS, append_bounded, catalogue, command_of, history, remember, run_all
-from .plans.specs import SpecSet, output_path, select_rows, spec_diff
+from .operators import search
+from .plans.runner import SCRIPTS, append_bounded, catalogue, command_of, find_action, history, remember, run_all
+from .plans.specs import SpecSet, diff_all, output_path, select_rows
 
 HISTORY = Path.home() / ".gridloom_history"
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("gridloom")
-    p.add_argument("command", choices=["show", "run", "path", "cmd", "diff", "hist", "list", "init"])
+    p.add_argument("command", choices=["show", "run", "path", "cmd", "diff", "hist", "list", "doc", "init", "update"])
     p.add_argument("items", nargs="*", help="spec files (JSON), run indices, or an action")
     p.add_argument("-v", "--verbose", type=int, default=0)
     p.add_argument("--bind", action="append", default=[], help="row rules: a.b, a.!b, a.key.c, a.key.!c")
@@ -90,12 +94,22 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = build_session(master=f"local[{args.cores}]" if args.cores else None)
     if args.command == "list":
-        printed(catalogue(spark))
+        kind = words[0] if words else None
+        printed(catalogue(spark).where(f"kind = '{kind}'") if kind in ("script", "model") else catalogue(spark))
+        return 0
+    if args.command == "doc":
+        for word in words:
+            cls, method = find_action(word)
+            print(f"{word}: {inspect.getdoc(getattr(cls, method)) or inspect.getdoc(cls) or 'no description'}")
+        return 0
+    if args.command == "update":
+        rows = catalogue(spark).withColumn("doc_id", F.xxhash64("kind", "name"))
+        search.build(rows, ["name", "content"], "data/.catalogue")
         return 0
     sets = [SpecSet.of(json.loads(Path(f).read_text()), rules=args.bind, **settings(args)) for f in files]
     remember(HISTORY, " ".join(argv or sys.argv[1:]))
     if args.command == "diff":
-        printed(spec_diff(*[s.table(spark) for s in sets]).orderBy("key", "value"))
+        printed(diff_all([s.table(spark) for s in sets]).orderBy("key", "value"))
         return 0
     whole = sets[0]
     for more in sets[1:]:

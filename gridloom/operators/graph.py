@@ -107,6 +107,11 @@ def lookup(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(edges, ["src", "dst"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
 
 
+def vertex_values(ids: DataFrame, vertices: DataFrame, column: str) -> DataFrame:
+    """(id, column) of the nodes asked for: a label, a cluster; null where there is none."""
+    return ids.join(vertices.select("id", column), "id", "left")
+
+
 def weight_stats(edges: DataFrame) -> DataFrame:
     rows = edges.groupBy("src").agg(F.sum("w").alias("s"))
     return rows.agg(F.avg("s").alias("mean_row"), F.var_pop("s").alias("var_row")).crossJoin(edges.agg(F.count("*").alias("nnz"), F.max("w").alias("max_w"), F.countDistinct("w").alias("distinct_w")))

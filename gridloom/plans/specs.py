@@ -418,6 +418,25 @@ def alias(c: Column, names: Mapping[str, str]) -> Column:
     return F.coalesce(F.element_at(table, c), c)
 
 
+def shown_rows(runs: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Runs as they are displayed: each value by its alias (in lists, each item), missing ones as the text None."""
+    out = []
+    for c, kind in runs.dtypes:
+        x = F.col(f"`{c}`")
+        if kind.startswith("array"):
+            text = F.array_join(F.transform(x, lambda v: alias(v.cast("string"), names)), " ", "None")
+        else:
+            text = alias(x.cast("string"), names)
+        out.append(F.coalesce(text, F.lit("None")).alias(c))
+    return runs.select(*out)
+
+
+def seed_column(text: Column, repeat: Column | None = None) -> Column:
+    """A run's seed from the characters of its seed text (each times a power of 31) and its repeat, modulo 2**32."""
+    total = F.aggregate(F.reverse(F.split(text, "")), F.lit(0).cast("long"), lambda a, c: (a * 31 + F.ascii(c)) % (1 << 32))
+    return (total + (repeat if repeat is not None else 0)) % (1 << 32)
+
+
 def model_name(c: Column, package: str) -> Column:
     """Names without a package get the default one's short form (first three letters and initials when long), in lower case."""
     head = package if len(package) <= 8 else package[:3] + "".join(x[0] for x in package.split("_")[1:])

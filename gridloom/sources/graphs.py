@@ -102,13 +102,24 @@ def assemble(edges: DataFrame, vertices: DataFrame | None = None, expected: tupl
     return edges, full, check
 
 
+#: Copies that are followed at most; half of all ends are sources, where a chain ends.
+CHAIN = 64
+
+
 #: Generated corpora: a predicate over node pairs (i, j).
 def generated(spark: SparkSession, kind: str, n: int, block: int = 5, seed: int = 0) -> DataFrame:
-    """``uniform`` 0/1 cells, ``clique`` blocks, ``alternate`` stripes, or ``ba`` (each new node links to two earlier ones, later ones less likely)."""
+    """``uniform`` 0/1 cells, ``clique`` blocks, ``alternate`` stripes, or ``ba``: preferential attachment, each node with two links to earlier ones.
+
+    The ends of all ba edges stand in one row, source and target in turn. A target is a copy of an end before it, drawn evenly, so nodes are met in proportion to their
+    degree; where that is a target itself, its own copy is followed by drawing it anew. Each edge is found alone, without a join or a loop over the graph.
+    """
     if kind == "ba":
-        t = spark.range(1, n).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
-        u = (F.pmod(F.xxhash64("id", "k", F.lit(seed)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-        return t.select(F.col("id").alias("src"), F.floor(F.col("id") * u * u).alias("dst"), F.lit(1).cast("long").alias("w")).distinct()
+        from ..operators.graph import drawn_int
+
+        ends = spark.range(2 * n).select("id", (2 * F.col("id") + 1).alias("at"))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(CHAIN)), F.col("at"), lambda at, _: F.when(at % 2 == 0, at).otherwise(drawn_int(at, seed=seed) % at))
+        edges = ends.select(F.floor(F.col("id") / 2).alias("src"), F.floor(found / 4).alias("dst"), F.lit(1).cast("long").alias("w"))
+        return edges.where("src <> dst").distinct()
     i, j = F.floor(F.col("id") / n), F.col("id") % n
     cells = spark.range(n * n).select(i.alias("src"), j.alias("dst"), "id")
     keep = {

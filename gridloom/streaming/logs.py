@@ -74,9 +74,15 @@ def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day
 
 
 def minibatch_stream(ticks: DataFrame, edges: DataFrame, n_nodes: int, seed: int = 0) -> DataFrame:
-    """Each tick draws a node and meets its out-links: a stream joined with a table."""
-    drawn = ticks.withColumn("src", F.pmod(F.xxhash64("value", F.lit(seed)), F.lit(n_nodes)))
-    return drawn.join(edges, "src").select("value", "src", "dst", "w")
+    """Each tick draws a node and a set of it: its out-links, or as many draws of nodes it has no link to (w 0). A stream joined with a table."""
+    from ..operators.graph import drawn_int
+
+    tick = F.col("value")
+    drawn = ticks.withColumns({"src": drawn_int(tick, "node", seed=seed) % n_nodes, "links": drawn_int(tick, "set", seed=seed) % 2 == 0})
+    met = drawn.join(edges, "src")
+    some = met.where("links").select("value", "src", "dst", "w")
+    other = met.where("not links").select("value", "src", (drawn_int(tick, F.col("dst"), seed=seed) % n_nodes).alias("dst"))
+    return some.union(other.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").where("src <> dst").select("value", "src", "dst", F.lit(0).cast("long").alias("w")))
 
 
 def index_writer(docs: DataFrame, fields: list[str], path: str, checkpoint: str) -> StreamingQuery:

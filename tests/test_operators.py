@@ -239,3 +239,21 @@ def test_index_rebuilt_when_broken(spark, tmp_path):
     rows = search.rebuild_if_broken(lambda: search.read(spark, path).postings, lambda: search.build(docs, ["text"], path))
     assert rows.count() == 4
     assert [r["doc_id"] for r in search.search(search.read(spark, path), "house", "text").collect()] == [2, 1]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    import json
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(cli, "HISTORY", tmp_path / "history")
+    for name, grid in (("a", {"k": [1, 2], "m": ["x"]}), ("b", {"k": [2, 3], "m": ["x"]})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(grid))
+    said = lambda *argv: (cli.main([*argv]), capsys.readouterr().out)[1].splitlines()
+    assert len(said("show", "a.json", "b.json")) == 5
+    assert said("show", "a.json", "1")[0].split("\t") and len(said("show", "a.json", "1")) == 2
+    assert sorted(x.split("\t")[-1] for x in said("diff", "a.json", "b.json")[1:]) == ["1", "3"]
+    assert "everyone.call" in "\n".join(said("list", "script")) and len(said("path", "a.json")) == 3
+    assert said("doc", "everyone")[0].startswith("everyone: ")
+    said("update")
+    assert search.search(search.read(spark, "data/.catalogue"), "held", "name").count() == 1
+    assert said("hist") and said("init") == []
