@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut, first_rows, numbered
@@ -174,10 +174,9 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
 
 
 def by_cluster_size(clusters: DataFrame) -> DataFrame:
-    """(id, cluster, rank): clusters relabelled by size; clusters are few, their sizes are ranked in one task."""
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    ranks = sizes.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), F.desc("cluster"))) - 1)
-    return clusters.join(ranks.select("cluster", "rank"), "cluster")
+    """(id, cluster, rank): clusters relabelled by size, equal ones by falling label."""
+    ranks = numbered(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "rank", F.desc("n"), F.desc("cluster"))
+    return clusters.join(ranks.select("cluster", F.col("rank").cast("int").alias("rank")), "cluster")
 
 
 def one_hot(clusters: DataFrame, labels: list) -> DataFrame:
@@ -449,8 +448,10 @@ def pseudo_diameter(edges: DataFrame, start: int) -> int:
     return distances(edges, far["id"]).agg(F.max("d")).first()[0]
 
 
-def diameter(edges: DataFrame) -> int | None:
-    """The largest distance, None if the graph is not connected: all nodes' frontiers advance together, one join per step. For small graphs."""
+def diameter(edges: DataFrame, most_nodes: int = 20_000) -> int | None:
+    """The largest distance, None if the graph is not connected: all nodes' frontiers advance together, one join per step. The distances of all pairs are rows, so larger graphs are an error."""
+    if nodes(edges).limit(most_nodes + 1).count() > most_nodes:
+        raise ValueError(f"all distances of more than {most_nodes} nodes; pseudo_diameter has a bound for large graphs")
     both = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct())
     seen = frontier = cut(nodes(edges).select(F.col("id").alias("s"), F.col("id")))
     n, d = seen.count(), 0

@@ -32,10 +32,10 @@ def log_stream(spark: SparkSession, path: str, schema: str = LOG, files_per_batc
 
 
 def append_logs(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends each batch under its run, once even if a batch is tried again: its files carry the batch's number."""
+    """Appends each batch, once even if a batch is tried again: its files lie under the batch's number, with rows in order of run, so a run's rows are found by the files' ranges."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "run").parquet(path)
+        batch.withColumn("batch", F.lit(number)).sort("run", "measure", "it").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
