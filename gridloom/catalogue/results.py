@@ -8,9 +8,19 @@ from ..operators import results
 from . import query, table
 
 EVENTS = "WITH e AS (SELECT event_id, user_id, user_id % 10 AS x, event_type AS y, CAST(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) % 5 AS BIGINT) AS rep, value, ts FROM events)"
-#: The mean by a decimal sum: the same whatever the order of rows.
-EXACT = "CAST(sum(CAST({0} AS DECIMAL(24,12))) AS DOUBLE) / count({0})"
-MEAN = EXACT.format("value")
+
+
+def mean12(x: str) -> str:
+    """SQL of a mean in whole parts of 10**-12, by a sum of whole numbers: the same whatever the order of rows."""
+    return f"((2 * sum(CAST(CAST({x} AS DECIMAL(24,12)) * 1000000000000 AS BIGINT)) + count({x})) // (2 * count({x})))"
+
+
+def even(m: str, digits: int) -> str:
+    """SQL of such a number rounded half to even."""
+    d = 10 ** (12 - digits)
+    return f"CAST(CASE WHEN ({m}) % {d} > {d // 2} OR (({m}) % {d} = {d // 2} AND (({m}) // {d}) % 2 = 1) THEN ({m}) // {d} + 1 ELSE ({m}) // {d} END AS DOUBLE) / 1e{digits}"
+
+
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -19,26 +29,26 @@ def events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("user_id") % 10).alias("x"), F.col("event_type").alias("y"), (day % 5).cast("long").alias("rep"), "value", "ts")
 
 
-@query("table_pivot_mean", EVENTS + " SELECT x, " + ", ".join(f"round_even({EXACT.format(f"CASE WHEN y = '{t}' THEN value END")}, 6) AS {t}" for t in TYPES) + " FROM e GROUP BY x")
+@query("table_pivot_mean", EVENTS + " SELECT x, " + ", ".join(even(mean12(f"CASE WHEN y = '{t}' THEN value END"), 6) + f" AS {t}" for t in TYPES) + " FROM e GROUP BY x")
 def table_pivot_mean(spark, sf_dir):
     t = results.pivot(events(spark, sf_dir), "x", "y", "value", how=results.exact_mean, values=TYPES)
     return t.select("x", *[F.bround(c, 6).cast("double").alias(c) for c in TYPES])
 
 
-for _how, _sql in (("mean", EXACT.format("v")), ("rmax", "CAST(max(v) AS DOUBLE)"), ("rmin", "CAST(min(v) AS DOUBLE)")):
+for _how, _sql in (("mean", "((2 * sum(v) + count(v)) // (2 * count(v)))"), ("rmax", "max(v)"), ("rmin", "min(v)")):
     query(
         {"mean": "table_repeat_mean_std"}.get(_how, f"table_{_how}"),
-        EVENTS + f", r AS (SELECT x, y, rep, CAST({MEAN} AS DECIMAL(24,12)) AS v FROM e GROUP BY ALL) SELECT x, y, round_even({_sql}, 3) AS v, round_even(stddev_pop(v), 2) AS std FROM r GROUP BY x, y",
+        EVENTS + f", r AS (SELECT x, y, rep, CAST({mean12("value")} AS BIGINT) AS v FROM e GROUP BY ALL) SELECT x, y, {even(_sql, 3)} AS v, round_even(stddev_pop(v / 1e12), 2) AS std FROM r GROUP BY x, y",
     )(lambda spark, sf_dir, how=_how: results.over_repeats(events(spark, sf_dir).groupBy("x", "y", "rep").agg(results.exact_mean("value").alias("v")), ["x", "y"], "v", how))
 
 
-@query("table_highlight", EVENTS + ", c AS (SELECT x, y, round_even(" + MEAN + ", 3) AS v FROM e GROUP BY x, y) SELECT x, y, v, row_number() OVER (PARTITION BY x ORDER BY v DESC, y) = 1 AS best FROM c")
+@query("table_highlight", EVENTS + ", c AS (SELECT x, y, " + even(mean12("value"), 3) + " AS v FROM e GROUP BY x, y) SELECT x, y, v, row_number() OVER (PARTITION BY x ORDER BY v DESC, y) = 1 AS best FROM c")
 def table_highlight(spark, sf_dir):
     cells = events(spark, sf_dir).groupBy("x", "y").agg(F.bround(results.exact_mean("value"), 3).cast("double").alias("v"))
     return results.best(cells, "x", "y", "v")
 
 
-@query("table_merge", EVENTS + " SELECT x, rep || '|' || y AS header, round_even(" + MEAN + ", 6) AS v FROM e GROUP BY x, rep, y")
+@query("table_merge", EVENTS + " SELECT x, rep || '|' || y AS header, " + even(mean12("value"), 6) + " AS v FROM e GROUP BY x, rep, y")
 def table_merge(spark, sf_dir):
     cells = events(spark, sf_dir).groupBy("x", "y", F.col("rep").cast("string").alias("g")).agg(F.bround(results.exact_mean("value"), 6).cast("double").alias("v"))
     return results.merged(cells, "g", "x", "y", "v")
@@ -47,7 +57,7 @@ def table_merge(spark, sf_dir):
 @query(
     "cube_nd",
     EVENTS + f""", b AS (SELECT user_id % 500 AS u, y, rep, value FROM e)
-SELECT u, y, rep, round_even(v, 6) AS value FROM (SELECT * FROM (SELECT DISTINCT u FROM b), (SELECT DISTINCT y FROM b), (SELECT DISTINCT rep FROM b)) LEFT JOIN (SELECT u, y, rep, {MEAN} AS v FROM b GROUP BY ALL) USING (u, y, rep)""",
+SELECT u, y, rep, v AS value FROM (SELECT * FROM (SELECT DISTINCT u FROM b), (SELECT DISTINCT y FROM b), (SELECT DISTINCT rep FROM b)) LEFT JOIN (SELECT u, y, rep, {even(mean12("value"), 6)} AS v FROM b GROUP BY ALL) USING (u, y, rep)""",
 )
 def cube_nd(spark, sf_dir):
     """Five hundred users, so that cells stay empty."""

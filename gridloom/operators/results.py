@@ -31,12 +31,12 @@ def pivot(df: DataFrame, x: str, y: str, value: str, how=F.avg, values: list | N
 
 
 def cube(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One cell per combination of the keys' values, null where no row has it."""
+    """One cell per combination of the keys' values: the mean to twelve decimals, null where no row has it."""
     dims = [df.select(k).distinct() for k in keys]
     grid = dims[0]
     for d in dims[1:]:
         grid = grid.crossJoin(d)  # the axes of a table: their product is the result itself
-    return grid.join(df.groupBy(*keys).agg(F.avg(value).alias(value)), keys, "left")
+    return grid.join(df.groupBy(*keys).agg(exact_mean(value).alias(value)), keys, "left")
 
 
 def over_repeats(df: DataFrame, keys: list[str], value: str, how: str = "mean", digits: int = 3, spread: int = 2) -> DataFrame:
