@@ -7,7 +7,7 @@ and nothing is rounded to a frame. Earliest deadline first fills the slots, so a
 Frames. Slots are filled in frames of ``frame``, each a row whose slots a Spark expression fills. Which blocks come before a frame's border is decided border after border by the driver: at slot T
 source s has had floor(w T / W) blocks or one more; those with one more are taken by deadline, as long as every stretch of slots before the border can hold the blocks that are released
 and must be served in it. That is what earliest deadline first over all slots has served by then, so the frames together are that one schedule. The driver holds one row
-for each source, and spends some 0.1 ms for each frame (8,000 documents); frames go to Spark ``CHUNK`` at a time.
+for each source, and spends some 0.06 ms for each frame (8,000 documents) of 7 sources, 0.4 ms of 50; frames go to Spark ``CHUNK`` at a time.
 
 Nothing is dropped: the schedule ends with the slot that serves the last block not yet served, and a source that ends
 sooner is read again from its start (epoch 1, 2, ...), as weights larger than its part of the corpus ask.

@@ -15,7 +15,8 @@ equal ones go. A GRAM name with more than ``HOT`` contexts is dealt out by the s
 A task drops what it can before the shuffle: of equal (GRAM, context) pairs in one block of its input only the first travels, so a passage that a
 third of all documents share costs one row per block.
 
-Cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing; matches never cross texts. A null doc_id orders after all others.
+Cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing; matches never cross texts. A null doc_id orders after all others;
+2**63 - 1 stands for it and comes out as null.
 Rows with one doc_id and one text are one document (equal results); rows with one doc_id and different texts are compared in order of start. Other columns
 are ignored. An empty table gives an empty result.
 """
