@@ -104,7 +104,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.command == "update":
         rows = catalogue(spark).withColumn("doc_id", F.xxhash64("kind", "name"))
-        search.build(rows, ["name", "content"], "data/.catalogue")
+        search.build(rows, ["name", "content"], str(Path("data/.catalogue").absolute()))
         return 0
     sets = [SpecSet.of(json.loads(Path(f).read_text()), rules=args.bind, **settings(args)) for f in files]
     remember(HISTORY, " ".join(argv or sys.argv[1:]))

@@ -255,5 +255,5 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert "everyone.call" in "\n".join(said("list", "script")) and len(said("path", "a.json")) == 3
     assert said("doc", "everyone")[0].startswith("everyone: ")
     said("update")
-    assert search.search(search.read(spark, "data/.catalogue"), "held", "name").count() == 1
+    assert search.search(search.read(spark, f"{tmp_path}/data/.catalogue"), "held", "name").count() == 1
     assert said("hist") and said("init") == []
