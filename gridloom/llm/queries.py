@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_text, jaccard_join, language, mixing, packing, quality, suffix_dedup, tokens, toxicity
+from . import bpe_tree, chat, exact_dedup, html_text, jaccard_join, language, mixing, packing, periodic_runs, quality, suffix_dedup, tokens, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_tree.token_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(periodic_runs.with_tails(_table(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_mixing, op4_packing, op5_suffix_dedup, op6_toxicity, op7_html, op8_language, op9_chat, op10_exact_dedup)}
+    every = (op1_jaccard_join, op2_quality, op3_mixing, op4_packing, op5_suffix_dedup, op6_toxicity, op7_html, op8_language, op9_chat, op10_exact_dedup, op11_bpe, op12_runs, op13_whitening)
+    return {f.__name__: f for f in every}
 
 
 OP1_SQL = r"""
