@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, stats
+from ..operators import communities, graph, stats
 from . import query, table
 
 TRADE = """
@@ -284,8 +284,9 @@ s AS (SELECT batch, u.n, id AS node, unnest(CASE WHEN u < 0.5 THEN ['zeros out',
 ends AS (SELECT src AS node, 'out' AS way, dst AS other, w FROM nxt UNION ALL SELECT dst, 'in', src, w FROM nxt),
 l AS (SELECT batch, n, part, node, way, other, w FROM (SELECT *, replace(part, 'zeros ', '') AS way FROM s) JOIN ends USING (node, way)),
 g AS (SELECT batch, n, part, way, node, count(*) AS degree FROM l GROUP BY ALL),
-f AS (SELECT batch, part, way, node, id AS other, 0 AS w FROM g, ids WHERE part LIKE 'zeros%' AND id <> node AND {_drawn(0, 'batch', 'part', 'id')} % 10 = 0),
-seen AS (SELECT batch, part, way, node, other, w FROM l WHERE part NOT LIKE 'zeros%' UNION ALL SELECT batch, part, way, node, other, w FROM f ANTI JOIN ends USING (node, way, other))
+m AS (SELECT *, row_number() OVER (PARTITION BY batch, part ORDER BY place) - 1 AS k, count(*) OVER (PARTITION BY batch, part) AS free FROM (SELECT batch, part, way, node, id AS other, place FROM g, ids WHERE part LIKE 'zeros%' AND id <> node) ANTI JOIN ends USING (node, way, other)),
+f AS (SELECT batch, part, way, node, other, 0 AS w FROM m WHERE k % 10 = {_drawn(0, 'batch', 'part', 'k // 10')} % least(10, free - k // 10 * 10)),
+seen AS (SELECT batch, part, way, node, other, w FROM l WHERE part NOT LIKE 'zeros%' UNION ALL SELECT batch, part, way, node, other, w FROM f)
 SELECT batch, part, 'scale' AS kind, node AS src, NULL AS dst, CAST(CASE WHEN part LIKE 'zeros%' THEN {zero} ELSE {link} END AS DOUBLE) AS w FROM g
 UNION ALL SELECT batch, part, 'edge', CASE WHEN way = 'out' THEN node ELSE other END, CASE WHEN way = 'out' THEN other ELSE node END, CAST(w AS DOUBLE) FROM seen"""
 
@@ -320,9 +321,53 @@ def net_diameter(spark, sf_dir):
     return spark.range(1).select(F.lit(graph.diameter(e)).cast("int").alias("diameter"), F.lit(graph.pseudo_diameter(e, 0)).cast("int").alias("pseudo"))
 
 
+MATCHED = NEXT + """, o AS (SELECT src, row_number() OVER (ORDER BY md5(concat_ws('|', '0', 'out', src, dst)), src, dst) AS k FROM nxt), i AS (SELECT dst, row_number() OVER (ORDER BY md5(concat_ws('|', '0', 'in', src, dst)), src, dst) AS k FROM nxt),
+gen AS (SELECT src, dst FROM o JOIN i USING (k))"""
+
+
+def brands(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("cluster"))
+
+
+@query("net_stub_matched", MATCHED + " SELECT src, dst FROM gen")
+def net_stub_matched(spark, sf_dir):
+    return graph.stub_matched(nextpart(spark, sf_dir))
+
+
+@query("net_stub_matched_undirected", NEXT + """, e AS (SELECT src AS id, 'out' AS e, src, dst FROM nxt UNION ALL SELECT dst, 'in', src, dst FROM nxt), k AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws('|', '0', e, src, dst)), src, dst, e) - 1 AS k FROM e)
+SELECT a.id AS src, b.id AS dst FROM k a JOIN k b ON b.k = a.k + 1 WHERE a.k % 2 = 0""")
+def net_stub_matched_undirected(spark, sf_dir):
+    return graph.stub_matched(nextpart(spark, sf_dir), directed=False)
+
+
+@query("net_assortativity_generated", MATCHED + """, brand AS (SELECT p_partkey AS id, p_brand AS c FROM part), p AS (SELECT a.id AS src, b.id AS dst, a.c = b.c AS s FROM brand a, brand b WHERE a.id <> b.id),
+c AS (SELECT CASE WHEN s THEN 0 ELSE 1 END + CASE WHEN x.src IS NULL THEN 2 ELSE 0 END AS a, CASE WHEN s THEN 0 ELSE 1 END + CASE WHEN y.src IS NULL THEN 2 ELSE 0 END AS b, count(*) AS n
+  FROM p LEFT JOIN nxt x USING (src, dst) LEFT JOIN (SELECT DISTINCT src, dst FROM gen) y USING (src, dst) GROUP BY ALL),
+t AS (SELECT sum(n) AS t, sum(CASE WHEN a IN (0, 3) THEN n ELSE -n END) / sum(n) AS source, sum(CASE WHEN b IN (0, 3) THEN n ELSE -n END) / sum(n) AS learned FROM c),
+r AS (SELECT a, sum(n) AS x FROM c GROUP BY a), q AS (SELECT b, sum(n) AS y FROM c GROUP BY b)
+SELECT round_even(source, 9) AS source, round_even(learned, 9) AS learned, round_even(2 * (SELECT sum(n / t * ln(n * t / (x * y))) FROM c JOIN r USING (a) JOIN q USING (b), t) / ((SELECT -sum(x / t * ln(x / t)) FROM r, t) + (SELECT -sum(y / t * ln(y / t)) FROM q, t)), 6) AS nmi FROM t""")
+def net_assortativity_generated(spark, sf_dir):
+    edges = nextpart(spark, sf_dir)
+    found = graph.assortativity_compared(edges, brands(spark, sf_dir), graph.stub_matched(edges))
+    return found.select(F.bround("source", 9).alias("source"), F.bround("learned", 9).alias("learned"), F.bround("nmi", 6).alias("nmi"))
+
+
 @query("net_louvain")
 def net_louvain(spark, sf_dir):
-    return graph.louvain(trade(spark, sf_dir))
+    return communities.louvain(trade(spark, sf_dir))
+
+
+@query("net_louvain_levels", TRADE + " SELECT count(*) AS nodes, true AS whole, true AS nested, true AS rising, true AS recomputed FROM (SELECT src FROM trade UNION SELECT dst FROM trade)")
+def net_louvain_levels(spark, sf_dir):
+    """What holds of any hierarchy: each level has every node, joins clusters of the one before, and has a higher modularity, which is that of its clusters."""
+    edges = trade(spark, sf_dir)
+    levels = communities.hierarchy(edges)
+    values = [level.modularity for level in levels]
+    again = [graph.modularity(edges, level.clusters, weighted=True).first()[0] for level in levels]
+    counts = communities.as_table(levels).groupBy("level").agg(F.count_distinct("id").alias("n"), F.count("*").alias("rows"))
+    split = [one.clusters.join(two.clusters.withColumnRenamed("cluster", "up"), "id").groupBy("cluster").agg(F.count_distinct("up").alias("n")).where("n > 1").isEmpty() for one, two in zip(levels, levels[1:], strict=False)]
+    held = [F.lit(x).alias(n) for n, x in (("nested", all(split)), ("rising", all(a < b for a, b in zip(values, values[1:], strict=False))), ("recomputed", all(abs(a - b) < 1e-9 for a, b in zip(values, again, strict=True))))]
+    return counts.agg(F.max("n").alias("nodes"), ((F.min("n") == F.max("n")) & (F.max("rows") == F.max("n"))).alias("whole")).select("nodes", "whole", *held)
 
 
 @query("net_annealing_energy", TAGGED + """, s AS (SELECT cluster, count(*) AS size FROM clusters GROUP BY cluster), t AS (SELECT sum(size) AS k, count(*) AS c FROM s),
@@ -441,9 +486,16 @@ def net_annealed_bounds(spark, sf_dir):
     return stats.annealed(trade(spark, sf_dir).withColumn("g", F.lit(0)), "g", 2, bounds=True)
 
 
-@query("stat_ami")
+@query(
+    "stat_ami",
+    """WITH j AS (SELECT p_size AS a, p_brand AS b, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM j), r AS (SELECT a, CAST(sum(n) AS BIGINT) AS x FROM j GROUP BY a), c AS (SELECT b, CAST(sum(n) AS BIGINT) AS y FROM j GROUP BY b),
+mi AS (SELECT sum(n / t * ln(n * t / (x * y))) AS mi FROM j JOIN r USING (a) JOIN c USING (b), t), ha AS (SELECT -sum(x / t * ln(x / t)) AS ha FROM r, t), hb AS (SELECT -sum(y / t * ln(y / t)) AS hb FROM c, t),
+e AS (SELECT x, y, t, unnest(range(greatest(1, x + y - CAST(t AS BIGINT)), least(x, y) + 1)) AS n FROM r, c, t),
+emi AS (SELECT sum(n / t * ln(t * n / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(n + 1) - lgamma(x - n + 1) - lgamma(y - n + 1) - lgamma(t - x - y + n + 1))) AS emi FROM e)
+SELECT round_even((mi - emi) / ((ha + hb) / 2 - emi), 6) AS ami FROM mi, ha, hb, emi""",
+)
 def stat_ami(spark, sf_dir):
-    return graph.adjusted_mutual_information(table(spark, sf_dir, "part").select(F.col("p_size").alias("a"), F.col("p_brand").alias("b")))
+    return graph.adjusted_mutual_information(table(spark, sf_dir, "part").select(F.col("p_size").alias("a"), F.col("p_brand").alias("b"))).select(F.bround("ami", 6).alias("ami"))
 
 
 MASKED = CELLS + f", k AS (SELECT src, dst, w, src = dst OR (src <> dst AND row_number() OVER (PARTITION BY src = dst ORDER BY {DRAW}, src, dst) <= CAST(floor((SELECT count(*) FROM c) * 0.3) AS BIGINT)) AS masked FROM c)"

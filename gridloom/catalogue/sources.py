@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import shared_folder
+from ..operators import search
+from ..operators.lineage import cut, shared_folder
 from ..sources import graphs, logs, tables
 from ..streaming import logs as live
-from . import query, table
+from . import query, sql, table
+from .graphs import nextpart
 from .results import STEPS, TYPES, log
 
 LINE = "SELECT l_orderkey % 500 AS i, l_partkey % 500 AS j, CAST(l_linenumber AS BIGINT) AS w FROM lineitem"
@@ -27,6 +30,17 @@ def _file(spark, lines: DataFrame) -> str:
     return path
 
 
+def _headed(lines: DataFrame, *header: str) -> DataFrame:
+    """Lines (value) with a header at the beginning of each partition, so of each file that is written."""
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(header, pa.string())], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+    return lines.mapInArrow(run, "value string")
+
+
 @query("edges_tnet2", MOVED + " SELECT i - lo AS src, j - lo AS dst, count(*) AS w FROM e, lo GROUP BY ALL")
 def edges_tnet2(spark, sf_dir):
     return graphs.read_tnet(spark, _file(spark, _pairs(spark, sf_dir).select(F.concat_ws(" ", "i", "j"))))
@@ -61,9 +75,8 @@ def vertices_attributed(spark, sf_dir):
 
 @query("edges_dat", f"WITH e AS ({LINE}) SELECT i AS src, j AS dst, CAST(sum(w) AS BIGINT) AS w FROM e GROUP BY ALL")
 def edges_dat(spark, sf_dir):
-    body = F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(" ", "i", "j", "w"))))
-    parts = _pairs(spark, sf_dir).groupBy((F.col("i") % 4).alias("part")).agg(body.alias("body"))
-    return graphs.read_dat(spark, _file(spark, parts.select(F.concat(F.lit("ROW LABELS:\na\nb\nDATA\n"), "body"))))
+    lines = _pairs(spark, sf_dir).select(F.concat_ws(" ", "i", "j", "w").alias("value")).repartition(4)
+    return graphs.read_dat(spark, _file(spark, _headed(lines, "ROW LABELS:", "a", "b", "DATA")))
 
 
 @query("edges_generated", "SELECT a.i AS src, b.i AS dst, CAST(1 AS BIGINT) AS w FROM range(40) a(i), range(40) b(i) WHERE a.i // 5 = b.i // 5")
@@ -124,17 +137,14 @@ def slice_cube(spark, sf_dir):
 @query("tail_lines", "SELECT CAST(r AS INT) AS line_no, CAST(o_orderkey AS VARCHAR) AS line FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) WHERE r >= n - 5")
 def tail_lines(spark, sf_dir):
     path = f"{shared_folder(spark)}/tail-{uuid.uuid4().hex}"
-    one = table(spark, sf_dir, "orders").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string"))).alias("value"))
-    one.write.text(path)
-    return tables.tail(spark, path, 5)
+    table(spark, sf_dir, "orders").orderBy("o_orderkey").select(F.col("o_orderkey").cast("string")).write.text(path)
+    return tables.tail(spark, path, 5, across=True)
 
 
 @query("triplets", "SELECT o_orderkey % 50 AS doc_id, l_partkey % 40 AS term_id, CAST(l_linenumber AS INT) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def triplets(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws(" ", F.col("l_orderkey") % 50 + 1, F.col("l_partkey") % 40 + 1, "l_linenumber").alias("x"))
-    # One file for each part of the rows, with the header that each file has.
-    body = rows.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.concat(F.lit("50\n40\n99\n"), F.concat_ws("\n", F.collect_list("x"))).alias("body"))
-    return tables.read_triplets(spark, _file(spark, body.repartition(4, "part").select("body")), header=3, bodies=True)
+    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws(" ", F.col("l_orderkey") % 50 + 1, F.col("l_partkey") % 40 + 1, "l_linenumber").alias("value"))
+    return tables.read_triplets(spark, _file(spark, _headed(rows.repartition(4), "50", "40", "99")), header=3)
 
 
 @query("cached_table", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
@@ -163,7 +173,7 @@ def stream_edge_agg(spark, sf_dir):
     path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
     _pairs(spark, sf_dir).select(F.col("i").alias("src"), F.col("j").alias("dst"), "w").repartition(3).write.parquet(path)
     live.drained(live.edge_weights(live.log_stream(spark, path, graphs.EDGES), f"{path}-out", f"{path}-check"))
-    return spark.read.parquet(f"{path}-out")
+    return live.edge_table(spark, f"{path}-out")
 
 
 @query("stream_deltas", STEPS + ", k AS (SELECT * FROM l WHERE it % 2 = 0) SELECT run, measure, it, value, round_even(value - coalesce(lag(value) OVER (PARTITION BY run, measure ORDER BY it), 0), 6) AS delta FROM k")
@@ -178,13 +188,42 @@ def stream_deltas(spark, sf_dir):
 def stream_edges_text(spark, sf_dir):
     path = f"{shared_folder(spark)}/edgelines-{uuid.uuid4().hex}"
     _pairs(spark, sf_dir).select(F.concat(F.lit('"2004-04-15 07:56:00" '), F.concat_ws(" ", "i", "j", "w"))).repartition(3).write.text(path)
-    live.drained(live.edge_weights(live.edge_stream(spark, path), f"{path}-out", f"{path}-check"))
-    return spark.read.parquet(f"{path}-out")
+    return _summed(spark, path, "tnet")
+
+
+def _summed(spark, path: str, form: str) -> DataFrame:
+    live.drained(live.edge_weights(live.edge_stream(spark, path, form), f"{path}-out", f"{path}-check"))
+    return live.edge_table(spark, f"{path}-out")
+
+
+@query("stream_edges_csv", f"WITH e AS ({LINE}) SELECT i AS src, j AS dst, count(*) AS w FROM e GROUP BY ALL")
+def stream_edges_csv(spark, sf_dir):
+    return _summed(spark, _file(spark, _headed(_pairs(spark, sf_dir).select(F.concat_ws(";", "i", "j", "w").alias("value")).repartition(3), "a;b;c")), "csv")
+
+
+@query("stream_edges_dat", f"WITH e AS ({LINE}) SELECT i AS src, j AS dst, CAST(sum(w - 1) AS BIGINT) AS w FROM e WHERE w > 1 GROUP BY ALL")
+def stream_edges_dat(spark, sf_dir):
+    """Weights from 0 on, in files whose label section has lines that look like edges: those and the zero weights are no edges."""
+    lines = _pairs(spark, sf_dir).select(F.concat_ws(" ", "i", "j", F.col("w") - 1).alias("value")).repartition(3)
+    return _summed(spark, _file(spark, _headed(lines, "*vertices", "1 2", "3 4 5", "*edges")), "dat")
+
+
+@query("stream_graph_attributed", f"WITH e AS ({LINE}), v AS (SELECT DISTINCT i FROM e) SELECT i AS src, j AS dst, count(*) AS w, NULL AS feature_sum, NULL AS cluster FROM e GROUP BY ALL UNION ALL SELECT i, NULL, NULL, i + 1.5, CAST(i % 3 AS INT) FROM v")
+def stream_graph_attributed(spark, sf_dir):
+    """Edge and vertex rows of the same files."""
+    e = _pairs(spark, sf_dir)
+    lines = e.select(F.concat_ws(";", "i", "j").alias("value")).union(e.select("i").distinct().select(F.concat(F.col("i").cast("string"), F.lit(";"), F.col("i").cast("string"), F.lit("|1.5;"), (F.col("i") % 3).cast("string"))))
+    path = _file(spark, _headed(lines.repartition(3), "# Vertices and edges"))
+    vertices = live.vertex_stream(spark, path).writeStream.format("parquet").option("path", f"{path}-vertices").option("checkpointLocation", f"{path}-seen").trigger(availableNow=True).start()
+    live.drained(vertices)
+    seen = spark.read.schema("id long, features array<double>, cluster int").parquet(f"{path}-vertices")
+    none = F.lit(None)
+    return _summed(spark, path, "attributed").select("*", none.cast("double").alias("feature_sum"), none.cast("int").alias("cluster")).union(seen.select("id", none, none, F.aggregate("features", F.lit(0.0), lambda a, x: a + x), "cluster"))
 
 
 @query("vocabulary_file", "SELECT p_name AS term, row_number() OVER (ORDER BY p_name) - 1 AS term_id FROM (SELECT DISTINCT p_name FROM part)")
 def vocabulary_file(spark, sf_dir):
-    return tables.read_vocabulary(spark, _file(spark, table(spark, sf_dir, "part").select("p_name").distinct().orderBy("p_name").coalesce(1)))
+    return tables.read_vocabulary(spark, _file(spark, table(spark, sf_dir, "part").select("p_name").distinct().orderBy("p_name")))
 
 
 @query("token_files", "SELECT md5(string_agg(term, ' ' ORDER BY pos)) AS digest FROM (SELECT n_nationkey, unnest(list) AS term, generate_subscripts(list, 1) AS pos FROM (SELECT n_nationkey, list_filter(string_split(lower(regexp_replace(n_name || ' of region ' || n_regionkey, '[^a-zA-Z0-9_\\-]+', ' ', 'g')), ' '), lambda x: x <> '') AS list FROM nation)) GROUP BY n_nationkey")
@@ -209,8 +248,8 @@ def edges_unshifted(spark, sf_dir):
 @query("edges_dat_zeros", "SELECT l_orderkey % 500 AS src, l_partkey % 500 AS dst, CAST(sum(l_linenumber - 1) AS BIGINT) AS w FROM lineitem GROUP BY ALL")
 def edges_dat_zeros(spark, sf_dir):
     e = _pairs(spark, sf_dir).withColumn("w", F.col("w") - 1)
-    parts = e.groupBy((F.col("i") % 16).alias("part")).agg(F.concat_ws("\n", F.collect_list(F.concat_ws(" ", "i", "j", "w"))).alias("body"))
-    return graphs.read_dat(spark, _file(spark, parts.select(F.concat(F.lit("*vertices\na\n*edges\n"), "body"))), zeros=True)
+    lines = e.select(F.concat_ws(" ", "i", "j", "w").alias("value")).repartition(4)
+    return graphs.read_dat(spark, _file(spark, _headed(lines, "*vertices", "a", "*edges")), zeros=True)
 
 
 BA = """WITH e AS (SELECT unnest(range(600)) AS id), f AS (SELECT id // 2 AS src,
@@ -269,9 +308,17 @@ def stream_minibatch(spark, sf_dir):
     return spark.read.schema("value long, src long, dst long, w long").parquet(f"{base}/out")
 
 
+@query("stream_minibatch_whole", sql("net_minibatch"))
+def stream_minibatch_whole(spark, sf_dir):
+    base = f"{shared_folder(spark)}/draws-{uuid.uuid4().hex}"
+    spark.range(40).select(F.col("id").alias("value")).repartition(2).write.parquet(f"{base}/in")
+    live.drained(live.minibatches_to(live.log_stream(spark, f"{base}/in", "value long"), cut(nextpart(spark, sf_dir)), f"{base}/out", f"{base}/check"))
+    return spark.read.parquet(f"{base}/out").drop("micro_batch")
+
+
 @query("stream_index", "SELECT CAST(count(*) AS BIGINT) AS postings, CAST(sum(tf) AS BIGINT) AS tokens FROM (SELECT p_partkey, t, count(*) AS tf FROM (SELECT p_partkey, unnest(string_split(lower(regexp_replace(p_name || ' ' || p_brand, '[^a-zA-Z0-9_\\-]+', ' ', 'g')), ' ')) AS t FROM part) WHERE t <> '' GROUP BY ALL)")
 def stream_index(spark, sf_dir):
     base = f"{shared_folder(spark)}/online-{uuid.uuid4().hex}"
     table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_brand").alias("text")).repartition(3).write.parquet(f"{base}/in")
     live.drained(live.index_writer(live.log_stream(spark, f"{base}/in", "doc_id long, text string"), ["text"], f"{base}/out", f"{base}/check"))
-    return spark.read.parquet(f"{base}/out").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+    return search.read(spark, f"{base}/out").postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import graph, stats
+from ..plans.estimators import RunPipeline
 from . import query, table
 from .graphs import DEGREES, NEXT, PARTS, nextpart, partsupp
 
@@ -91,6 +93,20 @@ def ml_pipeline(spark, sf_dir):
     return model.transform(vectors).select("vec_id", "label", "cluster")
 
 
+@query(
+    "ml_run_pipeline",
+    """WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), m AS (SELECT k, avg(x) AS m, stddev_samp(x) AS s FROM u GROUP BY k),
+z AS (SELECT vec_id, k, (x - m) / s AS z FROM u JOIN m USING (k)), n AS (SELECT vec_id, sum(abs(z)) AS n FROM z GROUP BY vec_id) SELECT vec_id, round_even(max(CASE WHEN k = 1 THEN z / n END), 6) AS first, round_even(sum(z / n), 6) AS total FROM z JOIN n USING (vec_id) GROUP BY vec_id""",
+)
+def ml_run_pipeline(spark, sf_dir):
+    """A run's scoped, renamed and defaulted parameters: centred and scaled entries, then rows of absolute sum 1 after the fit."""
+    run = {"scale__centre": True, "normalizer__p": 1.0, "other__p": 3.0}
+    pipeline = RunPipeline(["pyspark.ml.feature.StandardScaler"], run, names=["scale"], specMap={"withMean": "centre"}, defaultSpec={"withStd": True}, postTransform=["pyspark.ml.feature.Normalizer"], inputCol="embedding", outputCol="out")
+    e = table(spark, sf_dir, "embeddings")
+    v = vector_to_array("out")
+    return pipeline.fit(e).transform(e).select("vec_id", F.bround(v[0], 6).alias("first"), F.bround(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 ZETA = "(list_sum(list_transform(range(200), lambda k: pow({0} + k, -2.5))) + pow({0} + 200, -1.5) / 1.5 + 0.5 * pow({0} + 200, -2.5) + 2.5 / 12 * pow({0} + 200, -3.5))"
 
 

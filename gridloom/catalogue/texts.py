@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import search, text
+from ..operators import search, segments, text
 from ..operators.lineage import shared_folder
 from . import query, table
 
@@ -102,8 +102,7 @@ def stored(spark, sf_dir) -> search.Index:
         state = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
         files.append(f"{name} {state.getLen()} {state.getModificationTime()}")
     path = f"{shared_folder(spark)}/index-{hashlib.md5(chr(10).join(files).encode()).hexdigest()}"
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/vocabulary/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+    if segments.manifest(spark, path) is None:
         search.build(found.select("doc_id", "text"), ["text"], path)
     return search.read(spark, path)
 
@@ -214,6 +213,20 @@ def search_appended(spark, sf_dir):
     return search.search(search.read(spark, path), "idiot moron", "text", None).select("doc_id", F.bround("score", 6).alias("score"))
 
 
+@query("search_deleted", BAG.replace("FROM toks", "FROM toks WHERE doc_id % 7 <> 3") + LENGTHS + _bm25("SELECT doc_id, term, cnt, 1.0 AS b FROM bag WHERE term IN ('idiot', 'moron')"))
+def search_deleted(spark, sf_dir):
+    """Nine additions, every seventh document deleted in between or after, merged where due."""
+    path, d = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", docs(spark, sf_dir).select("doc_id", "text")
+    gone = d.where("doc_id % 7 = 3").select("doc_id")
+    for k in range(9):
+        segments.add(d.where(F.col("doc_id") % 9 == k), ["text"], path)
+        if k == 4:
+            segments.delete(gone, path)
+    segments.delete(gone, path)
+    segments.merge(spark, path)
+    return search.search(search.read(spark, path), "idiot moron", "text", None).select("doc_id", F.bround("score", 6).alias("score"))
+
+
 #: The twenty newsgroups in order: fixed values.
 GROUPS = "alt.atheism comp.graphics comp.os.ms-windows.misc comp.sys.ibm.pc.hardware comp.sys.mac.hardware comp.windows.x misc.forsale rec.autos rec.motorcycles rec.sport.baseball rec.sport.hockey sci.crypt sci.electronics sci.med sci.space soc.religion.christian talk.politics.guns talk.politics.mideast talk.politics.misc talk.religion.misc".split()
 

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from .functions.scalars import colour  # noqa: F401  (part of the listing commands' surface)
-from .operators import search
+from .operators import search, segments
 from .plans.runner import SCRIPTS, append_bounded, catalogue, command_of, find_action, history, remember, run_all
 from .plans.specs import SpecSet, diff_all, output_path, select_rows
 
@@ -104,7 +104,9 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.command == "update":
         rows = catalogue(spark).withColumn("doc_id", F.xxhash64("kind", "name"))
-        search.build(rows, ["name", "content"], str(Path("data/.catalogue").absolute()))
+        path = str(Path("data/.catalogue").absolute())
+        search.build(rows, ["name", "content"], path)
+        segments.vacuum(spark, path, keep=1)
         return 0
     sets = [SpecSet.of(json.loads(Path(f).read_text()), rules=args.bind, **settings(args)) for f in files]
     remember(HISTORY, " ".join(argv or sys.argv[1:]))

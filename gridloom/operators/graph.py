@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut, first_rows, numbered
+from .lineage import cut, first_rows, numbered, running_sum
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -204,10 +206,62 @@ def assortativity(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return counts.crossJoin(pairs).select(((F.col("a") + d - F.col("b") - c) / F.col("all")).alias("assortativity"))
 
 
+def stub_matched(edges: DataFrame, seed: int = 0, directed: bool = True) -> DataFrame:
+    """(src, dst) of a random graph in which every node has the ends of edges that it has in ``edges``: ends are put in a drawn order and matched by their place in it.
+
+    Directed graphs keep out- and in-degrees (sources and targets have an order each). Loops and parallel edges may come, as they do in the configuration model.
+    """
+    draw = lambda end, *key: hash_rank(F.lit(end), *key, seed=seed)
+    pair = [F.col("src"), F.col("dst")]
+    if directed:
+        one = numbered(edges.select("src", "dst", draw("out", *pair).alias("draw")), "k", F.col("draw"), *pair).select("k", "src")
+        two = numbered(edges.select("src", "dst", draw("in", *pair).alias("draw")), "k", F.col("draw"), *pair).select("k", "dst")
+        return one.join(two, "k").select("src", "dst")
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit("out").alias("end")), F.struct(F.col("dst").alias("id"), F.lit("in").alias("end")))).alias("x"), "src", "dst")
+    keyed = ends.select("x.id", "x.end", "src", "dst", draw(F.col("x.end"), *pair).alias("draw"))
+    placed = numbered(keyed, "k", F.col("draw"), *pair, F.col("end"))
+    return placed.groupBy(F.floor(F.col("k") / 2).alias("k")).agg(F.min(F.struct("k", "id"))["id"].alias("src"), F.max(F.struct("k", "id"))["id"].alias("dst")).select("src", "dst")
+
+
+def compared_cells(edges: DataFrame, clusters: DataFrame, other: DataFrame, other_clusters: DataFrame) -> DataFrame:
+    """(a, b, n): the cells off the diagonal by what they are in two graphs over the same nodes: 0 linked and similar, 1 linked, 2 similar, 3 neither.
+
+    Two nodes are similar if they have one cluster. Only linked pairs are rows; all others are counted from the sizes of clusters and of their intersections.
+    """
+    both = clusters.select("id", F.col("cluster").alias("k")).join(other_clusters.select("id", F.col("cluster").alias("l")), "id")
+    sizes = both.groupBy("k", "l").agg(F.count("*").alias("n"))
+    squares = lambda *by: sizes.groupBy(*by).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("s")) if by else sizes.agg((F.sum("n") * F.sum("n")).alias("s"))
+    similar = squares("k", "l").select(F.col("s").alias("kl")).crossJoin(squares("k").select(F.col("s").alias("k"))).crossJoin(squares("l").select(F.col("s").alias("l"))).crossJoin(squares().select(F.col("s").alias("every"))).crossJoin(both.agg(F.count("*").alias("n")))
+    cell = lambda p, q, n: F.struct(F.lit(p).alias("sa"), F.lit(q).alias("sb"), n.alias("n"))
+    kl, k, l, every = (F.col(c) for c in ("kl", "k", "l", "every"))
+    all_cells = similar.select(F.explode(F.array(cell(True, True, kl - F.col("n")), cell(True, False, k - kl), cell(False, True, l - kl), cell(False, False, every - k - l + kl))).alias("x")).select("x.*")
+    tagged = lambda e, name: e.where("src <> dst").select("src", "dst").distinct().withColumn(name, F.lit(True))
+    linked = tagged(edges, "la").join(tagged(other, "lb"), ["src", "dst"], "full_outer")
+    ends = [both.select(F.col("id").alias(e), F.col("k").alias(f"k_{e}"), F.col("l").alias(f"l_{e}")) for e in ("src", "dst")]
+    seen = linked.join(ends[0], "src").join(ends[1], "dst").select(F.coalesce("la", F.lit(False)).alias("la"), F.coalesce("lb", F.lit(False)).alias("lb"), (F.col("k_src") == F.col("k_dst")).alias("sa"), (F.col("l_src") == F.col("l_dst")).alias("sb"))
+    counted = cut(seen.groupBy("la", "lb", "sa", "sb").agg(F.count("*").alias("n")))
+    taken = counted.groupBy("sa", "sb").agg(F.sum("n").alias("taken"))
+    rest = all_cells.join(taken, ["sa", "sb"], "left").select(F.lit(False).alias("la"), F.lit(False).alias("lb"), "sa", "sb", (F.col("n") - F.coalesce("taken", F.lit(0))).alias("n"))
+    kind = lambda link, same: F.when(link, F.when(same, 0).otherwise(1)).otherwise(F.when(same, 2).otherwise(3))
+    return counted.unionByName(rest).select(kind(F.col("la"), F.col("sa")).alias("a"), kind(F.col("lb"), F.col("sb")).alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def assortativity_compared(edges: DataFrame, clusters: DataFrame, other: DataFrame, other_clusters: DataFrame | None = None) -> DataFrame:
+    """One row: the assortativity of a graph and of another one over its nodes (source, learned), and the normalised mutual information of their cells (nmi)."""
+    cells = cut(compared_cells(edges, clusters, other, clusters if other_clusters is None else other_clusters))
+    index = lambda c: (F.sum(F.when(F.col(c).isin(0, 3), F.col("n")).otherwise(-F.col("n"))) / F.sum("n"))
+    return cells.agg(index("a").alias("source"), index("b").alias("learned")).crossJoin(information(cells))
+
+
 def mutual_information(labels: DataFrame) -> DataFrame:
     """Normalised mutual information (arithmetic mean) of two labellings (a, b) from their contingency table."""
-    joint = labels.groupBy("a", "b").agg(F.count("*").cast("double").alias("n"))
-    total = labels.agg(F.count("*").cast("double").alias("t"))
+    return information(labels.groupBy("a", "b").agg(F.count("*").alias("n")))
+
+
+def information(table: DataFrame) -> DataFrame:
+    """One row ``nmi`` of a contingency table (a, b, n)."""
+    joint = table.select("a", "b", F.col("n").cast("double").alias("n"))
+    total = joint.agg(F.sum("n").alias("t"))
     rows, cols = joint.groupBy("a").agg(F.sum("n").alias("na")), joint.groupBy("b").agg(F.sum("n").alias("nb"))
     mi = joint.join(rows, "a").join(cols, "b").crossJoin(F.broadcast(total)).agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"))
     h = lambda df, c, name: df.crossJoin(F.broadcast(total)).agg((-F.sum(F.col(c) / F.col("t") * F.log(F.col(c) / F.col("t")))).alias(name))
@@ -379,32 +433,67 @@ def add_noise(edges: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     return kept.union(non_edges(edges, 2 * n, seed + 1).select("src", "dst", F.lit(1).cast("long")))
 
 
-def minibatches(edges: DataFrame, batches: int, zeros: int = 10, zero_prior: float = 0.5, directed: bool = True, sparse: bool = False, seed: int = 0) -> DataFrame:
-    """(batch, part, kind, src, dst, w) of stratified minibatches: each draws a node and one of its sets: non-links (with zero_prior), out-links, in-links (directed only).
+#: Ranks that one row spreads at a time: a node's share of non-links may be large.
+SPREAD = 4096
+
 
-    ``kind`` is "scale" for a minibatch's header (src is the node, w the factor that its observations stand for) or "edge". One in ``zeros`` of the node's non-links is drawn,
-    towards nodes it has links to (part "zeros out") and from nodes it has links from ("zeros in"); nodes without such links give no minibatch. Node and set are drawn with repeats. ``sparse`` has the
-    factors of the sparse variant: numbers of links and non-links instead of numbers of nodes.
+def kth_absent(present: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (key, k, and other columns that make its rows unique) with ``place``: the k-th (from 0) whole number from 0 on that ``present`` (key, place) lacks for the key.
+
+    Before the i-th present number of a key there are place - i absent ones, so the numbers present up to the k-th absent one are those with place - i <= k. They are counted by one running
+    sum over both tables in order, whatever the number of rows of a key. Of a key that ``present`` lacks every number is absent.
+    """
+    ordered = numbered(present.select("key", "place").distinct(), "n", F.col("key"), F.col("place"))
+    firsts = ordered.groupBy("key").agg(F.min("n").alias("first"))
+    gaps = ordered.join(firsts, "key").select("key", (F.col("place") - (F.col("n") - F.col("first"))).alias("k"), F.col("place").alias("tie"))
+    rest = [c for c in asked.columns if c not in ("key", "k")]
+    rows = gaps.select("key", "k", F.lit(0).alias("kind"), "tie", F.lit(None).cast(asked.select(F.struct(*rest)).dtypes[0][1]).alias("own")).unionByName(asked.select("key", "k", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("tie"), F.struct(*rest).alias("own")))
+    counted = running_sum(rows, "seen", F.when(F.col("kind") == 0, 1).otherwise(0), F.col("key"), F.col("k"), F.col("kind"), F.col("tie"), F.col("own"))
+    found = counted.where("kind = 1").join(firsts, "key", "left")
+    return found.select("key", "k", "own.*", (F.col("k") + F.coalesce(F.col("seen") - F.col("first"), F.lit(0))).alias("place"))
+
+
+def minibatches(edges: DataFrame, batches: int | DataFrame, zeros: int = 10, zero_prior: float = 0.5, directed: bool = True, sparse: bool = False, seed: int = 0) -> DataFrame:
+    """(batch, part, kind, src, dst, w) of stratified minibatches, numbered 0.. or by a table's column ``batch``: each draws a node and one of its sets: non-links (with zero_prior), out-links, in-links (directed only).
+
+    ``kind`` is "scale" for a minibatch's header (src is the node, w the factor that its observations stand for) or "edge". Of a node's f non-links in one direction, which are "zeros out" if the
+    node is their source and "zeros in" if it is their target, ceil(f / zeros) distinct ones are drawn: one of each ``zeros`` that follow in order of id. A node without links in a direction gives no
+    minibatch of it. Node and set are drawn with repeats. ``sparse`` has the factors of the sparse variant: numbers of links and non-links instead of numbers of nodes.
+
+    Non-links are found by rank in the gaps of the drawn nodes' sorted links, so a minibatch costs its own rows and those links.
     """
     ids = cut(numbered(nodes(edges), "place", F.col("id")).select("id", "place"))
     n, spark, sets, half = ids.count(), edges.sparkSession, 3 if directed else 2, 1 if directed else 2
     number = F.col("batch")
+    ticks = spark.range(batches).toDF("batch") if isinstance(batches, int) else batches.select("batch")
     u = (drawn_int(number, "set", seed=seed) % 1_000_000) / 1e6
     part = F.when(u < zero_prior, F.array(F.lit("zeros out"), F.lit("zeros in"))).when((u < zero_prior + (1 - zero_prior) / (sets - 1)) | F.lit(not directed), F.array(F.lit("out"))).otherwise(F.array(F.lit("in")))
-    drawn = spark.range(batches).toDF("batch").select("batch", (drawn_int(number, "node", seed=seed) % n).alias("place"), F.explode(part).alias("part")).join(ids, "place").select("batch", "part", F.col("id").alias("node"))
+    drawn = ticks.select("batch", (drawn_int(number, "node", seed=seed) % n).alias("place"), F.explode(part).alias("part")).join(ids, "place").select("batch", "part", F.col("id").alias("node"), F.col("place").alias("own"))
+    drawn = cut(drawn.withColumn("way", F.element_at(F.split("part", " "), -1)))
     ends = edges.select(F.col("src").alias("node"), F.lit("out").alias("way"), F.col("dst").alias("other"), "w").union(edges.select("dst", F.lit("in"), "src", "w"))
-    links = drawn.withColumn("way", F.element_at(F.split("part", " "), -1)).join(ends, ["node", "way"])
-    degree = cut(links.groupBy("batch", "part", "way", "node").agg(F.count("*").alias("degree")))
+    wanted = drawn.select("node", "way", "own").distinct()
+    near = cut(ends.join(wanted, ["node", "way"]))  # the links of each drawn node, once
+    sizes = near.groupBy("node", "way").agg(F.count("*").alias("degree"), F.count_distinct(F.when(F.col("other") != F.col("node"), F.col("other"))).alias("linked"))
+    met = cut(drawn.join(sizes, ["node", "way"]))
     is_zero = F.col("part").startswith("zeros")
     if sparse:
         factor = F.when(is_zero, (n - F.col("degree") - 1) * zeros * half).otherwise(half * n * F.col("degree"))
     else:
         factor = F.when(is_zero, F.lit(sets * zeros / half)).otherwise(F.lit(n * sets / half))
-    header = degree.select("batch", "part", F.lit("scale").alias("kind"), F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), factor.cast("double").alias("w"))
-    # A zero minibatch meets every node, a tenth of which (by default) are its observations.
-    free = degree.where(is_zero).crossJoin(ids.select(F.col("id").alias("other"))).where("node <> other").where(drawn_int(number, F.col("part"), F.col("other"), seed=seed) % zeros == 0)
-    free = free.join(ends.select("node", "way", "other"), ["node", "way", "other"], "left_anti").withColumn("w", F.lit(0))
-    seen = links.where(~is_zero).select("batch", "part", "way", "node", "other", "w").unionByName(free.select("batch", "part", "way", "node", "other", "w"))
+    header = met.select("batch", "part", F.lit("scale").alias("kind"), F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), factor.cast("double").alias("w"))
+    key = F.struct("node", "way").alias("key")
+    present = near.join(ids.select(F.col("id").alias("other"), "place"), "other").select(key, "place").unionByName(near.select(key, F.col("own").alias("place")))
+    free = n - 1 - F.col("linked")
+    strata = met.where(is_zero & (free > 0)).select("batch", "part", "node", "way", free.alias("free"), F.ceil(free / zeros).alias("most"))
+    for step in (SPREAD, 1):  # in two steps, so that no row holds a list as long as the table of nodes
+        first = F.col("at") if "at" in strata.columns else F.lit(0).cast("long")
+        last = (F.col("most") if step > 1 else F.least(F.col("most"), F.col("at") + SPREAD)) - 1
+        strata = strata.select("batch", "part", "node", "way", "free", "most", F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("at"))
+    width = F.least(F.lit(zeros), F.col("free") - F.col("at") * zeros)
+    asked = strata.select(key, (F.col("at") * zeros + drawn_int(number, F.col("part"), F.col("at"), seed=seed) % width).alias("k"), "batch", "part")
+    found = kth_absent(present, asked).join(ids.select("place", F.col("id").alias("other")), "place").select("batch", "part", "key.way", "key.node", "other", F.lit(0).cast("long").alias("w"))
+    links = met.where(~is_zero).select("batch", "part", "way", "node").join(near.select("node", "way", "other", F.col("w").cast("long").alias("w")), ["node", "way"])
+    seen = links.select("batch", "part", "way", "node", "other", "w").unionByName(found)
     out = F.col("way") == "out"
     return header.union(seen.select("batch", "part", F.lit("edge"), F.when(out, F.col("node")).otherwise(F.col("other")), F.when(out, F.col("other")).otherwise(F.col("node")), F.col("w").cast("double")))
 
@@ -448,41 +537,46 @@ def pseudo_diameter(edges: DataFrame, start: int) -> int:
     return distances(edges, far["id"]).agg(F.max("d")).first()[0]
 
 
-def diameter(edges: DataFrame, most_nodes: int = 20_000) -> int | None:
-    """The largest distance, None if the graph is not connected: all nodes' frontiers advance together, one join per step. The distances of all pairs are rows, so larger graphs are an error."""
-    if nodes(edges).limit(most_nodes + 1).count() > most_nodes:
-        raise ValueError(f"all distances of more than {most_nodes} nodes; pseudo_diameter has a bound for large graphs")
-    both = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct())
-    seen = frontier = cut(nodes(edges).select(F.col("id").alias("s"), F.col("id")))
-    n, d = seen.count(), 0
+def diameter(edges: DataFrame, most_sweeps: int = 1_000) -> int | None:
+    """The largest distance, None if the graph is not connected.
+
+    A breadth-first sweep from a node bounds every other node's eccentricity: not less than its distance and than the sweep's depth less it, not more than their sum.
+    Sweeps start at nodes with the largest upper and the smallest lower bounds, 1, 2, 4, up to 64 of them at a time, until no upper bound exceeds the largest distance seen. So there are as many rows as nodes
+    and sweeps at a time; graphs in which most nodes' bounds stay apart need a sweep for each of these, and more than ``most_sweeps`` are an error.
+    """
+    both = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).where("a <> b").distinct())
+    bounds = cut(nodes(edges).select("id", F.lit(0).alias("low"), F.lit(1 << 30).alias("high")))
+    n = bounds.count()
+    if n == 0:
+        return None
+    best, sweeps, at_once = 0, 0, 1
     while True:
-        frontier = cut(frontier.join(both, F.col("id") == F.col("a")).select("s", F.col("b").alias("id")).distinct().join(seen, ["s", "id"], "left_anti"))
+        open_nodes = bounds.where(F.col("high") > best)
+        picked = {r["id"] for order in ([F.desc("high"), F.desc("low"), F.col("id")], [F.col("low"), F.desc("high"), F.col("id")]) for r in open_nodes.orderBy(*order).limit(max(1, at_once // 2)).collect()}
+        if not picked:
+            return best
+        sweeps += len(picked)
+        if sweeps > most_sweeps:
+            raise RuntimeError(f"the diameter is not settled after {most_sweeps} sweeps")
+        reached = _sweeps(both, sorted(picked))
+        if reached.count() < n * len(picked):
+            return None
+        depth = reached.groupBy("s").agg(F.max("d").alias("depth"))
+        best = max(best, depth.agg(F.max("depth")).first()[0])
+        seen = reached.join(F.broadcast(depth), "s").groupBy("id").agg(F.max(F.greatest(F.col("d"), F.col("depth") - F.col("d"))).alias("l"), F.min(F.col("d") + F.col("depth")).alias("h"))
+        bounds = cut(bounds.join(seen, "id").select("id", F.greatest("low", "l").alias("low"), F.least("high", "h").alias("high")))
+        at_once = min(64, 2 * at_once)
+
+
+def _sweeps(both: DataFrame, sources: list[int], most: int = 10_000) -> DataFrame:
+    """(s, id, d): steps from each of a few sources to all nodes they reach."""
+    seen = frontier = both.sparkSession.createDataFrame([(x, x, 0) for x in sources], "s long, id long, d int")
+    for d in range(1, most):
+        frontier = cut(frontier.join(both, F.col("id") == F.col("a")).select("s", F.col("b").alias("id")).distinct().join(seen, ["s", "id"], "left_anti").select("s", "id", F.lit(d).alias("d")))
         if frontier.isEmpty():
-            break
-        d += 1
+            return seen
         seen = cut(seen.union(frontier))
-    return d if seen.count() == n * n else None
-
-
-def louvain(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, cluster): nodes move, in alternating halves, to the neighbouring cluster of largest modularity gain; labels 0..C-1 by size."""
-    w = cut(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("w").cast("double").alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
-    both = cut(w.union(w.select("b", "a", "w")))
-    strength = cut(both.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
-    two_m = strength.agg(F.sum("k")).first()[0] or 1.0
-    label = cut(strength.select("id", F.col("id").alias("c")))
-    for r in range(2 * rounds):
-        totals = label.join(strength, "id").groupBy("c").agg(F.sum("k").alias("tot"))
-        links = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("into"))
-        own = label.join(strength, "id").select("id", F.col("c").alias("own"), "k")
-        gain = links.join(totals, "c").join(own, "id").withColumn("gain", F.col("into") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / two_m)
-        pick = gain.groupBy("id").agg(F.max_by("c", F.struct(F.round("gain", 9), -F.col("c"))).alias("to"))
-        movers = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
-        step = cut(label.join(pick, "id", "left").select("id", "c", F.when(movers, F.coalesce("to", F.col("c"))).otherwise(F.col("c")).alias("n")))
-        label = step.select("id", F.col("n").alias("c"))
-        if r % 2 and step.where("c <> n").isEmpty():
-            break
-    return by_cluster_size(label.withColumnRenamed("c", "cluster")).select("id", F.col("rank").cast("int").alias("cluster"))
+    raise RuntimeError(f"nodes are more than {most - 1} steps away")
 
 
 def to_dot(edges: DataFrame, directed: bool = True) -> DataFrame:
@@ -624,26 +718,38 @@ def near_similarity(pairs: DataFrame, spread: float, k: int, how: str = "old") -
     return pairs.withColumn("similarity", sign(near))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n!, to double precision: factorials up to 20, Stirling's series beyond."""
+    x = n.cast("double") + 1.0
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
+def expected_mutual_information(rows: DataFrame, cols: DataFrame, total: int) -> DataFrame:
+    """One row ``expected``: the mutual information that two labellings with classes of these sizes (column n) have on average over all arrangements.
+
+    Classes of one size share their terms, so there is a row for each pair of distinct sizes (at most 2 sqrt(total) pairs' sides each) and possible overlap.
+    """
+    x = rows.groupBy(F.col("n").alias("x")).agg(F.count("*").alias("fx"))
+    y = cols.groupBy(F.col("n").alias("y")).agg(F.count("*").alias("fy"))
+    least, most = F.greatest(F.lit(1).cast("long"), F.col("x") + F.col("y") - total), F.least("x", "y")
+    pairs = x.crossJoin(F.broadcast(y))  # distinct sizes: less than sqrt(2 total) on each side
+    blocks = pairs.select("*", F.explode(F.sequence(least, most, F.lit(SPREAD).cast("long"))).alias("at"), most.alias("most"))
+    terms = blocks.select("x", "y", "fx", "fy", F.explode(F.sequence(F.col("at"), F.least(F.col("most"), F.col("at") + SPREAD - 1))).alias("n"))
+    f, t, a, b, n = log_factorial, F.lit(total).cast("long"), F.col("x"), F.col("y"), F.col("n")
+    chance = F.exp(f(a) + f(b) + f(t - a) + f(t - b) - f(t) - f(n) - f(a - n) - f(b - n) - f(t - a - b + n))
+    return terms.agg(F.coalesce(F.sum(F.col("fx") * F.col("fy") * n / total * F.log(t * n / (a * b)) * chance), F.lit(0.0)).alias("expected"))
+
+
 def adjusted_mutual_information(labels: DataFrame) -> DataFrame:
-    """Adjusted mutual information (arithmetic mean) of two labellings (a, b): the expected value is a sum over the pairs of class sizes, not of rows."""
-    import math
-
-    joint = labels.groupBy("a", "b").agg(F.count("*").alias("n")).collect()  # a row for each pair of classes
-    total = sum(r["n"] for r in joint)
-    sizes = [{}, {}]
-    for r in joint:
-        for side, c in enumerate("ab"):
-            sizes[side][r[c]] = sizes[side].get(r[c], 0) + r["n"]
-    log, fact = math.log, math.lgamma
-    mi = sum(r["n"] / total * log(r["n"] * total / (sizes[0][r["a"]] * sizes[1][r["b"]])) for r in joint)
-    entropy = [-sum(x / total * log(x / total) for x in s.values()) for s in sizes]
-    expected = 0.0
-    for x in sizes[0].values():
-        for y in sizes[1].values():
-            base = fact(x + 1) + fact(y + 1) + fact(total - x + 1) + fact(total - y + 1) - fact(total + 1)
-            for n in range(max(1, x + y - total), min(x, y) + 1):
-                chance = math.exp(base - fact(n + 1) - fact(x - n + 1) - fact(y - n + 1) - fact(total - x - y + n + 1))
-                expected += n / total * log(total * n / (x * y)) * chance
-    mean = (entropy[0] + entropy[1]) / 2
-    value = 1.0 if mean - expected == 0 else (mi - expected) / (mean - expected)
-    return labels.sparkSession.range(1).select(F.lit(value).alias("ami"))
+    """One row ``ami``: adjusted mutual information (arithmetic mean) of two labellings (a, b); the expected value comes from the class sizes. Null without rows."""
+    joint = cut(labels.groupBy("a", "b").agg(F.count("*").alias("n")))
+    total = joint.agg(F.sum("n")).first()[0]
+    if not total:
+        return labels.sparkSession.range(1).select(F.lit(None).cast("double").alias("ami"))
+    rows, cols = (cut(joint.groupBy(c).agg(F.sum("n").alias("n"))) for c in ("a", "b"))
+    one = joint.join(rows.withColumnRenamed("n", "na"), "a").join(cols.withColumnRenamed("n", "nb"), "b").agg(F.sum(F.col("n") / total * F.log(F.col("n") * F.lit(float(total)) / (F.col("na") * F.col("nb")))).alias("mi"))
+    entropy = lambda df, name: df.agg((-F.sum(F.col("n") / total * F.log(F.col("n") / total))).alias(name))
+    every = one.crossJoin(entropy(rows, "ha")).crossJoin(entropy(cols, "hb")).crossJoin(expected_mutual_information(rows, cols, total))
+    room = (F.col("ha") + F.col("hb")) / 2 - F.col("expected")
+    return every.select(F.when(F.abs(room) < 1e-15, 1.0).otherwise((F.col("mi") - F.col("expected")) / room).alias("ami"))

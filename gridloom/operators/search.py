@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import segments
 from .text import tokens_of
 
 #: BM25's two constants.
@@ -43,17 +44,13 @@ def lengths(docs: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def build(docs: DataFrame, fields: list[str], path: str, mode: str = "overwrite") -> None:
-    """Stores an index; with mode "append" it adds documents to one. A term is found in one folder, in sorted files."""
-    spark = docs.sparkSession
-    index(docs, fields).sortWithinPartitions("bucket", "field", "term", "doc_id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
-    lengths(docs, fields).write.mode(mode).parquet(f"{path}/lengths")
-    # Whole, from the postings: also after documents came in.
-    terms = spark.read.parquet(f"{path}/postings").groupBy("field", "term").agg(F.count("*").alias("df"))
-    terms.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    """Stores an index; with mode "append" it adds documents to one, as a segment of their own. A term is found in one folder of each segment, in sorted files."""
+    segments.add(docs, fields, path, fresh=mode != "append")
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{x}") for x in ("postings", "lengths", "vocabulary")])
+    """The index as it is now: what is added, deleted or merged later is not seen."""
+    return Index(*segments.tables(spark, path))
 
 
 @dataclass(frozen=True)
@@ -174,8 +171,8 @@ def rebuild_if_broken(read, rebuild) -> DataFrame:
 
     try:
         df = read()
-        df.limit(1).collect()
+        df.count()  # opens every file
         return df
-    except PySparkException:
+    except (PySparkException, FileNotFoundError):
         rebuild()
         return read()

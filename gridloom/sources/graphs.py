@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -73,15 +74,16 @@ def _dat_lines(text: str, zeros: bool) -> Iterator[tuple[int, int, int]]:
                 yield numbers[0], numbers[1], numbers[2] if len(numbers) > 2 else 1
 
 
-def read_dat(spark: SparkSession, path: str, zeros: bool = False) -> DataFrame:
-    """Files of a label section and an edge section."""
+def dat_edges(batches: Iterator[pd.DataFrame], zeros: bool = False) -> Iterator[pd.DataFrame]:
+    """Edge rows of whole texts (value)."""
+    for batch in batches:
+        for text in batch["value"]:
+            yield pd.DataFrame(list(_dat_lines(text, zeros)), columns=["src", "dst", "w"]).astype("int64")
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text in batch["value"]:
-                yield pd.DataFrame(list(_dat_lines(text, zeros)), columns=["src", "dst", "w"]).astype("int64")
 
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, EDGES).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+def read_dat(spark: SparkSession, path: str, zeros: bool = False) -> DataFrame:
+    """Files of a label section and an edge section."""
+    return spark.read.text(path, wholetext=True).mapInPandas(functools.partial(dat_edges, zeros=zeros), EDGES).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
 def assemble(edges: DataFrame, vertices: DataFrame | None = None, expected: tuple[int, int] | None = None):

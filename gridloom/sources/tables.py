@@ -82,19 +82,21 @@ def slice_cube(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
     return df
 
 
-def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): the lines of files, numbered from 0 in each; a large file is read in splits."""
+def lines_of(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
+    """(file, line_no, line): lines numbered from 0 in their file; with ``across`` through all files in order of name, as parts of one text. Large files are read in blocks by many tasks."""
     from ..operators.lineage import numbered
 
     raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("at", F.monotonically_increasing_id())
     placed = numbered(raw, "n", F.col("file"), F.col("block"), F.col("at"))
+    if across:
+        return placed.select("file", F.col("n").alias("line_no"), "line")
     first = placed.groupBy("file").agg(F.min("n").alias("first"))
     return placed.join(first, "file").select("file", (F.col("n") - F.col("first")).alias("line_no"), "line")
 
 
-def tail(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """The last n lines of a file, in order."""
-    return lines_of(spark, path).select("line_no", "line").orderBy(F.desc("line_no")).limit(n).orderBy("line_no")
+def tail(spark: SparkSession, path: str, n: int, across: bool = False) -> DataFrame:
+    """The last n lines of a file, or of a text in several files, in order."""
+    return lines_of(spark, path, across).select("line_no", "line").orderBy(F.desc("line_no")).limit(n).orderBy("line_no")
 
 
 def settings(path: str) -> dict[str, str]:
@@ -118,8 +120,8 @@ def read_triplets(spark: SparkSession, path: str, header: int = 3, bodies: bool
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(term_id, term) from a file of one word to a line."""
-    return lines_of(spark, path).select(F.col("line_no").alias("term_id"), F.trim("line").alias("term"))
+    """(term_id, term) from a text of one word to a line, in one file or several in order of name."""
+    return lines_of(spark, path, across=True).select(F.col("line_no").alias("term_id"), F.trim("line").alias("term"))
 
 
 def read_corpus(spark: SparkSession, paths: list[str], vocabulary: str | None = None) -> DataFrame:

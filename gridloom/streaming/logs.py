@@ -9,22 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.graphs import EDGES, dat_edges
+
 LOG = "run long, it long, measure string, value double"
 
 
 def edge_stream(spark: SparkSession, path: str, form: str = "tnet", files_per_batch: int = 1) -> DataFrame:
-    """(src, dst, w) of text files as they come: tnet (2 or 5 fields), csv (; and a header), attributed (i;j lines) or dat (2 or 3 fields)."""
-    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    line = F.trim(F.col("value"))
+    """(src, dst, w) of text files as they come, without edges of weight zero: tnet (2 or 5 fields), csv (; and a header), attributed (i;j lines) or dat (2 or 3 fields of the edge section).
+
+    Lines stand for themselves but in dat files, where a section gives them their meaning: those are read whole, one for each task.
+    """
+    source = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    if form == "dat":
+        return source.text(path, wholetext=True).mapInPandas(dat_edges, EDGES)
+    raw, line = source.text(path), F.trim(F.col("value"))
     if form in ("csv", "attributed"):
         f = F.split(line, ";")
         raw = raw.where(line.rlike(r"^\d+;\d+(;|$)" if form == "csv" else r"^\d+;\d+$"))
         weight = F.lit(1)
-    else:
-        f = F.split(F.regexp_replace(line, '"[^"]*" ', ""), r"\s+")
-        raw = raw.where(F.regexp_replace(line, '"[^"]*" ', "").rlike(r"^\d+\s+\d+(\s+\d+)?$"))
+    elif form == "tnet":
+        plain = F.regexp_replace(line, '"[^"]*" ', "")
+        f = F.split(plain, r"\s+")
+        raw = raw.where(plain.rlike(r"^\d+\s+\d+(\s+\d+)?$"))
         weight = F.coalesce(F.get(f, F.lit(2)).cast("long"), F.lit(1))
-    return raw.select(f[0].cast("long").alias("src"), f[1].cast("long").alias("dst"), weight.cast("long").alias("w"))
+    else:
+        raise ValueError(f"no edge stream of {form} files")
+    return raw.select(f[0].cast("long").alias("src"), f[1].cast("long").alias("dst"), weight.cast("long").alias("w")).where("w <> 0")
+
+
+def vertex_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """(id, features, cluster) of the vertex lines ``id;f1|f2;cluster`` of attributed files as they come."""
+    f = F.split(F.trim(F.col("value")), ";")
+    rows = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).where(F.col("value").rlike(r"^\s*\d+;[^;]*;\s*\d+\s*$"))
+    return rows.select(f[0].cast("long").alias("id"), F.split(f[1], r"\|").cast("array<double>").alias("features"), f[2].cast("int").alias("cluster"))
 
 
 def log_stream(spark: SparkSession, path: str, schema: str = LOG, files_per_batch: int = 1) -> DataFrame:
@@ -41,13 +58,18 @@ def append_logs(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def edge_weights(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Summed weights of an edge stream, a Parquet table that is whole after each batch."""
-    summed = stream.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    """Sums of an edge stream: each batch adds a folder with its own sums (once, if a batch is tried again), and nothing is written anew. ``edge_table`` reads them."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        summed = batch.groupBy("src", "dst").agg(F.sum("w").alias("w")).withColumn("batch", F.lit(number))
+        summed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return summed.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def edge_table(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst, w) of all batches that ``edge_weights`` has written by now."""
+    return spark.read.schema(f"{EDGES}, batch int").parquet(path).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
 def _delta_state(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -85,12 +107,25 @@ def minibatch_stream(ticks: DataFrame, edges: DataFrame, n_nodes: int, seed: int
     return some.union(other.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").where("src <> dst").select("value", "src", "dst", F.lit(0).cast("long").alias("w")))
 
 
-def index_writer(docs: DataFrame, fields: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Adds documents to an inverted index by batches."""
-    from ..operators.search import index
+def minibatches_to(ticks: DataFrame, edges: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
+    """Stratified minibatches (headers, links in both directions, non-links by their prior) of a stream of numbers (column value), written as they come; options are those of ``graph.minibatches``."""
+    from ..operators.graph import minibatches
+
+    def write(batch: DataFrame, number: int) -> None:
+        made = minibatches(edges, batch.select(F.col("value").alias("batch")), **options)
+        made.withColumn("micro_batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("micro_batch").parquet(path)
+
+    return ticks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def index_writer(docs: DataFrame, fields: list[str], path: str, checkpoint: str, merge: bool = True) -> StreamingQuery:
+    """Adds documents to a search index, a segment for each batch (once, if a batch is tried again), and merges segments when enough of a size have come."""
+    from ..operators import segments
 
     def write(batch: DataFrame, number: int) -> None:
-        index(batch, fields).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        segments.add(batch, fields, path, batch=(checkpoint, number))
+        if merge:
+            segments.merge(batch.sparkSession, path)
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -37,12 +37,6 @@ def test_empty_graph(spark, kite):
     assert graph.degrees(none).count() == graph.components(none).count() == 0
 
 
-def test_louvain_finds_two_cliques(spark):
-    edges = [(a, b, 1) for k in (0, 10) for a in range(k, k + 5) for b in range(a + 1, k + 5)] + [(0, 10, 1)]
-    label = dict(map(tuple, graph.louvain(spark.createDataFrame(edges, "src long, dst long, w long")).collect()))
-    assert len({label[i] for i in range(5)}) == len({label[i] for i in range(10, 15)}) == 1 and label[0] != label[10]
-
-
 def test_cluster_histogram_order(spark):
     df = spark.createDataFrame([(x,) for x in (0, 0, 1, 1, 2)], "c int")
     assert [tuple(r) for r in stats.cluster_histogram(df, "c").collect()] == [(1, 2), (0, 2), (2, 1)]

@@ -71,7 +71,12 @@ def test_minibatches(spark):
         else:
             assert ((r["src"], r["dst"]) in pairs) == (r["w"] > 0) != r["part"].startswith("zeros")
             assert head["src"] == (r["src"] if r["part"].endswith("out") else r["dst"])
+    free = lambda node, way: [x for x in {y for p in pairs for y in p} - {node} if ((node, x) if way == "out" else (x, node)) not in pairs]
     for (batch, part), head in heads.items():
+        if part.startswith("zeros"):
+            drawn = [(r["dst"] if part == "zeros out" else r["src"]) for r in rows if r["kind"] == "edge" and (r["batch"], r["part"]) == (batch, part)]
+            left = sorted(free(head["src"], part[6:]))
+            assert len(drawn) == len(set(drawn)) == -(-len(left) // 3) and sorted(left.index(x) // 3 for x in drawn) == list(range(len(drawn)))
         if part in ("out", "in"):
             assert sum(r["batch"] == batch and r["part"] == part for r in rows) - 1 == sum(p[part == "in"] == head["src"] for p in pairs)
 
