@@ -1,4 +1,4 @@
-"""Removal of repeated passages: distributed prefix doubling over sampled positions.
+"""Removal of repeated passages: anchors that the content chooses, and two sorted rounds over names of what surrounds them.
 
 A byte goes if a string of ``LENGTH`` bytes covers it that also starts earlier (smaller doc_id, or same document and earlier start). Strings of
 2k bytes are named by the pair of names of their halves; Spark sorts (name, position) rows, names held by one position leave,
@@ -15,8 +15,8 @@ equal ones go. A GRAM name with more than ``HOT`` contexts is dealt out by the s
 A task drops what it can before the shuffle: of equal (GRAM, context) pairs in one block of its input only the first travels, so a passage that a
 third of all documents share costs one row per block.
 
-Cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing; matches never cross texts. A null doc_id orders after all others;
-2**63 - 1 stands for it and comes out as null.
+Cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing; matches never cross texts. A null doc_id orders after all others,
+beside 2**63 - 1: between those two the earlier start counts, and both come out as they are.
 Rows with one doc_id and one text are one document (equal results); rows with one doc_id and different texts are compared in order of start. Other columns
 are ignored. An empty table gives an empty result.
 """
@@ -365,7 +365,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     # Both joins below read this with the same columns and keys, so Spark shuffles the texts once.
-    tagged = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("tag"), text.alias("text"))
+    none = F.col("doc_id").isNull()
+    tagged = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text, none).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("tag"), none.alias("none"), text.alias("text"))
     deal = lambda df, *by: df.repartition(partitions(spark), by[0]).sortWithinPartitions(*by)
     candidates = tagged.mapInArrow(_scan, CANDIDATE)
     named = materialise(deal(candidates, "gram", "context", "doc", "at").mapInArrow(_round_one, CANDIDATE))
@@ -378,7 +379,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     again = contexts.repartition(partitions(spark), "key").sortWithinPartitions("kind", "key", "doc", "at").mapInArrow(_round_two, CANDIDATE)
     spans = named.where("kind = 1").unionByName(again).select("doc", low("at").alias("tag"), F.struct(F.shiftright("at", 32).alias("lo"), F.col("stop").cast("long").alias("hi")).alias("span"))
     by_doc = spans.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans"))
-    return tagged.join(by_doc, ["doc", "tag"], "left").select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return tagged.join(by_doc, ["doc", "tag"], "left").select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:

@@ -66,3 +66,17 @@ def test_edges(docs):
     again = suffix_dedup.remove_repeats(docs([(1, text), (2, "x " + text + " y")])).orderBy("doc_id").collect()
     assert again[0]["kept_text"] == text
     assert (again[1]["kept_text"], again[1]["n_spans"]) == ("x  y", 1)
+
+
+def test_largest_id_beside_null(docs):
+    """2**63 - 1 is an id like any other; of it and a null id the earlier start counts."""
+    rows = [(2**63 - 1, "p" * 150), (None, "x" + "p" * 150), (7, "q" * 40)]
+    out = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup.repeat_report(docs(rows)).collect()}
+    assert out == {2**63 - 1: (150, 149), None: (151, 150), 7: (40, 0)}
+
+
+def test_very_long_text(docs):
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400_000))
+    out = {r["doc_id"]: r for r in suffix_dedup.repeat_report(docs([(1, text), (2, text[1_000_000:1_000_400] + "!")])).collect()}
+    assert out[1]["n_removed"] == 0 and (out[2]["n_bytes"], out[2]["n_removed"], out[2]["n_spans"]) == (401, 400, 1)
