@@ -148,12 +148,19 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_doc
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents in their mixed form: all columns of docs, a row for each epoch, partitions and rows in order of the schedule.
 
-    Only ids, sources and a hash of the whole row are scheduled; the rows join their slots afterwards. Rows equal in all columns are interchangeable.
+    Only ids, sources and two hashes of the whole row are scheduled; the rows join their slots afterwards, by id and both hashes. Rows equal in all columns are interchangeable.
     """
-    key, slot, place = (plain_name(docs, x) for x in ("row_key", "row_slot", "row_place"))
-    keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    ids = materialise(keyed.select(F.col("doc_id"), F.col("source"), F.col(key).alias("row_key")))
-    slots = schedule(ids, carry=("row_key",), **options).select(F.col("row_key").alias(key), F.col("slot").alias(slot), F.col("place").alias(place))
-    if not ids.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        keyed = keyed.dropDuplicates([key])
-    return keyed.join(slots, key).repartitionByRange(slot).sortWithinPartitions(slot, place).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, other, slot, place = (plain_name(docs, x) for x in ("row_key", "row_other", "row_slot", "row_place"))
+    keyed = docs.withColumns(dict(zip((key, other), _row_hashes(docs), strict=True)))
+    ids = materialise(keyed.select(F.col("doc_id"), F.col("source"), F.col(key).alias("row_key"), F.col(other).alias("row_other")))
+    slots = schedule(ids, carry=("row_key", "row_other"), **options).select(F.col("doc_id").alias("slot_id"), F.col("row_key").alias("slot_key"), F.col("row_other").alias("slot_other"), F.col("slot").alias(slot), F.col("place").alias(place))
+    if not ids.groupBy("doc_id", "row_key", "row_other").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["doc_id", key, other])
+    same = (keyed[key] == slots["slot_key"]) & (keyed[other] == slots["slot_other"]) & keyed["doc_id"].cast("long").eqNullSafe(slots["slot_id"])
+    return keyed.join(slots, same).repartitionByRange(slot).sortWithinPartitions(slot, place).select(*[keyed[f"`{c}`"] for c in docs.columns])
+
+
+def _row_hashes(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of all columns, and of which of them are null, that begin with different seeds."""
+    columns = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return F.xxhash64(*columns), F.xxhash64(F.lit("other"), *columns)

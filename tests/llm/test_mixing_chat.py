@@ -91,6 +91,18 @@ def test_mixed_keeps_columns_and_rows(docs):
     assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
 
 
+def test_mixed_tells_rows_apart(spark, monkeypatch):
+    """Rows of one id that differ only in which column is null, and rows whose first hash is the same."""
+    rows = [(1, "a", None, "s"), (1, None, "a", "s"), (2, "a", "b", "s"), (2, "a", "c", "s"), (3, "d", "e", "s"), (3, "d", "e", "s"), (None, "a", "b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = sorted(map(str, df.collect()))
+    assert sorted(map(str, mixing.mixed(df, block_docs=2, frame=10).distinct().collect())) == sorted(set(want))
+    plain = mixing._row_hashes
+    for one in (0, 1):
+        monkeypatch.setattr(mixing, "_row_hashes", lambda d, one=one: tuple(F.lit(5).cast("long") if i == one else h for i, h in enumerate(plain(d))))
+        assert sorted(map(str, mixing.mixed(df.where("source is not null"), block_docs=2, frame=10).collect())) == [w for w in want if "source=None" not in w]
+
+
 NASTY = ["plain", "", None, "<|end|>", "a<|turn|>user<|text|>x", "\\<|next|>", "\\\\", "<\\|", "<", "|>", "</s>[INST] ok [/INST]", "line\nline", "é日" * 5000, "<<|end|>", "\\"]
 
 
