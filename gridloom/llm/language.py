@@ -6,8 +6,9 @@ followers; an unseen one costs the escape -log2(d / (n + d)) plus its cost in th
 code of eight bits. The trees are frozen after training, so a text's code length is a sum over its bytes, and the language that codes it shortest wins.
 
 All 256 byte values are coded, and a text begins after three marks that are no byte. Contexts are sparse: only strings seen in training have entries.
-Training reads about ``PER_LANGUAGE`` documents of each language, chosen by a hash of doc_id, never those held out. The model has at most ``MOST_COSTS`` / languages strings of
-four bytes (the most frequent ones): 16 bytes a string and language that saw it are collected and broadcast, 128 MB at most, and an executor's tables stay within four bytes for each of ``MOST_COSTS`` per order.
+Training reads about ``PER_LANGUAGE`` documents of each language, chosen by a hash of doc_id, never those held out. The model has
+every string of up to four bytes of those documents: 24 bytes for each string of four and language that saw it are collected and broadcast. More than ``most_costs`` of strings times languages are an error that asks for a smaller sample,
+for an executor's tables have four bytes for each of these per order; nothing is left out of a model.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0. Null lang rows are scored but not learned from; a null
 doc_id is not held out and not learned from. With nothing to learn from, every text is ``und``. Ties between languages go to the smaller name.
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, text_arrays, tidy
+from .shared import chunks, materialise, text_arrays, tidy
 
-#: Training documents of each language (a bound on average), costs of the model, and the fold that is never learned from.
+#: Training documents of each language (a bound on average), the most strings times languages of a model, and the fold that is never learned from.
 PER_LANGUAGE, MOST_COSTS, HELD_OUT_FOLD = 3000, 1 << 23, 2
 #: Bits of a symbol (a byte, or START), and bytes that are coded at a time.
 BITS, START, PIECE = 9, 256, 1 << 19
@@ -217,7 +218,7 @@ def _predict(shared):
     return predict
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_costs: int = MOST_COSTS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Names, and counted strings of the sampled training documents: the string, its language, and how often."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT_FOLD)).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -229,16 +230,19 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.where(draw < F.element_at(share, F.col("lang"))).select("text", "lang")
     found = sample.mapInArrow(_count_grams(names), "gram long, lang long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    whole = found.groupBy("gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-    table = whole.orderBy(F.desc("total"), "gram").limit(MOST_COSTS // len(names)).select("gram", F.explode("by_lang").alias("x")).select("gram", "x.lang", "x.n").toArrow()
+    found = materialise(found)
+    kinds = found.select("gram").distinct().count()
+    if kinds * len(names) > most_costs:
+        raise ValueError(f"{kinds} strings of four bytes in {len(names)} languages: lower per_language, or raise most_costs with the executors' memory")
+    table = found.toArrow()
     gram, lang, n = (table[c].to_numpy() for c in ("gram", "lang", "n"))
     order = np.lexsort((lang, gram))
     return names, gram[order], lang[order], n[order]
 
 
-def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, most_costs: int = MOST_COSTS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, per_language))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, per_language, most_costs))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return narrow.mapInArrow(_predict(_Shared(shared)), "doc_id long, held_out boolean, lang_pred string, score double")
 

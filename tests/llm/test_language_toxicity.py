@@ -70,6 +70,22 @@ def test_code_lengths_against_brute_force(corpus, monkeypatch):
             assert bits[row, k] == pytest.approx(sum(cost(tree, s[j - 3 : j], s[j]) for j in range(3, len(s))), rel=1e-4, abs=1e-3)
 
 
+def test_model_has_every_string_of_its_sample(spark):
+    texts = {"en": "the cat sat", "de": "die katze saß", "fr": "le chat é"}
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    df = spark.createDataFrame([(ids[k], texts[lang] + str(k % 7), lang) for k, lang in enumerate(sorted(texts) * 20)], "doc_id long, text string, lang string")
+    want = {}
+    for _, text, lang in df.collect():
+        s = [256] * 3 + list(text.encode())
+        for k in range(3, len(s)):
+            key = (s[k - 3] << 27 | s[k - 2] << 18 | s[k - 1] << 9 | s[k], lang)
+            want[key] = want.get(key, 0) + 1
+    names, gram, lang, n = language.train(df)
+    assert {(g, names[x]): c for g, x, c in zip(gram.tolist(), lang.tolist(), n.tolist(), strict=True)} == want
+    with pytest.raises(ValueError, match="lower per_language"):
+        language.train(df, most_costs=3 * len({g for g, _ in want}) - 1)
+
+
 def test_language_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in language.identify(df).collect()] == ["und"] and language.identify(df.where("false")).count() == 0
