@@ -250,12 +250,12 @@ def _drawn(seed: int, *key: str) -> str:
 
 
 def _non_edges(edges: str, n: str, seed: int) -> str:
-    """CTEs ids, free: the first n drawn pairs of NEXT's nodes without an edge (its loops are none)."""
-    return f""", ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS c FROM (SELECT src AS id FROM nxt UNION SELECT dst FROM nxt)),
-k AS (SELECT {n} AS n, (SELECT max(c) FROM ids) AS c),
-t AS (SELECT unnest(range(4 * n + 64)) AS t, c FROM k),
-pq AS (SELECT p, q, min(t) AS t FROM (SELECT t, {_drawn(seed, 't', "'p'")} % c AS p, {_drawn(seed, 't', "'q'")} % c AS q FROM t) WHERE p <> q GROUP BY p, q),
-free AS (SELECT src, dst FROM (SELECT t, a.id AS src, b.id AS dst FROM pq JOIN ids a ON p = a.place JOIN ids b ON q = b.place) ANTI JOIN {edges} USING (src, dst) ORDER BY t LIMIT (SELECT n FROM k))"""
+    """CTEs ids, free: n pairs of NEXT's nodes without an edge, one drawn from each n-th part of all of them in order of ids."""
+    return f""", ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place FROM (SELECT src AS id FROM nxt UNION SELECT dst FROM nxt)),
+absent AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS r, count(*) OVER () AS every FROM (SELECT a.id AS src, b.id AS dst FROM ids a JOIN ids b ON a.id <> b.id) ANTI JOIN {edges} USING (src, dst)),
+k AS (SELECT {n} AS n, (SELECT max(every) FROM absent) AS every),
+t AS (SELECT t, CAST(CAST(t AS HUGEINT) * every // n AS BIGINT) AS lo, CAST(CAST(t + 1 AS HUGEINT) * every // n AS BIGINT) AS hi FROM (SELECT unnest(range(n)) AS t, every, n FROM k)),
+free AS (SELECT src, dst FROM absent JOIN (SELECT lo + {_drawn(seed, 't', "'pair'")} % (hi - lo) AS r FROM t) USING (r))"""
 
 
 @query("net_noise", NEXT + _non_edges("nxt", "2 * CAST(floor((SELECT count(*) FROM nxt) * 0.05) AS BIGINT)", 1) + f""", d AS (SELECT src, dst, w - CASE WHEN row_number() OVER (ORDER BY {DRAW}, src, dst) <= CAST(floor((SELECT count(*) FROM nxt) * 0.05) AS BIGINT) THEN 1 ELSE 0 END AS w FROM nxt)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import scalars, stirling
+from ..operators.lineage import shared_folder
 from ..plans import specs
 from ..sources.tables import corpora, find_corpora
 from . import query, table
@@ -258,6 +259,25 @@ def stirling_log(spark, sf_dir):
     return scalars.log_stirling(spark, 15).select("n", "m", F.bround("value", 6).alias("value"))
 
 
+@query(
+    "stirling_stored",
+    """
+WITH RECURSIVE c AS (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderpriority) AS m FROM orders GROUP BY o_custkey),
+r AS (
+  SELECT 1 AS n, [CAST(1.0 AS DOUBLE)] AS row
+  UNION ALL
+  SELECT n + 1, list_transform(range(1, n + 2), lambda m: coalesce(row[m - 1], 0) * CASE WHEN m > 1 THEN 1 ELSE 0 END + n * coalesce(row[m], 0)) FROM r WHERE n < (SELECT max(n) FROM c))
+SELECT o_custkey, c.n, m, round_even(ln(row[m]), 6) AS value FROM c JOIN r USING (n)""",
+)
+def stirling_stored(spark, sf_dir):
+    """Ways to deal a customer's orders into as many cycles as they have priorities, from a stored table as large as the largest customer asks for."""
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("o_orderpriority").alias("m"))
+    most = rows.agg(F.max("n")).first()[0]
+    made = stirling.stored(spark, f"{shared_folder(spark)}/stirling", most)
+    return stirling.looked_up(rows, made, "n", "m", "value").withColumn("value", F.bround("value", 6))
+
+
+
 @query("scalar_softmax", "SELECT p_partkey AS id, round_even(exp(p_size - max(p_size) OVER w) / sum(exp(p_size - max_b)) OVER w, 9) AS p FROM (SELECT *, max(p_size) OVER (PARTITION BY p_brand) AS max_b FROM part) WINDOW w AS (PARTITION BY p_brand)")
 def scalar_softmax(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.bround(scalars.softmax(F.col("p_size"), F.col("p_brand")), 9).alias("p"))

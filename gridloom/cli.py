@@ -11,7 +11,6 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from .functions.scalars import colour  # noqa: F401  (part of the listing commands' surface)
 from .operators import search, segments
 from .plans.runner import SCRIPTS, append_bounded, catalogue, command_of, find_action, history, remember, run_all
 from .plans.specs import SpecSet, diff_all, output_path, select_rows

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut, first_rows, numbered, running_sum
+from .lineage import cut, first_rows, forget, numbered, running_sum
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -380,32 +380,37 @@ def inverted(split: DataFrame) -> DataFrame:
 
 
 def non_edges(edges: DataFrame, n: int, seed: int = 0, directed: bool = True) -> DataFrame:
-    """n distinct pairs without an edge and off the diagonal: pairs of places in the node list are drawn and edges discarded, in the order of the draws.
+    """n distinct pairs without an edge and off the diagonal, one drawn from each n-th part of all such pairs in order of ids. More than there are is an error.
 
-    Where more than half of all such pairs are asked for, they are listed instead: as many rows as the result and the edges have, twice. More than there are is an error.
-    Undirected pairs have the smaller id first.
+    Pairs are found by their rank: the running sum of the nodes' missing links tells the source, and the gaps of its sorted links the target. So the cost is that of the edges, the nodes and
+    the result, however dense the graph is. Undirected pairs have the smaller id first.
     """
-    ids = numbered(nodes(edges), "place", F.col("id"))
+    ids = cut(numbered(nodes(edges), "place", F.col("id")).select("id", "place"))
     count, spark = ids.count(), edges.sparkSession
-    taken = cut((edges if directed else undirected(edges)).where("src <> dst").select("src", "dst").distinct())
-    free = count * (count - 1) // (1 if directed else 2) - taken.count()
-    if n > free:
-        raise ValueError(f"{n} pairs without an edge are asked for; there are {free}")
-    named = lambda pairs: pairs.join(ids.select(F.col("place").alias("p"), F.col("id").alias("src")), "p").join(ids.select(F.col("place").alias("q"), F.col("id").alias("dst")), "q")
-    if 2 * n > free:
-        pairs = ids.select(F.col("id").alias("src")).crossJoin(ids.select(F.col("id").alias("dst"))).where("src <> dst" if directed else "src < dst")
-        left = pairs.join(taken, ["src", "dst"], "left_anti").withColumn("draw", hash_rank(F.col("src"), F.col("dst"), seed=seed))
-        return first_rows(left, n, F.col("draw"), F.col("src"), F.col("dst")).select("src", "dst")
-    tries = 4 * n + 64
-    while True:
-        place = lambda salt: drawn_int(F.col("id"), salt, seed=seed) % count
-        drawn = spark.range(tries).select(F.col("id").alias("t"), place("p").alias("x"), place("q").alias("y")).where("x <> y")
-        if not directed:
-            drawn = drawn.select("t", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        found = cut(named(drawn.groupBy(F.col("x").alias("p"), F.col("y").alias("q")).agg(F.min("t").alias("t"))).join(taken, ["src", "dst"], "left_anti").select("t", "src", "dst"))
-        if found.count() >= n:
-            return first_rows(found, n, F.col("t")).select("src", "dst")
-        tries *= 4
+    taken = (edges if directed else undirected(edges)).where("src <> dst").select("src", "dst").distinct()
+    p, q = F.col("p"), F.col("q")
+    # Places of targets without those that no pair has: the source itself, or all up to it.
+    target = F.when(q > p, q - 1).otherwise(q) if directed else q - p - 1
+    linked = taken.join(ids.select(F.col("id").alias("src"), F.col("place").alias("p")), "src").join(ids.select(F.col("id").alias("dst"), F.col("place").alias("q")), "dst")
+    present = cut(linked.select(p.alias("key"), target.alias("place")))
+    degree = present.groupBy(F.col("key").alias("place")).agg(F.count("*").alias("linked"))
+    room = F.lit(count - 1) if directed else count - 1 - F.col("place")
+    free = ids.join(degree, "place", "left").select("id", "place", (room - F.coalesce("linked", F.lit(0))).alias("free"))
+    starts = cut(running_sum(free, "end", F.col("free"), F.col("place")).select("id", "place", (F.col("end") - F.col("free")).alias("start"), "free"))
+    every = starts.agg(F.sum("free")).first()[0] or 0
+    if n > every:
+        raise ValueError(f"{n} pairs without an edge are asked for; there are {every}")
+    if n <= 0:
+        return edges.select("src", "dst").limit(0)
+    border = lambda t: F.expr(f"cast(cast({t} as decimal(19, 0)) * cast({every} as decimal(19, 0)) div {n} as long)")
+    drawn = spark.range(n).select(F.col("id").alias("t"), border("id").alias("lo"), border("id + 1").alias("hi")).select("t", (F.col("lo") + drawn_int(F.col("t"), "pair", seed=seed) % (F.col("hi") - F.col("lo"))).alias("r"))
+    rows = starts.select(F.col("start").alias("r"), F.lit(0).alias("kind"), F.col("place").alias("t")).unionByName(drawn.select("r", F.lit(1).alias("kind"), "t"))
+    seen = running_sum(rows, "seen", F.when(F.col("kind") == 0, 1).otherwise(0), F.col("r"), F.col("kind"), F.col("t")).where("kind = 1")
+    source = seen.select("r", "t", (F.col("seen") - 1).alias("place")).join(starts, "place")
+    asked = source.select(F.col("place").alias("key"), (F.col("r") - F.col("start")).alias("k"), "t", F.col("id").alias("src"))
+    found = kth_absent(present, asked).withColumn("p", F.col("key")).withColumn("q", F.col("place"))
+    whole = F.when(q >= p, q + 1).otherwise(q) if directed else q + p + 1
+    return found.select("src", whole.alias("place")).join(ids.select("place", F.col("id").alias("dst")), "place").select("src", "dst")
 
 
 def random_mask(cells: DataFrame, ratio: float, seed: int = 0, symmetric: bool = False) -> DataFrame:
@@ -502,18 +507,31 @@ def minibatch_count(n_nodes: int, zeros: int, coverage: float) -> int:
     return int(n_nodes * zeros * coverage)
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(id, component): smallest reachable id of undirected edges, by label propagation with jumps, each round written."""
-    both = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct())
-    label = cut(nodes(edges).withColumn("c", F.col("id")))
+def _star(pairs: DataFrame, large: bool) -> DataFrame:
+    """A round of star contraction on pairs (a, b), a > b: a node's neighbours meet the smallest of them, in a large round its larger neighbours, in a small one its smaller neighbours and itself."""
+    if large:
+        ends = pairs.union(pairs.select("b", "a"))
+        least = ends.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        met = ends.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        least = pairs.groupBy("a").agg(F.min("b").alias("m"))
+        met = pairs.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
+    return met.where("a <> b").distinct()
+
+
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """(id, component): smallest reachable id of undirected edges, by alternating large and small stars: about as many rounds as the logarithm of the nodes, each written."""
+    pairs = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = state(pairs)
     for _ in range(most):
-        near = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        lower = label.join(near, "id", "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("m", F.col("c"))).alias("c"))
-        jump = lower.join(lower.select(F.col("id").alias("c"), F.col("c").alias("cc")), "c").select("id", "old", F.least("c", "cc").alias("c"))
-        step = cut(jump)
-        label = step.select("id", "c")
-        if step.where("c <> old").isEmpty():
-            return label.withColumnRenamed("c", "component")
+        half = cut(_star(pairs, True))
+        after = cut(_star(half, False))
+        forget(pairs, half)
+        pairs, now = after, state(after)
+        if now == before:
+            return nodes(edges).join(pairs.select(F.col("a").alias("id"), F.col("b").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("component"))
+        before = now
     raise RuntimeError("components did not settle")
 
 

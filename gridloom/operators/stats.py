@@ -291,13 +291,18 @@ def boundary_annealing(matrix: np.ndarray, steps: int = 200, clusters: int = 2,
 
 
 def annealed(matrix: DataFrame, group: str, clusters: int, seed: int = 0, bounds: bool = False) -> DataFrame:
-    """(group, id, cluster, energy): one annealing per group of (group, src, dst, w), by moves of rows or, with ``bounds``, by bounds of growing numbers of blocks; a group's square matrix is one task's work."""
+    """(group, id, cluster, energy): one annealing per group of (group, src, dst, w), by moves of rows or, with ``bounds``, by bounds of growing numbers of blocks; a group's square matrix is one task's work.
+
+    Bounds need more than twice as many nodes as clusters in each group; fewer are an error.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
         m = np.zeros((len(ids), len(ids)))
         np.add.at(m, (np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])), pdf["w"])
-        label, energy = boundary_annealing(m, clusters=clusters, seed=seed) if bounds and len(ids) > 2 * clusters else boundary_partition(m, min(clusters, len(ids)), seed)
+        if bounds and len(ids) <= 2 * clusters:
+            raise ValueError(f"bounds of {clusters} clusters among {len(ids)} nodes")
+        label, energy = boundary_annealing(m, clusters=clusters, seed=seed) if bounds else boundary_partition(m, min(clusters, len(ids)), seed)
         return pd.DataFrame({group: pdf[group].iloc[0], "id": ids, "cluster": label, "energy": energy})
 
     kind = dict(matrix.dtypes)[group]

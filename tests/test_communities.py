@@ -117,3 +117,15 @@ def test_absent_numbers_against_brute_force(spark):
     for r in got:
         absent = [x for x in range(200) if x not in rows.get(r["key"], [])]
         assert r["place"] == absent[r["k"]]
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    """A path of 300 nodes in random order settles in few rounds."""
+    order = list(range(300))
+    random.Random(2).shuffle(order)
+    pairs = list(itertools.pairwise(order)) + [(1000, 1000 + k) for k in range(1, 50)] + [(2000, 2000)]
+    got = dict(map(tuple, graph.components(frame(spark, pairs), most=9).collect()))
+    assert got == {i: 0 for i in range(300)} | {1000 + k: 1000 for k in range(50)} | {2000: 2000}
+    with pytest.raises(RuntimeError):
+        graph.components(frame(spark, pairs), most=1)
+    assert graph.components(frame(spark, [])).count() == 0
