@@ -11,8 +11,10 @@ that starts one place further on, and three things that were matched before are
 * the matched stretch of each distance: a later comparison at that distance reads up to the stretch and jumps to its end;
 * inside a stretch of a distance, links whose whole extension lies in it are those one period on.
 
-On Fibonacci words, periodic and random sequences the words compared stay below 5 for each word and order; on Thue-Morse words, where squares of
-every size nest, they grow by 0.75 with each doubling (7 at 160,000 words): linear but for that. Words are only compared. Their ranks come from sorting a text's words by length and bytes; there is no suffix array or tree and no hash.
+Both orders together compare below 5 words for each word of Fibonacci words, periodic and random sequences; on Thue-Morse words, where squares of
+every size nest, 13 at 160,000 words and 0.75 more with each doubling: linear but for that.
+
+Words are only compared. Their ranks come from sorting a text's words by length and bytes; there is no suffix array or tree and no hash.
 A run of four periods needs each of its words four times, so rarer words cut a text into parts that are worked through one by one.
 
 Rows stay in their partition: there is no shuffle. A task holds the words of about a megabyte of text, or of one longer text.
