@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import search
-from ..operators.lineage import cut, shared_folder
-from ..sources import graphs, logs, tables
+from ..operators.lineage import cut, numbered, shared_folder
+from ..sources import graphs, logs, matrices, tables
 from ..streaming import logs as live
 from . import query, sql, table
 from .graphs import nextpart
@@ -141,6 +141,27 @@ def tail_lines(spark, sf_dir):
     return tables.tail(spark, path, 5, across=True)
 
 
+@query("matrix_file", f"WITH e AS ({LINE}) SELECT i AS row, j AS col, CAST(sum(w) AS BIGINT) AS value, CAST(500 AS BIGINT) AS rows, (SELECT count(*) FROM (SELECT DISTINCT i, j FROM e)) AS entries FROM e GROUP BY i, j")
+def matrix_file(spark, sf_dir):
+    path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}"
+    cells = _pairs(spark, sf_dir).groupBy(F.col("i").alias("row"), F.col("j").alias("col")).agg(F.sum("w").alias("value"))
+    matrices.write_matrix(cells, path, 500, 500)
+    found, (rows, _, n) = matrices.read_matrix(spark, path)
+    return found.select("*", F.lit(rows).cast("long").alias("rows"), F.lit(n).cast("long").alias("entries"))
+
+
+@query("corpus_files", "WITH b AS (SELECT o_custkey, o_orderpriority, count(*) AS cnt FROM orders GROUP BY ALL) SELECT o_custkey AS doc_id, o_orderpriority AS term, cnt FROM b")
+def corpus_files(spark, sf_dir):
+    """A matrix with its terms beside it: the priorities of each customer's orders."""
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    o = table(spark, sf_dir, "orders")
+    terms = numbered(o.select(F.col("o_orderpriority").alias("term")).distinct(), "term_id", F.col("term"))
+    bag = o.groupBy(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("term")).agg(F.count("*").alias("cnt")).join(terms, "term")
+    matrices.write_corpus(bag.select("doc_id", "term_id", "cnt"), terms.select("term_id", "term"), path)
+    cells, names = matrices.read_corpus(spark, path)
+    return cells.join(names, "term_id").select("doc_id", "term", "cnt")
+
+
 @query("triplets", "SELECT o_orderkey % 50 AS doc_id, l_partkey % 40 AS term_id, CAST(l_linenumber AS INT) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def triplets(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.concat_ws(" ", F.col("l_orderkey") % 50 + 1, F.col("l_partkey") % 40 + 1, "l_linenumber").alias("value"))
