@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -34,13 +35,18 @@ def cut(df: DataFrame) -> DataFrame:
     if any(t == "void" for _, t in df.dtypes):  # Parquet has no such type
         return df.checkpoint()
     df.write.parquet(path)
-    if not _written:
-        atexit.register(lambda: [forget(x) for x, _ in list(_written.values())])
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = out, path
     return out
 
 
+@atexit.register
+def _forget_all() -> None:
+    for df, _ in list(_written.values()):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            forget(df)
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes what ``cut`` has written for these tables; nothing may read them, or what was made of them, any more."""
     for df in tables:
