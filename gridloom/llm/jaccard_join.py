@@ -13,8 +13,12 @@ Trees. Shingles are hashed into ``GROUPS`` groups; a class is the point of its g
 of two counts bounds an intersection from above, and so does the sum of the smaller of two tree nodes' largest counts for all pairs of points below them. An R-tree over
 each place's points is joined with itself from the root down: pairs of nodes whose bound stays under the least overlap that their sizes ask for are skipped with all below them.
 The surviving pairs are verified on the shingles themselves, as bit sets.
+Documents that share short passages chain together into large places though few of them link, so a tree of many points also keeps, for each pair of its nodes, whether
+points below share an early couple when shingles are ordered by their number in the place, rarest first; other pairs of nodes are skipped. What a place costs then follows such pairs of classes, not all pairs.
 
-Hot places. A set travels to its place once. A place of more than ``PLACE_ROWS`` classes or ``PLACE_SHINGLES`` shingles is dealt out as pairs of blocks, each a task's work. A task
+Hot places. A set travels to its place once. Places too large for a task are first split again, up to ``SPLITS`` times, each time in another order of all shingles, by three neighbours instead
+of two: with D = a+b-2i shingles in one set only, at most D of the i-1 gaps between common ones are broken, and each spoils two triples at most, so linking sets have i-2-2D >= (a+b)/7 - 2 triples in common and meet in the first
+n+1-ceil(n/4) of each; sets of fewer than nine shingles, where that may be none, use couples too. What is still too large then is dealt out whole: a place of more than ``PLACE_ROWS`` classes or ``PLACE_SHINGLES`` shingles is dealt out as pairs of blocks, each a task's work. A task
 returns one row for each class, with its links and the first class that links connect it with: pairs never leave it. A shingle couple that many
 classes hold is joined within each block of the input first, so it sends one row per block.
 
@@ -41,6 +45,8 @@ WORDS, GROUPS, LEAF = 5, 64, 16
 PLACE_ROWS, PLACE_SHINGLES = 4096, 2_000_000
 #: Couples that a task joins before sending them on, pairs and shingles that it verifies at a time.
 BLOCK_COUPLES, PAIRS, COLUMNS = 1 << 18, 1 << 16, 1 << 14
+#: Times that places too large for a task are split again. A tree of more points than ``PLAIN`` keeps which nodes share an early couple; entries and couples that are marked at a time.
+SPLITS, PLAIN, MARKS, MARKED = 2, 64, 1 << 15, 1 << 11
 #: Documents sampled (a share, and at least so many) to learn which shingles are frequent, sampled documents that make one frequent, and the most of these kept (32 MB).
 SAMPLE_SHARE, SAMPLED, OFTEN, MOST_OFTEN = 1 / 16, 20_000, 16, 4_000_000
 _U = np.uint64
@@ -111,6 +117,23 @@ def couples(items: np.ndarray, often: np.ndarray) -> np.ndarray:
     return mix(items[:n] * _U(0x9E3779B97F4A7C15) + items[1 : n + 1])
 
 
+def triples(items: np.ndarray, often: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of the first n+1-ceil(n/4) triples of neighbours in the order of ``seed``, shingles of ``often`` last; of sets below nine also of their couples."""
+    key = mix(items ^ _U(seed + 1))
+    if len(often):
+        late = often[np.minimum(np.searchsorted(often, items), len(often) - 1)] == items
+        order = np.lexsort((key, late))
+    else:
+        order = np.argsort(key)
+    x, n = key[order], len(items)
+    m = max(0, min(n - 2, n + 1 + -n // 4))
+    found = mix(mix(x[:m] * _U(0x9E3779B97F4A7C15) + x[1 : m + 1]) * _U(0x9E3779B97F4A7C15) + x[2 : m + 2])
+    if n >= 9:
+        return found
+    m = min(n - 1, n // 2 + 1)
+    return np.concatenate([found, mix(x[:m] * _U(0xD6E8FEB86659FD93) + x[1 : m + 1])])
+
+
 #: kind 0: a couple and a class that holds it. kind 1: two classes that meet. kind 2: a document (doc_id, tag, n) and its class.
 ENTRY = "kind int, h long, name long, doc binary"
 MET = "kind int, name long, hub long, doc binary"
@@ -175,6 +198,37 @@ def _entries(shared):
     return entries
 
 
+def _split_entries(shared, seed: int):
+    """Triples of the sets of crowded places; those of different places stay apart."""
+
+    @tidy
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, held, n = shared.value, [], 0
+
+        def flush():
+            h, name = np.concatenate([x for x, _ in held]).view(np.int64), np.repeat(np.array([k for _, k in held], np.int64), [len(x) for x, _ in held])
+            order = np.argsort(h, kind="stable")
+            h, name = h[order], name[order]
+            begins, hub = _runs(h, name)
+            yield _entry(0, h[begins], name[begins])
+            one, two = _distinct(name[~begins], hub[~begins])
+            if len(one):
+                yield _entry(1, one, two)
+
+        for batch in batches:
+            for root, name, items in zip(batch["root"].to_numpy(), batch["name"].to_pylist(), batch["items"], strict=True):
+                found = triples(np.frombuffer(items.as_buffer(), np.uint64), often, seed)
+                held.append((mix(found ^ root.view(np.uint64)), name))
+                n += len(found)
+                if n >= BLOCK_COUPLES:
+                    yield from flush()
+                    held, n = [], 0
+        if n:
+            yield from flush()
+
+    return entries
+
+
 @tidy
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (kind, h): the classes of a couple meet its first one; other rows pass."""
@@ -220,15 +274,28 @@ class Tree:
 
     def __init__(self, points: np.ndarray, near: np.ndarray):
         sizes = points.sum(1).astype(np.int64)
-        self.order = np.lexsort((sizes, near))
+        self.order, self.meets = np.lexsort((sizes, near)), None
         self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
         while len(self.levels[-1][0]) > 1:
             top, low, high = self.levels[-1]
             at = np.arange(0, len(top), LEAF)
             self.levels.append((np.maximum.reduceat(top, at, 0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
+    def keep(self, items: np.ndarray, row: np.ndarray) -> None:
+        """Only pairs that share an early couple are wanted: marks for each level which of its pairs of nodes have such a pair below."""
+        n = len(self.order)
+        at = np.empty(n, np.int64)
+        at[self.order] = np.arange(n)
+        self.meets = [early_couples(items, at[row], n)]
+        some = self.meets[0].reshape(n, -1, LEAF // 8).any(2)
+        while len(self.meets) < len(self.levels):
+            some = np.logical_or.reduceat(some, np.arange(0, some.shape[0], LEAF), axis=0)
+            self.meets.append(some)
+            some = np.logical_or.reduceat(some, np.arange(0, some.shape[1], LEAF), axis=1)
+
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs of points (each once) that their bounds allow to link, in portions."""
+        """All pairs of points (each once) that their bounds allow to link, in portions; after ``keep`` those that also share an early couple."""
+        self.bounded = 0
         yield from self._below(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
 
     def _below(self, k: int, p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -236,6 +303,10 @@ class Tree:
         top, low, high = self.levels[k]
         if k == 0:
             p, q = p[p < q], q[p < q]
+        if self.meets is not None:
+            marked = (self.meets[0][p, q >> 3] >> (q & 7).astype(np.uint8)) & 1 if k == 0 else self.meets[k][p, q]
+            p, q = p[marked.astype(bool)], q[marked.astype(bool)]
+        self.bounded += len(p)
         # The smallest sizes that points below may have to link ask for the least overlap.
         a, b = np.maximum(low[p], -(-3 * low[q] // 4)), np.maximum(low[q], -(-3 * low[p] // 4))
         fits = np.flatnonzero((a <= high[p]) & (b <= high[q]))
@@ -253,6 +324,35 @@ class Tree:
             yield from self._below(k - 1, x[some], y[some])
 
 
+def early_couples(items: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """Bit q of row p: sets p and q share one of their first floor(n/2) + 1 couples, the shingles that fewest sets hold first. Rows are padded to whole leaves."""
+    _, column, times = np.unique(items, return_inverse=True, return_counts=True)
+    order = np.lexsort((column, times[column], row))
+    column, row = column[order], row[order]
+    size = np.bincount(row, minlength=n_rows)
+    place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+    early = np.flatnonzero((row[:-1] == row[1:]) & (place[:-1] <= size[row[:-1]] // 2) & (times[column[:-1]] > 1))
+    couple, who = column[early] * len(times) + column[early + 1], row[early]
+    order = np.argsort(couple, kind="stable")
+    _, group, n = np.unique(couple[order], return_inverse=True, return_counts=True)
+    who = who[order][n[group] > 1]
+    group = np.cumsum(n > 1)[group[n[group] > 1]] - 1  # couples of one set alone are gone
+    wide = -(-n_rows // LEAF) * LEAF
+    meets = np.zeros((n_rows, wide // 8), np.uint8)
+    a = 0
+    while a < len(who):
+        last = min(group[min(a + MARKS, len(who)) - 1], group[a] + MARKED - 1)
+        b = int(np.searchsorted(group, last, "right"))  # whole couples; one may have as many entries as there are rows
+        held = np.zeros((last + 1 - group[a], wide), bool)
+        held[group[a:b] - group[a], who[a:b]] = True
+        bits = np.packbits(held, axis=1, bitorder="little")
+        order = np.argsort(who[a:b], kind="stable")
+        rows, starts = np.unique(who[a:b][order], return_index=True)
+        meets[rows] |= np.bitwise_or.reduceat(bits[group[a:b][order] - group[a]], starts, axis=0)
+        a = b
+    return meets
+
+
 def overlaps(items: np.ndarray, row: np.ndarray, n_rows: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """|intersection| of the sets of rows p and q; ``items`` and ``row`` list all shingles of all sets."""
     order = np.argsort(items, kind="stable")
@@ -310,7 +410,10 @@ def _linked(name: np.ndarray, copies: np.ndarray, side: np.ndarray | None, sets:
         np.add.at(links, q, copies[p])
         root = roots(len(sets), np.concatenate([np.arange(len(sets)), p]), np.concatenate([root, q]))
 
-    for p, q in Tree(np.stack([point_of(x) for x in sets]), np.array([x[0] for x in sets])).pairs():
+    tree = Tree(np.stack([point_of(x) for x in sets]), np.array([x[0] for x in sets]))
+    if len(sets) > PLAIN:
+        tree.keep(items, row)
+    for p, q in tree.pairs():
         if side is not None:
             across = side[p] != side[q]
             p, q = p[across], q[across]
@@ -362,6 +465,29 @@ def _tag():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+#: A class's set: its place, name, documents, size and shingles.
+SET = ("root", "name", "copies", "n", "items")
+
+
+def crowded(classes: DataFrame) -> DataFrame:
+    """(root, blocks) of places that one task should not compare."""
+    blocks = classes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / PLACE_ROWS), F.ceil(F.sum("n") / PLACE_SHINGLES)).cast("int").alias("blocks"))
+    return materialise(blocks.where("blocks > 1"))
+
+
+def _read_sets(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    read = docs.join(placed, docs["doc_id"].eqNullSafe(placed["reader"]) & (docs["tag"] == placed["reader_tag"])).select("root", "name", "copies", "n", "text")
+    return read.mapInArrow(_whole_sets, "root long, name long, copies long, n long, items binary")
+
+
+def split(sets: DataFrame, often, seed: int) -> DataFrame:
+    """The sets of ``SET`` with smaller places in ``root``: those that triples of neighbours in the order of ``seed`` connect inside each. Sets that meet no other are left out."""
+    entries = sets.select("root", "name", "items").mapInArrow(_split_entries(often, seed), ENTRY)
+    met = entries.repartition(partitions(sets.sparkSession), "h").sortWithinPartitions("kind", "h").mapInArrow(_meet, MET)
+    places = components(met.where("kind = 1").select(F.col("name").alias("a"), F.col("hub").alias("b"))).toDF("name", "root")
+    return materialise(sets.drop("root").join(places, "name").select(*SET))
+
+
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, tag, n, name) of the documents, and (name, copies, links, root) of the classes that meet another: documents of the class,
     documents of other classes it links with, and the class that stands for its component."""
@@ -375,17 +501,24 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     classes = members.where("name is not null").groupBy("name").agg(F.min(text).alias("reader"), F.count("*").alias("copies"), F.first("n").alias("n"))
     placed = materialise(classes.join(places.withColumnRenamed("id", "name"), "name").select("name", "copies", "n", "root", F.col("reader.doc_id").alias("reader"), F.col("reader.tag").alias("reader_tag")))
-    blocks = placed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / PLACE_ROWS), F.ceil(F.sum("n") / PLACE_SHINGLES)).cast("int").alias("blocks"))
-    blocks = materialise(blocks.where("blocks > 1"))
-    dealt = placed.drop("n").join(blocks, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    read = docs.join(dealt, docs["doc_id"].eqNullSafe(dealt["reader"]) & (docs["tag"] == dealt["reader_tag"])).select("root", "name", "copies", "blocks", "text")
-    sets = read.mapInArrow(_whole_sets, "root long, name long, copies long, blocks int, items binary")
+    blocks = crowded(placed)
+    dealt = not blocks.isEmpty()
+    sets = _read_sets(docs, placed.join(blocks, "root", "left_anti") if dealt else placed).withColumn("blocks", F.lit(1))
+    if dealt:
+        hot = materialise(_read_sets(docs, placed.join(blocks, "root", "left_semi")))
+        for seed in range(SPLITS):
+            hot = split(hot, often, seed)
+            blocks = crowded(hot)
+            if blocks.isEmpty():
+                break
+        dealt = not blocks.isEmpty()
+        sets = sets.union(hot.join(blocks, "root", "left").select(*SET, F.coalesce("blocks", F.lit(1)).alias("blocks")))
     sets = sets.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select("root", "name", "copies", "items", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     found = sets.repartition(partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "name").mapInArrow(_places, "name long, first long, links long")
     found = materialise(found)
     whole = found.groupBy("name").agg(F.sum("links").alias("links"), F.min("first").alias("root"))
-    if not blocks.isEmpty():  # a class of a place in blocks has a row for each pair of them
+    if dealt:  # a class of a place in blocks has a row for each pair of them
         joined = components(found.select(F.col("name").alias("a"), F.col("first").alias("b")))
         whole = whole.drop("root").join(joined.withColumnRenamed("id", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     return members, whole.join(placed.select("name", "copies"), "name")

@@ -72,6 +72,7 @@ def test_places_in_blocks_and_frequent_shingles(docs, monkeypatch, rows_of_place
     monkeypatch.setattr(jaccard_join, "PLACE_ROWS", rows_of_place)
     monkeypatch.setattr(jaccard_join, "PLACE_SHINGLES", shingles_of_place)
     monkeypatch.setattr(jaccard_join, "OFTEN", 2)
+    monkeypatch.setattr(jaccard_join, "PLAIN", 1)
     rows = corpus(9)
     assert got(jaccard_join.near_duplicates(docs(rows))) == brute(rows)
 
@@ -118,6 +119,111 @@ def test_linking_sets_share_an_early_couple(seed):
             assert len(np.intersect1d(jaccard_join.couples(a, often), jaccard_join.couples(b, often)))
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_linking_sets_share_an_early_triple(seed):
+    """In any order; of sets below nine shingles a couple will do."""
+    rng = np.random.default_rng(seed)
+    for _ in range(200):
+        a = rng.integers(0, 2**63, rng.integers(2, 60), dtype=np.uint64)
+        lost, added = rng.integers(0, len(a) // 3 + 1), rng.integers(0, len(a) // 3 + 1)
+        b = np.concatenate([a[lost:], rng.integers(0, 2**63, added, dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        often = np.sort(rng.choice(a, rng.integers(0, len(a) + 1), replace=False))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 75 * (len(a) + len(b) - both) and len(a) != both:
+            assert len(np.intersect1d(jaccard_join.triples(a, often, seed % 2), jaccard_join.triples(b, often, seed % 2)))
+
+
+def flat(sets):
+    return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+
+
+@pytest.mark.parametrize("marks, marked", [(1, 1), (7, 1 << 11), (1 << 15, 3), (1 << 15, 1 << 11)])
+def test_early_couples(monkeypatch, marks, marked):
+    """Against sets of couples, with few and many marked at a time."""
+    monkeypatch.setattr(jaccard_join, "MARKS", marks)
+    monkeypatch.setattr(jaccard_join, "MARKED", marked)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 40)).astype(np.uint64)) for _ in range(45)]
+    times = {x: sum(x in y for y in sets) for x in range(90)}
+    lists = [sorted(x.tolist(), key=lambda v: (times[v], v)) for x in sets]
+    couples = [set(list(zip(x, x[1:], strict=False))[: len(x) // 2 + 1]) for x in lists]
+    found = np.unpackbits(jaccard_join.early_couples(*flat(sets), 45), axis=1, bitorder="little")
+    assert not found[:, 45:].any()
+    for p in range(45):
+        for q in range(p):
+            assert found[p, q] == found[q, p] == bool(couples[p] & couples[q])
+
+
+def test_tree_that_keeps_couples_finds_every_link():
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**63, rng.integers(2, 80), dtype=np.uint64)
+        for _ in range(rng.integers(1, 12)):
+            keep = base[rng.random(len(base)) > 0.1]
+            sets.append(np.unique(np.concatenate([keep, base[:2], rng.integers(0, 2**63, rng.integers(0, 4), dtype=np.uint64)])))
+    tree = jaccard_join.Tree(np.stack([jaccard_join.point_of(x) for x in sets]), np.array([x[0] for x in sets]))
+    tree.keep(*flat(sets))
+    pairs = {(min(a, b), max(a, b)) for x, y in tree.pairs() for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    for p in range(len(sets)):
+        for q in range(p):
+            both = len(np.intersect1d(sets[p], sets[q]))
+            if both >= jaccard_join.need(len(sets[p]), len(sets[q])) and both < max(len(sets[p]), len(sets[q])):
+                assert (q, p) in pairs
+
+
+def chained(n, seed=0):
+    """Texts of 240 words with three passages of 20 words each, every passage in about six of them."""
+    rng = random.Random(seed)
+    passages = [[f"q{rng.randrange(10**9)}" for _ in range(20)] for _ in range(n // 2)]
+    out = []
+    for k in range(n):
+        words = [f"u{rng.randrange(10**9)}" for _ in range(180)]
+        for _ in range(3):
+            at = rng.randrange(len(words))
+            words[at:at] = rng.choice(passages)
+        out.append((k, " ".join(words)))
+    return out
+
+
+def test_work_on_chained_passages_grows_with_the_documents():
+    """Pairs of points and nodes that are bounded, for texts that share passages without being near copies."""
+    import pyarrow as pa
+
+    work = []
+    for n in (800, 1600, 3200):
+        sets = list(jaccard_join.sets_of(pa.array([t for _, t in chained(n)])))
+        tree = jaccard_join.Tree(np.stack([jaccard_join.point_of(x) for x in sets]), np.array([x[0] for x in sets]))
+        tree.keep(*flat(sets))
+        assert not list(tree.pairs())
+        work.append(tree.bounded)
+    assert work[1] <= 2.3 * work[0] and work[2] <= 2.3 * work[1] and work[2] < 10 * 3200
+
+
+def test_chained_places_are_split_before_they_are_dealt(spark, docs, monkeypatch):
+    """A place of most documents falls apart; sets sent to the tasks at most double with the documents, and links inside it stay."""
+    monkeypatch.setattr(jaccard_join, "PLACE_ROWS", 64)
+    rows, sent = [], []
+    split = jaccard_join.split
+
+    def counted(*args):
+        out = split(*args)
+        sent.append((args[0].count(), out.count(), jaccard_join.crowded(out).count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "split", counted)
+    for n in (800, 1600):
+        rows = chained(n)
+        rng = random.Random(3)
+        rows += [(n + k, mutated(rng, rows[k][1].split(), 3)) for k in range(0, 40, 4)]
+        sent.clear()
+        table = {r["doc_id"]: r for r in jaccard_join.near_duplicates(docs(rows)).collect()}
+        for k in range(n):
+            assert (table[k]["n_links"], table[k]["component_id"]) == (int(k < 40 and k % 4 == 0), k)
+        assert len(sent) == 1 and sent[0][0] > n // 4 and sent[0][1] < sent[0][0] // 2 and sent[0][2] == 0
+
+
 @pytest.mark.parametrize("columns", [64, 128, 1 << 14])
 def test_overlaps(monkeypatch, columns):
     monkeypatch.setattr(jaccard_join, "COLUMNS", columns)
