@@ -59,3 +59,27 @@ def test_triplets_and_cube_of_every_row(spark):
     got = {(r["u"], r["y"], r["rep"]): r["value"] for r in catalogue.queries()["cube_nd"](spark, SF).collect()}
     assert len(got) == np.prod([len({k[i] for k in means}) for i in range(3)])
     assert all(v is None if k not in means else v == pytest.approx(np.mean(means[k]), abs=2e-6) for k, v in got.items())
+
+
+def test_near_and_cluster_similarities_are_dealt_in_tiles(spark, monkeypatch):
+    """No pair of a query with a row stands in a row with both vectors, and the bound itself is near, whatever the tiles; nulls are far from all."""
+    from gridloom.operators import graph
+
+    monkeypatch.setattr(graph, "TILE_QUERIES", 3)
+    monkeypatch.setattr(graph, "TILE_VECTORS", 7)
+    points = [[3.0 * (k % 5), 4.0 * (k // 5)] for k in range(40)] + [None, [3.0, None], [0.0]]
+    rows = spark.createDataFrame([(k, v, None if k == 41 else k % 3) for k, v in enumerate(points)], "id long, v array<float>, cluster int").repartition(3)
+    for how in ("old", "abs", "dist"):
+        pairs = graph.near_similarity(rows.where("id % 4 = 0"), rows.select("id", "v"), 10.0, 4, how)
+        assert "CartesianProduct" not in (plan := pairs._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+        got = {(r["i"], r["j"]): r["similarity"] for r in pairs.collect()}
+        assert got.keys() == {(i, j) for i in range(0, 43, 4) for j in range(43) if i != j}
+        for (i, j), value in got.items():
+            a, b = points[i] or [], points[j] or []
+            gap = [abs(x - y) if None not in (x, y) else float("nan") for x, y in zip(a, b, strict=False)] + [float("nan")] * (2 - min(len(a), len(b)))
+            near = {"old": (gap[0] ** 2 + gap[1] ** 2) ** 0.5 <= 5, "abs": gap[0] <= 5 or gap[1] <= 5, "dist": 2**0.5 * gap[0] <= 5}[how]
+            assert value == (1.0 if near else -1.0), (how, i, j)
+    pairs = graph.cluster_similarity(rows.where("id % 4 = 0").select("id", "cluster"), rows.select("id", "cluster"))
+    assert "Join" not in pairs._jdf.queryExecution().toString()
+    got = {(r["i"], r["j"]): r["similarity"] for r in pairs.collect()}
+    assert got == {(i, j): 1.0 if i % 3 == j % 3 and 41 not in (i, j) else -1.0 for i in range(0, 43, 4) for j in range(43) if i != j}
