@@ -1,4 +1,4 @@
-"""Graph files as edge and vertex tables. Lines are parsed with column expressions; files whose sections give lines their meaning are read whole, a file per task."""
+"""Graph files as edge and vertex tables. Lines are parsed with column expressions; where sections give lines their meaning, each block of a file is read on its own and told what the blocks before it end in."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import functools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,35 +55,73 @@ def read_attributed(spark: SparkSession, path: str, sep: str = ";", mirror: bool
     return edges, vertices
 
 
-def _dat_lines(text: str, zeros: bool) -> Iterator[tuple[int, int, int]]:
-    """Edge rows of the second section; a row of two numbers has weight 1."""
-    inside = False
+#: Rows of dat files before they are settled: edges, with true in ``inside`` where they stand in an edge section, else (null) with the number of the part of a file that begins without a section; and of each part one row without
+#: edge, in which section it ends.
+PARTS = f"{EDGES}, inside boolean, part long, file string, block long"
+
+
+def _dat_lines(text: str, inside: bool | None, zeros: bool, edges: bool) -> Iterator[tuple[bool | None, tuple[int, int, int] | None]]:
+    """Of the lines that begin a section whether it is one of edges, and of those that may be an edge, the edge; a row of two numbers has weight 1."""
     for line in text.splitlines():
         word = line.strip().lower()
         if word.startswith(("data", "*edges", "*arcs")):
             inside = True
+            yield inside, None
         elif word.startswith(("row labels", "*vertices")):
             inside = False
-        elif inside:
+            yield inside, None
+        elif edges and inside is not False:
             parts = line.split()
             try:
                 numbers = [int(float(x)) for x in parts[:3]]
-            except ValueError:
+            except (ValueError, OverflowError):
                 continue
             if len(numbers) >= 2 and (len(numbers) == 2 or numbers[2] > 0 or zeros):
-                yield numbers[0], numbers[1], numbers[2] if len(numbers) > 2 else 1
+                yield inside, (numbers[0], numbers[1], numbers[2] if len(numbers) > 2 else 1)
+
 
+def dat_parts(batches: Iterator[pa.RecordBatch], zeros: bool = False, edges: bool = True) -> Iterator[pa.RecordBatch]:
+    """Lines (value, file, block) to rows of ``PARTS``, or without ``edges`` to the parts' ends alone. The lines of a part, which one task reads, follow each other; they go as soon as they are read."""
+    from pyspark import TaskContext
 
-def dat_edges(batches: Iterator[pd.DataFrame], zeros: bool = False) -> Iterator[pd.DataFrame]:
-    """Edge rows of whole texts (value)."""
+    number, now, inside = TaskContext.get().partitionId() << 33, None, None
+    names = [c.split()[0] for c in PARTS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64()]
+    packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     for batch in batches:
-        for text in batch["value"]:
-            yield pd.DataFrame(list(_dat_lines(text, zeros)), columns=["src", "dst", "w"]).astype("int64")
+        rows = []
+        for text, *place in zip(*(batch[c].to_pylist() for c in ("value", "file", "block")), strict=True):
+            if place != now:
+                if now is not None:
+                    rows.append((None, None, None, inside, number, *now))
+                number, now, inside = number + 1, place, None
+            for inside, edge in _dat_lines(text, inside, zeros, edges):
+                if edge is not None:
+                    rows.append((*edge, inside, None if inside else number, None, None))
+        if rows:
+            yield packed(rows)
+    if now is not None:
+        yield packed([(None, None, None, inside, number, *now)])
+
+
+def dat_lines(lines: DataFrame) -> DataFrame:
+    """(value, file, block) of text files, streamed or not."""
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def settled(parts: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Edges (src, dst, w) of rows of ``PARTS``: a part that begins without a section is in the one that the last part of its file with a section ends in."""
+    ends = (parts if ends is None else ends).where("src is null").select("part", "file", "block", "inside")
+    before = ends.select("part", F.expr("last(inside, true) over (partition by file order by block rows between unbounded preceding and 1 preceding)").alias("before")).where("before")
+    found = parts.where("src is not null").join(F.broadcast(before), "part", "left")  # a row for each split of a file at most
+    return found.where(F.coalesce("inside", "before")).select("src", "dst", "w")
 
 
 def read_dat(spark: SparkSession, path: str, zeros: bool = False) -> DataFrame:
-    """Files of a label section and an edge section."""
-    return spark.read.text(path, wholetext=True).mapInPandas(functools.partial(dat_edges, zeros=zeros), EDGES).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    """Files of a label section and an edge section. Large files are read in blocks by many tasks."""
+    lines = dat_lines(spark.read.text(path))
+    parts, ends = (lines.mapInArrow(functools.partial(dat_parts, zeros=zeros, edges=edges), PARTS) for edges in (True, False))
+    return settled(parts, ends).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
 def assemble(edges: DataFrame, vertices: DataFrame | None = None, expected: tuple[int, int] | None = None):

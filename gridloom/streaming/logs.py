@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.graphs import EDGES, dat_edges
+from ..sources.graphs import EDGES, PARTS, dat_lines, dat_parts, settled
 
 LOG = "run long, it long, measure string, value double"
 
@@ -17,11 +17,11 @@ LOG = "run long, it long, measure string, value double"
 def edge_stream(spark: SparkSession, path: str, form: str = "tnet", files_per_batch: int = 1) -> DataFrame:
     """(src, dst, w) of text files as they come, without edges of weight zero: tnet (2 or 5 fields), csv (; and a header), attributed (i;j lines) or dat (2 or 3 fields of the edge section).
 
-    Lines stand for themselves but in dat files, where a section gives them their meaning: those are read whole, one for each task.
+    Lines stand for themselves but in dat files, where a section gives them their meaning: their rows are those of ``graphs.PARTS``, which ``edge_weights`` settles batch by batch, for a batch has whole files.
     """
     source = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
     if form == "dat":
-        return source.text(path, wholetext=True).mapInPandas(dat_edges, EDGES)
+        return dat_lines(source.text(path)).mapInArrow(dat_parts, PARTS)
     raw, line = source.text(path), F.trim(F.col("value"))
     if form in ("csv", "attributed"):
         f = F.split(line, ";")
@@ -61,7 +61,8 @@ def edge_weights(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     """Sums of an edge stream: each batch adds a folder with its own sums (once, if a batch is tried again), and nothing is written anew. ``edge_table`` reads them."""
 
     def write(batch: DataFrame, number: int) -> None:
-        summed = batch.groupBy("src", "dst").agg(F.sum("w").alias("w")).withColumn("batch", F.lit(number))
+        edges = settled(batch) if "part" in batch.columns else batch
+        summed = edges.groupBy("src", "dst").agg(F.sum("w").alias("w")).withColumn("batch", F.lit(number))
         summed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

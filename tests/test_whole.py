@@ -83,3 +83,31 @@ def test_near_and_cluster_similarities_are_dealt_in_tiles(spark, monkeypatch):
     assert "Join" not in pairs._jdf.queryExecution().toString()
     got = {(r["i"], r["j"]): r["similarity"] for r in pairs.collect()}
     assert got == {(i, j): 1.0 if i % 3 == j % 3 and 41 not in (i, j) else -1.0 for i in range(0, 43, 4) for j in range(43) if i != j}
+
+
+@pytest.mark.parametrize("size", ["1k", "7m"])
+def test_sections_of_dat_files_reach_over_blocks(spark, tmp_path, size):
+    """Files in blocks of a kilobyte: no task holds a whole file, and each line is of the section that the blocks before it end in."""
+    from gridloom.sources import graphs
+    from gridloom.streaming import logs as live
+
+    want = {}
+    for k in range(3):
+        lines = ["1 2 3", "ROW LABELS:"] + ["5 6 7"] * 400 + ["DATA"]
+        for n in range(900):
+            lines += [f"{n % 20} {k} {n % 3}" if n % 2 else f" {n % 20}\t{k} ", "no edge", ""]
+            want[n % 20, k] = want.get((n % 20, k), 0) + (n % 3 if n % 2 else 1)
+        lines += ["*Vertices 3"] + ["8 9 1"] * 300 + ["*Arcs", "1e3 7 2.9"]
+        want[1000, 7] = want.get((1000, 7), 0) + 2
+        (tmp_path / f"f{k}.dat").write_text("\n".join(lines))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        if size == "1k":
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        assert {(r["src"], r["dst"]): r["w"] for r in graphs.read_dat(spark, str(tmp_path)).collect()} == {k: w for k, w in want.items() if w}
+        assert "wholetext" not in graphs.read_dat(spark, str(tmp_path))._jdf.queryExecution().toString().lower()
+        live.drained(live.edge_weights(live.edge_stream(spark, str(tmp_path), "dat"), f"{tmp_path}-out", f"{tmp_path}-check"))
+        assert {(r["src"], r["dst"]): r["w"] for r in live.edge_table(spark, f"{tmp_path}-out").collect()} == {k: w for k, w in want.items() if w}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
