@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import search
-from ..operators.lineage import cut, numbered, shared_folder
+from ..operators.lineage import cut, numbered, parts, shared_folder
 from ..sources import graphs, logs, matrices, tables
 from ..streaming import logs as live
 from . import query, sql, table
@@ -116,7 +116,7 @@ def measures(spark, sf_dir):
 def result_tree(spark, sf_dir):
     path = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("corpus"), F.to_json(F.struct(F.col("s_acctbal").alias("Precision"), F.lit(1.0).alias("Recall"))).alias("value"))
-    s.write.option("maxRecordsPerFile", 1).partitionBy("corpus").text(path)
+    s.repartition(parts(spark)).write.option("maxRecordsPerFile", 1).partitionBy("corpus").text(path)
     rows = tables.result_tree(spark, path, ["folder"]).where("measure = 'Precision'")
     return rows.groupBy(F.regexp_replace("folder", "corpus=", "").alias("corpus")).agg(F.bround(F.avg("value"), 4).alias("p"), F.count("*").alias("n"))
 
