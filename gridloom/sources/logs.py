@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut, parts
+
 #: Rows that a log's writer gathers before it appends them.
 BUFFER_ROWS = 20
 
@@ -39,6 +41,7 @@ def read_log(spark: SparkSession, path: str, iterations: int | None = None) -> D
     """(path, it, measure, values) of .inf files; it counts the rows of a file from 0."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\n").alias("lines"))
     whole = whole.withColumn("header", F.get(F.filter("lines", lambda x: x.startswith("#") & ~x.startswith("# ")), F.lit(0)))
+    whole = cut(whole)  # each file is opened once, for its header and for its rows
     grammars = [r[0] for r in whole.where("header is not null").select("header").distinct().orderBy("header").limit(MOST_GRAMMARS + 1).collect()]
     if not grammars or len(grammars) > MOST_GRAMMARS:
         raise ValueError(f"{path} has no log with a header" if not grammars else f"more than {MOST_GRAMMARS} different headers")
@@ -111,7 +114,7 @@ def write_text_log(log: DataFrame, path: str, measures: list[str], run: str = "_
     ends = rows.select(run).distinct()
     head = ends.select(F.col(run), F.lit(0).alias("part"), F.lit(0).alias("k"), F.lit("#" + " ".join(measures)).alias("value"))
     tail = ends.select(F.col(run), F.lit(2).alias("part"), F.lit(0).alias("k"), F.lit("# terminated").alias("value"))
-    every = head.union(body).union(tail).repartition(run).sortWithinPartitions(run, "part", "k")
+    every = head.union(body).union(tail).repartition(parts(log.sparkSession), run).sortWithinPartitions(run, "part", "k")
     every.select(run, "value").write.mode("overwrite").partitionBy(run).text(path)
 
 
