@@ -262,3 +262,57 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     said("update")
     assert search.search(search.read(spark, f"{tmp_path}/data/.catalogue"), "held", "name").count() == 1
     assert said("hist") and said("init") == []
+
+
+def _writers(path):
+    """Numbers of the tasks that wrote the files below a folder."""
+    return {p.name.split("-")[1] for p in path.rglob("part-*")}
+
+
+def test_logs_of_many_runs_are_written_by_many_tasks_and_opened_once(spark, tmp_path):
+    from gridloom.sources import logs
+
+    log = spark.range(120).selectExpr("id % 40 as run", "id div 40 as it", "'click' as measure", "cast(id as double) as value")
+    logs.write_text_log(log, f"{tmp_path}/logs", ["click"], "run", "it")
+    assert len(_writers(tmp_path)) > 1
+    back = logs.read_log(spark, f"{tmp_path}/logs/*")
+    assert str(tmp_path) not in back._jdf.queryExecution().executedPlan().toString()
+    assert sorted(float(r["values"][0]) for r in back.collect()) == [float(k) for k in range(120)]
+
+
+def test_result_tree_is_written_by_many_tasks(spark):
+    from pathlib import Path
+
+    from gridloom.catalogue import queries
+    from gridloom.operators.lineage import shared_folder
+
+    root = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(root.glob("tree-*"))
+    assert queries()["result_tree"](spark, "/root/testdata/sf0.001").count() > 0
+    (tree,) = set(root.glob("tree-*")) - before
+    assert len(_writers(tree)) > 1
+
+
+def test_expected_information_is_dealt_to_many_tasks(spark):
+    from gridloom.operators import graph
+
+    sizes = spark.createDataFrame([(5000,), (7000,)], "n long").coalesce(1)
+    plan = graph.expected_mutual_information(sizes, sizes, 12000)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(4" in plan
+
+
+def test_full_split_reads_its_edges_once(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import graph
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def same(x):
+        seen.add(1)
+        return x
+
+    pairs = spark.range(60).select(same("id").alias("src"), ((F.col("id") * 7 + 1) % 60).alias("dst"), F.lit(1).cast("long").alias("w"))
+    assert graph.full_split(pairs, 20, 50, 0.5, 50).count() == 69
+    assert seen.value == 60
