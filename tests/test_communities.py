@@ -129,3 +129,16 @@ def test_components_of_a_long_path_and_a_star(spark):
     with pytest.raises(RuntimeError):
         graph.components(frame(spark, pairs), most=1)
     assert graph.components(frame(spark, [])).count() == 0
+
+
+def test_components_of_hot_nodes(spark, monkeypatch):
+    """Nodes of many neighbours are broadcast to them, of many larger and of many smaller ones; the rows of a hot node meet in no join's shuffle."""
+    rng = random.Random(5)
+    pairs = [(0, k) for k in range(1, 60)] + [(500, k) for k in range(300, 340)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(120)] + [(339, 50)]
+    want = dict(map(tuple, graph.components(frame(spark, pairs)).collect()))
+    monkeypatch.setattr(graph, "HOT_NODE", 3)
+    assert dict(map(tuple, graph.components(frame(spark, pairs)).collect())) == want
+    assert want[500] == 0 and want[59] == 0
+    star = spark.range(1, 60).selectExpr("id as a", "0L as b")
+    assert "hot" in graph._star(star, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in graph._star(star, True).collect()} == {(k, 0) for k in range(1, 60)}
