@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import segments
-from .text import tokens_of
+from .lineage import cut
+from .text import gathered, token_counts
 
 #: BM25's two constants.
 K1, B = 1.2, 0.75
 #: Folders of the postings by hash of term, and parts of a term's documents that different tasks gather.
 BUCKETS, SALTS = 64, 8
+#: Terms that match a pattern up to which only their folders are read; with more all postings are joined with them.
+FEW = 1000
 
 
 @dataclass(frozen=True)
@@ -29,18 +32,28 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def salt_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(SALTS))
+
+
+def _repeated(docs: DataFrame) -> bool:
+    """Whether an id has several rows."""
+    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def index(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """(bucket, doc_id, field, term, tf, positions): tokens are shuffled once, by term and part of the documents, so that no task gathers a common term alone."""
-    parts = [F.struct(F.lit(f).alias("field"), tokens_of(F.col(f)).alias("toks")) for f in fields]
-    one = docs.select("doc_id", F.explode(F.array(*parts)).alias("x")).select("doc_id", "x.field", F.posexplode("x.toks").alias("pos", "term"))
-    dealt = one.withColumns({"bucket": bucket_of(F.col("term")), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))}).repartition("bucket", "salt")
-    return dealt.groupBy("bucket", "salt", "doc_id", "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")).drop("salt")
+    """(bucket, doc_id, field, term, tf, positions): terms are gathered where the documents are read, so what is shuffled has a row for each term and piece of the documents, not for each token; by term and part of
+    the pieces, so that no task holds a common term alone. Lists are sorted by term before they become rows. Only where an id has several rows are these put together after that."""
+    dealt = gathered(docs, fields).withColumns({"bucket": bucket_of(F.col("term")), "salt": salt_of(F.col("postings")[0]["doc_id"])}).repartition("bucket", "salt")
+    rows = dealt.sortWithinPartitions("bucket", "field", "term").select("bucket", "field", "term", F.inline("postings"))
+    if _repeated(docs):
+        rows = rows.groupBy("bucket", "doc_id", "field", "term").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")).sortWithinPartitions("bucket", "field", "term")
+    return rows.select("bucket", "doc_id", "field", "term", "tf", "positions")
 
 
 def lengths(docs: DataFrame, fields: list[str]) -> DataFrame:
     """(doc_id, field, len) of documents with a token."""
-    parts = [F.struct(F.lit(f).alias("field"), F.size(tokens_of(F.col(f))).cast("long").alias("len")) for f in fields]
-    return docs.select("doc_id", F.explode(F.array(*parts)).alias("x")).select("doc_id", "x.*").where("len > 0")
+    return token_counts(docs, fields).groupBy("doc_id", "field").agg(F.sum("len").alias("len"))
 
 
 def build(docs: DataFrame, fields: list[str], path: str, mode: str = "overwrite") -> None:
@@ -100,7 +113,11 @@ def _hits(stored: Index, clause: Clause, field: str) -> DataFrame:
     if clause.kind != "phrase":
         # Patterns are matched with the vocabulary, not with all postings.
         terms = stored.vocabulary.where((F.col("field") == field) & _matches(clause, F.col("term"))).select("term", "df", bucket_of(F.col("term")).alias("bucket"))
-        return stored.postings.where(F.col("field") == field).join(terms, ["bucket", "term"]).select("doc_id", "tf", "df")
+        terms = cut(terms)  # so that a join knows how few they are; the vocabulary may be large
+        few, here = terms.limit(FEW + 1).collect(), stored.postings.where(F.col("field") == field)
+        if len(few) <= FEW:
+            here, terms = here.where(F.col("bucket").isin({r["bucket"] for r in few}) & F.col("term").isin([r["term"] for r in few])), F.broadcast(terms)
+        return here.join(terms, ["bucket", "term"]).select("doc_id", "tf", "df")
     words = re.findall(r"[a-z0-9_\-]+", clause.text)
     rows = [_postings(stored, w, field).select("doc_id", F.expr(f"transform(positions, p -> p - {k})").alias(f"p{k}")) for k, w in enumerate(words)]
     found = functools.reduce(lambda a, b: a.join(b, "doc_id"), rows)

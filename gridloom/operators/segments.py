@@ -119,10 +119,10 @@ def _commit(spark: SparkSession, path: str, change: Callable[[Manifest], Manifes
 
 
 def _write(postings: DataFrame, lengths: DataFrame, path: str, name: str) -> tuple[int, int]:
-    """Stores a segment; how many postings and documents it has."""
+    """Stores a segment, whose postings come sorted by bucket, field and term in each partition; how many postings and documents it has."""
     spark = postings.sparkSession
     where = {part: f"{path}/{part}/segment={name}" for part in PARTS}
-    postings.sortWithinPartitions("bucket", "field", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(where["postings"])
+    postings.write.mode("overwrite").partitionBy("bucket").parquet(where["postings"])
     lengths.write.mode("overwrite").parquet(where["lengths"])
     stored = spark.read.schema(postings.schema).parquet(where["postings"])  # a schema, for without rows there is no file
     stored.groupBy("field", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(where["vocabulary"])
@@ -247,13 +247,15 @@ def due(held: Manifest, fan_in: int = FAN_IN) -> list[Segment]:
 
 def merge(spark: SparkSession, path: str, which: list[Segment] | None = None) -> Manifest | None:
     """Writes segments (those that are due, by default) anew as one, without deleted documents. Tombstones that no older segment is left for go."""
+    from .search import salt_of
+
     for _ in range(ATTEMPTS):
         held = manifest(spark, path)
         chosen = [s for s in held.segments if s in (which if which is not None else due(held))] if held else []
         if len(chosen) < 2 and not any(held.of(s) for s in chosen):
             return held
         names, own = {s.name for s in chosen}, _name()
-        postings = _live(spark, path, held, "postings", only=names).repartition("bucket")
+        postings = _live(spark, path, held, "postings", only=names).repartition("bucket", salt_of(F.col("doc_id"))).sortWithinPartitions("bucket", "field", "term", "doc_id")
         n, documents = _write(postings.select("bucket", "doc_id", "field", "term", "tf", "positions"), _live(spark, path, held, "lengths", only=names).drop("segment"), path, own)
 
         def change(old: Manifest, seen: Manifest = held, names: set[str] = names, one: tuple = (own, n, documents)) -> Manifest:
