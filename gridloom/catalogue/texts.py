@@ -181,11 +181,13 @@ VOCAB = BAG + ", vocab AS (SELECT term, row_number() OVER (ORDER BY f) - 1 AS te
 
 @query("text_ids", VOCAB + " SELECT doc_id, CAST(sum(term_id * cnt) AS BIGINT) AS id_sum, CAST(sum(cnt) AS BIGINT) AS n FROM bag JOIN vocab USING (term) GROUP BY doc_id")
 def text_ids(spark, sf_dir):
-    """To ids, back to terms, and to ids again."""
-    t = toks(spark, sf_dir)
-    vocab, b = text.vocabulary(t), text.bag_of_words(t)
-    again = text.ids_of(text.terms_of(text.ids_of(b, vocab), vocab), vocab)
-    return again.groupBy("doc_id").agg(F.sum(F.col("term_id") * F.col("cnt")).alias("id_sum"), F.sum("cnt").alias("n"))
+    """To ids, back to terms, and to ids again: lists of documents by term, which become rows at the end."""
+    gathered = text.gathered(docs(spark, sf_dir).select("doc_id", "text"), ["text"])
+    vocab = text.vocabulary(text.first_places(gathered))
+    lists = gathered.select("term", F.col("postings.doc_id").alias("ids"), F.col("postings.tf").alias("counts"))
+    again = text.ids_of(text.terms_of(text.ids_of(lists, vocab), vocab), vocab)
+    rows = again.select("term_id", F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("counts").alias("cnt"))))
+    return rows.groupBy("doc_id").agg(F.sum(F.col("term_id") * F.col("cnt")).alias("id_sum"), F.sum("cnt").alias("n"))
 
 
 @query("text_prune_ids", VOCAB + " SELECT term, row_number() OVER (ORDER BY term_id) - 1 AS term_id FROM vocab JOIN df USING (term) WHERE df > 5")

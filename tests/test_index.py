@@ -76,3 +76,18 @@ def test_merge_deals_a_common_term_to_several_tasks(spark, tmp_path, monkeypatch
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert search.read(spark, path).postings.count() == 400
+
+
+def test_text_ids_joins_lists_and_sorts_no_tokens(spark, tmp_path):
+    from gridloom import catalogue
+
+    docs = spark.createDataFrame([(7, "Sea red sea"), (3, "old wind"), (5, None), (3, "wind -- sea"), (-4, "old x")], "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    vocab = {r["term"]: r["term_id"] for r in catalogue.queries()["text_vocab"](spark, str(tmp_path)).collect()}
+    assert [t for t in sorted(vocab, key=vocab.get) if t in ("x", "red")] == ["x", "red"] and vocab["old"] == 0 and set(vocab) == {"old", "x", "wind", "--", "sea", "red"}
+    assert sorted(vocab.values()) == list(range(6))
+    found = catalogue.queries()["text_ids"](spark, str(tmp_path))
+    shown = plan(found)
+    assert "SortAggregate" not in shown and "SortMergeJoin" not in shown and shown.count("ShuffledHashJoin") == 3 and "posexplode" not in shown
+    want = {7: ["sea", "red", "sea"], 3: ["old", "wind", "wind", "--", "sea"], -4: ["old", "x"]}
+    assert {r["doc_id"]: (r["id_sum"], r["n"]) for r in found.collect()} == {d: (sum(vocab[t] for t in w), len(w)) for d, w in want.items()}
