@@ -221,7 +221,7 @@ def search_deleted(spark, sf_dir):
     path, d = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", docs(spark, sf_dir).select("doc_id", "text")
     gone = d.where("doc_id % 7 = 3").select("doc_id")
     for k in range(9):
-        segments.add(d.where(F.col("doc_id") % 9 == k), ["text"], path)
+        segments.add(d.where(F.pmod("doc_id", F.lit(9)) == k), ["text"], path)
         if k == 4:
             segments.delete(gone, path)
     segments.delete(gone, path)

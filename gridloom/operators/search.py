@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import segments
 from .lineage import cut
-from .text import gathered, token_counts
+from .text import gathered, gathered_again, token_counts
 
 #: BM25's two constants.
 K1, B = 1.2, 0.75
@@ -41,14 +41,25 @@ def _repeated(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def index(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """(bucket, doc_id, field, term, tf, positions): terms are gathered where the documents are read, so what is shuffled has a row for each term and piece of the documents, not for each token; by term and part of
-    the pieces, so that no task holds a common term alone. Lists are sorted by term before they become rows. Only where an id has several rows are these put together after that."""
-    dealt = gathered(docs, fields).withColumns({"bucket": bucket_of(F.col("term")), "salt": salt_of(F.col("postings")[0]["doc_id"])}).repartition("bucket", "salt")
-    rows = dealt.sortWithinPartitions("bucket", "field", "term").select("bucket", "field", "term", F.inline("postings"))
+def dealt(lists: DataFrame) -> DataFrame:
+    """Lists (field, term, postings) as a segment stores them: (bucket, field, term, n, postings), n entries each, by term and part of the lists, so that no task holds a common term alone, and sorted by term."""
+    placed = lists.withColumns({"bucket": bucket_of(F.col("term")), "n": F.size("postings").cast("long"), "salt": salt_of(F.col("postings")[0]["doc_id"])})
+    return placed.repartition("bucket", "salt").sortWithinPartitions("bucket", "field", "term").select("bucket", "field", "term", "n", "postings")
+
+
+def lists(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(bucket, field, term, n, postings): terms are gathered where the documents are read, so what is shuffled, sorted and stored has a row for each term and piece of the documents, not for each token or posting.
+    Only where an id has several rows are these put together after that."""
+    found = gathered(docs, fields)
     if _repeated(docs):
-        rows = rows.groupBy("bucket", "doc_id", "field", "term").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")).sortWithinPartitions("bucket", "field", "term")
-    return rows.select("bucket", "doc_id", "field", "term", "tf", "positions")
+        one = segments.rows_of(found).groupBy("field", "term", "doc_id").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+        found = gathered_again(one.sortWithinPartitions("field", "term"))
+    return dealt(found)
+
+
+def index(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(bucket, field, term, doc_id, tf, positions): the entries of ``lists``."""
+    return segments.rows_of(lists(docs, fields).drop("n"))
 
 
 def lengths(docs: DataFrame, fields: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """A search index in segments: each addition is a folder of its own, deletions are tombstones, and a manifest says what counts.
 
-A segment's postings (in folders by hash of term), lengths and vocabulary with its document frequencies are in ``path/<part>/segment=<name>``; ``path/tombstones/<name>`` the ids that
+A segment's postings (lists of entries, in folders by hash of term), lengths and vocabulary with its document frequencies are in ``path/<part>/segment=<name>``; ``path/tombstones/<name>`` the ids that
 are deleted from all segments before it, and how much they take from each segment's frequencies; ``path/manifest/<number>.json`` lists both. Nothing is ever changed in place: a new manifest is written
 beside the old ones, under a number that only one writer can take. So an addition costs its own documents, a reader keeps what it has opened, and of two writers
 the later one starts again from the other's manifest. ``merge`` writes many small segments anew as one; ``vacuum`` removes folders that recent manifests no longer list.
@@ -118,15 +118,23 @@ def _commit(spark: SparkSession, path: str, change: Callable[[Manifest], Manifes
     raise Conflict(f"{ATTEMPTS} other writers came first at {path}")
 
 
-def _write(postings: DataFrame, lengths: DataFrame, path: str, name: str) -> tuple[int, int]:
-    """Stores a segment, whose postings come sorted by bucket, field and term in each partition; how many postings and documents it has."""
-    spark = postings.sparkSession
+def rows_of(lists: DataFrame) -> DataFrame:
+    """A row (doc_id, tf, positions) for each entry of lists, with their other columns; what is not asked of an entry is not read."""
+    others = [c for c in lists.columns if c not in ("postings", "n")]
+    return lists.select(*others, F.explode("postings").alias("entry")).select(*others, "entry.doc_id", "entry.tf", "entry.positions")
+
+
+def _write(lists: DataFrame, lengths: DataFrame, path: str, name: str) -> tuple[int, int]:
+    """Stores a segment, whose lists come sorted by bucket, field and term in each partition; how many postings and documents it has."""
+    spark = lists.sparkSession
     where = {part: f"{path}/{part}/segment={name}" for part in PARTS}
-    postings.write.mode("overwrite").partitionBy("bucket").parquet(where["postings"])
+    lists.write.mode("overwrite").partitionBy("bucket").parquet(where["postings"])
     lengths.write.mode("overwrite").parquet(where["lengths"])
-    stored = spark.read.schema(postings.schema).parquet(where["postings"])  # a schema, for without rows there is no file
-    stored.groupBy("field", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(where["vocabulary"])
-    return stored.count(), spark.read.schema(lengths.schema).parquet(where["lengths"]).select("doc_id").distinct().count()
+    stored = spark.read.schema(lists.schema).parquet(where["postings"])  # a schema, for without rows there is no file
+    frequencies = stored.groupBy("field", "term").agg(F.sum("n").alias("df"))
+    frequencies.write.mode("overwrite").parquet(where["vocabulary"])
+    postings = spark.read.schema(frequencies.schema).parquet(where["vocabulary"]).agg(F.sum("df")).first()[0] or 0
+    return postings, spark.read.schema(lengths.schema).parquet(where["lengths"]).select("doc_id").distinct().count()
 
 
 def _part(spark: SparkSession, path: str, part: str, names: list[str]) -> DataFrame:
@@ -140,7 +148,7 @@ def add(docs: DataFrame, fields: list[str], path: str, fresh: bool = False, upda
     ``fresh`` begins a new index: older segments are no longer listed. ``update`` deletes documents of the same ids first. ``batch`` names a writer and a number that rises with its
     batches: a number that is not above the writer's last one is a batch that is tried again, and adds nothing.
     """
-    from .search import index, lengths
+    from .search import lengths, lists
 
     spark, held = docs.sparkSession, manifest(docs.sparkSession, path)
     if batch and held and not fresh and dict(held.batches).get(batch[0], -1) >= batch[1]:
@@ -148,7 +156,7 @@ def add(docs: DataFrame, fields: list[str], path: str, fresh: bool = False, upda
     own = _name()
     if update and held and not fresh:
         delete(docs.select("doc_id"), path)
-    postings, documents = _write(index(docs, fields), lengths(docs, fields), path, own)
+    postings, documents = _write(lists(docs, fields), lengths(docs, fields), path, own)
 
     def change(old: Manifest) -> Manifest:
         new = (Segment(own, old.next_order, postings, documents),) if postings else ()
@@ -187,8 +195,10 @@ def delete(ids: DataFrame, path: str) -> Manifest:
     raise Conflict(f"{ATTEMPTS} other writers came first at {path}")
 
 
-def _live(spark: SparkSession, path: str, held: Manifest, part: str, only: set[str] | None = None) -> DataFrame:
-    """Rows of a part (postings or lengths) of all segments, with the segment's name, without deleted documents."""
+def _live(spark: SparkSession, path: str, held: Manifest, part: str, only: set[str] | None = None, listed: bool = False) -> DataFrame:
+    """Rows of a part (postings or lengths) of all segments, with the segment's name, without deleted documents; postings as lists (field, term, postings) if ``listed``."""
+    from .text import gathered_again
+
     groups: dict[tuple, list[str]] = {}
     for s in held.segments:
         if only is None or s.name in only:
@@ -196,9 +206,13 @@ def _live(spark: SparkSession, path: str, held: Manifest, part: str, only: set[s
     out = None
     for tombstones, names in groups.items():
         rows = _part(spark, path, part, names)
+        if part == "postings" and (tombstones or not listed):
+            rows = rows_of(rows)
         if tombstones:
             gone = spark.read.parquet(*[f"{path}/tombstones/{t.name}/ids" for t in tombstones])
             rows = rows.join(gone.distinct(), "doc_id", "left_anti")
+        if listed:
+            rows = gathered_again(rows) if tombstones else rows.select("field", "term", "postings")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -224,12 +238,12 @@ def tables(spark: SparkSession, path: str, held: Manifest | None = None) -> tupl
 
 
 def verify(spark: SparkSession, path: str) -> None:
-    """Reads the footers of all files of the newest manifest's segments; an error where one is broken or rows are missing."""
+    """Reads how long the lists are in all files of the newest manifest's segments; an error where one is broken or rows are missing."""
     held = manifest(spark, path)
     if held is None:
         raise FileNotFoundError(f"no index at {path}")
     for s in held.segments:
-        n = _part(spark, path, "postings", [s.name]).count()
+        n = _part(spark, path, "postings", [s.name]).agg(F.sum("n")).first()[0]
         if n != s.postings:
             raise ValueError(f"segment {s.name} has {n} postings of {s.postings}")
 
@@ -247,7 +261,7 @@ def due(held: Manifest, fan_in: int = FAN_IN) -> list[Segment]:
 
 def merge(spark: SparkSession, path: str, which: list[Segment] | None = None) -> Manifest | None:
     """Writes segments (those that are due, by default) anew as one, without deleted documents. Tombstones that no older segment is left for go."""
-    from .search import salt_of
+    from .search import dealt
 
     for _ in range(ATTEMPTS):
         held = manifest(spark, path)
@@ -255,8 +269,8 @@ def merge(spark: SparkSession, path: str, which: list[Segment] | None = None) ->
         if len(chosen) < 2 and not any(held.of(s) for s in chosen):
             return held
         names, own = {s.name for s in chosen}, _name()
-        postings = _live(spark, path, held, "postings", only=names).repartition("bucket", salt_of(F.col("doc_id"))).sortWithinPartitions("bucket", "field", "term", "doc_id")
-        n, documents = _write(postings.select("bucket", "doc_id", "field", "term", "tf", "positions"), _live(spark, path, held, "lengths", only=names).drop("segment"), path, own)
+        lists = dealt(_live(spark, path, held, "postings", only=names, listed=True))
+        n, documents = _write(lists, _live(spark, path, held, "lengths", only=names).drop("segment"), path, own)
 
         def change(old: Manifest, seen: Manifest = held, names: set[str] = names, one: tuple = (own, n, documents)) -> Manifest:
             if old.tombstones != seen.tombstones or not names <= {s.name for s in old.segments}:
