@@ -184,7 +184,7 @@ def text_ids(spark, sf_dir):
     """To ids, back to terms, and to ids again: lists of documents by term, which become rows at the end."""
     gathered = text.gathered(docs(spark, sf_dir).select("doc_id", "text"), ["text"])
     vocab = text.vocabulary(text.first_places(gathered))
-    lists = gathered.select("term", F.col("postings.doc_id").alias("ids"), F.col("postings.tf").alias("counts"))
+    lists = gathered.select("term", "ids", F.transform("ends", lambda e, k: (e - text.begin_of(k)).cast("long")).alias("counts"))
     again = text.ids_of(text.terms_of(text.ids_of(lists, vocab), vocab), vocab)
     rows = again.select("term_id", F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("counts").alias("cnt"))))
     return rows.groupBy("doc_id").agg(F.sum(F.col("term_id") * F.col("cnt")).alias("id_sum"), F.sum("cnt").alias("n"))

@@ -42,24 +42,24 @@ def _repeated(docs: DataFrame) -> bool:
 
 
 def dealt(lists: DataFrame) -> DataFrame:
-    """Lists (field, term, postings) as a segment stores them: (bucket, field, term, n, postings), n entries each, by term and part of the lists, so that no task holds a common term alone, and sorted by term."""
-    placed = lists.withColumns({"bucket": bucket_of(F.col("term")), "n": F.size("postings").cast("long"), "salt": salt_of(F.col("postings")[0]["doc_id"])})
-    return placed.repartition("bucket", "salt").sortWithinPartitions("bucket", "field", "term").select("bucket", "field", "term", "n", "postings")
+    """Lists as a segment stores them: (bucket, field, term, n, ids, ends, positions), n entries each, by term and part of the lists, so that no task holds a common term alone, and sorted by term."""
+    placed = lists.withColumns({"bucket": bucket_of(F.col("term")), "n": F.size("ids").cast("long"), "salt": salt_of(F.col("ids")[0])})
+    return placed.repartition("bucket", "salt").sortWithinPartitions("bucket", "field", "term").select("bucket", "field", "term", "n", "ids", "ends", "positions")
 
 
 def lists(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """(bucket, field, term, n, postings): terms are gathered where the documents are read, so what is shuffled, sorted and stored has a row for each term and piece of the documents, not for each token or posting.
+    """As ``dealt``: terms are gathered where the documents are read, so what is shuffled, sorted and stored has a row for each term and piece of the documents, not for each token or posting.
     Only where an id has several rows are these put together after that."""
     found = gathered(docs, fields)
     if _repeated(docs):
-        one = segments.rows_of(found).groupBy("field", "term", "doc_id").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+        one = segments.rows_of(found).groupBy("field", "term", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
         found = gathered_again(one.sortWithinPartitions("field", "term"))
     return dealt(found)
 
 
 def index(docs: DataFrame, fields: list[str]) -> DataFrame:
     """(bucket, field, term, doc_id, tf, positions): the entries of ``lists``."""
-    return segments.rows_of(lists(docs, fields).drop("n"))
+    return segments.rows_of(lists(docs, fields))
 
 
 def lengths(docs: DataFrame, fields: list[str]) -> DataFrame:

@@ -18,8 +18,12 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import begin_of, gathered_again, without
+
 #: Segments of about one size that merge at a time; a size class spans this factor.
 FAN_IN = 8
+#: Deleted documents up to which a merge holds their ids in each task; more are taken out by a join.
+HELD = 1_000_000
 #: Times that a writer starts again from a manifest that another one has written meanwhile.
 ATTEMPTS = 20
 #: What an index without documents has.
@@ -119,9 +123,11 @@ def _commit(spark: SparkSession, path: str, change: Callable[[Manifest], Manifes
 
 
 def rows_of(lists: DataFrame) -> DataFrame:
-    """A row (doc_id, tf, positions) for each entry of lists, with their other columns; what is not asked of an entry is not read."""
-    others = [c for c in lists.columns if c not in ("postings", "n")]
-    return lists.select(*others, F.explode("postings").alias("entry")).select(*others, "entry.doc_id", "entry.tf", "entry.positions")
+    """A row (doc_id, tf, positions) for each entry of lists, with their other columns; arrays that are not asked for are not read."""
+    others = [c for c in lists.columns if c not in ("n", "ids", "ends", "positions")]
+    begin, end = begin_of(F.col("k")), F.get("ends", F.col("k"))
+    entries = lists.select(*others, "ends", "positions", F.posexplode("ids").alias("k", "doc_id"))
+    return entries.select(*others, "doc_id", (end - begin).cast("long").alias("tf"), F.slice("positions", begin + 1, end - begin).alias("positions"))
 
 
 def _write(lists: DataFrame, lengths: DataFrame, path: str, name: str) -> tuple[int, int]:
@@ -196,9 +202,7 @@ def delete(ids: DataFrame, path: str) -> Manifest:
 
 
 def _live(spark: SparkSession, path: str, held: Manifest, part: str, only: set[str] | None = None, listed: bool = False) -> DataFrame:
-    """Rows of a part (postings or lengths) of all segments, with the segment's name, without deleted documents; postings as lists (field, term, postings) if ``listed``."""
-    from .text import gathered_again
-
+    """Rows of a part (postings or lengths) of all segments, with the segment's name, without deleted documents; postings as lists (field, term, ids, ends, positions) if ``listed``."""
     groups: dict[tuple, list[str]] = {}
     for s in held.segments:
         if only is None or s.name in only:
@@ -206,13 +210,14 @@ def _live(spark: SparkSession, path: str, held: Manifest, part: str, only: set[s
     out = None
     for tombstones, names in groups.items():
         rows = _part(spark, path, part, names)
-        if part == "postings" and (tombstones or not listed):
-            rows = rows_of(rows)
-        if tombstones:
-            gone = spark.read.parquet(*[f"{path}/tombstones/{t.name}/ids" for t in tombstones])
-            rows = rows.join(gone.distinct(), "doc_id", "left_anti")
-        if listed:
-            rows = gathered_again(rows) if tombstones else rows.select("field", "term", "postings")
+        gone = spark.read.parquet(*[f"{path}/tombstones/{t.name}/ids" for t in tombstones]).distinct() if tombstones else None
+        if not listed:
+            rows = rows_of(rows) if part == "postings" else rows
+            rows = rows.join(gone, "doc_id", "left_anti") if tombstones else rows
+        elif not tombstones:
+            rows = rows.select("field", "term", "ids", "ends", "positions")
+        else:
+            rows = without(rows, gone) if gone.count() <= HELD else gathered_again(rows_of(rows).join(gone, "doc_id", "left_anti"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

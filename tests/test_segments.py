@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import search, segments
+from gridloom.operators import search, segments, text
 
 WORDS = ["red", "blue", "house", "old", "sea", "wind"]
 
@@ -144,3 +144,26 @@ def test_stream_is_searched_while_it_grows(spark, tmp_path, docs):
     live.drained(query)
     assert seen == sorted(seen) and found(spark, path) == fresh(spark, tmp_path, docs)
     assert len(segments.manifest(spark, path).segments) < 10
+
+
+@pytest.mark.parametrize("held", [0, 1_000_000])
+def test_a_merge_takes_deleted_entries_out_of_lists(spark, tmp_path, docs, monkeypatch, held):
+    """Lists are stored, dealt and merged: few rows for many entries, whichever way deleted documents leave them; no sort or shuffle sees an entry."""
+    monkeypatch.setattr(segments, "HELD", held)
+    monkeypatch.setattr(text, "ENTRIES", 4)
+    path = str(tmp_path / "index")
+    more = docs.union(docs.where("doc_id < 9").select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("sea old sea sea").alias("text"))).coalesce(1)
+    for k in range(3):
+        segments.add(more.where(F.pmod("doc_id", F.lit(3)) == k), ["text"], path)
+        if k == 1:
+            segments.delete(more.where("doc_id % 5 = 0").select("doc_id"), path)
+    segments.delete(more.where("doc_id % 4 = 1 or doc_id = -2").select("doc_id"), path)
+    want = more.where("not (doc_id % 5 = 0 and pmod(doc_id, 3) < 2) and doc_id % 4 <> 1 and doc_id <> -2")
+    search.build(want, ["text"], str(tmp_path / "whole"))
+    merged = segments.merge(spark, path, list(segments.manifest(spark, path).segments))
+    stored = segments._part(spark, path, "postings", [merged.segments[0].name])
+    assert stored.count() < merged.segments[0].postings and stored.agg(F.max(F.size("ids"))).first()[0] == 4
+    rows = lambda p: sorted((r["term"], r["doc_id"], r["tf"], r["positions"]) for r in search.read(spark, p).postings.collect())
+    assert rows(path) == rows(str(tmp_path / "whole")) and found(spark, path) == found(spark, str(tmp_path / "whole"))
+    lists = search.lists(more, ["text"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in lists and lists.count("Sort ") == 1
