@@ -111,3 +111,27 @@ def test_sections_of_dat_files_reach_over_blocks(spark, tmp_path, size):
         assert {(r["src"], r["dst"]): r["w"] for r in live.edge_table(spark, f"{tmp_path}-out").collect()} == {k: w for k, w in want.items() if w}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+@pytest.mark.parametrize("how", ["cos"])
+def test_similarities_are_stored_in_few_bytes(spark, tmp_path, how):
+    """A pair takes what tells its rounded similarity from the others, not a whole double."""
+    vectors = np.random.default_rng(5).normal(0, 1, (3000, 64))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    catalogue.queries()[f"sim_{how}"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 4 * 150 * 2999
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == got.select("i", "j").distinct().count() == 150 * 2999
+
+
+def test_rounding_in_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import graph
+
+    few = [0.0, -0.0, -1e-7, 5e-6, 1.5e-5, 2.5e-5, -2.5e-5, 0.123455, 0.123465, 1.000005, 1e9 + 0.123455, 1e12 + 0.123456, 123456789012.345675, 1e300, 4503599627370497.5, float("inf"), float("nan")]
+    many = [*few, *(np.random.default_rng(1).normal(0, 1, 2000) * 10.0 ** np.arange(-7, 13).repeat(100)).tolist()]
+    want = [r[0] for r in spark.createDataFrame([(x,) for x in many], "x double").coalesce(1).select(F.bround("x", 5)).collect()]
+    got = graph.rounded(np.array(many).reshape(1, -1), 5)[0].tolist()
+    assert [repr(x) for x in got] == [repr(x) for x in want]
