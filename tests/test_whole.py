@@ -113,7 +113,7 @@ def test_sections_of_dat_files_reach_over_blocks(spark, tmp_path, size):
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
 
 
-@pytest.mark.parametrize("how", ["cos"])
+@pytest.mark.parametrize("how", ["cos", "dot"])
 def test_similarities_are_stored_in_few_bytes(spark, tmp_path, how):
     """A pair takes what tells its rounded similarity from the others, not a whole double."""
     vectors = np.random.default_rng(5).normal(0, 1, (3000, 64))
