@@ -87,3 +87,52 @@ def test_topics_are_assigned_once():
 
 def test_minibatch_count():
     assert graph.minibatch_count(25, 10, 0.5) == 125
+
+
+def _shuffled(spark) -> int:
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_pairs_of_neighbours_are_not_shuffled(spark):
+    """Two hundred nodes, all linked: 2.6 million pairs of neighbours of 19,900 edges."""
+    edges = spark.range(200).select(F.col("id").alias("src")).crossJoin(spark.range(200).select(F.col("id").alias("dst"))).where("src < dst")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with large tables
+    try:
+        before = _shuffled(spark)
+        assert graph.triangles(edges).count() == 200 * 199 * 198 // 6
+        assert tuple(graph.clustering(edges).first()) == (1.0, 1.0)
+        assert _shuffled(spark) - before < 2_000_000, _shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_triangles_of_any_cells(spark, monkeypatch, small):
+    """Hubs, loops, parallel and opposite edges, ids of any sign and size; lists that go on in the next batch."""
+    import random
+
+    if small:
+        for name, value in (("CELL_EDGES", 40), ("CELL_ENDS", 20), ("CELL_PAIRS", 5)):
+            monkeypatch.setattr(graph, name, value)
+    draw = random.Random(4)
+    ids = [-(2**62), -7, 0, 2**40, 2**62, *range(300, 335)]
+    pairs = [(draw.choice(ids), draw.choice(ids)) for _ in range(260)] + [(ids[3], x) for x in ids[5:]] + [(ids[6], x) for x in ids[10:]] + [(77, 77), (78, 79), (79, 78)]
+    linked = {frozenset(p) for p in pairs if p[0] != p[1]}
+    near = {x: {y for p in linked if x in p for y in p - {x}} for x in {x for p in pairs for x in p}}
+    want = {frozenset((x, y, z)) for x in near for y in near[x] for z in near[x] & near[y]}
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7 if small else held)
+    try:
+        edges = spark.createDataFrame([(*p, 1) for p in pairs], "src long, dst long, w long").repartition(3)
+        got = [frozenset(r) for r in graph.triangles(edges).collect()]
+        assert len(got) == len(want) > 50 and set(got) == want
+        c = graph.clustering(edges.union(spark.createDataFrame([(None, 78, 1)], edges.schema))).first()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    closed = {x: sum(x in t for t in want) for x in near}
+    full = {x: len(n) * (len(n) - 1) / 2 for x, n in near.items()}
+    assert c["average_clustering"] == pytest.approx(sum(closed[x] / full[x] for x in near if full[x]) / (len(near) + 1))  # a null end is a node
+    assert c["transitivity"] == pytest.approx(3 * len(want) / sum(full.values()))
